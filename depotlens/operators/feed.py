@@ -140,6 +140,24 @@ def kpi_delta(readings: DataFrame, events: DataFrame, docs: DataFrame) -> DataFr
     return daily.withColumn("delta", F.round(change, 4))
 
 
+def telemetry_snapshot(tables: dict[str, DataFrame], kind: str = "all", as_of=None) -> dict[str, DataFrame]:
+    """The bounded recent view of each table of a kind; an unknown kind selects none."""
+    views = {
+        "equipment": lambda df: equipment.recent_equipment(df, as_of),
+        "inventory": lambda df: inventory.inventory_at_risk(df),
+        "compliance": lambda df: compliance.recent_compliance(df, as_of),
+        "documents": lambda df: documents.recent_documents(df, as_of),
+    }
+    return {name: view(tables[name]) for name, view in views.items() if kind in (name, "all") and name in tables}
+
+
+def create_views(tables: dict[str, DataFrame]) -> None:
+    """Temporary SQL views of high-risk stock, open compliance events and flagged documents."""
+    inventory.high_risk_inventory(tables["inventory"]).createOrReplaceTempView("v_high_risk_inventory")
+    compliance.open_compliance(tables["compliance"]).createOrReplaceTempView("v_open_compliance")
+    documents.flagged_documents(tables["documents"]).createOrReplaceTempView("v_flagged_documents")
+
+
 def grounding_context(rows: DataFrame, agent: str, order: list[Column], limit: int = 50) -> DataFrame:
     """The first ``limit`` rows as one JSON array for a prompt; an empty array when there are none.
 

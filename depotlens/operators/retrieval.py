@@ -8,6 +8,7 @@ queries mean more passes. Scores are rounded to 6 places before ranking and ties
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from ..sources.scratch import materialise
 from . import ordered
 
+MAX_HITS = 100_000  # hit rows that may be broadcast to the passages
 BLOCK_QUERIES = 512
 BLOCK_TERMS = 8192
 RRF_OFFSET = 60
@@ -47,6 +50,15 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, i
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give compute-heavy scoring at least one partition per core when the input is a few large files.
+
+    Inputs that already split into enough partitions, as large ones do, are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _ranked(parts: list[DataFrame], k: int, score: str) -> DataFrame:
     """Final k per query over the tasks' candidates."""
     candidates = reduce(lambda a, b: a.unionByName(b), parts)
@@ -90,52 +102,48 @@ def _vector_scorer(ids: list, vectors: list, k: int, probes: list | None = None)
 
         q = np.asarray(vectors, dtype=np.float64)
         norms = np.sqrt((q * q).sum(axis=1))
-        usable = norms > 0
+        usable = np.nonzero(norms > 0)[0]
         q[usable] /= norms[usable, None]
         searching = {}
         if probes is not None:
-            for query, lists in enumerate(probes):
-                for number in lists:
+            for query in usable:
+                for number in probes[query]:
                     searching.setdefault(number, []).append(query)
-        best = [([], []) for _ in ids]
+        best = [[] for _ in ids]
+        worst = np.full(len(ids), -np.inf)  # score a row must reach to enter a query's best k
 
-        def keep(query, sims, items):
-            """Merge a query's candidates into its best k by (score desc, id asc)."""
+        def keep(sims, items, asked):
+            """Merge rows x queries into the best k by (score desc, id asc)."""
             sims = np.round(sims, 6)
-            if len(sims) > k:
-                cut = np.partition(sims, len(sims) - k)[len(sims) - k]
-                chosen = np.nonzero(sims >= cut)[0]
-                sims, items = sims[chosen], items[chosen]
-            pairs = sorted(zip((-sims).tolist(), items.tolist()))[:k]
-            old = list(zip(*best[query]))
-            merged = sorted(old + pairs)[:k]
-            best[query] = ([p[0] for p in merged], [p[1] for p in merged])
+            row, column = np.nonzero(sims >= worst[asked])
+            for c in np.unique(column):
+                found, query = row[column == c], asked[c]
+                values = sims[found, c]
+                if len(found) > k:
+                    cut = np.partition(values, len(found) - k)[len(found) - k]
+                    found, values = found[values >= cut], values[values >= cut]
+                best[query] = sorted(best[query] + list(zip((-values).tolist(), [items[i] for i in found])))[:k]
+                if len(best[query]) == k:
+                    worst[query] = -best[query][-1][0]
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            items = np.asarray(batch.column(0).to_pylist())
             m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             length = np.sqrt((m * m).sum(axis=1))
-            real = length > 0
-            items, m = items[real], m[real] / length[real, None]
-            if not len(items):
-                continue
+            real = np.nonzero(length > 0)[0]
+            m = m[real] / length[real, None]
+            items = batch.column(0).take(pa.array(real)).to_pylist()
             if probes is None:
-                sims = m @ q.T
-                for query in range(len(ids)):
-                    if usable[query]:
-                        keep(query, sims[:, query], items)
-            else:
-                lists = batch.column(2).to_numpy(zero_copy_only=False)[real]
-                for number in np.unique(lists):
-                    wanted = [x for x in searching.get(int(number), []) if usable[x]]
-                    if wanted:
-                        inside = lists == number
-                        sims = m[inside] @ q[wanted].T
-                        for column, query in enumerate(wanted):
-                            keep(query, sims[:, column], items[inside])
-        rows = [(ids[i], item, -negative) for i, (scores, found) in enumerate(best) for negative, item in zip(scores, found)]
+                keep(m @ q[usable].T, items, usable)
+                continue
+            lists = batch.column(2).to_numpy(zero_copy_only=False)[real]
+            for number in np.unique(lists):
+                wanted = np.asarray(searching.get(int(number), []), dtype=np.int64)
+                if len(wanted):
+                    inside = np.nonzero(lists == number)[0]
+                    keep(m[inside] @ q[wanted].T, [items[i] for i in inside], wanted)
+        rows = [(ids[n], item, -negative) for n, found in enumerate(best) for negative, item in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(column)) for column in zip(*rows)],
                                              names=["query_id", "item_id", "similarity"])
@@ -182,61 +190,75 @@ def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float,
             for term, idf in pairs:
                 matrix[term, query] = idf
         best = [[] for _ in ids]
+        worst = np.zeros(len(ids))  # score a passage must reach to enter a query's best k
         rows_at_once = 512
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(start, rows_at_once)
-                items = part.column(0).to_pylist()
                 words = part.column(1)
-                lengths = np.asarray(pc.list_value_length(words).to_numpy(zero_copy_only=False), dtype=np.float64)
-                owner = np.repeat(np.arange(part.num_rows), lengths.astype(np.int64))
+                lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
                 code = pc.index_in(words.flatten(), value_set=terms)
-                known = np.asarray(pc.is_valid(code).to_numpy(zero_copy_only=False))
-                tf = np.zeros((part.num_rows, len(vocabulary)))
-                np.add.at(tf, (owner[known], pc.drop_null(code).to_numpy(zero_copy_only=False)), 1.0)
-                norm = k1 * (1.0 - b + b * lengths / average)
-                saturated = tf * (k1 + 1.0) / (tf + norm[:, None])
-                scores = np.round(saturated @ matrix, 6)
-                for query in range(len(ids)):
-                    column = scores[:, query]
-                    hit = np.nonzero(column > 0)[0]
-                    if len(hit) > k:
-                        cut = np.partition(column[hit], len(hit) - k)[len(hit) - k]
-                        hit = hit[column[hit] >= cut]
-                    best[query] = sorted(best[query] + [(-column[i], items[i]) for i in hit])[:k]
-        rows = [(ids[i], item, float(-negative)) for i, found in enumerate(best) for negative, item in found]
+                known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(part.num_rows), lengths)[known] * len(vocabulary)
+                cell += pc.drop_null(code).to_numpy(zero_copy_only=False)
+                cell, tf = np.unique(cell, return_counts=True)
+                if not len(cell):
+                    continue
+                row, term = cell // len(vocabulary), cell % len(vocabulary)
+                norm = k1 * (1.0 - b + b * lengths[row] / average)
+                share = tf * (k1 + 1.0) / (tf + norm)
+                first = np.nonzero(np.diff(row, prepend=-1))[0]
+                scores = np.round(np.add.reduceat(share[:, None] * matrix[term], first, axis=0), 6)
+                items = part.column(0).take(pa.array(row[first])).to_pylist()
+                hit, query_of = np.nonzero((scores > 0) & (scores >= worst))
+                for query in np.unique(query_of):
+                    found = hit[query_of == query]
+                    values = scores[found, query]
+                    if len(found) > k:
+                        cut = np.partition(values, len(found) - k)[len(found) - k]
+                        found, values = found[values >= cut], values[values >= cut]
+                    best[query] = sorted(best[query] + list(zip((-values).tolist(), [items[i] for i in found])))[:k]
+                    if len(best[query]) == k:
+                        worst[query] = -best[query][-1][0]
+        rows = [(ids[n], item, -negative) for n, found in enumerate(best) for negative, item in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(column)) for column in zip(*rows)],
                                              names=["query_id", "item_id", "score"])
     return score
 
 
+_EVERY = ""  # pseudo term that stands for every passage in the statistics pass
+
+
 def lexical_topk(queries: DataFrame, passages: DataFrame, k: int = 5, query_id: str = "query_id",
                  query_text: str = "text", item_id: str = "chunk_id", passage_text: str = "chunk",
                  k1: float = 1.2, b: float = 0.75, block: int = BLOCK_QUERIES) -> DataFrame:
     """BM25 top-k over passages: ``(query_id, item_id, score, rank)``.
 
-    Document frequencies are counted for query terms only. Each query counts a term once.
+    One pass counts passages, words and the document frequency of query terms; one scores. A query
+    counts each of its terms once.
     """
-    import math
-
     spark = passages.sparkSession
     schema = _result_schema(queries, passages, query_id, item_id, "score")
-    words = passages.select(F.col(item_id), tokens(passage_text).alias("_words")).where(F.size("_words") > 0)
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("avg")).head()
+    words = spread(passages.select(item_id, passage_text)).select(F.col(item_id), tokens(passage_text).alias("_words"))
+    words = words.where(F.size("_words") > 0)
     parts = []
     asked = queries.select(query_id, F.array_distinct(tokens(query_text)).alias("_t")).where(F.size("_t") > 0)
-    for rows in _term_blocks(asked.toLocalIterator() if size.n else iter(()), block):
+    for rows in _term_blocks(asked.toLocalIterator(), block):
         vocabulary = sorted({term for row in rows for term in row[1]})
-        place = {term: i for i, term in enumerate(vocabulary)}
-        lookup = spark.createDataFrame([(term,) for term in vocabulary], "term string")
-        counted = (
-            words.select(F.explode(F.array_distinct("_words")).alias("term"))
-            .join(F.broadcast(lookup), "term").groupBy("term").agg(F.count("*").alias("df")).collect()
-        )
-        idf = {r.term: math.log(1.0 + (size.n - r.df + 0.5) / (r.df + 0.5)) for r in counted}
+        place = {term: n for n, term in enumerate(vocabulary)}
+        lookup = spark.createDataFrame([(term,) for term in [_EVERY, *vocabulary]], "term string")
+        counted = {
+            r.term: r for r in words.select(
+                F.explode(F.array_append(F.array_distinct("_words"), _EVERY)).alias("term"), F.size("_words").alias("_len"))
+            .join(F.broadcast(lookup), "term").groupBy("term").agg(F.count("*").alias("df"), F.sum("_len").alias("words")).collect()
+        }
+        if _EVERY not in counted:
+            break
+        n = counted[_EVERY].df
+        idf = {term: math.log(1.0 + (n - r.df + 0.5) / (r.df + 0.5)) for term, r in counted.items()}
         weights = [[(place[t], idf[t]) for t in row[1] if t in idf] for row in rows]
-        scorer = _lexical_scorer([row[0] for row in rows], vocabulary, weights, float(size.avg), k, k1, b)
+        scorer = _lexical_scorer([row[0] for row in rows], vocabulary, weights, counted[_EVERY].words / n, k, k1, b)
         parts.append(words.mapInArrow(scorer, schema))
     if not parts:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.LongType())]))
@@ -275,7 +297,11 @@ def hybrid_topk(queries: DataFrame, dense: DataFrame, lexical: DataFrame, k: int
 
 
 def retrieved_context(hits: DataFrame, passages: DataFrame, item_id: str = "chunk_id", text: str = "chunk") -> DataFrame:
-    """The hits' passages as one JSON array per query, best first. A group holds at most k rows."""
+    """The hits' passages as one JSON array per query, best first. A group holds at most k rows.
+
+    Hits are written once and their size checked, so that a short hit list does not shuffle passages.
+    """
+    hits = ordered.sized_broadcast(materialise(hits, "hits"), MAX_HITS)
     rows = hits.join(passages.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), "item_id")
     entry = F.struct("rank", "item_id", "text")
     packed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))

@@ -244,8 +244,8 @@ def money_query(i):
 @query("parse_iso_utc", """SELECT event_id, ts FROM events""")
 def parse_iso_utc_query(i):
     """Event times rendered as ISO text with microseconds and parsed back."""
-    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return i.table("events").select("event_id", parse_iso_utc(text).alias("ts"))
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return i.raw_events.select("event_id", parse_iso_utc(text).alias("ts"))
 
 
 @query("deterministic_action_id", """

@@ -17,6 +17,9 @@ from ..functions import scoring
 INVENTORY_AS_OF = "2001-05-01"
 DOCUMENTS_AS_OF = "1998-06-30"
 
+# Event times are read as instants: watermarks need them, and filters reach the Parquet scan uncast.
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
 ASSET_TYPES = ["refrigeration", "amr", "conveyor", "dock_door"]
 AGENTS = ["equipment", "safety", "forecasting", "document"]
 
@@ -43,18 +46,22 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def raw_events(self) -> DataFrame:
+        return self.spark.read.schema(EVENTS).parquet(f"{self.folder}/events.parquet")
+
     @cached_property
     def now(self) -> Column:
         """Newest event time as a scalar subquery."""
-        return self.table("events").agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+        return self.raw_events.agg(F.max("ts")).scalar()
 
     @cached_property
     def readings(self) -> DataFrame:
-        return readings_of(self.table("events"))
+        return readings_of(self.raw_events)
 
     @cached_property
     def events(self) -> DataFrame:
-        return compliance_of(self.table("events"))
+        return compliance_of(self.raw_events)
 
     @cached_property
     def inventory(self) -> DataFrame:
@@ -152,7 +159,7 @@ def readings_of(events: DataFrame) -> DataFrame:
         pick(ASSET_TYPES, F.col("user_id") % 4).alias("asset_type"), F.col("user_id").cast("string").alias("asset_name"),
         F.concat(F.lit("Z-"), F.col("user_id") % 10).alias("zone"), F.col("event_type").alias("metric"), "value",
         F.lit(50e0).alias("baseline"), F.when(F.col("event_type") == "view", 5e0).otherwise(150e0).alias("threshold"),
-        F.lit("ms").alias("unit"), F.col("ts").cast("timestamp").alias("timestamp"),
+        F.lit("ms").alias("unit"), F.col("ts").alias("timestamp"),
     )
     return base.withColumns({
         "status": scoring.reading_status("value", "threshold", "baseline"),
@@ -176,5 +183,5 @@ def compliance_of(events: DataFrame) -> DataFrame:
         F.when(value >= 150, "CRITICAL").when(value >= 100, "HIGH").when(value >= 50, "MEDIUM").otherwise("LOW").alias("severity"),
         pick(["OPEN", "DOCUMENTED", "RESOLVED", "ESCALATED"], F.col("event_id") % 4).alias("status"),
         F.lit("21 CFR 117.93").alias("regulation_ref"), F.lit(True).alias("auto_documented"), F.col("props").alias("notes"),
-        F.lit(None).cast("timestamp").alias("resolved_at"), F.col("ts").cast("timestamp").alias("timestamp"),
+        F.lit(None).cast("timestamp").alias("resolved_at"), F.col("ts").alias("timestamp"),
     )

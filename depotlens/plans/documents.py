@@ -111,8 +111,7 @@ FROM (SELECT vendor, shipment_date, CAST(o_orderdate AS DATE) + 30 AS promised F
       WHERE shipment_date >= DATE '1998-06-30' - 30 AND shipment_date <= DATE '1998-06-30') GROUP BY vendor""")
 def vendor_sla(i):
     orders = i.table("orders").select(F.col("o_orderkey").alias("po_id"), F.date_add(F.to_date("o_orderdate"), 30).alias("promised_date"))
-    promised = i.documents.select("bol_id", "po_id").join(orders, "po_id").select("bol_id", "promised_date")
-    return documents.vendor_sla(i.documents, promised, DOCUMENTS_AS_OF)
+    return documents.vendor_sla(i.documents.join(orders, "po_id"), DOCUMENTS_AS_OF)
 
 
 @query("vendor_discrepancies", """

@@ -9,7 +9,7 @@ from ..operators import actions
 from ..sources import tables
 from ..sources.scratch import new_path
 from ..streaming import alerts, sinks, sources, windows
-from .adapters import compliance_of, readings_of
+from .adapters import EVENTS, compliance_of, readings_of
 from .equipment import SPEC_SQL, derived_spec
 from .registry import query
 
@@ -17,10 +17,8 @@ _CLOSED = """(SELECT max(ts) - INTERVAL 10 MINUTE AS watermark FROM events)"""
 
 
 def _events(i):
-    """The event files as a stream; times become instants because watermarks need them."""
-    schema = i.table("events").schema
-    stream = sources.file_stream(i.spark, i.folder, schema, glob="events.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The event files as a stream."""
+    return sources.file_stream(i.spark, i.folder, EVENTS, glob="events.parquet")
 
 
 def _drain(i, stream, name):
@@ -106,13 +104,13 @@ SELECT event_id, ts AS "timestamp", wave AS batch_id FROM waves w
 WHERE ts < (SELECT max(newest) - INTERVAL 10 MINUTE FROM newest n WHERE n.wave < w.wave)""")
 def late_data_audit(i):
     """Events arrive in three waves by time; errors arrive one wave late. Late rows are kept aside."""
-    events = i.table("events")
-    span = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"))
+    events = i.raw_events
+    span = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
     low, high = span.select("lo").scalar(), span.select("hi").scalar()
-    third = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * float(_WAVES) / (high - low + 1)).cast("long")
+    third = F.floor((F.unix_micros("ts") - low) * float(_WAVES) / (high - low + 1)).cast("long")
     wave = F.least(F.lit(_WAVES - 1), third + F.when(F.col("event_type") == "error", 1).otherwise(0))
     root = new_path(i.spark, "late")
-    events.select("event_id", F.col("ts").cast("timestamp").alias("timestamp"), wave.cast("long").alias("wave")).write.partitionBy(
+    events.select("event_id", F.col("ts").alias("timestamp"), wave.cast("long").alias("wave")).write.partitionBy(
         "wave").parquet(f"{root}/waves")
     schema = i.spark.read.parquet(f"{root}/waves").drop("wave").schema
     for number in range(_WAVES):

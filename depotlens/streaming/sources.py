@@ -8,17 +8,19 @@ from pyspark.sql.types import StructType
 from .. import schemas
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
-                files_per_batch: int | None = None, glob: str | None = None) -> DataFrame:
+FILES_PER_BATCH = 100
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
+                files_per_batch: int = FILES_PER_BATCH, glob: str | None = None) -> DataFrame:
     """A stream over the files of a folder. ``files_per_batch`` bounds a micro-batch's size."""
-    reader = spark.readStream.schema(schema).format(fmt)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)
 
 
-def readings_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int = 100) -> DataFrame:
+def readings_stream(spark: SparkSession, path: str, fmt: str = "json",
+                    files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Continuous ingest of equipment readings."""
     return file_stream(spark, path, schemas.EQUIPMENT_READINGS, fmt, files_per_batch)
