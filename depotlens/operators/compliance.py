@@ -89,6 +89,7 @@ def unresolved_after(events: DataFrame, hours: int = 1, breach_type: str = "temp
     """
     rows = events.withColumn("_resolved", F.col("status") == "RESOLVED").withColumn(
         "_at", F.when(F.col("_resolved"), F.coalesce("resolved_at", "timestamp")).otherwise(F.col("timestamp")))
+    rows = rows.where(F.col("_resolved") | (F.col("event_type") == breach_type))
     seen = ordered.next_within(rows, ["asset_id"], "_at", F.col("_resolved"), hours * 3600, "resolved_by", slice_seconds)
     late = F.col("resolved_by").isNull() | (F.col("resolved_by") > F.col("timestamp") + F.expr(f"interval {hours} hours"))
     return (

@@ -11,12 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timing import slice_no
+from ..functions.timing import slice_no as _slice_no
 from ..sources.scratch import materialise
 
 SLICE_SECONDS = 60
 CHUNK_ROWS = 100_000
 
+# Slice of rows without a time: before every real one, as null times sort first.
+_NO_TIME = -(1 << 40)
+
+
+def slice_no(ts: str, width: int) -> Column:
+    return F.coalesce(_slice_no(ts, width), F.lit(_NO_TIME))
+
 
 def with_ordinal(df: DataFrame, keys: list[str], ts: str, tie: list[str], name: str = "ordinal",
                  slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -71,7 +78,8 @@ def runs(df: DataFrame, keys: list[str], ts: str, tie: list[str], flag: str, agg
 
     ``aggregates`` maps an output name to (combine function, row expression) with combine in
     ``min``, ``max`` and ``sum``. Runs are built inside (key, slice). Only the first and last run of
-    a slice can continue in a neighbour slice; those boundary runs alone go to the per-key pass.
+    a slice can continue in a neighbour slice; those share a group per key in the second pass, every
+    other run is a group of its own there.
     """
     combine = {"min": F.min, "max": F.max, "sum": F.sum}
     in_slice = W.partitionBy("_key", "_slice").orderBy(ts, *tie)
@@ -82,29 +90,24 @@ def runs(df: DataFrame, keys: list[str], ts: str, tie: list[str], flag: str, agg
     )
     change = F.when(F.col("_flag") == F.lag("_flag").over(in_slice), 0).otherwise(1)
     pieces = (
-        rows.withColumn("_change", change)
+        rows.withColumns({"_change": change, "_last": F.lead(ts).over(in_slice).isNull()})
         .withColumn("_run", F.sum("_change").over(in_slice.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy("_key", "_slice", "_run")
-        .agg(F.first("_flag").alias("_flag"),
+        .agg(F.bool_or("_flag").alias("_flag"), F.bool_or("_last").alias("_last"),
              *[combine[how](f"_in_{name}").alias(name) for name, (how, _) in aggregates.items()])
-        .withColumn("_runs", F.max("_run").over(W.partitionBy("_key", "_slice")))
     )
-    names = list(aggregates)
-    boundary = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
-    inner = pieces.where(~boundary & F.col("_flag")).select("_key", *names)
-
-    across = W.partitionBy("_key").orderBy("_slice", "_run")
+    boundary = (F.col("_run") == 1) | F.col("_last")
+    placed = pieces.where(boundary | F.col("_flag")).withColumn("_slot", F.when(~boundary, F.struct("_slice", "_run")))
+    across = W.partitionBy("_key", "_slot").orderBy("_slice", "_run")
     continues = (F.col("_run") == 1) & (F.col("_flag") == F.lag("_flag").over(across))
-    edge = (
-        pieces.where(boundary)
-        .withColumn("_start", F.when(continues, 0).otherwise(1))
+    return (
+        placed.withColumn("_start", F.when(continues, 0).otherwise(1))
         .withColumn("_group", F.sum("_start").over(across.rowsBetween(W.unboundedPreceding, 0)))
         .where("_flag")
-        .groupBy("_key", "_group")
+        .groupBy("_key", "_slot", "_group")
         .agg(*[combine[how](name).alias(name) for name, (how, _) in aggregates.items()])
-        .select("_key", *names)
+        .select("_key.*", *aggregates)
     )
-    return inner.unionByName(edge).select("_key.*", *names)
 
 
 def next_within(df: DataFrame, keys: list[str], ts: str, is_target: Column, horizon_seconds: int,
