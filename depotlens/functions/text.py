@@ -66,8 +66,13 @@ def trigger_match(agent, text, triggers: dict[str, list[str]] | None = None,
 
 
 def action_key(prefix: str, *parts) -> Column:
-    """Replay-stable id: the prefix and a 64-bit hash of the trigger key."""
-    return F.concat(F.lit(f"{prefix}-"), F.lpad(F.hex(F.xxhash64(*[_c(p) for p in parts])), 16, "0"))
+    """Replay-stable id: the prefix and a 128-bit hash of the trigger key.
+
+    Two differently salted 64-bit hashes, because one alone would collide among billions of actions.
+    """
+    key = [_c(p) for p in parts]
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(n), *key)), 16, "0") for n in (1, 2)]
+    return F.concat(F.lit(f"{prefix}-"), *halves)
 
 
 def tokens(text) -> Column:

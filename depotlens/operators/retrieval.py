@@ -11,18 +11,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, new_path
 from . import ordered
 
 MAX_HITS = 100_000  # hit rows that may be broadcast to the passages
 BLOCK_QUERIES = 512
 BLOCK_TERMS = 8192
+PLAN_BLOCKS = 8  # query blocks kept in one lazy plan
 RRF_OFFSET = 60
 
 
@@ -50,20 +52,29 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, i
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give compute-heavy scoring at least one partition per core when the input is a few large files.
+def _ranked(parts: Iterator[DataFrame], k: int, score: str, empty: DataFrame) -> DataFrame:
+    """Final k per query over the tasks' candidates, block by block.
 
-    Inputs that already split into enough partitions, as large ones do, are not shuffled.
+    Each query belongs to one block, so blocks are ranked apart. A few blocks stay one lazy plan; with
+    many, each is written as it comes, and the driver holds one block of queries at a time.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def _ranked(parts: list[DataFrame], k: int, score: str) -> DataFrame:
-    """Final k per query over the tasks' candidates."""
-    candidates = reduce(lambda a, b: a.unionByName(b), parts)
-    ranked = ordered.top_k_per(candidates, ["query_id"], [F.desc(score), F.asc("item_id")], k, "rank")
-    return ranked.withColumn("rank", F.col("rank").cast("long"))
+    def rank(candidates: DataFrame) -> DataFrame:
+        top = ordered.top_k_per(candidates, ["query_id"], [F.desc(score), F.asc("item_id")], k, "rank")
+        return top.withColumn("rank", F.col("rank").cast("long"))
+
+    first = [rank(part) for part in islice(parts, PLAN_BLOCKS)]
+    if not first:
+        return rank(empty)
+    following = next(parts, None)
+    if following is None:
+        return reduce(lambda a, b: a.unionByName(b), first)
+    path = new_path(empty.sparkSession, "ranked")
+    while first:
+        first.pop(0).write.mode("append").parquet(path)
+    while following is not None:
+        rank(following).write.mode("append").parquet(path)
+        following = next(parts, None)
+    return empty.sparkSession.read.schema(rank(empty).schema).parquet(path)
 
 
 def _blocks(rows: Iterator, size: int) -> Iterator[list]:
@@ -157,13 +168,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str
     Rows with a null, zero or differently sized vector have no cosine with the query and drop out.
     """
     schema = _result_schema(queries, corpus, query_id, item_id, "similarity")
-    parts = []
-    for dimension, rows in _by_dimension(queries, query_id, vector, block):
-        usable = corpus.where((F.size(vector) == dimension) & ~F.exists(vector, F.isnull)).select(item_id, vector)
-        parts.append(usable.mapInArrow(_vector_scorer([r[0] for r in rows], [list(r[1]) for r in rows], k), schema))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.LongType())]))
-    return _ranked(parts, k, "similarity")
+
+    def parts():
+        for dimension, rows in _by_dimension(queries, query_id, vector, block):
+            usable = corpus.where((F.size(vector) == dimension) & ~F.exists(vector, F.isnull)).select(item_id, vector)
+            yield usable.mapInArrow(_vector_scorer([r[0] for r in rows], [list(r[1]) for r in rows], k), schema)
+
+    return _ranked(parts(), k, "similarity", queries.sparkSession.createDataFrame([], schema))
 
 
 def _by_dimension(queries: DataFrame, query_id: str, vector: str, block: int):
@@ -240,29 +251,30 @@ def lexical_topk(queries: DataFrame, passages: DataFrame, k: int = 5, query_id:
     """
     spark = passages.sparkSession
     schema = _result_schema(queries, passages, query_id, item_id, "score")
-    words = spread(passages.select(item_id, passage_text)).select(F.col(item_id), tokens(passage_text).alias("_words"))
-    words = words.where(F.size("_words") > 0)
-    parts = []
+    words = passages.select(F.col(item_id), tokens(passage_text).alias("_words")).where(F.size("_words") > 0)
     asked = queries.select(query_id, F.array_distinct(tokens(query_text)).alias("_t")).where(F.size("_t") > 0)
-    for rows in _term_blocks(asked.toLocalIterator(), block):
-        vocabulary = sorted({term for row in rows for term in row[1]})
-        place = {term: n for n, term in enumerate(vocabulary)}
-        lookup = spark.createDataFrame([(term,) for term in [_EVERY, *vocabulary]], "term string")
-        counted = {
-            r.term: r for r in words.select(
+
+    def parts():
+        for rows in _term_blocks(asked.toLocalIterator(), block):
+            vocabulary = sorted({term for row in rows for term in row[1]})
+            place = {term: n for n, term in enumerate(vocabulary)}
+            lookup = spark.createDataFrame([(term,) for term in [_EVERY, *vocabulary]], "term string")
+            seen = words.select(
                 F.explode(F.array_append(F.array_distinct("_words"), _EVERY)).alias("term"), F.size("_words").alias("_len"))
-            .join(F.broadcast(lookup), "term").groupBy("term").agg(F.count("*").alias("df"), F.sum("_len").alias("words")).collect()
-        }
-        if _EVERY not in counted:
-            break
-        n = counted[_EVERY].df
-        idf = {term: math.log(1.0 + (n - r.df + 0.5) / (r.df + 0.5)) for term, r in counted.items()}
-        weights = [[(place[t], idf[t]) for t in row[1] if t in idf] for row in rows]
-        scorer = _lexical_scorer([row[0] for row in rows], vocabulary, weights, counted[_EVERY].words / n, k, k1, b)
-        parts.append(words.mapInArrow(scorer, schema))
-    if not parts:
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.LongType())]))
-    return _ranked(parts, k, "score")
+            # The vocabulary bounds both the broadcast and the collected counts.
+            counted = {
+                r.term: r for r in seen.join(F.broadcast(lookup), "term").groupBy("term")
+                .agg(F.count("*").alias("df"), F.sum("_len").alias("words")).collect()
+            }
+            if _EVERY not in counted:
+                return
+            n = counted[_EVERY].df
+            idf = {term: math.log(1.0 + (n - r.df + 0.5) / (r.df + 0.5)) for term, r in counted.items()}
+            weights = [[(place[t], idf[t]) for t in row[1] if t in idf] for row in rows]
+            scorer = _lexical_scorer([row[0] for row in rows], vocabulary, weights, counted[_EVERY].words / n, k, k1, b)
+            yield words.mapInArrow(scorer, schema)
+
+    return _ranked(parts(), k, "score", spark.createDataFrame([], schema))
 
 
 def _term_blocks(rows: Iterator, size: int) -> Iterator[list]:
@@ -337,19 +349,19 @@ def ivf_topk(queries: DataFrame, lists: DataFrame, centres: list[list[float]], k
 
     schema = _result_schema(queries, lists, query_id, item_id, "similarity")
     centre = np.asarray(centres)
-    parts = []
-    for dimension, rows in _by_dimension(queries, query_id, vector, block):
-        if dimension != centre.shape[1]:
-            continue
-        q = np.asarray([list(r[1]) for r in rows])
-        length = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        unit = q / np.where(length > 0, length, 1.0)
-        distance = ((unit[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2)
-        probes = [[int(x) for x in np.argsort(line, kind="stable")[:nprobe]] for line in distance]
-        wanted = sorted({x for line in probes for x in line})
-        scorer = _vector_scorer([r[0] for r in rows], q.tolist(), k, probes)
-        searched = lists.where(F.col("list_id").isin(wanted) & (F.size(vector) == dimension))
-        parts.append(searched.select(item_id, vector, "list_id").mapInArrow(scorer, schema))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.LongType())]))
-    return _ranked(parts, k, "similarity")
+
+    def parts():
+        for dimension, rows in _by_dimension(queries, query_id, vector, block):
+            if dimension != centre.shape[1]:
+                continue
+            q = np.asarray([list(r[1]) for r in rows])
+            length = np.sqrt((q * q).sum(axis=1, keepdims=True))
+            unit = q / np.where(length > 0, length, 1.0)
+            distance = ((unit[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2)
+            probes = [[int(x) for x in np.argsort(line, kind="stable")[:nprobe]] for line in distance]
+            wanted = sorted({x for line in probes for x in line})
+            scorer = _vector_scorer([r[0] for r in rows], q.tolist(), k, probes)
+            searched = lists.where(F.col("list_id").isin(wanted) & (F.size(vector) == dimension))
+            yield searched.select(item_id, vector, "list_id").mapInArrow(scorer, schema)
+
+    return _ranked(parts(), k, "similarity", queries.sparkSession.createDataFrame([], schema))

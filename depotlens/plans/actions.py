@@ -254,4 +254,4 @@ def deterministic_action_id(i):
     """Ids of all readings are distinct and carry their prefix."""
     ids = i.readings.select(action_key("ACT", "sensor_id", "metric", F.unix_micros("timestamp")).alias("id"))
     return ids.agg(F.count("*").alias("actions"), F.count_distinct("id").alias("distinct_ids"),
-                   F.count_if(F.col("id").rlike("^ACT-[0-9A-F]{16}$")).alias("prefixed"))
+                   F.count_if(F.col("id").rlike("^ACT-[0-9A-F]{32}$")).alias("prefixed"))

@@ -46,6 +46,12 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents, spread over the cores when they come in fewer files than there are cores."""
+        documents, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
+        return documents.repartition(cores) if len(documents.inputFiles()) < cores else documents
+
     @cached_property
     def raw_events(self) -> DataFrame:
         return self.spark.read.schema(EVENTS).parquet(f"{self.folder}/events.parquet")

@@ -62,7 +62,7 @@ chunks AS (
 
 @query("chunk_documents", f"WITH {_CHUNKS} SELECT doc_id, chunk_no, start, chunk_id, chunk FROM chunks")
 def chunk_documents(i):
-    return retrieval.chunk_documents(i.table("documents"))
+    return retrieval.chunk_documents(i.texts)
 
 
 def _bm25(source: str, item: str, text: str, k: int) -> str:
@@ -88,7 +88,7 @@ def _asked(i):
 
 @query("lexical_topk", f"WITH {_CHUNKS}, {_bm25('chunks', 'chunk_id', 'chunk', 5)} SELECT query_id, item_id, score, rank FROM lexical")
 def lexical_topk(i):
-    return retrieval.lexical_topk(_asked(i), retrieval.chunk_documents(i.table("documents")), 5)
+    return retrieval.lexical_topk(_asked(i), retrieval.chunk_documents(i.texts), 5)
 
 
 @query("hybrid_topk", f"""
@@ -103,7 +103,7 @@ FROM benchmark b LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.query_i
 def hybrid_topk(i):
     """Benchmark texts against whole documents, fused with the label vector of the same number."""
     dense = retrieval.vector_topk(prototypes(i), i.table("embeddings"), 20)
-    lexical = retrieval.lexical_topk(_asked(i), i.table("documents"), 20, item_id="doc_id", passage_text="text")
+    lexical = retrieval.lexical_topk(_asked(i), i.texts, 20, item_id="doc_id", passage_text="text")
     return retrieval.hybrid_topk(_asked(i), dense, lexical, 5)
 
 
@@ -113,7 +113,7 @@ SELECT query_id, n_chunks, rank, item_id, chunk AS text FROM (SELECT *, count(*)
 JOIN chunks ON chunk_id = item_id""")
 def retrieved_context(i):
     """The packed context per query, unpacked again to comparable rows."""
-    chunks = retrieval.chunk_documents(i.table("documents"))
+    chunks = retrieval.chunk_documents(i.texts)
     packed = retrieval.retrieved_context(retrieval.lexical_topk(_asked(i), chunks, 5), chunks)
     schema = "array<struct<rank: bigint, item_id: string, text: string>>"
     return packed.select("query_id", "n_chunks", F.explode(F.from_json("context", schema)).alias("r")).select("query_id", "n_chunks", "r.*")

@@ -63,25 +63,29 @@ def stream_with_spec(readings: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def ack_timeout(dispatches: DataFrame, acks: DataFrame, hours: int = 1, key: str = "sensor_id",
-                watermark: str = WATERMARK) -> DataFrame:
+                watermark: str = WATERMARK, salts: int = 8) -> DataFrame:
     """Dispatches that no acknowledgement of the same key follows within the horizon.
 
     Inputs carry ``timestamp``. Acknowledgements are first cut down to the first and last time per
     key and minute. That is enough to decide whether one falls into ``[t, t + horizon]``, and a
-    dispatch meets at most one row per minute instead of every acknowledgement.
+    dispatch meets at most one row per minute instead of every acknowledgement. These few rows are
+    repeated for every salt, so that a hot key's dispatches spread over ``salts`` join partitions.
     """
-    sent = dispatches.withWatermark("timestamp", watermark)
+    salt = F.pmod(F.xxhash64(*dispatches.columns), F.lit(salts))
+    sent = dispatches.withWatermark("timestamp", watermark).withColumn("_salt", salt)
     minutes = (
         acks.withWatermark("timestamp", watermark)
         .groupBy(F.col(key).alias("_ack_key"), F.window("timestamp", "1 minute").alias("_w"))
         .agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-        .select("_ack_key", F.window_time("_w").alias("_at"), "_first", "_last")
+        .select("_ack_key", F.window_time("_w").alias("_at"), "_first", "_last",
+                F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_ack_salt"))
     )
     horizon = F.expr(f"interval {hours} hours")
     near = (F.col("_at") >= F.col("timestamp")) & (F.col("_at") <= F.col("timestamp") + horizon + F.expr("interval 1 minute"))
     inside = (F.col("_last") >= F.col("timestamp")) & (F.col("_first") <= F.col("timestamp") + horizon)
-    joined = sent.join(minutes, (F.col(key) == F.col("_ack_key")) & near & inside, "leftOuter")
-    return joined.where(F.col("_ack_key").isNull()).drop("_ack_key", "_at", "_first", "_last")
+    same = (F.col(key) == F.col("_ack_key")) & (F.col("_salt") == F.col("_ack_salt"))
+    joined = sent.join(minutes, same & near & inside, "leftOuter")
+    return joined.where(F.col("_ack_key").isNull()).drop("_ack_key", "_at", "_first", "_last", "_salt", "_ack_salt")
 
 
 def feed_stream(readings: DataFrame, events: DataFrame) -> DataFrame:

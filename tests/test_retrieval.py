@@ -27,10 +27,10 @@ def brute(data, query, k):
     return [(int(n), float(sims[n])) for n in sorted(range(len(data)), key=lambda n: (-sims[n], n))[:k]]
 
 
-@pytest.mark.parametrize("block", [1, 3, 512])
+@pytest.mark.parametrize("block", [1, 3, 512])  # 1 passes the plan limit, so results are written block by block
 def test_vector_topk(spark, vectors, block):
     data, corpus = vectors
-    asked = [(n, [float(x) for x in data[n * 7 + 50]]) for n in range(7)]
+    asked = [(n, [float(x) for x in data[n * 7 + 50]]) for n in range(11)]
     queries = spark.createDataFrame([*asked, (77, [0.0] * 8)], "query_id long, embedding array<double>")
     got = {}
     for r in retrieval.vector_topk(queries, corpus, 4, block=block).orderBy("query_id", "rank").collect():
@@ -95,7 +95,7 @@ def bm25(passages, query, k, k1=1.2, b=0.75):
     return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("block", [2, 512])
+@pytest.mark.parametrize("block", [1, 2, 512])
 def test_lexical_topk(spark, texts, block):
     passages, asked = texts
     got = {}
