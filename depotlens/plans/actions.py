@@ -6,10 +6,12 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..functions.scoring import money
 from ..functions.text import action_key, reasoning_excerpt, trigger_match
 from ..functions.timing import parse_iso_utc
 from ..operators import actions
+from ..operators.inventory import high_risk_inventory
 from ..sources import action_log
 from ..sources.scratch import new_path
 from .adapters import (
@@ -74,6 +76,23 @@ def pos_markdown(i):
         "days_to_expiry", "revenue_at_risk", "revenue_recovered", "effective_at", "expires_at", "status")
 
 
+@query("markdown_price", """
+SELECT sku_id, round(unit_price * (1e0 - CASE WHEN days_to_expiry < 0 THEN 50e0 WHEN days_to_expiry <= 2 THEN 30e0 ELSE 10e0 END / 100e0), 2) AS new_price
+FROM inventory""")
+def markdown_price(i):
+    """Every SKU at a discount that grows as it nears expiry."""
+    pct = F.when(F.col("days_to_expiry") < 0, 50e0).when(F.col("days_to_expiry") <= 2, 30e0).otherwise(10e0)
+    return i.inventory.select("sku_id", scoring.markdown_price("unit_price", pct).alias("new_price"))
+
+
+@query("revenue_at_risk", """
+SELECT zone, count(*) AS skus, round(sum(round(unit_price * qty_on_hand, 2)), 2) AS at_risk FROM high_risk GROUP BY zone""")
+def revenue_at_risk(i):
+    """Revenue at risk of high-risk stock per zone."""
+    priced = high_risk_inventory(i.inventory).withColumn("at_risk", scoring.revenue("unit_price", "qty_on_hand"))
+    return priced.groupBy("zone").agg(F.count("*").alias("skus"), F.round(F.sum("at_risk"), 2).alias("at_risk"))
+
+
 def _staggered(i):
     """Markdowns whose start follows the SKU's dwell time, so that some have run out."""
     start = F.col("effective_at") - F.make_interval(hours=F.col("days_to_expiry").cast("int") + 2)
@@ -154,9 +173,6 @@ def route_rejects(i):
     return actions.route_triggers(_requests(i), INVENTORY_AS_OF)[1]
 
 
-_CONVERSATION_ACTIONS = """fired"""
-
-
 @query("loop_trace", """
 SELECT loop, step_no, step, label, detail FROM (
   SELECT loop, 1::BIGINT AS step_no, 'trigger' AS step, CASE loop WHEN 'equipment_dispatch' THEN 'Sensor Anomaly Detected'
@@ -192,12 +208,12 @@ def loop_trace_steps(i):
     return actions.loop_trace(Loops(i).all).groupBy("loop", "step").agg(F.count("*").alias("n"))
 
 
-@query("action_log", """
+@query("append_actions", """
 SELECT loop, type, count(*) AS entries FROM (
   SELECT 'equipment_dispatch' AS loop, NULL::VARCHAR AS type FROM critical_latest
   UNION ALL SELECT 'wms_quarantine', unnest([NULL, 'quarantine']) FROM matched
   UNION ALL SELECT 'pos_markdown', unnest([NULL, 'markdown']) FROM markdowns) GROUP BY loop, type""")
-def append_and_read_actions(i):
+def append_actions(i):
     """The action log written by all three loops and read back: entries by loop and type."""
     path = new_path(i.spark, "action-log")
     loops = Loops(i)
@@ -206,9 +222,9 @@ def append_and_read_actions(i):
     return action_log.read_actions(i.spark, path).groupBy("loop", "type").agg(F.count("*").alias("entries"))
 
 
-@query("action_log_order", """
+@query("read_actions", """
 SELECT row_number() OVER (ORDER BY "timestamp", sku_id) AS n, sku_id, "timestamp" FROM (SELECT sku_id, TIMESTAMP '2001-05-01' AS "timestamp" FROM markdowns)""")
-def action_log_order(i):
+def read_actions(i):
     """Markdown records of the log in entry order, numbered without a global window."""
     from ..operators.ordered import prefix_sums
     path = new_path(i.spark, "action-log")

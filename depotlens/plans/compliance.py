@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import levels
 from ..operators import compliance, feed
 from .registry import query
 
@@ -41,6 +42,27 @@ def compliance_direction(i):
     return compliance.compliance_direction(i.events).select("event_id", "direction", "violated", "overshoot", "derived_severity")
 
 
+@query("compliance_severity", """
+SELECT event_type, derived, count(*) AS events FROM (
+  SELECT event_type, CASE
+    WHEN event_type = 'recall_match' AND observed_value > threshold_value THEN 'CRITICAL'
+    WHEN event_type = 'temperature_breach' AND threshold_value >= 0 AND observed_value > threshold_value THEN 'HIGH'
+    WHEN event_type = 'temperature_breach' AND threshold_value < 0 AND observed_value < threshold_value THEN 'MEDIUM'
+    WHEN event_type = 'proximity_event' AND observed_value < threshold_value THEN 'MEDIUM' ELSE 'LOW' END AS derived
+  FROM compliance) GROUP BY event_type, derived""")
+def compliance_severity(i):
+    derived = levels.compliance_severity("event_type", "observed_value", "threshold_value")
+    return i.events.groupBy("event_type", derived.alias("derived")).agg(F.count("*").alias("events"))
+
+
+@query("severity_rank", f"""
+SELECT event_id, severity, ({_RANK})::BIGINT AS severity_rank FROM (SELECT event_id, CASE WHEN status = 'DOCUMENTED' THEN NULL ELSE severity END AS severity FROM compliance)""")
+def severity_rank(i):
+    """Ranks with some severities unknown."""
+    known = F.when(F.col("status") != "DOCUMENTED", F.col("severity"))
+    return i.events.select("event_id", known.alias("severity"), levels.severity_rank(known).alias("severity_rank"))
+
+
 @query("proximity_by_shift", """
 SELECT asset_id, time_bucket(INTERVAL 8 HOUR, "timestamp", TIMESTAMP '1970-01-01') AS shift_start, count(*) AS events,
        round(min(observed_value), 6) AS closest
@@ -86,8 +108,7 @@ def unresolved_after(i):
 
 @query("grounding_compliance", f"SELECT 'safety' AS agent, event_id, severity FROM ({_RECENT})")
 def grounding_compliance(i):
-    from ..functions.levels import severity_rank
     rows = compliance.recent_compliance(i.events, i.now)
-    packed = feed.grounding_context(rows, "safety", [severity_rank("severity").asc(), F.desc("timestamp"), F.asc("event_id")])
+    packed = feed.grounding_context(rows, "safety", [levels.severity_rank("severity").asc(), F.desc("timestamp"), F.asc("event_id")])
     schema = "array<struct<event_id: string, severity: string>>"
     return packed.select("agent", F.explode(F.from_json("context", schema)).alias("r")).select("agent", "r.*")

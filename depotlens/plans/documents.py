@@ -54,6 +54,14 @@ def document_status(i):
     return documents.with_flags(marked).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("document_rank", """
+SELECT status, document_rank, count(*) AS documents FROM (
+  SELECT status, CASE status WHEN 'FLAGGED' THEN 1 WHEN 'DISPUTED' THEN 2 WHEN 'QUARANTINED' THEN 3 WHEN 'PENDING' THEN 4 ELSE 5 END::BIGINT AS document_rank
+  FROM docs) GROUP BY ALL""")
+def rank_documents(i):
+    return i.documents.groupBy("status", document_rank("status").alias("document_rank")).agg(F.count("*").alias("documents"))
+
+
 @query("qty_delta", """
 SELECT bol_id, qty_delta, round(qty_delta * 18.75e0, 2) AS value_at_list FROM docs""")
 def qty_delta(i):

@@ -120,7 +120,7 @@ def sensor_profile_approx(i):
     return equipment.sensor_profile_approx(i.readings)
 
 
-@query("dispatch_deadlines", """
+@query("criticality", """
 SELECT reading_id, criticality, due_by, CASE criticality WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3
        ELSE 4 END::BIGINT AS priority
 FROM (SELECT *, CASE criticality WHEN 'CRITICAL' THEN "timestamp" + INTERVAL 1 HOUR WHEN 'HIGH' THEN "timestamp" + INTERVAL 4 HOUR
@@ -128,7 +128,7 @@ FROM (SELECT *, CASE criticality WHEN 'CRITICAL' THEN "timestamp" + INTERVAL 1 H
       FROM (SELECT *, CASE WHEN anomaly_score >= 1 THEN 'CRITICAL' WHEN anomaly_score >= 0.75 THEN 'HIGH'
                            WHEN anomaly_score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS criticality
             FROM readings WHERE breach))""")
-def dispatch_deadlines(i):
+def criticality(i):
     return actions.dispatch_deadlines(i.readings).select("reading_id", "criticality", "due_by", "priority")
 
 

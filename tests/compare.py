@@ -34,7 +34,7 @@ def _rows(columns: list[str], rows: list) -> list[tuple]:
     def cell(v):
         if v is None:
             return "∅"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return repr(v) if isinstance(v, float) else str(v)
 
     order = sorted(range(len(columns)), key=lambda n: columns[n])
     return sorted(tuple(cell(row[n]) for n in order) for row in rows)
