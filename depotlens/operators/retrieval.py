@@ -188,7 +188,8 @@ def filtered_vector_topk(queries: DataFrame, corpus: DataFrame, predicate, k: in
     return vector_topk(queries, corpus.where(predicate), k, **names)
 
 
-def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float, k: int, k1: float, b: float):
+def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float, k: int, k1: float, b: float,
+                    cells: int = 4_000_000):
     """Batch function: BM25 of every passage with every query of the block, k best per query and task."""
     def score(batches):
         import numpy as np
@@ -203,6 +204,24 @@ def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float,
         best = [[] for _ in ids]
         worst = np.zeros(len(ids))  # score a passage must reach to enter a query's best k
         rows_at_once = 512
+
+        def spans(group):
+            edges = np.nonzero(np.diff(group))[0] + 1
+            return zip([0, *edges], [*edges, len(group)])
+
+        def keep(scores, items):
+            """Merge passages x queries into the best k by (score desc, id asc)."""
+            hit, query_of = np.nonzero((scores > 0) & (scores >= worst))
+            for query in np.unique(query_of):
+                found = hit[query_of == query]
+                values = scores[found, query]
+                if len(found) > k:
+                    cut = np.partition(values, len(found) - k)[len(found) - k]
+                    found, values = found[values >= cut], values[values >= cut]
+                best[query] = sorted(best[query] + list(zip((-values).tolist(), [items[i] for i in found])))[:k]
+                if len(best[query]) == k:
+                    worst[query] = -best[query][-1][0]
+
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(start, rows_at_once)
@@ -219,18 +238,13 @@ def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float,
                 norm = k1 * (1.0 - b + b * lengths[row] / average)
                 share = tf * (k1 + 1.0) / (tf + norm)
                 first = np.nonzero(np.diff(row, prepend=-1))[0]
-                scores = np.round(np.add.reduceat(share[:, None] * matrix[term], first, axis=0), 6)
                 items = part.column(0).take(pa.array(row[first])).to_pylist()
-                hit, query_of = np.nonzero((scores > 0) & (scores >= worst))
-                for query in np.unique(query_of):
-                    found = hit[query_of == query]
-                    values = scores[found, query]
-                    if len(found) > k:
-                        cut = np.partition(values, len(found) - k)[len(found) - k]
-                        found, values = found[values >= cut], values[values >= cut]
-                    best[query] = sorted(best[query] + list(zip((-values).tolist(), [items[i] for i in found])))[:k]
-                    if len(best[query]) == k:
-                        worst[query] = -best[query][-1][0]
+                # Passages are scored in groups whose term x query products fit a fixed memory.
+                group = (first + np.diff(first, append=len(row)) - 1) // max(1, cells // len(ids))
+                for begin, end in spans(group):
+                    low, high = first[begin], first[end] if end < len(first) else len(row)
+                    products = share[low:high, None] * matrix[term[low:high]]
+                    keep(np.round(np.add.reduceat(products, first[begin:end] - low, axis=0), 6), items[begin:end])
         rows = [(ids[n], item, -negative) for n, found in enumerate(best) for negative, item in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(column)) for column in zip(*rows)],

@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL on one data folder.
 
-Usage: ``python -m tests.compare /root/testdata/sf0.01 [name …]``
+Usage: ``python -m tests.compare /root/testdata/sf0.01 [name …] [spark.setting=value …]``
 """
 
 from __future__ import annotations
@@ -65,8 +65,10 @@ def main() -> int:
     from depotlens.session import builder
 
     folder, names = sys.argv[1], sys.argv[2:]
-    spark = builder("compare", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"}).master(
-        "local[8]").getOrCreate()
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"}
+    settings.update(pair.split("=", 1) for pair in names if "=" in pair)
+    names = [name for name in names if "=" not in name]
+    spark = builder("compare", **settings).master("local[8]").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(folder), oracle_sql(), 0
     for name, fn in queries().items():

@@ -109,6 +109,21 @@ def test_lexical_topk(spark, texts, block):
         assert [x[1] for x in got.get(n, [])] == pytest.approx([x[1] for x in want], abs=2e-6)
 
 
+def test_long_passages_are_scored_in_groups(texts):
+    import pyarrow as pa
+    passages, asked = texts
+    words = [(p, re.findall(r"[^\W_]+", t.lower())) for p, t in passages]
+    words = [(p, w) for p, w in words if w]
+    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in words]), pa.array([w for _, w in words])], names=["id", "w"])
+    vocabulary = sorted({f"w{n}" for n in range(60)})
+    weights = [[(n, 1.0 + n) for n in range(0, 60, step)] for step in (1, 2, 7)]
+    found = []
+    for cells in (1, 50, 1000, 4_000_000):
+        scorer = retrieval._lexical_scorer([1, 2, 3], vocabulary, weights, 40.0, 4, 1.2, 0.75, cells)
+        found.append([b.to_pydict() for b in scorer(iter([batch]))])
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0][0]["item_id"]) == 12
+
+
 def test_term_blocks_keep_every_query():
     rows = [(n, [f"t{n}-{m}" for m in range(3000)]) for n in range(7)] + [(9, [f"x{m}" for m in range(20_000)])]
     blocks = list(retrieval._term_blocks(iter(rows), 512))
