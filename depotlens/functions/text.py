@@ -30,7 +30,7 @@ def _c(x) -> Column:
 
 
 def normalise_lot(lot) -> Column:
-    return F.upper(F.trim(F.regexp_replace(_c(lot), "#", "")))
+    return F.upper(F.trim(F.replace(_c(lot), F.lit("#"), F.lit(""))))
 
 
 def extract_lots(text) -> Column:

@@ -76,7 +76,8 @@ def _conform(df: DataFrame) -> DataFrame:
 def equipment_dispatch(readings: DataFrame, as_of=None, tie: list[str] | None = None) -> DataFrame:
     """A dispatch per (sensor, metric) whose newest breach is CRITICAL-grade."""
     breaches = equipment.threshold_breach(readings).where(F.col("status") == "CRITICAL")
-    rows = equipment.latest_per_sensor(breaches, tie)
+    columns = ["sensor_id", "metric", "timestamp", "asset_name", "zone", "value", "baseline"]
+    rows = equipment.latest_per_sensor(breaches, tie, columns)
     return _conform(rows.select(
         action_key("ACT", F.lit("equipment_dispatch"), "sensor_id", "metric", F.unix_micros("timestamp")).alias("action_id"),
         F.lit("equipment_dispatch").alias("loop"), as_ts(as_of).alias("timestamp"),

@@ -76,7 +76,8 @@ def days_since_last(events: DataFrame, as_of=None, event_type: str = "haccp_audi
 def certificates_due(events: DataFrame, within_days: float = 14) -> DataFrame:
     """Assets whose latest certificate reading says it expires within the horizon."""
     certs = events.where(F.col("event_type") == "cert_expiry")
-    latest = ordered.top_k_per(certs, ["asset_id"], [F.desc("timestamp"), F.desc("event_id")], 1, "_rn")
+    latest = ordered.newest_per(certs, ["asset_id"], ["timestamp", "event_id"],
+                                ["asset_id", "event_id", "observed_value", "timestamp"])
     return latest.where(F.col("observed_value") <= within_days).select(
         "asset_id", "event_id", F.col("observed_value").alias("days_left"), "timestamp")
 

@@ -43,10 +43,9 @@ def with_scores(readings: DataFrame) -> DataFrame:
     })
 
 
-def latest_per_sensor(readings: DataFrame, tie: list[str] | None = None) -> DataFrame:
-    """Newest reading per (sensor, metric)."""
-    order = [F.desc("timestamp"), *[F.desc(c) for c in (tie or ["value"])]]
-    return ordered.top_k_per(readings, ["sensor_id", "metric"], order, 1, "_rn").drop("_rn")
+def latest_per_sensor(readings: DataFrame, tie: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Newest reading per (sensor, metric), reduced to ``columns``."""
+    return ordered.newest_per(readings, ["sensor_id", "metric"], ["timestamp", *(tie or ["value"])], columns)
 
 
 def readings_with_spec(readings: DataFrame, spec: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def fleet_status(readings: DataFrame, tie: list[str] | None = None) -> DataFrame
     rank = {"NOMINAL": 0, "WARNING": 1, "CRITICAL": 2}
     level = F.when(F.col("status") == "CRITICAL", 2).when(F.col("status") == "WARNING", 1).otherwise(0)
     assets = (
-        latest_per_sensor(with_status(readings), tie)
+        latest_per_sensor(with_status(readings), tie, ["sensor_id", "metric", "asset_type", "asset_name", "status"])
         .groupBy("asset_type", "asset_name").agg(F.max(level).alias("_level"))
     )
     return assets.groupBy("asset_type").agg(

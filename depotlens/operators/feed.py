@@ -74,7 +74,7 @@ def feed_for_agent(feed: DataFrame, agent: str | None = None) -> DataFrame:
 
 
 def top_event_per_agent(feed: DataFrame) -> DataFrame:
-    return ordered.top_k_per(feed, ["agent"], feed_order(), 1, "_rn").drop("_rn")
+    return ordered.newest_per(feed, ["agent"], ["event_ts", "seq"])
 
 
 def severity_counts(feed: DataFrame) -> DataFrame:

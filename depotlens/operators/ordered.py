@@ -170,6 +170,18 @@ def top_k(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
     return df.orderBy(*keys).limit(k)
 
 
+def newest_per(df: DataFrame, partition: list[str], by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The row with the greatest ``by`` per group, reduced to ``columns``.
+
+    An aggregate with map-side combine: it sorts by group only, where a window sorts whole rows. The
+    picked struct cannot be pruned later, so callers name the columns they need.
+    """
+    columns = columns or df.columns
+    kept = [c for c in columns if c not in partition]
+    picked = df.groupBy(*partition).agg(F.max_by(F.struct(*kept), F.struct(*by)).alias("_row"))
+    return picked.select(*[F.col(c) if c in partition else F.col(f"_row.{c}") for c in columns])
+
+
 def top_k_per(df: DataFrame, partition: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First k rows per group. The group limit is applied before the shuffle, so hot groups stay small."""
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*partition).orderBy(*order)))

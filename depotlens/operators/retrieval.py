@@ -142,7 +142,7 @@ def _vector_scorer(ids: list, vectors: list, k: int, probes: list | None = None)
                 continue
             m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             length = np.sqrt((m * m).sum(axis=1))
-            real = np.nonzero(length > 0)[0]
+            real = np.nonzero((length > 0) & np.isfinite(length))[0]
             m = m[real] / length[real, None]
             items = batch.column(0).take(pa.array(real)).to_pylist()
             if probes is None:
@@ -165,13 +165,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str
                 vector: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
     """Exact cosine top-k: ``(query_id, item_id, similarity, rank)``.
 
-    Rows with a null, zero or differently sized vector have no cosine with the query and drop out.
+    Rows whose vector is null, zero, incomplete or of another size have no cosine with the query and drop out.
     """
     schema = _result_schema(queries, corpus, query_id, item_id, "similarity")
 
     def parts():
         for dimension, rows in _by_dimension(queries, query_id, vector, block):
-            usable = corpus.where((F.size(vector) == dimension) & ~F.exists(vector, F.isnull)).select(item_id, vector)
+            usable = corpus.where(F.size(vector) == dimension).select(item_id, vector)
             yield usable.mapInArrow(_vector_scorer([r[0] for r in rows], [list(r[1]) for r in rows], k), schema)
 
     return _ranked(parts(), k, "similarity", queries.sparkSession.createDataFrame([], schema))

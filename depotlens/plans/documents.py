@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as rules
 from ..functions.levels import document_rank
 from ..operators import documents, feed
+from ..operators.recalls import apply_quarantine
 from .adapters import DOCUMENTS_AS_OF, lot_code
 from .registry import query
 from .sql_adapters import lot
@@ -47,10 +48,8 @@ SELECT status, count(*) AS n FROM (
   LEFT JOIN (SELECT DISTINCT lot FROM recall_lots) l ON d.lot_number = l.lot) GROUP BY status""")
 def document_status(i):
     """Status precedence with recalls applied and nothing-received documents waiting for receipt."""
-    from ..operators.recalls import affected_documents
     waiting = i.documents.withColumn("received_qty", F.when(F.col("received_qty") != 0, F.col("received_qty")))
-    hit = affected_documents(i.recalls, waiting).select("bol_id", F.lit(True).alias("hit"))
-    marked = waiting.drop("recall_match").join(hit, "bol_id", "left").withColumn("recall_match", F.coalesce("hit", F.lit(False)))
+    marked = apply_quarantine(i.recalls, waiting)
     return documents.with_flags(marked).groupBy("status").agg(F.count("*").alias("n"))
 
 

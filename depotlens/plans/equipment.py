@@ -33,7 +33,7 @@ def threshold_breach(i):
 SELECT sensor_id, metric, reading_id, value, "timestamp" FROM readings
 QUALIFY row_number() OVER (PARTITION BY sensor_id, metric ORDER BY "timestamp" DESC, reading_id DESC) = 1""")
 def latest_per_sensor(i):
-    return equipment.latest_per_sensor(i.readings, TIE).select("sensor_id", "metric", "reading_id", "value", "timestamp")
+    return equipment.latest_per_sensor(i.readings, TIE, ["sensor_id", "metric", "reading_id", "value", "timestamp"])
 
 
 SPEC_SQL = """
@@ -136,7 +136,6 @@ def criticality(i):
 SELECT 'equipment_readings' AS table_name, rule, column_name, count(*) AS violations FROM (
   SELECT 'domain' AS rule, 'unit' AS column_name FROM (SELECT CASE WHEN metric = 'view' THEN 'volt' ELSE unit END AS u FROM readings)
   WHERE u NOT IN ('ms', 'cm', 'pct', 'degF', 'sec')
-  UNION ALL SELECT 'required', 'zone_or_status' FROM readings WHERE status IS NULL
   UNION ALL SELECT 'required', 'value' FROM readings WHERE value > 400
   UNION ALL SELECT 'unit_interval', 'anomaly_score' FROM readings WHERE value / 100e0 > 1
 ) GROUP BY rule, column_name""")

@@ -29,7 +29,7 @@ def feed_for_agent(i):
 @query("top_event_per_agent", """
 SELECT agent, event_ts, seq, level FROM feed QUALIFY row_number() OVER (PARTITION BY agent ORDER BY event_ts DESC, seq DESC) = 1""")
 def top_event_per_agent(i):
-    return feed.top_event_per_agent(_feed(i)).select("agent", "event_ts", "seq", "level")
+    return feed.top_event_per_agent(_feed(i).select("agent", "event_ts", "seq", "level"))
 
 
 @query("severity_counts", "SELECT level, count(*) AS events FROM feed GROUP BY level")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import actions
 from ..sources import tables
-from ..sources.scratch import new_path
+from ..sources.scratch import materialise, new_path
 from ..streaming import alerts, sinks, sources, windows
 from .adapters import EVENTS, compliance_of, readings_of
 from .equipment import SPEC_SQL, derived_spec
@@ -139,7 +139,8 @@ def exactly_once_actions(i):
 @query("stream_with_spec", f"""
 SELECT reading_id, metric, value, threshold FROM ({SPEC_SQL}) WHERE value >= threshold""")
 def stream_with_spec(i):
-    spec = derived_spec(i.readings)
+    # Written once, or every micro-batch would measure it again.
+    spec = materialise(derived_spec(i.readings), "spec")
     joined = alerts.stream_with_spec(readings_of(_events(i)), spec)
     return _drain(i, joined.select("reading_id", "metric", "value", "threshold"), "with-spec")
 

@@ -8,19 +8,27 @@ from pyspark.sql.types import StructType
 from .. import schemas
 
 
-FILES_PER_BATCH = 100
+BYTES_PER_BATCH = "8g"
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
-                files_per_batch: int = FILES_PER_BATCH, glob: str | None = None) -> DataFrame:
-    """A stream over the files of a folder. ``files_per_batch`` bounds a micro-batch's size."""
-    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
+                bytes_per_batch: str = BYTES_PER_BATCH, files_per_batch: int | None = None,
+                glob: str | None = None) -> DataFrame:
+    """A stream over the files of a folder.
+
+    A micro-batch is bounded in bytes, or in files when ``files_per_batch`` is given. The bound also
+    limits what a hot key can bring to one stateful task.
+    """
+    reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)
 
 
-def readings_stream(spark: SparkSession, path: str, fmt: str = "json",
-                    files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+def readings_stream(spark: SparkSession, path: str, fmt: str = "json", bytes_per_batch: str = BYTES_PER_BATCH) -> DataFrame:
     """Continuous ingest of equipment readings."""
-    return file_stream(spark, path, schemas.EQUIPMENT_READINGS, fmt, files_per_batch)
+    return file_stream(spark, path, schemas.EQUIPMENT_READINGS, fmt, bytes_per_batch)

@@ -34,12 +34,23 @@ def test_top_k(spark, small, name):
     assert "TakeOrderedAndProject" in plan(queries()[name](spark, small))
 
 
-@pytest.mark.parametrize("name", ["latest_per_sensor", "top_event_per_agent", "status_digest", "top_discrepancies", "certificates_due"])
+@pytest.mark.parametrize("name", ["status_digest", "top_discrepancies", "vector_topk"])
 def test_group_limit_before_shuffle(spark, small, name):
     text = plan(queries()[name](spark, small))
     assert text.count("WindowGroupLimit") >= 2
 
 
+@pytest.mark.parametrize("name", ["latest_per_sensor", "top_event_per_agent", "certificates_due", "fleet_status", "equipment_dispatch"])
+def test_newest_row_is_combined_before_shuffle(spark, small, name):
+    text = plan(queries()[name](spark, small))
+    assert "partial_max_by" in text and "Window " not in text
+
+
+def test_newest_row_reads_named_columns_only(spark, small):
+    text = plan(queries()["fleet_status"](spark, small))
+    assert "props" not in text
+
+
 def test_day_partitions_are_pruned(spark, small):
     path = new_path(spark, "pruned")
     tables.write_partitioned(Inputs(spark, small).readings, path, "timestamp")

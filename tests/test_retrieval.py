@@ -17,7 +17,7 @@ def vectors(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(400, 8))
     data[50] = data[51] = data[52]  # equal vectors: ties fall to the lower id
-    rows = [(n, [float(x) for x in v]) for n, v in enumerate(data)] + [(900, [0.0] * 8), (901, [1.0] * 3), (902, None)]
+    rows = [(n, [float(x) for x in v]) for n, v in enumerate(data)] + [(900, [0.0] * 8), (901, [1.0] * 3), (902, None), (903, [1.0, None] * 4)]
     return data, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).cache()
 
 
