@@ -8,11 +8,11 @@ from pyspark.sql.types import StructType
 from .. import schemas
 
 
-BYTES_PER_BATCH = "8g"
+BYTES_PER_BATCH = 8 * 1024**3
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
-                bytes_per_batch: str = BYTES_PER_BATCH, files_per_batch: int | None = None,
+                bytes_per_batch: int = BYTES_PER_BATCH, files_per_batch: int | None = None,
                 glob: str | None = None) -> DataFrame:
     """A stream over the files of a folder.
 
@@ -29,6 +29,6 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: s
     return reader.load(path)
 
 
-def readings_stream(spark: SparkSession, path: str, fmt: str = "json", bytes_per_batch: str = BYTES_PER_BATCH) -> DataFrame:
+def readings_stream(spark: SparkSession, path: str, fmt: str = "json", bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
     """Continuous ingest of equipment readings."""
     return file_stream(spark, path, schemas.EQUIPMENT_READINGS, fmt, bytes_per_batch)
