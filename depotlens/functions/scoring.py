@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A SKU qualifies above this score, or this close to expiry.
 MARKDOWN_SCORE = 0.6
 MARKDOWN_DAYS = 2
 
@@ -17,7 +18,8 @@ def spoilage_score(dwell_hours, days_to_expiry, velocity_7d, reorder_point) -> C
     """Weighted risk in three parts: dwell (40 %), expiry (40 %), slow sales (20 %), capped at 1.
 
     Expired stock pushes the expiry part above its weight; only the total is capped. Without a
-    reorder point there is no velocity signal, so that part is 0. A null dwell or expiry gives a
+    reorder point there is no velocity signal, so that part is 0. Weights and spans (96 hours, 5 days)
+    are fixed values. A null dwell or expiry gives a
     null score (``least`` and ``greatest`` would skip it).
     """
     dwell, dte = _c(dwell_hours), _c(days_to_expiry).cast("double")

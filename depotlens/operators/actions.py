@@ -216,6 +216,7 @@ def _text(column: str, decimals: int | None = None) -> Column:
 def loop_trace(actions: DataFrame) -> DataFrame:
     """Four rows per action: trigger, reasoning, action and result with a label and a detail."""
     c, t = F.concat, F.lit
+    # The step labels.
     steps = {
         "equipment_dispatch": [
             ("Sensor Anomaly Detected", c(_text("asset"), t(" — "), _text("metric"), t(": "), _text("value", 2), t(" vs "),

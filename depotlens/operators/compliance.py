@@ -9,12 +9,13 @@ from ..functions import levels
 from ..functions.timing import as_ts, days_between, shift_start, time_slice
 from . import ordered
 
+# Columns of the recent view.
 RECENT_COLUMNS = [
     "event_id", "event_type", "zone", "observed_value", "threshold_value", "unit", "severity", "status",
     "regulation_ref", "timestamp",
 ]
 
-PROXIMITY_LIMIT_M = 1.5
+PROXIMITY_LIMIT_M = 1.5  # fixed value
 
 
 def recent_compliance(events: DataFrame, as_of=None, hours: int = 24, limit: int = 20) -> DataFrame:

@@ -11,12 +11,13 @@ from ..functions.text import normalise_lot
 from ..functions.timing import as_ts, days_between, time_slice
 from . import ordered
 
+# Columns of the recent view.
 RECENT_COLUMNS = [
     "bol_id", "vendor", "shipment_date", "invoiced_qty", "received_qty", "qty_delta", "lot_number",
     "po_lot_number", "temp_log_present", "status", "flags",
 ]
 
-SLA_PCT = 85.0
+SLA_PCT = 85.0  # fixed value
 
 
 def with_flags(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import scoring
 from ..functions.timing import time_slice
 from . import ordered
 
+# Columns of the recent view.
 RECENT_COLUMNS = [
     "sensor_id", "asset_name", "zone", "metric", "value", "baseline", "threshold", "unit", "status",
     "anomaly_score", "timestamp",
@@ -87,20 +88,28 @@ def breach_episodes(readings: DataFrame, tie: list[str], keys: list[str] | None
                         F.coalesce("_high", "_low").alias("worst_value"))
 
 
-def fleet_status(readings: DataFrame, tie: list[str] | None = None) -> DataFrame:
-    """Per asset type: assets in total and by the worst status among their latest readings."""
-    rank = {"NOMINAL": 0, "WARNING": 1, "CRITICAL": 2}
+def _fleet_counts(readings: DataFrame, groups: list[str], tie: list[str] | None) -> DataFrame:
+    """Per group: assets in total and by the worst status among the group's latest readings."""
     level = F.when(F.col("status") == "CRITICAL", 2).when(F.col("status") == "WARNING", 1).otherwise(0)
-    assets = (
-        latest_per_sensor(with_status(readings), tie, ["sensor_id", "metric", "asset_type", "asset_name", "status"])
-        .groupBy("asset_type", "asset_name").agg(F.max(level).alias("_level"))
-    )
-    return assets.groupBy("asset_type").agg(
+    keys = [*groups, "asset_name", "sensor_id", "metric"]
+    latest = ordered.newest_per(with_status(readings), keys, ["timestamp", *(tie or ["value"])], [*keys, "status"])
+    assets = latest.groupBy(*groups, "asset_name").agg(F.max(level).alias("_level"))
+    return assets.groupBy(*groups).agg(
         F.count("*").alias("total"),
-        *[F.count_if(F.col("_level") == n).alias(name.lower()) for name, n in rank.items()],
+        *[F.count_if(F.col("_level") == n).alias(name) for n, name in enumerate(["nominal", "warning", "critical"])],
     )
 
 
+def fleet_status(readings: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """Per asset type: assets in total and by the worst status among their latest readings."""
+    return _fleet_counts(readings, ["asset_type"], tie)
+
+
+def fleet_status_by_day(readings: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """``fleet_status`` over all given assets per day, from each day's latest readings."""
+    return _fleet_counts(readings.withColumn("day", F.to_date("timestamp")), ["day"], tie)
+
+
 def sensor_profile(readings: DataFrame) -> DataFrame:
     """Exact count, mean, standard deviation, median and 95th percentile per metric.
 
@@ -113,8 +122,8 @@ def sensor_profile(readings: DataFrame) -> DataFrame:
     counts = readings.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("_c"))
     running = ordered.prefix_sums(counts, [F.col("metric"), F.col("value")], {"_before": F.col("_c")}, "profile")
     starts = running.groupBy("metric").agg(F.min("_before").alias("_start"), F.sum("_c").alias("_n"))
-    starts = ordered.sized_broadcast(starts, MAX_METRICS)
-    placed = running.join(starts, "metric").withColumn("_pos", F.col("_before") - F.col("_start"))
+    starts = ordered.sized_broadcast(ordered.rekeyed(starts, "metric", "_metric"), MAX_METRICS)
+    placed = running.join(starts, F.col("metric") == F.col("_metric")).withColumn("_pos", F.col("_before") - F.col("_start"))
     picks = []
     for name, q in (("p50", 0.5e0), ("p95", 0.95e0)):
         exact = F.lit(q) * (F.col("_n") - 1)

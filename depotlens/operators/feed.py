@@ -120,20 +120,28 @@ def kpi_summary(readings: DataFrame, stock: DataFrame, events: DataFrame, docs:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def kpi_delta(readings: DataFrame, events: DataFrame, docs: DataFrame) -> DataFrame:
-    """Daily compliance, uptime and document accuracy with the change against the day before.
+def kpi_delta(readings: DataFrame, stock: DataFrame, events: DataFrame, docs: DataFrame,
+              tie: list[str] | None = None) -> DataFrame:
+    """The KPIs per day with the change against the day before, as (day, metric, value, delta).
 
     The window runs on one row per (metric, day). Days without data have no row; the change is
-    against the last day that has one.
+    against the last day that has one. Cold chain counts each day's latest readings.
     """
     breach = F.coalesce(scoring.is_breach("value", "threshold", "baseline"), F.lit(False))
+    cold = equipment.fleet_status_by_day(readings.where(F.col("asset_type") == "refrigeration"), tie)
     parts = [
+        _long(stock.groupBy(F.to_date("snapshot_timestamp").alias("day")).agg(
+            F.count_distinct("sku_id").alias("active_skus"),
+            F.coalesce(F.sum(F.when(inventory.is_high_risk(), F.col("qty_on_hand"))), F.lit(0)).alias("at_risk_units")),
+            ["day"], ["active_skus", "at_risk_units"]),
         _long(events.groupBy(F.to_date("timestamp").alias("day")).agg(
             _pct(~F.col("status").isin("OPEN", "ESCALATED")).alias("compliance_pct")), ["day"], ["compliance_pct"]),
         _long(readings.groupBy(F.to_date("timestamp").alias("day")).agg(
             _pct(~breach).alias("fleet_uptime_pct")), ["day"], ["fleet_uptime_pct"]),
         _long(docs.groupBy(F.col("shipment_date").alias("day")).agg(
             _pct(F.size("flags") == 0).alias("document_accuracy_pct")), ["day"], ["document_accuracy_pct"]),
+        _long(cold.select("day", F.col("nominal").alias("cold_chain_ok"), F.col("total").alias("cold_chain_total")),
+              ["day"], ["cold_chain_ok", "cold_chain_total"]),
     ]
     daily = reduce(lambda a, b: a.unionByName(b), parts)
     change = F.col("value") - F.lag("value").over(W.partitionBy("metric").orderBy("day"))

@@ -10,6 +10,7 @@ from ..functions import scoring
 from ..functions.timing import as_ts
 from . import ordered
 
+# Columns of the at-risk view, and the strict limits of both risk views below.
 AT_RISK_COLUMNS = [
     "sku_id", "product_name", "category", "zone", "qty_on_hand", "dwell_hours", "expiry_date", "vendor",
     "velocity_7d_avg", "reorder_point", "spoilage_risk_score", "markdown_recommended",

@@ -160,6 +160,16 @@ def prefix_sums(df: DataFrame, order: list[Column], weights: dict[str, Column],
     )
 
 
+def rekeyed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """An aggregate by a string ``key``, under a new key column that Spark must exchange again.
+
+    AQE splits skewed partitions only of joins that read both sides straight from an exchange. An
+    aggregate by the join key would reuse its own partitioning and block that. The exchange moves one
+    row per key.
+    """
+    return df.withColumn(name, F.concat(F.col(key), F.lit(""))).drop(key)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if ``df`` has at most ``max_rows`` rows; beyond that AQE picks the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -39,7 +39,9 @@ def recall_match(recalls: DataFrame, documents: DataFrame, status: str = "ongoin
 
 
 def _matched_lots(recalls: DataFrame, status: str) -> DataFrame:
-    return recall_lots(recalls, status).select(F.col("lot").alias("_lot")).distinct()
+    """Lots to test membership against. They may repeat: a distinct on the join key would leave the
+    join without an exchange of its own, and then AQE could not split a hot lot."""
+    return recall_lots(recalls, status).select(F.col("lot").alias("_lot"))
 
 
 def affected_documents(recalls: DataFrame, documents: DataFrame, status: str = "ongoing") -> DataFrame:
@@ -81,10 +83,8 @@ def apply_quarantine(recalls: DataFrame, documents: DataFrame, status: str = "on
 
     The join side holds one row per lot, so documents are never multiplied.
     """
-    lots = (
-        recall_lots(recalls, status).groupBy(F.col("lot").alias("_lot"))
-        .agg(F.min("recall_number").alias("_recall"))
-    )
+    lots = recall_lots(recalls, status).groupBy("lot").agg(F.min("recall_number").alias("_recall"))
+    lots = ordered.rekeyed(lots, "lot", "_lot")
     hit = F.col("_recall").isNotNull()
     flags = F.coalesce(F.col("flags"), F.array().cast("array<string>"))
     return (

@@ -91,11 +91,20 @@ def kpi_summary(i):
 
 
 @query("kpi_delta", """
-WITH kpis AS (
+WITH latest AS (
+  SELECT *, CAST("timestamp" AS DATE) AS day FROM readings WHERE asset_type = 'refrigeration'
+  QUALIFY row_number() OVER (PARTITION BY CAST("timestamp" AS DATE), sensor_id, metric ORDER BY "timestamp" DESC, reading_id DESC) = 1),
+assets AS (SELECT day, asset_name, bool_and(status = 'NOMINAL') AS ok FROM latest GROUP BY day, asset_name),
+kpis AS (
+  SELECT CAST(snapshot_timestamp AS DATE) AS day, 'active_skus' AS metric, count(DISTINCT sku_id)::DOUBLE AS value FROM inventory GROUP BY day
+  UNION ALL SELECT CAST(snapshot_timestamp AS DATE) AS day, 'at_risk_units', sum(qty_on_hand)::DOUBLE FROM high_risk GROUP BY day
+  UNION ALL SELECT day, 'cold_chain_ok', count_if(ok)::DOUBLE FROM assets GROUP BY day
+  UNION ALL SELECT day, 'cold_chain_total', count(*)::DOUBLE FROM assets GROUP BY day
+  UNION ALL
   SELECT CAST("timestamp" AS DATE) AS day, 'compliance_pct' AS metric,
          round(count_if(status NOT IN ('OPEN', 'ESCALATED')) * 100e0 / count(*), 4) AS value FROM compliance GROUP BY day
   UNION ALL SELECT CAST("timestamp" AS DATE) AS day, 'fleet_uptime_pct', round(count_if(NOT breach) * 100e0 / count(*), 4) FROM readings GROUP BY day
   UNION ALL SELECT shipment_date AS day, 'document_accuracy_pct', round(count_if(NOT flagged) * 100e0 / count(*), 4) FROM docs GROUP BY day)
 SELECT day, metric, value, round(value - lag(value) OVER (PARTITION BY metric ORDER BY day), 4) AS delta FROM kpis""")
 def kpi_delta(i):
-    return feed.kpi_delta(i.readings, i.events, i.documents)
+    return feed.kpi_delta(i.readings, i.inventory, i.events, i.documents, TIE)

@@ -21,6 +21,14 @@ def drain_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "a
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def keep_table(stream: DataFrame, path: str, checkpoint: str, every: str = "60 seconds", mode: str = "append"):
+    """Keep appending to a Parquet table at an interval; returns the running query."""
+    return (
+        stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+        .option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    )
+
+
 def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process what is available through a batch function."""
     query = (

@@ -196,6 +196,15 @@ def test_routing_defaults_and_rejects(spark):
     assert actions.loop_trace(routed).count() == 12
 
 
+def test_outbox_kinds(spark, readings):
+    rows = actions.equipment_dispatch(readings.withColumn("threshold", F.col("baseline") + 1), NOW).where("metric = 'odometry_drift_cm'")
+    alert = actions.dispatch_outbox(rows).orderBy("asset_line").collect()[-1]
+    assert alert.asset_line == "AMR-07 — Z" and alert.anomaly_line == "odometry_drift_cm: 3.35 vs 1.00 baseline"
+    assert "within 1 hour" in alert.payload and '"recommendation"' in alert.payload
+    note = actions.dispatch_outbox(rows, "battery_low").orderBy("asset_line").collect()[-1]
+    assert note.payload == '{"text":"Alert: battery_low — AMR-07 — Z odometry_drift_cm: 3.35 vs 1.00 baseline"}'
+
+
 def test_active_markdown_bounds(spark):
     rows = [("a", "2026-04-30 04:12:03"), ("b", "2026-04-30 04:12:04"), ("c", NOW), ("d", "2026-04-30 12:12:04")]
     df = spark.createDataFrame(rows, "sku_id string, at string").select(

@@ -99,3 +99,35 @@ def test_unresolved_search_joins_on_slices(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     join = next(line for line in text.splitlines() if "SortMergeJoin" in line)
     assert "_key" in join and "_slice" in join
+
+
+@pytest.mark.parametrize("how", ["recall_match", "affected_documents", "unaffected_documents", "apply_quarantine"])
+def test_hot_lot_is_split(spark, how):
+    """A third of the documents share one lot; AQE must be able to split it in every lot join."""
+    from pyspark.sql import functions as F
+
+    from depotlens.operators import recalls
+    from depotlens.plans.adapters import lot_code
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    docs = spark.range(200_000, numPartitions=8).select(
+        F.concat(F.lit("B"), "id").alias("bol_id"), F.md5(F.col("id").cast("string")).alias("product_name"),
+        lot_code(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50_000)).alias("lot_number"), F.lit("APPROVED").alias("status"),
+        F.array().cast("array<string>").alias("flags"), F.lit(False).alias("recall_match"), F.lit(None).cast("string").alias("recall_number"))
+    feed = spark.range(10_000).select(F.concat(F.lit("F"), "id").alias("recall_number"), F.lit("Ongoing").alias("status"),
+                                      F.lit("Class I").alias("classification"), lot_code(F.col("id")).alias("lot_numbers"))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        # Sum whatever the join yields, so that no column of it can be pruned away.
+        out = getattr(recalls, how)(feed, docs).agg(F.sum(F.length("product_name")), F.count_if("recall_match"), F.count("recall_number"))
+        out.collect()
+        assert "SortMergeJoin(skew=true)" in plan(out)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

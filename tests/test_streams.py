@@ -120,6 +120,22 @@ def test_restart_neither_loses_nor_repeats(spark, small, batch):
     assert same(got, batch.select("reading_id", "value"))
 
 
+def test_kept_table_follows_new_files(spark, small, batch):
+    root = new_path(spark, "kept")
+    events = Inputs(spark, small).raw_events
+    events.where("event_id < 300").write.parquet(f"{root}/in")
+    live = readings_of(sources.file_stream(spark, f"{root}/in", EVENTS)).select("reading_id", "value")
+    running = sinks.keep_table(live, f"{root}/t", f"{root}/c", "200 milliseconds")
+    try:
+        running.processAllAvailable()
+        assert spark.read.parquet(f"{root}/t").count() == 300
+        events.where("event_id >= 300").write.mode("append").parquet(f"{root}/in")
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert same(spark.read.parquet(f"{root}/t"), batch.select("reading_id", "value"))
+
+
 def test_replayed_batch_changes_nothing(spark, batch):
     path = new_path(spark, "replay")
     write = sinks.exactly_once(path, lambda rows: actions.equipment_dispatch(rows, "2024-02-01", ["reading_id"]))
