@@ -22,6 +22,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             start = stop
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it differ from all ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """Strings as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

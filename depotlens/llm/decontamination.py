@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from depotlens.sources.scratch import materialise
 
-from .arrow import raw, slices
+from .arrow import raw, slices, unused
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -149,15 +149,17 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id",
                    item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The columns ``keep`` of every row, ``n_words`` (null if there is no benchmark row), hit ``spans`` and ``items``.
+    """The columns ``keep`` of every row, then three more: number of words (null if there is no benchmark row), hit spans, items.
 
-    Spans are merged runs of words; their ``last`` is exclusive.
+    Spans are merged runs of words; their ``last`` is exclusive. The three are named ``n_words``, ``spans`` and ``items``,
+    with underscores before them where ``keep`` has such names.
     """
     spark = docs.sparkSession
-    held = text_col if text_col in keep else "_text"
+    held, *names = unused(keep, "_text", "n_words", "spans", "items")
+    held = text_col if text_col in keep else held
     found = docs.select(
-        *keep, *([] if held in keep else [F.col(text_col).alias(held)]), F.lit(None).cast("long").alias("n_words"),
-        F.from_json(F.lit("[]"), "array<struct<first:int,last:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        *keep, *([] if held in keep else [F.col(text_col).alias(held)]), F.lit(None).cast("long").alias(names[0]),
+        F.from_json(F.lit("[]"), "array<struct<first:int,last:int>>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     schema = found.schema
     for number, items in enumerate(_blocks(benchmark, item_col, item_text, block_bytes)):
         if number:  # each pass is written, so a lost executor repeats one pass and no task holds two blocks
@@ -168,17 +170,17 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_
             block = shared.value
             for batch in slices(batches, held, shard_bytes):
                 counts, new = _shard(raw(batch.column(held)), block)
-                old = batch.select(["spans", "items"]).to_pylist()
-                spans = [_merged([(s["first"], s["last"]) for s in o["spans"]] + x[0]) for o, x in zip(old, new)]
-                rows = [sorted({*o["items"], *x[1]}) for o, x in zip(old, new)]
-                kind = batch.schema.field("spans").type
+                old = list(zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist()))
+                spans = [_merged([(s["first"], s["last"]) for s in o] + x[0]) for (o, _), x in zip(old, new)]
+                rows = [sorted({*o, *x[1]}) for (_, o), x in zip(old, new)]
+                kind = batch.schema.field(names[1]).type
                 cols = [batch.column(c) for c in batch.schema.names[:-3]]
                 cols += [pa.array(counts, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind),
-                         pa.array(rows, batch.schema.field("items").type)]
+                         pa.array(rows, batch.schema.field(names[2]).type)]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
         found = found.mapInArrow(search, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    return found.drop("_text")
+    return found if held in keep else found.drop(held)
 
 
 def _remove(text: bytes, spans: list[dict]) -> bytes:
@@ -200,12 +202,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     rows that the last one changed and shortens each of them, and a round that finds nothing ends the loop.
     """
     names = docs.columns
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField("_cut", T.BooleanType())])
+    changed, = unused(names, "_cut")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField(changed, T.BooleanType())])
 
     def cut(batches):
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            spans = batch.column("spans").to_pylist()
+            spans = batch.column(batch.num_columns - 2).to_pylist()
             new = [_remove(t, s) if s else t for t, s in zip(texts, spans)]
             cols = {n: batch.column(n) for n in names}
             cols[text_col] = pa.array(new, pa.binary()).cast(batch.schema.field(text_col).type)
@@ -213,13 +216,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 old = batch.column(length_col).to_pylist()
                 n_chars = [len(t.decode("utf-8", "replace")) if s else o for t, s, o in zip(new, spans, old)]
                 cols[length_col] = pa.array(n_chars, batch.schema.field(length_col).type)
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([bool(s) for s in spans])], names=[*names, "_cut"])
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([bool(s) for s in spans])], names=[*names, changed])
 
     done, rest = None, docs
     while True:
         found = find_benchmark(rest, benchmark, names, text_col, **options)
         step = materialise(found.mapInArrow(cut, schema), "decontaminated")
-        clean, rest = step.where("not _cut").drop("_cut"), step.where("_cut").drop("_cut")
+        clean, rest = step.where(~F.col(changed)).drop(changed), step.where(changed).drop(changed)
         done = clean if done is None else done.unionByName(clean)
         if rest.isEmpty():
             return done

@@ -176,29 +176,28 @@ def text_classes(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, l
             labels = _merged(labels, links)
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """``docs`` with ``_label``: the key of a row's class, null for rows without words."""
-    labels = text_classes(docs, text_col, **options).select(F.col("node").alias("_key"), F.col("label").alias("_root"))
-    keyed = docs.withColumn("_key", F.when(_has_words(text_col), text_key(text_col)))
-    return keyed.join(labels, "_key", "left").withColumn("_label", F.coalesce("_root", "_key")).drop("_root", "_key")
+def _labelled(docs: DataFrame, columns: list[Column], text_col: str, **options) -> DataFrame:
+    """``columns`` of every row and ``label``: the key of its class, null for rows without words."""
+    labels = text_classes(docs, text_col, **options).select(F.col("node").alias("key"), F.col("label").alias("root"))
+    keyed = docs.select(F.struct(*columns).alias("row"), F.when(_has_words(text_col), text_key(text_col)).alias("key"))
+    return keyed.join(labels, "key", "left").select("row", "key", F.coalesce("root", "key").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, class_id, class_size) of every row; rows without words are their own class."""
-    rows = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", **options)
-    rows = materialise(rows.select("doc_id", "_label"), "classes")
-    heads = rows.where("_label is not null").groupBy("_label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    heads = materialise(heads, "class-heads").withColumnRenamed("_label", "_of")
-    joined = rows.join(heads, F.col("_label") == F.col("_of"), "left")
-    own = F.col("_label").isNull()
+    rows = _labelled(docs, [F.col(id_col).alias("doc_id")], text_col, **options)
+    rows = materialise(rows.select("row.doc_id", "label"), "classes")
+    heads = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    joined = rows.join(materialise(heads, "class-heads"), "label", "left")
+    own = F.col("label").isNull()
     return joined.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                          F.when(own, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with one row of each class: the one with the least id (then key); rows without words all stay."""
-    names = docs.columns
-    rows = _labelled(docs, id_col, text_col, **options)
-    first = F.struct(F.col(id_col).isNull(), F.col(id_col), text_key(text_col))
-    kept = rows.where("_label is not null").groupBy("_label").agg(F.min_by(F.struct(*names), first).alias("_row")).select("_row.*")
-    return kept.unionByName(rows.where("_label is null").select(*names))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = _labelled(docs, columns, text_col, **options)
+    doc_id = F.col("row").getField(id_col)
+    kept = rows.where("label is not null").groupBy("label").agg(F.min_by("row", F.struct(doc_id.isNull(), doc_id, "key")).alias("row"))
+    return kept.select("row.*").unionByName(rows.where("label is null").select("row.*"))

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import raw, slices
+from .arrow import raw, slices, unused
 
 PASSAGE = 768
 BUCKETS = 2048
 HIDDEN, GATE = 32, 16
 FIT_ROWS = 4000
-EPOCHS, BATCH, RATE, DECAY = 24, 64, 3e-3, 1e-4
+EPOCHS, STEPS, BATCH, RATE, DECAY = 24, 400, 64, 3e-3, 1e-4  # as many epochs as make STEPS steps, EPOCHS at least
 THRESHOLD = 0.3
 SLICE_BYTES = 1 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -115,7 +115,8 @@ def fit(texts: list[bytes], labels: list[int]) -> GatedAttention | None:
     pieces = [passages(t) for t in texts]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     order, step = np.random.default_rng(11), 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, STEPS * BATCH // len(texts))
+    for epoch in range(epochs):
         shuffled = order.permutation(len(texts))
         for at in range(0, len(texts), BATCH):
             chosen = shuffled[at:at + BATCH]
@@ -123,7 +124,7 @@ def fit(texts: list[bytes], labels: list[int]) -> GatedAttention | None:
             x = features([p for i in chosen for p in pieces[i]])
             grad = model.gradient(model.forward(x, np.cumsum(sizes) - sizes), y[chosen])
             step += 1
-            rate = RATE * (1 - 0.9 * epoch / EPOCHS)
+            rate = RATE * (1 - 0.9 * epoch / epochs)
             for k, g in grad.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
@@ -170,5 +171,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    score, = unused(docs.columns, "_quality")
     model = fit_quality(docs, labels, id_col, text_col)
-    return with_quality(docs, model, text_col, "_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    return with_quality(docs, model, text_col, score).where(F.col(score) >= threshold).drop(score)

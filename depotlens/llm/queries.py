@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, token_files
+from . import decontamination, html_extraction, mixing, near_dedup, ppm, quality, sentence_dedup, suffix_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +116,47 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every query vector."""
+    return topk.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op8_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.main_texts(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated sentence spans."""
+    return sentence_dedup.sentence_dedup(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_threshold_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by prediction by partial matching, and its unigram base."""
+    held_out = quality.fold("doc_id") == 1
+    scored = ppm.ppm_scores(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op1_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that also start elsewhere."""
+    return suffix_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
