@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas
-from ..operators import actions
+from ..operators import actions, equipment
 from ..sources import tables
 from ..sources.scratch import materialise, new_path
 from ..streaming import alerts, sinks, sources, windows
@@ -17,8 +16,8 @@ _CLOSED = """(SELECT max(ts) - INTERVAL 10 MINUTE AS watermark FROM events)"""
 
 
 def _events(i):
-    """The event files as a stream."""
-    return sources.file_stream(i.spark, i.folder, EVENTS, glob="events.parquet")
+    """The event files as a stream, for queries that treat each row by itself."""
+    return sources.table_stream(i.spark, i.folder, "events", EVENTS)
 
 
 def _drain(i, stream, name):
@@ -26,6 +25,12 @@ def _drain(i, stream, name):
     return sinks.drain_to_table(stream, f"{path}/table", f"{path}/checkpoint")
 
 
+def _replay(i, build, name):
+    """The stored events replayed in time order through a query that keeps state."""
+    slices = sinks.time_slices(i.spark, f"{i.folder}/events.parquet", i.bytes_per_slice)
+    return sinks.replay_in_order(i.raw_events, "ts", build, new_path(i.spark, name), slices)
+
+
 @query("readings_stream", 'SELECT sensor_id, metric, value, status, "timestamp" FROM readings')
 def readings_stream(i):
     """Readings landed as JSON lines, ingested by the file stream."""
@@ -34,12 +39,21 @@ def readings_stream(i):
     return _drain(i, sources.readings_stream(i.spark, landed), "readings").select("sensor_id", "metric", "value", "status", "timestamp")
 
 
+@query("inventory_stream", "SELECT sku_id, zone, qty_on_hand, spoilage_risk_score, days_to_expiry FROM inventory")
+def inventory_stream(i):
+    """Stock landed as JSON lines, ingested by the file stream."""
+    landed = new_path(i.spark, "landing")
+    tables.write_landing(i.inventory.drop("unit_price"), landed)
+    return _drain(i, sources.inventory_stream(i.spark, landed), "inventory").select(
+        "sku_id", "zone", "qty_on_hand", "spoilage_risk_score", "days_to_expiry")
+
+
 @query("breach_counts_tumbling", f"""
 SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, metric, count(*) AS readings, count_if(breach)::BIGINT AS breaches
 FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, "timestamp", TIMESTAMP '1970-01-01') AS window_start FROM readings), {_CLOSED}
 WHERE window_start + INTERVAL 5 MINUTE <= watermark GROUP BY window_start, metric""")
 def breach_counts_tumbling(i):
-    return _drain(i, windows.breach_counts_tumbling(readings_of(_events(i))), "tumbling")
+    return _replay(i, lambda events: windows.breach_counts_tumbling(readings_of(events())), "tumbling")
 
 
 @query("readings_sliding", f"""
@@ -50,7 +64,7 @@ FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, "timestamp", TIMESTAMP '1970-01-
 WHERE window_start + INTERVAL 2 HOUR <= watermark GROUP BY window_start, metric""")
 def readings_sliding(i):
     """Means of cents sit on rounding ties, so the sum behind the mean is compared."""
-    found = _drain(i, windows.readings_sliding(readings_of(_events(i))), "sliding")
+    found = _replay(i, lambda events: windows.readings_sliding(readings_of(events())), "sliding")
     return found.withColumn("total", F.round(F.col("mean_value") * F.col("readings"), 2)).drop("mean_value")
 
 
@@ -65,20 +79,25 @@ sessions AS (
 SELECT window_start, window_end, sensor_id, breaches, max_value FROM sessions
 WHERE window_end <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM breaches)""")
 def breach_sessions(i):
-    return _drain(i, windows.breach_sessions(readings_of(_events(i))), "sessions")
+    return _replay(i, lambda events: windows.breach_sessions(readings_of(events())), "sessions")
 
 
 @query("dedupe_alerts", 'SELECT reading_id, sensor_id, value, "timestamp" FROM readings WHERE breach')
 def dedupe_alerts(i):
     """Every breach delivered twice; one of each survives."""
-    readings = readings_of(_events(i)).where(F.col("status") != "NOMINAL").select("reading_id", "sensor_id", "value", "timestamp")
-    again = readings_of(_events(i)).where(F.col("status") != "NOMINAL").select("reading_id", "sensor_id", "value", "timestamp")
-    return _drain(i, alerts.dedupe_alerts(readings.unionByName(again), ["reading_id"]), "dedupe")
+    def build(events):
+        once, again = [
+            readings_of(events()).where(F.col("status") != "NOMINAL").select("reading_id", "sensor_id", "value", "timestamp")
+            for _ in range(2)]
+        return alerts.dedupe_alerts(once.unionByName(again), ["reading_id"])
+
+    return _replay(i, build, "dedupe")
 
 
 @query("dispatch_cooldown", """
 WITH RECURSIVE alert AS (
-  SELECT reading_id, sensor_id, "timestamp" AS t FROM readings WHERE value >= 60),
+  SELECT reading_id, sensor_id, "timestamp" AS t FROM readings WHERE value >= 60
+  AND "timestamp" < (SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL 10 MINUTE FROM readings WHERE value >= 60)),
 chain AS (
   SELECT sensor_id, min(t) AS t FROM alert GROUP BY sensor_id
   UNION ALL
@@ -87,8 +106,8 @@ chain AS (
 SELECT a.sensor_id, min(a.reading_id) AS reading_id, a.t AS "timestamp" FROM alert a JOIN chain c ON a.sensor_id = c.sensor_id AND a.t = c.t
 GROUP BY a.sensor_id, a.t""")
 def dispatch_cooldown(i):
-    stream = readings_of(_events(i)).where(F.col("value") >= 60)
-    return _drain(i, alerts.dispatch_cooldown(stream, "reading_id"), "cooldown")
+    """Decided up to the watermark; later alerts still wait."""
+    return _replay(i, lambda events: alerts.dispatch_cooldown(readings_of(events()).where(F.col("value") >= 60), "reading_id"), "cooldown")
 
 
 _WAVES = 3
@@ -122,18 +141,30 @@ def late_data_audit(i):
 
 
 @query("exactly_once_actions", """
-SELECT 'equipment_dispatch' AS loop, count(*) AS entries FROM critical_latest""")
+SELECT loop, count(*) AS entries FROM (SELECT 'equipment_dispatch' AS loop FROM critical_latest) GROUP BY loop""")
 def exactly_once_actions(i):
-    """Dispatch entries of a drained batch, which is then replayed and must not add rows."""
+    """Dispatch entries of a drained stream, every batch of which is delivered twice and must not add rows.
+
+    A batch keeps its newest critical breach per sensor and metric; the newest of all is picked when they are read.
+    """
     root = new_path(i.spark, "actions")
+    columns = ["reading_id", "sensor_id", "metric", "asset_name", "zone", "value", "baseline", "threshold", "timestamp"]
+
+    def newest(batch):
+        critical = equipment.threshold_breach(batch).where(F.col("status") == "CRITICAL")
+        return equipment.latest_per_sensor(critical, ["reading_id"], columns)
 
-    def entries(batch):
-        return actions.log_entries(actions.equipment_dispatch(batch, "2024-02-01", ["reading_id"]))
+    write = sinks.exactly_once(f"{root}/breaches", newest)
 
-    write = sinks.exactly_once(f"{root}/log", entries)
-    sinks.drain(readings_of(_events(i)), write, f"{root}/checkpoint")
-    write(i.readings, 0)
-    return sinks.read_batches(i.spark, f"{root}/log", schemas.ACTION_LOG).groupBy("loop").agg(F.count("*").alias("entries"))
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    readings = readings_of(_events(i))
+    sinks.drain(readings, twice, f"{root}/checkpoint")
+    kept = sinks.read_batches(i.spark, f"{root}/breaches", readings.select(*columns).schema)
+    entries = actions.log_entries(actions.equipment_dispatch(kept, "2024-02-01", ["reading_id"]))
+    return entries.groupBy("loop").agg(F.count("*").alias("entries"))
 
 
 @query("stream_with_spec", f"""
@@ -154,9 +185,12 @@ AND NOT EXISTS (
   AND a."timestamp" <= d."timestamp" + INTERVAL 1 HOUR)""")
 def ack_timeout(i):
     """Errors without a signup of the same sensor within the hour."""
-    sent = readings_of(_events(i)).where(F.col("metric") == "error").select("reading_id", "sensor_id", "timestamp")
-    acks = readings_of(_events(i)).where(F.col("metric") == "signup").select("sensor_id", "timestamp")
-    return _drain(i, alerts.ack_timeout(sent, acks), "ack")
+    def build(events):
+        sent = readings_of(events()).where(F.col("metric") == "error").select("reading_id", "sensor_id", "timestamp")
+        acks = readings_of(events()).where(F.col("metric") == "signup").select("sensor_id", "timestamp")
+        return alerts.ack_timeout(sent, acks)
+
+    return _replay(i, build, "ack")
 
 
 @query("feed_stream", """

@@ -21,8 +21,10 @@ def dispatch_cooldown(alerts: DataFrame, row_id: str, hours: float = 8, key: str
                       ts: str = "timestamp", watermark: str = WATERMARK) -> DataFrame:
     """At most one alert per key and ``hours``: an alert passes if the last passed one is old enough.
 
-    State is one timestamp per key. A key's alerts of one micro-batch are ordered in its task, so the
-    source's rate limit bounds what a task holds; only time and id columns travel.
+    Alerts wait in state until the watermark has passed them and are then decided in event order, so
+    neither the order of files nor the bounds of micro-batches matter. State per key is the last passed
+    time and the alerts of the watermark's delay; it ends when the cooldown has run out. A key's alerts of
+    one micro-batch meet in its task: the source's rate limit bounds them, and only times and ids travel.
     """
     hold = int(hours * 3600 * 1_000_000)
 
@@ -30,30 +32,40 @@ def dispatch_cooldown(alerts: DataFrame, row_id: str, hours: float = 8, key: str
         import numpy as np
         import pandas as pd
 
-        times, ids = [], []
+        last, waiting_at, waiting_id = state.get if state.exists else (None, [], [])
+        times, ids = [np.array(waiting_at, np.int64)], [np.array(waiting_id)]
         for chunk in chunks:
             times.append(chunk["at"].to_numpy())
             ids.append(chunk["row_id"].to_numpy())
+        ids = [i for t, i in zip(times, ids) if len(t)] or [np.array([])]
         at, row = np.concatenate(times), np.concatenate(ids)
         order = np.lexsort((row, at))
         at, row = at[order], row[order]
-        last = state.get[0] if state.exists else None
+        reached = state.getCurrentWatermarkMs() * 1000
+        final = int(np.searchsorted(at, reached))  # no alert can come before these any more
         kept = []
         position = 0 if last is None else int(np.searchsorted(at, last + hold))
-        while position < len(at):
+        while position < final:
             kept.append(position)
             last = int(at[position])
             position = int(np.searchsorted(at, last + hold))
-        if last is not None:
-            state.update((last,))
+        rest = slice(max(final, 0 if last is None else int(np.searchsorted(at, last + hold))), None)
+        left_at, left_id = at[rest].tolist(), row[rest].tolist()
+        ends = left_at[0] if left_at else None if last is None else last + hold
+        if ends is None or not left_at and ends < reached:
+            state.remove()
+        else:
+            state.update((last, left_at, left_id))
+            state.setTimeoutTimestamp(max(ends, reached) // 1000 + 1)
         yield pd.DataFrame({"key": [group[0]] * len(kept), "row_id": row[kept], "at": at[kept]})
 
     slim = alerts.withWatermark(ts, watermark).select(
-        F.col(key).alias("key"), F.col(row_id).alias("row_id"), F.unix_micros(ts).alias("at"))
+        F.col(key).alias("key"), F.col(row_id).alias("row_id"), F.unix_micros(ts).alias("at"), F.col(ts).alias("seen"))  # the timer needs the watermarked column
     key_type = slim.schema["key"].dataType.simpleString()
     id_type = slim.schema["row_id"].dataType.simpleString()
     kept = slim.groupBy("key").applyInPandasWithState(
-        passed, f"key {key_type}, row_id {id_type}, at bigint", "last bigint", "append", "NoTimeout")
+        passed, f"key {key_type}, row_id {id_type}, at bigint", f"last bigint, at array<bigint>, ids array<{id_type}>",
+        "append", "EventTimeTimeout")
     return kept.select(F.col("key").alias(key), F.col("row_id").alias(row_id), F.timestamp_micros("at").alias(ts))
 
 

@@ -2,25 +2,70 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources import BYTES_PER_BATCH
+
+
+class RowsDropped(RuntimeError):
+    """A drained stream dropped rows that came behind its watermark."""
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+    dropped = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if dropped:
+        raise RowsDropped(f"{dropped} rows came behind the watermark; replay them in time order or keep them with late_data_audit")
+
 
 def drain_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is available into a Parquet table and read it back.
 
-    The file sink commits each micro-batch once, so a restart neither loses nor repeats rows.
+    The file sink commits each micro-batch once, so a restart neither loses nor repeats rows. Rows
+    behind the watermark are an error here, not a silent loss.
     """
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    _finish(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def time_slices(spark: SparkSession, path: str, bytes_per_slice: int = BYTES_PER_BATCH) -> int:
+    """How many slices a stored table (a file or a folder) is replayed in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(1, math.ceil(files.getContentSummary(place).getLength() / bytes_per_slice))
+
+
+def replay_in_order(rows: DataFrame, ts: str, build: Callable[[Callable[[], DataFrame]], DataFrame], root: str,
+                    slices: int = 1, drain: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Replay stored rows through a streaming query in time order, whatever their files or their order in them.
+
+    The rows land in ``slices`` steps of equal size, each one time range and one micro-batch, so no row
+    comes behind the watermark and neither files nor batch bounds change the result. ``build`` makes the
+    query from a function that opens the landed stream; rows without a time come first.
+    """
+    spark, landing = rows.sparkSession, f"{root}/landing"
+    micros = F.unix_micros(ts)
+    shares = [k / slices for k in range(1, slices)]
+    cuts = rows.agg(F.percentile_approx(micros, F.array(*map(F.lit, shares)), 100 * slices)).first()[0] or [] if shares else []
+    edges = [None, *sorted(set(cuts)), None]
+    run = drain or (lambda stream, base: drain_to_table(stream, f"{base}/table", f"{base}/checkpoint"))
+    for low, high in zip(edges, edges[1:]):
+        part = rows.where(F.coalesce(micros >= low, F.lit(False))) if low is not None else rows
+        part = part.where(F.coalesce(micros < high, F.lit(low is None))) if high is not None else part
+        part.write.mode("append").parquet(landing)
+        # No rate limit: what has landed since the last run is one micro-batch.
+        result = run(build(lambda: spark.readStream.schema(rows.schema).parquet(landing)), root)
+    return result
+
+
 def keep_table(stream: DataFrame, path: str, checkpoint: str, every: str = "60 seconds", mode: str = "append"):
     """Keep appending to a Parquet table at an interval; returns the running query."""
     return (
@@ -35,7 +80,7 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    _finish(query)
 
 
 def batch_folder(path: str, batch_id: int) -> str:
@@ -54,15 +99,18 @@ def late_data_audit(path: str, progress: str, ts: str = "timestamp", delay: str
                     ) -> Callable[[DataFrame, int], None]:
     """A batch function that keeps rows older than the watermark in a side table.
 
-    The watermark is the newest time of earlier batches minus ``delay``. Each batch stores its own
-    newest time under its id, so the audit survives restarts and replays.
+    The watermark is the newest time of earlier batches minus ``delay``. Each batch stores the newest
+    time up to it under its id and reads only the one before, so the audit survives restarts and
+    replays and its cost does not grow with the number of batches.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         newest = batch.agg(F.max(ts).alias("newest"))
+        limit = None
+        if batch_id:
+            before = batch.sparkSession.read.schema(newest.schema).parquet(batch_folder(progress, batch_id - 1))
+            limit = before.head().newest
+            newest = newest.select(F.greatest("newest", F.lit(limit)).alias("newest"))
         newest.write.mode("overwrite").parquet(batch_folder(progress, batch_id))
-        seen = read_batches(spark, progress, newest.schema).where(F.col("batch_id") < batch_id)
-        limit = seen.agg(F.max("newest").alias("m")).head().m
         late = batch.where(F.lit(False)) if limit is None else batch.where(
             F.col(ts) < F.lit(limit) - F.expr(f"interval {delay}"))
         late.write.mode("overwrite").parquet(batch_folder(path, batch_id))
