@@ -51,12 +51,15 @@ def due_by(level, ts) -> Column:
 
 
 def breach_direction(event_type, unit, threshold) -> Column:
-    """``above`` or ``below``: the side of the threshold on which an event is a violation."""
-    event_type, unit, threshold = _c(event_type), _c(unit), _c(threshold)
+    """``above`` or ``below``: the side of the threshold on which an event is a violation.
+
+    Days left and distances violate from below, whatever the event; other events go by their type.
+    """
+    event_type, unit, threshold = _c(event_type), F.lower(_c(unit)), _c(threshold)
     return (
         F.when((event_type == "temperature_breach") & (threshold < 0), "below")
         .when(event_type == "temperature_breach", "above")
-        .when(event_type.isin("proximity_event", "cert_expiry"), "below")
+        .when(event_type.isin("proximity_event", "cert_expiry") | unit.isin("days_until_expiry", "meters"), "below")
         .when(event_type.isin("recall_match", "haccp_audit"), "above")
     )
 
@@ -76,9 +79,8 @@ def overshoot(observed, threshold, direction) -> Column:
 def compliance_severity(event_type, observed, threshold) -> Column:
     """Severity from event type and overshoot.
 
-    A recall match is CRITICAL, certificates and audits are LOW while inside their limit's order of
-    magnitude, heat above a chill limit is HIGH, cold below a freezer limit and proximity are
-    MEDIUM, and no violation at all is LOW.
+    A recall match is CRITICAL, heat above a chill limit is HIGH, cold below a freezer limit and
+    proximity are MEDIUM. Certificates, audits and whatever is inside its limit are LOW.
     """
     event_type, observed, threshold = _c(event_type), _c(observed), _c(threshold)
     direction = breach_direction(event_type, F.lit(None).cast("string"), threshold)

@@ -6,6 +6,7 @@ the trigger key, so a replayed batch writes the same ids.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,16 @@ REQUEST_DEFAULTS = {
     },
 }
 
+# What a conversation sends with the loop it fires.
+CONVERSATION_PAYLOADS = {
+    "equipment_dispatch": {
+        "asset": "R-12", "metric": "Compressor cycle time", "value": "340ms", "baseline": "290ms", "zone": "Dairy Zone",
+        "recommendation": f"{RECOMMENDATION} Inspect compressor valve and capacitor.",
+    },
+    "wms_quarantine": REQUEST_DEFAULTS["wms_quarantine"],
+    "pos_markdown": REQUEST_DEFAULTS["pos_markdown"],
+}
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField(name, kind) for name, kind in [
         ("asset", T.StringType()), ("zone", T.StringType()), ("metric", T.StringType()),
@@ -198,13 +209,15 @@ def route_triggers(requests: DataFrame, as_of=None) -> tuple[DataFrame, DataFram
 def actions_from_conversations(turns: DataFrame, triggers: dict[str, list[str]] | None = None,
                                price_words: list[str] | None = None) -> DataFrame:
     """Requests fired by assistant turns ``(conv_id, turn, role, agent, text)``, at most one per turn."""
+    payload = F.lit(None).cast("string")
+    for name, fields in CONVERSATION_PAYLOADS.items():
+        payload = F.when(F.col("loop") == name, json.dumps(fields, ensure_ascii=False)).otherwise(payload)
     fired = (
         turns.where((F.col("role") == "assistant") & (F.length("text") > 0))
         .withColumn("loop", trigger_match("agent", "text", triggers, price_words))
     )
     return fired.where(F.col("loop").isNotNull()).select(
-        F.concat_ws("-", "conv_id", "turn").alias("request_id"), "loop", F.lit(None).cast("string").alias("data"),
-        F.col("text").alias("agent_response"))
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"), "loop", payload.alias("data"), F.col("text").alias("agent_response"))
 
 
 def _text(column: str, decimals: int | None = None) -> Column:

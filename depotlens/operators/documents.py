@@ -51,19 +51,21 @@ def three_way_match(orders: DataFrame, invoices: DataFrame, receipts: DataFrame)
     Inputs: ``orders(po_id, po_date)``, ``invoices(po_id, vendor, invoiced_qty, po_lot_number)`` and
     ``receipts(po_id, vendor, received_qty, lot_number, received_date)``, any number of lines each.
     Invoice and receipt lines are summed before they meet, so line duplicates cannot multiply; a
-    side without its counterpart stays as PENDING.
+    side without its counterpart stays as PENDING. Lots match if both sides name the same ones; they
+    come as sorted, comma-joined sets, bounded by an order's lines.
     """
+    lots = lambda c: F.array_join(F.sort_array(F.collect_set(normalise_lot(c))), ",")
     invoiced = invoices.groupBy("po_id", "vendor").agg(
-        F.sum("invoiced_qty").alias("invoiced_qty"), F.max("po_lot_number").alias("po_lot_number"))
+        F.sum("invoiced_qty").alias("invoiced_qty"), lots("po_lot_number").alias("po_lot_number"))
     received = receipts.groupBy("po_id", "vendor").agg(
-        F.sum("received_qty").alias("received_qty"), F.min("lot_number").alias("lot_number"),
+        F.sum("received_qty").alias("received_qty"), lots("lot_number").alias("lot_number"),
         F.max("received_date").alias("received_date"))
     lines = invoiced.join(received, ["po_id", "vendor"], "full_outer")
     joined = orders.select("po_id", "po_date").withColumn("has_po", F.lit(True)).join(lines, "po_id", "full_outer")
     has_po = F.coalesce("has_po", F.lit(False))
     complete = has_po & F.col("invoiced_qty").isNotNull() & F.col("received_qty").isNotNull()
     qty_ok = F.col("received_qty") == F.col("invoiced_qty")
-    lot_ok = normalise_lot("lot_number") == normalise_lot("po_lot_number")
+    lot_ok = F.col("lot_number") == F.col("po_lot_number")
     status = (
         F.when(~complete, "PENDING").when(~qty_ok, "QTY_MISMATCH")
         .when(~F.coalesce(lot_ok, F.lit(False)), "LOT_MISMATCH").otherwise("MATCHED")

@@ -16,9 +16,6 @@ RECENT_COLUMNS = [
 ]
 
 
-MAX_METRICS = 100_000  # rows of a per-metric table that may be broadcast
-
-
 def recent_equipment(readings: DataFrame, as_of=None, hours: int = 2, limit: int = 50) -> DataFrame:
     """Readings of the last two hours, most anomalous first."""
     rows = time_slice(readings, "timestamp", as_of, f"{hours} hours").select(*RECENT_COLUMNS)
@@ -122,7 +119,7 @@ def sensor_profile(readings: DataFrame) -> DataFrame:
     counts = readings.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("_c"))
     running = ordered.prefix_sums(counts, [F.col("metric"), F.col("value")], {"_before": F.col("_c")}, "profile")
     starts = running.groupBy("metric").agg(F.min("_before").alias("_start"), F.sum("_c").alias("_n"))
-    starts = ordered.sized_broadcast(ordered.rekeyed(starts, "metric", "_metric"), MAX_METRICS)
+    starts = ordered.rekeyed(starts, "metric", "_metric")
     placed = running.join(starts, F.col("metric") == F.col("_metric")).withColumn("_pos", F.col("_before") - F.col("_start"))
     picks = []
     for name, q in (("p50", 0.5e0), ("p95", 0.95e0)):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.timing import as_ts
+from ..sources.scratch import materialise
 from . import ordered
 
 # Columns of the at-risk view, and the strict limits of both risk views below.
@@ -80,6 +81,8 @@ def rank_inventory(inventory: DataFrame, score: str = "spoilage_risk_score", key
     count instead; tied scores are resolved from a per-score table.
     """
     one = F.lit(1).cast("long")
+    # Written once: the range sample, the range write and the score table would each evaluate it again.
+    inventory = materialise(inventory, "ranked-rows")
     numbered = ordered.prefix_sums(inventory, [F.desc_nulls_last(score), F.asc(key)], {"_before": one}, "rank")
     scores = inventory.groupBy(F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
     # Rounded scores make this table short; it is numbered the same way in case they are not.

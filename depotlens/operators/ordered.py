@@ -127,7 +127,8 @@ def next_within(df: DataFrame, keys: list[str], ts: str, is_target: Column, hori
         marked.groupBy("_key", "_slice").agg(F.min("_target").alias("_first"))
         .select("_key", "_slice", F.min("_first").over(later).alias("_later"))
     )
-    ahead = W.partitionBy("_key", "_slice").orderBy(ts).rangeBetween(W.currentRow, W.unboundedFollowing)
+    # Read backwards, the frame only ever grows: one pass, where a frame that shrinks is summed anew for each row.
+    ahead = W.partitionBy("_key", "_slice").orderBy(F.col(ts).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     return (
         marked.withColumn("_own", F.min("_target").over(ahead))
         .join(summary, ["_key", "_slice"])
@@ -170,11 +171,6 @@ def rekeyed(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.withColumn(name, F.concat(F.col(key), F.lit(""))).drop(key)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint if ``df`` has at most ``max_rows`` rows; beyond that AQE picks the join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def top_k(df: DataFrame, keys: list[Column], k: int) -> DataFrame:
     """ORDER BY + LIMIT; Catalyst plans TakeOrderedAndProject, so each task keeps k rows."""
     return df.orderBy(*keys).limit(k)

@@ -8,10 +8,7 @@ queries mean more passes. Scores are rounded to 6 places before ranking and ties
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +18,8 @@ from ..functions.text import tokens
 from ..sources.scratch import materialise, new_path
 from . import ordered
 
-MAX_HITS = 100_000  # hit rows that may be broadcast to the passages
 BLOCK_QUERIES = 512
 BLOCK_TERMS = 8192
-PLAN_BLOCKS = 8  # query blocks kept in one lazy plan
 RRF_OFFSET = 60
 
 
@@ -55,26 +50,19 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, i
 def _ranked(parts: Iterator[DataFrame], k: int, score: str, empty: DataFrame) -> DataFrame:
     """Final k per query over the tasks' candidates, block by block.
 
-    Each query belongs to one block, so blocks are ranked apart. A few blocks stay one lazy plan; with
-    many, each is written as it comes, and the driver holds one block of queries at a time.
+    Each query belongs to one block, so blocks are ranked apart. Each is written as it comes, whatever
+    their number, and the driver holds one block of queries at a time.
     """
     def rank(candidates: DataFrame) -> DataFrame:
         top = ordered.top_k_per(candidates, ["query_id"], [F.desc(score), F.asc("item_id")], k, "rank")
         return top.withColumn("rank", F.col("rank").cast("long"))
 
-    first = [rank(part) for part in islice(parts, PLAN_BLOCKS)]
-    if not first:
-        return rank(empty)
-    following = next(parts, None)
-    if following is None:
-        return reduce(lambda a, b: a.unionByName(b), first)
     path = new_path(empty.sparkSession, "ranked")
-    while first:
-        first.pop(0).write.mode("append").parquet(path)
-    while following is not None:
-        rank(following).write.mode("append").parquet(path)
-        following = next(parts, None)
-    return empty.sparkSession.read.schema(rank(empty).schema).parquet(path)
+    schema = rank(empty).schema
+    empty.sparkSession.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        rank(part).write.mode("append").parquet(path)
+    return empty.sparkSession.read.schema(schema).parquet(path)
 
 
 def _blocks(rows: Iterator, size: int) -> Iterator[list]:
@@ -252,7 +240,7 @@ def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float,
     return score
 
 
-_EVERY = ""  # pseudo term that stands for every passage in the statistics pass
+_EVERY = ""  # pseudo term that stands for every passage in the statistics
 
 
 def lexical_topk(queries: DataFrame, passages: DataFrame, k: int = 5, query_id: str = "query_id",
@@ -260,33 +248,34 @@ def lexical_topk(queries: DataFrame, passages: DataFrame, k: int = 5, query_id:
                  k1: float = 1.2, b: float = 0.75, block: int = BLOCK_QUERIES) -> DataFrame:
     """BM25 top-k over passages: ``(query_id, item_id, score, rank)``.
 
-    One pass counts passages, words and the document frequency of query terms; one scores. A query
-    counts each of its terms once.
+    Passages are read and cut into words once, and the words are stored. One aggregate over them counts
+    passages, words and the document frequency of all query terms; a join gives every query its terms'
+    weights. Blocks of weighted queries are then scored over the stored words. A query counts each of its
+    terms once.
     """
     spark = passages.sparkSession
     schema = _result_schema(queries, passages, query_id, item_id, "score")
     words = passages.select(F.col(item_id), tokens(passage_text).alias("_words")).where(F.size("_words") > 0)
-    asked = queries.select(query_id, F.array_distinct(tokens(query_text)).alias("_t")).where(F.size("_t") > 0)
+    words = materialise(words, "passage-words")
+    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
+    wanted = asked.select("term").union(spark.createDataFrame([(_EVERY,)], "term string")).distinct()
+    seen = words.select(
+        F.explode(F.array_append(F.array_distinct("_words"), _EVERY)).alias("term"), F.size("_words").alias("_len"))
+    counted = seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_len").alias("words"))
+    counted = materialise(counted, "term-counts")
+    every = counted.where(F.col("term") == _EVERY)
+    n = every.select("df").scalar()
+    idf = F.log(1e0 + (n - F.col("df") + 0.5e0) / (F.col("df") + 0.5e0))
+    weighted = asked.join(counted.select("term", idf.alias("idf")), "term").groupBy(query_id).agg(
+        F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_t"))
+    average = every.select(F.col("words") / F.col("df")).first()
 
     def parts():
-        for rows in _term_blocks(asked.toLocalIterator(), block):
-            vocabulary = sorted({term for row in rows for term in row[1]})
-            place = {term: n for n, term in enumerate(vocabulary)}
-            lookup = spark.createDataFrame([(term,) for term in [_EVERY, *vocabulary]], "term string")
-            seen = words.select(
-                F.explode(F.array_append(F.array_distinct("_words"), _EVERY)).alias("term"), F.size("_words").alias("_len"))
-            # The vocabulary bounds both the broadcast and the collected counts.
-            counted = {
-                r.term: r for r in seen.join(F.broadcast(lookup), "term").groupBy("term")
-                .agg(F.count("*").alias("df"), F.sum("_len").alias("words")).collect()
-            }
-            if _EVERY not in counted:
-                return
-            n = counted[_EVERY].df
-            idf = {term: math.log(1.0 + (n - r.df + 0.5) / (r.df + 0.5)) for term, r in counted.items()}
-            weights = [[(place[t], idf[t]) for t in row[1] if t in idf] for row in rows]
-            scorer = _lexical_scorer([row[0] for row in rows], vocabulary, weights, counted[_EVERY].words / n, k, k1, b)
-            yield words.mapInArrow(scorer, schema)
+        for rows in _term_blocks(weighted.toLocalIterator(), block):
+            vocabulary = sorted({term for row in rows for term, _ in row[1]})
+            place = {term: at for at, term in enumerate(vocabulary)}
+            weights = [[(place[term], value) for term, value in row[1]] for row in rows]
+            yield words.mapInArrow(_lexical_scorer([row[0] for row in rows], vocabulary, weights, average[0], k, k1, b), schema)
 
     return _ranked(parts(), k, "score", spark.createDataFrame([], schema))
 
@@ -295,10 +284,11 @@ def _term_blocks(rows: Iterator, size: int) -> Iterator[list]:
     """Blocks bounded in queries and in distinct terms; a longer query forms a block of its own."""
     block, seen = [], set()
     for row in rows:
-        new = seen | set(row[1])
+        terms = {term for term, _ in row[1]}
+        new = seen | terms
         if block and (len(block) == size or len(new) > BLOCK_TERMS):
             yield block
-            block, new = [], set(row[1])
+            block, new = [], terms
         block.append(row)
         seen = new
     if block:
@@ -325,9 +315,8 @@ def hybrid_topk(queries: DataFrame, dense: DataFrame, lexical: DataFrame, k: int
 def retrieved_context(hits: DataFrame, passages: DataFrame, item_id: str = "chunk_id", text: str = "chunk") -> DataFrame:
     """The hits' passages as one JSON array per query, best first. A group holds at most k rows.
 
-    Hits are written once and their size checked, so that a short hit list does not shuffle passages.
+    Hits are stored by the searches above, so their size is known and a short list is broadcast by itself.
     """
-    hits = ordered.sized_broadcast(materialise(hits, "hits"), MAX_HITS)
     rows = hits.join(passages.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), "item_id")
     entry = F.struct("rank", "item_id", "text")
     packed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))

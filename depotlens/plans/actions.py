@@ -10,8 +10,9 @@ from ..functions import scoring
 from ..functions.scoring import money
 from ..functions.text import action_key, reasoning_excerpt, trigger_match
 from ..functions.timing import parse_iso_utc
-from ..operators import actions
+from ..operators import actions, equipment
 from ..operators.inventory import high_risk_inventory
+from ..operators.ordered import prefix_sums
 from ..sources import action_log
 from ..sources.scratch import new_path
 from .adapters import (
@@ -95,13 +96,13 @@ def revenue_at_risk(i):
 
 def _staggered(i):
     """Markdowns whose start follows the SKU's dwell time, so that some have run out."""
-    start = F.col("effective_at") - F.make_interval(hours=F.col("days_to_expiry").cast("int") + 2)
+    start = F.col("effective_at") - F.make_interval(hours=F.col("days_to_expiry").cast("int") * 3 + 4)
     return Loops(i).markdowns.withColumn("effective_at", start).withColumn(
         "expires_at", F.col("effective_at") + F.expr("interval 8 hours"))
 
 
-_ACTIVE = """markdowns WHERE TIMESTAMP '2001-05-01' - to_hours(CAST(days_to_expiry + 2 AS INTEGER)) <= TIMESTAMP '2001-05-01'
-  AND TIMESTAMP '2001-05-01' < TIMESTAMP '2001-05-01' - to_hours(CAST(days_to_expiry + 2 AS INTEGER)) + INTERVAL 8 HOUR"""
+_ACTIVE = """markdowns WHERE TIMESTAMP '2001-05-01' - to_hours(CAST(days_to_expiry * 3 + 4 AS INTEGER)) <= TIMESTAMP '2001-05-01'
+  AND TIMESTAMP '2001-05-01' < TIMESTAMP '2001-05-01' - to_hours(CAST(days_to_expiry * 3 + 4 AS INTEGER)) + INTERVAL 8 HOUR"""
 
 
 @query("active_markdowns", f"SELECT sku_id, days_to_expiry, new_price FROM {_ACTIVE}")
@@ -130,13 +131,22 @@ def trigger_match_query(i):
         "conv_id", "turn", trigger_match("agent", "text", CONVERSATION_TRIGGERS, CONVERSATION_PRICE_WORDS).alias("loop"))
 
 
-@query("actions_from_conversations", "SELECT request_id, loop, text AS agent_response FROM fired")
+@query("actions_from_conversations", """
+SELECT request_id, loop, text AS agent_response, CASE loop WHEN 'equipment_dispatch' THEN 'R-12' END AS asset,
+       CASE loop WHEN 'equipment_dispatch' THEN 'Compressor cycle time' END AS metric, CASE loop WHEN 'equipment_dispatch' THEN '340ms' END AS value,
+       CASE loop WHEN 'equipment_dispatch' THEN '290ms' END AS baseline, CASE loop WHEN 'wms_quarantine' THEN 'RLT-2024-0891' END AS lot_number,
+       CASE loop WHEN 'equipment_dispatch' THEN NULL ELSE 340 END::BIGINT AS units, CASE loop WHEN 'pos_markdown' THEN 12.99e0 END AS original_price
+FROM fired""")
 def actions_from_conversations(i):
-    return actions.actions_from_conversations(i.turns, CONVERSATION_TRIGGERS, CONVERSATION_PRICE_WORDS).drop("data")
+    """Requests of conversation turns, with the payload each loop carries."""
+    requests = actions.actions_from_conversations(i.turns, CONVERSATION_TRIGGERS, CONVERSATION_PRICE_WORDS)
+    data = F.from_json("data", actions.REQUEST_SCHEMA)
+    return requests.select("request_id", "loop", "agent_response", *[
+        data[name].alias(name) for name in ("asset", "metric", "value", "baseline", "lot_number", "units", "original_price")])
 
 
 def _requests(i):
-    """Requests built from markdowns and quarantines, some fields left out, and one loop unknown."""
+    """Requests built from stock, readings and documents, some fields left out, and one loop unknown."""
     md = i.inventory.select(
         F.concat(F.lit("m-"), "sku_id").alias("request_id"),
         F.when(F.col("category") == "SMALL", "price_match").otherwise("pos_markdown").alias("loop"),
@@ -146,25 +156,35 @@ def _requests(i):
         F.concat(F.lit("e-"), "reading_id").alias("request_id"), F.lit("equipment_dispatch").alias("loop"),
         F.to_json(F.struct(F.col("asset_name").alias("asset"), "metric",
                            F.format_string("%.2fms", "value").alias("value"), F.lit("50ms").alias("baseline"))).alias("data"))
-    return md.unionByName(eq).withColumn("agent_response", F.lit(None).cast("string"))
+    qr = i.documents.select(
+        F.concat(F.lit("q-"), "bol_id").alias("request_id"), F.lit("wms_quarantine").alias("loop"),
+        F.to_json(F.struct("bol_id", "lot_number", "vendor", F.col("product_name").alias("product"),
+                           F.when(F.col("received_qty") > 0, F.col("received_qty")).alias("units"))).alias("data"))
+    return md.unionByName(eq).unionByName(qr).withColumn("agent_response", F.lit(None).cast("string"))
 
 
 @query("route_triggers", """
-SELECT loop, status, sku_id, product_name, original_price, new_price, units_affected, revenue_recovered, asset, zone, value, pct_from_baseline
+SELECT loop, status, sku_id, product_name, original_price, new_price, units_affected, revenue_recovered, asset, zone, value, pct_from_baseline,
+       bol_id, lot_number, vendor, units_quarantined, location, recall_class
 FROM (
   SELECT 'pos_markdown' AS loop, 'MARKDOWN APPLIED' AS status, sku_id, 'Atlantic Salmon Fillets 2lb' AS product_name,
          unit_price AS original_price, round(unit_price * (1e0 - 30e0 / 100e0), 2) AS new_price,
          CASE WHEN days_to_expiry > 0 THEN qty_on_hand ELSE 340 END AS units_affected,
          round(round(unit_price * (1e0 - 30e0 / 100e0), 2) * CASE WHEN days_to_expiry > 0 THEN qty_on_hand ELSE 340 END, 2) AS revenue_recovered,
-         NULL::VARCHAR AS asset, 'Meat & Seafood' AS zone, NULL::DOUBLE AS value, NULL::DOUBLE AS pct_from_baseline
+         NULL::VARCHAR AS asset, 'Meat & Seafood' AS zone, NULL::DOUBLE AS value, NULL::DOUBLE AS pct_from_baseline, NULL::VARCHAR AS bol_id,
+         NULL::VARCHAR AS lot_number, NULL::VARCHAR AS vendor, NULL::BIGINT AS units_quarantined, NULL::VARCHAR AS location, NULL::VARCHAR AS recall_class
   FROM inventory WHERE category <> 'SMALL'
   UNION ALL
   SELECT 'equipment_dispatch', 'DISPATCHED', NULL, NULL, NULL, NULL, NULL, NULL, asset_name, 'Dairy Zone', value,
-         round((value - 50e0) / 50e0 * 100e0, 6) FROM readings)""")
+         round((value - 50e0) / 50e0 * 100e0, 6), NULL, NULL, NULL, NULL, NULL, NULL FROM readings
+  UNION ALL
+  SELECT 'wms_quarantine', 'QUARANTINED', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, bol_id, lot_number, vendor,
+         CASE WHEN received_qty > 0 THEN received_qty ELSE 340 END, 'Receiving Dock — Bay 3', 'Class II' FROM docs)""")
 def route_triggers(i):
     routed, _ = actions.route_triggers(_requests(i), INVENTORY_AS_OF)
     return routed.select("loop", "status", "sku_id", "product_name", "original_price", "new_price", "units_affected",
-                         "revenue_recovered", "asset", "zone", "value", "pct_from_baseline")
+                         "revenue_recovered", "asset", "zone", "value", "pct_from_baseline", "bol_id", "lot_number", "vendor",
+                         "units_quarantined", "location", "recall_class")
 
 
 @query("route_rejects", """
@@ -177,7 +197,7 @@ def route_rejects(i):
 SELECT loop, step_no, step, label, detail FROM (
   SELECT loop, 1::BIGINT AS step_no, 'trigger' AS step, CASE loop WHEN 'equipment_dispatch' THEN 'Sensor Anomaly Detected'
          WHEN 'wms_quarantine' THEN 'FDA Recall Match Detected' ELSE 'Spoilage Risk Threshold Exceeded' END AS label,
-         CASE loop WHEN 'equipment_dispatch' THEN 'R-12 — n/a: n/a vs n/a baseline (n/a%)'
+         CASE loop WHEN 'equipment_dispatch' THEN 'R-12 — Compressor cycle time: 340.00 vs 290.00 baseline (17.2%)'
          WHEN 'wms_quarantine' THEN 'Class II recall on lot #RLT-2024-0891 matched BOL-74808.'
          ELSE 'Atlantic Salmon Fillets 2lb — risk score 0.870, 2 days to expiry, 340 units' END AS detail FROM fired
   UNION ALL
@@ -186,7 +206,7 @@ SELECT loop, step_no, step, label, detail FROM (
   UNION ALL
   SELECT loop, 3, 'action', CASE loop WHEN 'equipment_dispatch' THEN 'Maintenance Dispatch Sent'
          WHEN 'wms_quarantine' THEN 'WMS Quarantine Record Written' ELSE 'POS Price Update Applied' END,
-         CASE loop WHEN 'equipment_dispatch' THEN 'Alert queued: Dispatch maintenance technician immediately.'
+         CASE loop WHEN 'equipment_dispatch' THEN 'Alert queued: Dispatch maintenance technician immediately. Inspect compressor valve and capacitor.'
          WHEN 'wms_quarantine' THEN '340 units of Romaine Lettuce (bagged) — Lot #RLT-2024-0891 — status set to QUARANTINED'
          ELSE 'Atlantic Salmon Fillets 2lb — $12.99 → $9.09 (30% off)' END FROM fired
   UNION ALL
@@ -195,7 +215,7 @@ SELECT loop, step_no, step, label, detail FROM (
          WHEN 'wms_quarantine' THEN '340 units isolated at Receiving Dock — Bay 3. Vendor notification: pending.'
          ELSE 'Revenue recovered: $3,090.60 of $4,416.60 at risk. Markdown expires in 8 hours.' END FROM fired)""")
 def loop_trace(i):
-    """Traces of the actions that conversations fire, on default payloads."""
+    """Traces of the actions that conversations fire."""
     requests = actions.actions_from_conversations(i.turns, CONVERSATION_TRIGGERS, CONVERSATION_PRICE_WORDS)
     return actions.loop_trace(actions.route_triggers(requests, INVENTORY_AS_OF)[0]).drop("action_id")
 
@@ -223,15 +243,25 @@ def append_actions(i):
 
 
 @query("read_actions", """
-SELECT row_number() OVER (ORDER BY "timestamp", sku_id) AS n, sku_id, "timestamp" FROM (SELECT sku_id, TIMESTAMP '2001-05-01' AS "timestamp" FROM markdowns)""")
+WITH done AS (
+  SELECT 'equipment_dispatch' AS loop, NULL::VARCHAR AS record, (SELECT max(ts) FROM events) AS "timestamp" FROM critical_latest
+  UNION ALL SELECT 'wms_quarantine', 'quarantine', TIMESTAMP '1998-06-30' FROM matched
+  UNION ALL SELECT 'pos_markdown', 'markdown', TIMESTAMP '2001-05-01' FROM markdowns),
+numbered AS (SELECT *, row_number() OVER (ORDER BY "timestamp") AS action FROM done)
+SELECT row_number() OVER (ORDER BY action, seq) AS n, loop, CASE seq WHEN 0 THEN record END AS type, "timestamp", true AS in_order
+FROM numbered, (SELECT unnest([0, 1]) AS seq) WHERE seq = 1 OR record IS NOT NULL""")
 def read_actions(i):
-    """Markdown records of the log in entry order, numbered without a global window."""
-    from ..operators.ordered import prefix_sums
+    """Every entry of the whole log in log order, numbered without a global window; ids only have to ascend within a time."""
     path = new_path(i.spark, "action-log")
-    action_log.append_actions(Loops(i).markdowns, path)
-    records = action_log.read_actions(i.spark, path).where(F.col("type") == "markdown").select("sku_id", "timestamp")
-    numbered = prefix_sums(records, [F.asc("timestamp"), F.asc("sku_id")], {"_before": F.lit(1).cast("long")}, "log-order")
-    return numbered.select((F.col("_before") + 1).alias("n"), "sku_id", "timestamp")
+    loops = Loops(i)
+    for frame in (loops.dispatches, loops.quarantines, loops.markdowns):
+        action_log.append_actions(frame, path)
+    entries = action_log.read_actions(i.spark, path).select("timestamp", "action_id", "seq", "loop", "type")
+    numbered = prefix_sums(entries, action_log.log_order(), {"_before": F.lit(1).cast("long")}, "log-order")
+    before = numbered.select((F.col("_before") + 1).alias("n"), F.struct("timestamp", "action_id", "seq").alias("last"))
+    placed = numbered.join(before, F.col("_before") == F.col("n"), "left").drop("n")
+    in_order = F.col("last").isNull() | (F.col("last") < F.struct("timestamp", "action_id", "seq"))
+    return placed.select((F.col("_before") + 1).alias("n"), "loop", "type", "timestamp", in_order.alias("in_order"))
 
 
 @query("dispatch_outbox", """
@@ -247,6 +277,29 @@ def dispatch_outbox(i):
     return i.spark.read.parquet(path).select("kind", F.from_json("payload", schema).alias("p")).select("kind", "p.*")
 
 
+@query("dispatch_outbox_other", """
+SELECT 'equipment_warning' AS kind, 'Alert: equipment_warning — ' || asset_name || ' — ' || zone || ' ' || metric || ': ' || printf('%.2f', value)
+       || ' vs ' || printf('%.2f', baseline) || ' baseline' AS text FROM critical_latest""")
+def dispatch_outbox_other(i):
+    """Kinds other than the critical one carry a line of text."""
+    path = new_path(i.spark, "outbox")
+    action_log.write_outbox(actions.dispatch_outbox(Loops(i).dispatches, "equipment_warning"), path)
+    return i.spark.read.parquet(path).select("kind", F.from_json("payload", "text string").alias("p")).select("kind", "p.text")
+
+
+@query("equipment_dispatch_low", """
+SELECT asset_name AS asset, metric, value, "timestamp" AS seen FROM (
+  SELECT * FROM (SELECT *, value >= 60 AS hit, abs(value - 60) > abs(60 - baseline) AS critical FROM readings WHERE metric <> 'view')
+  WHERE hit AND critical QUALIFY row_number() OVER (PARTITION BY sensor_id, metric ORDER BY "timestamp" DESC, reading_id DESC) = 1)""")
+def equipment_dispatch_low(i):
+    """Dispatches at a lower threshold, where sensors breach again and again and only the newest breach counts."""
+    low = i.readings.where(F.col("metric") != "view").withColumn("threshold", F.lit(60e0))
+    fired = actions.equipment_dispatch(equipment.with_status(low), i.now, TIE).select("asset", "metric", "value", "action_id")
+    times = low.select(F.unix_micros("timestamp").alias("micros"), "sensor_id", F.col("metric").alias("m"), F.col("timestamp").alias("seen"))
+    keyed = times.select(action_key("ACT", F.lit("equipment_dispatch"), "sensor_id", "m", F.col("micros")).alias("action_id"), "seen").distinct()
+    return fired.join(keyed, "action_id").drop("action_id")
+
+
 @query("reasoning_excerpt", "SELECT conv_id, turn, substr(text, 1, 180) || '…' AS excerpt FROM conversations")
 def reasoning_excerpt_query(i):
     return i.table("conversations").select("conv_id", "turn", reasoning_excerpt("text").alias("excerpt"))

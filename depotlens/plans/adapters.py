@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as doc_rules
 from ..functions import scoring
+from ..streaming.sources import BYTES_PER_BATCH
 
 INVENTORY_AS_OF = "2001-05-01"
 DOCUMENTS_AS_OF = "1998-06-30"
@@ -40,18 +41,12 @@ def pick(values: list[str], index: Column) -> Column:
 class Inputs:
     """Lazy frames over one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, bytes_per_slice: int = BYTES_PER_BATCH):
+        self.spark, self.folder, self.bytes_per_slice = spark, folder, bytes_per_slice
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
-    def texts(self) -> DataFrame:
-        """Documents, spread over the cores when they come in fewer files than there are cores."""
-        documents, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
-        return documents.repartition(cores) if len(documents.inputFiles()) < cores else documents
-
     @cached_property
     def raw_events(self) -> DataFrame:
         return self.spark.read.schema(EVENTS).parquet(f"{self.folder}/events.parquet")
@@ -111,7 +106,22 @@ class Inputs:
     @cached_property
     def documents(self) -> DataFrame:
         """One document per (order, supplier); lines are summed first because line numbers repeat."""
-        lines = self.table("lineitem").join(
+        return self._documents(self.table("lineitem"))
+
+    def documents_shipped(self, since: str, until: str) -> DataFrame:
+        """The documents with a line shipped between two days (inclusive), among them all first shipped then.
+
+        The dates reach the scan that picks orders, and only their lines are joined and grouped.
+        """
+        day = F.to_date("l_shipdate")
+        first, after = F.lit(since).cast("date"), F.date_add(F.lit(until).cast("date"), 1)
+        kind = self.table("lineitem").schema["l_shipdate"].dataType
+        shipped = self.table("lineitem").where((F.col("l_shipdate") >= first.cast(kind)) & (F.col("l_shipdate") < after.cast(kind)))
+        orders = shipped.where(day.isNotNull()).select("l_orderkey", "l_suppkey")
+        return self._documents(self.table("lineitem").join(orders, ["l_orderkey", "l_suppkey"], "left_semi"))
+
+    def _documents(self, lineitem: DataFrame) -> DataFrame:
+        lines = lineitem.join(
             self.table("part").select("p_partkey", "p_type", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
         returned = F.col("l_returnflag") == "R"
         docs = lines.groupBy("l_orderkey", "l_suppkey").agg(
@@ -137,12 +147,12 @@ class Inputs:
 
     @cached_property
     def recalls(self) -> DataFrame:
-        """Recalls of the two largest part sizes, each naming two lots in free text."""
-        part = self.table("part").where(F.col("p_size") >= 49)
+        """A recall per part, naming two lots in free text; those of large parts are ongoing."""
+        part = self.table("part")
         second = F.regexp_replace(lot_code(F.col("p_partkey") + 1), "LOT", "lot")
         return part.select(
             F.concat(F.lit("F-"), F.col("p_partkey")).alias("recall_number"),
-            F.when(F.col("p_size") == 50, "Ongoing").otherwise("Terminated").alias("status"),
+            F.when(F.col("p_size") > 45, "Ongoing").otherwise("Terminated").alias("status"),
             pick(["Class I", "Class II", "Class III"], F.col("p_partkey") % 3).alias("classification"),
             F.initcap(F.element_at(F.split("p_name", " "), 2)).alias("product"), F.lit("Labelling").alias("reason"),
             F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 100).cast("string"), 9, "0")).alias("vendor"),
@@ -150,7 +160,7 @@ class Inputs:
             F.concat(F.lit("Lots: #"), lot_code(F.col("p_partkey")), F.lit(", "), second, F.lit("; UPC 123")).alias("lot_numbers"),
             F.col("p_type").alias("quantity"),
             F.date_add(F.lit("1998-01-01").cast("date"), (F.col("p_partkey") % 365).cast("int")).alias("recall_date"),
-            F.lit(None).cast("string").alias("termination_date"),
+            F.when(F.col("p_size") <= 45, "19990101").alias("termination_date"),
         )
 
     @cached_property

@@ -21,7 +21,7 @@ _RECENT = """
 
 @query("recent_documents", f"SELECT * FROM ({_RECENT})")
 def recent_documents(i):
-    return documents.recent_documents(i.documents, DOCUMENTS_AS_OF)
+    return documents.recent_documents(i.documents_shipped("1998-06-23", DOCUMENTS_AS_OF), DOCUMENTS_AS_OF)
 
 
 @query("flagged_documents", """
@@ -79,9 +79,9 @@ _MATCHES = f"""
     SELECT coalesce(i.po_id, r.po_id) AS po_id, coalesce(i.vendor, r.vendor) AS vendor, invoiced_qty, received_qty, lot_number,
            po_lot_number, received_date
     FROM (SELECT l_orderkey AS po_id, l_suppkey AS vendor, CAST(sum(l_quantity) AS BIGINT) AS invoiced_qty,
-                 max({lot("l_partkey")}) AS po_lot_number FROM lineitem GROUP BY ALL) i
+                 string_agg(DISTINCT {lot("l_partkey")}, ',' ORDER BY {lot("l_partkey")}) AS po_lot_number FROM lineitem GROUP BY ALL) i
     FULL JOIN (SELECT l_orderkey AS po_id, l_suppkey AS vendor, CAST(sum(l_quantity) AS BIGINT) AS received_qty,
-                      min({lot("l_partkey")}) AS lot_number, CAST(max(l_shipdate) AS DATE) AS received_date
+                      string_agg(DISTINCT {lot("l_partkey")}, ',' ORDER BY {lot("l_partkey")}) AS lot_number, CAST(max(l_shipdate) AS DATE) AS received_date
                FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL) r ON i.po_id = r.po_id AND i.vendor = r.vendor) l
   ON o.po_id = l.po_id"""
 
@@ -118,7 +118,7 @@ FROM (SELECT vendor, shipment_date, CAST(o_orderdate AS DATE) + 30 AS promised F
       WHERE shipment_date >= DATE '1998-06-30' - 30 AND shipment_date <= DATE '1998-06-30') GROUP BY vendor""")
 def vendor_sla(i):
     orders = i.table("orders").select(F.col("o_orderkey").alias("po_id"), F.date_add(F.to_date("o_orderdate"), 30).alias("promised_date"))
-    return documents.vendor_sla(i.documents.join(orders, "po_id"), DOCUMENTS_AS_OF)
+    return documents.vendor_sla(i.documents_shipped("1998-05-31", DOCUMENTS_AS_OF).join(orders, "po_id"), DOCUMENTS_AS_OF)
 
 
 @query("vendor_discrepancies", """
@@ -147,7 +147,7 @@ def top_discrepancies(i):
 
 @query("grounding_documents", f"SELECT 'document' AS agent, bol_id, status FROM ({_RECENT})")
 def grounding_documents(i):
-    rows = documents.recent_documents(i.documents, DOCUMENTS_AS_OF)
+    rows = documents.recent_documents(i.documents_shipped("1998-06-23", DOCUMENTS_AS_OF), DOCUMENTS_AS_OF)
     packed = feed.grounding_context(rows, "document", [document_rank("status").asc(), F.desc("shipment_date"), F.asc("bol_id")])
     schema = "array<struct<bol_id: string, status: string>>"
     return packed.select("agent", F.explode(F.from_json("context", schema)).alias("r")).select("agent", "r.*")

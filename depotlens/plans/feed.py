@@ -96,8 +96,10 @@ WITH latest AS (
   QUALIFY row_number() OVER (PARTITION BY CAST("timestamp" AS DATE), sensor_id, metric ORDER BY "timestamp" DESC, reading_id DESC) = 1),
 assets AS (SELECT day, asset_name, bool_and(status = 'NOMINAL') AS ok FROM latest GROUP BY day, asset_name),
 kpis AS (
-  SELECT CAST(snapshot_timestamp AS DATE) AS day, 'active_skus' AS metric, count(DISTINCT sku_id)::DOUBLE AS value FROM inventory GROUP BY day
-  UNION ALL SELECT CAST(snapshot_timestamp AS DATE) AS day, 'at_risk_units', sum(qty_on_hand)::DOUBLE FROM high_risk GROUP BY day
+  SELECT CAST(snapshot_timestamp AS DATE) - ago AS day, 'active_skus' AS metric, count(DISTINCT sku_id)::DOUBLE AS value
+  FROM inventory, (SELECT unnest([0, 1, 2]) AS ago) WHERE qty_on_hand % 7 >= ago GROUP BY day
+  UNION ALL SELECT CAST(snapshot_timestamp AS DATE) - ago AS day, 'at_risk_units', sum(qty_on_hand)::DOUBLE
+  FROM high_risk, (SELECT unnest([0, 1, 2]) AS ago) WHERE qty_on_hand % 7 >= ago GROUP BY day
   UNION ALL SELECT day, 'cold_chain_ok', count_if(ok)::DOUBLE FROM assets GROUP BY day
   UNION ALL SELECT day, 'cold_chain_total', count(*)::DOUBLE FROM assets GROUP BY day
   UNION ALL
@@ -107,4 +109,7 @@ kpis AS (
   UNION ALL SELECT shipment_date AS day, 'document_accuracy_pct', round(count_if(NOT flagged) * 100e0 / count(*), 4) FROM docs GROUP BY day)
 SELECT day, metric, value, round(value - lag(value) OVER (PARTITION BY metric ORDER BY day), 4) AS delta FROM kpis""")
 def kpi_delta(i):
-    return feed.kpi_delta(i.readings, i.inventory, i.events, i.documents, TIE)
+    """Stock of three days: on earlier days some SKUs were not there yet."""
+    days = i.inventory.withColumn("_ago", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(F.col("qty_on_hand") % 7 >= F.col("_ago"))
+    stock = days.withColumn("snapshot_timestamp", F.col("snapshot_timestamp") - F.make_interval(days=F.col("_ago"))).drop("_ago")
+    return feed.kpi_delta(i.readings, stock, i.events, i.documents, TIE)

@@ -12,17 +12,24 @@ from .registry import query
 
 
 @query("flatten_recalls", """
-SELECT recall_number, status, classification, product, vendor, lot_numbers, quantity, recall_date, CAST(1 AS BIGINT) AS total FROM recalls""")
+SELECT recall_number, status, classification, product, reason, vendor, distribution, lot_numbers, quantity, recall_date, termination_date,
+       count(*) OVER (PARTITION BY vendor) AS total FROM recalls""")
 def flatten_recalls(i):
-    """Recalls landed as feed payloads, one per line, and flattened again."""
+    """Recalls landed as feed payloads, pages of one vendor with its total, and flattened again."""
     fields = [
         (F.date_format(column, "yyyyMMdd") if column == "recall_date" else F.col(column)).alias(name)
         for column, name in recall_feed.FIELD_OF_COLUMN.items()]
-    payloads = i.recalls.select(F.array(F.struct(*fields)).alias("results"))
+    # Numbers of one vendor are 100 apart, so a page of 2,500 numbers holds MAX_RECALL_PAGE recalls of each vendor at most.
+    page = F.floor(F.substring_index("recall_number", "-", -1).cast("long") / (100 * recalls.MAX_RECALL_PAGE))
+    pages = i.recalls.groupBy("vendor", page.alias("page")).agg(F.collect_list(F.struct(*fields)).alias("results"))
+    totals = i.recalls.groupBy("vendor").agg(F.count("*").alias("total"))
+    payloads = pages.join(totals, "vendor").select(
+        F.struct(F.struct("total").alias("results")).alias("meta"), "results")
     path = new_path(i.spark, "recall-feed")
     payloads.write.json(path)
     return recall_feed.flatten_recalls(recall_feed.read_recall_payloads(i.spark, path, multi_line=False)).select(
-        "recall_number", "status", "classification", "product", "vendor", "lot_numbers", "quantity", "recall_date", "total")
+        "recall_number", "status", "classification", "product", "reason", "vendor", "distribution", "lot_numbers", "quantity",
+        "recall_date", "termination_date", "total")
 
 
 _SEARCH = "FROM recalls WHERE lower(status) = 'ongoing' ORDER BY recall_date DESC, recall_number LIMIT 10"

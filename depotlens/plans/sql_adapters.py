@@ -87,13 +87,14 @@ CTES = {
             FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
             GROUP BY l_orderkey, l_suppkey))""",
     "recalls": f"""
-        SELECT 'F-' || p_partkey AS recall_number, CASE WHEN p_size = 50 THEN 'Ongoing' ELSE 'Terminated' END AS status,
+        SELECT 'F-' || p_partkey AS recall_number, CASE WHEN p_size > 45 THEN 'Ongoing' ELSE 'Terminated' END AS status,
                ['Class I', 'Class II', 'Class III'][CAST(p_partkey % 3 + 1 AS INTEGER)] AS classification,
                upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS product,
                'Supplier#' || lpad(CAST(p_partkey % 100 AS VARCHAR), 9, '0') AS vendor,
                'Lots: #' || {lot("p_partkey")} || ', ' || replace({lot("p_partkey + 1")}, 'LOT', 'lot') || '; UPC 123' AS lot_numbers,
-               p_type AS quantity, DATE '1998-01-01' + CAST(p_partkey % 365 AS INTEGER) AS recall_date
-        FROM part WHERE p_size >= 49""",
+               p_type AS quantity, DATE '1998-01-01' + CAST(p_partkey % 365 AS INTEGER) AS recall_date, 'Labelling' AS reason, 'Nationwide' AS distribution,
+               CASE WHEN p_size <= 45 THEN '19990101' END AS termination_date
+        FROM part""",
     "recall_lots": """
         SELECT DISTINCT recall_number, classification,
                unnest(regexp_extract_all(upper(lot_numbers), '[A-Z]{2,4}-[0-9]{4}(-[0-9]{4})?')) AS lot

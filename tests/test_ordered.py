@@ -103,11 +103,6 @@ def test_profile_of_one_dominant_value(spark):
     assert got == {k: (n, pytest.approx(a), pytest.approx(b)) for k, (n, a, b) in want.items()}
 
 
-def test_sized_broadcast(spark):
-    assert "broadcast" in ordered.sized_broadcast(spark.range(3), 3)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in ordered.sized_broadcast(spark.range(4), 3)._jdf.queryExecution().logical().toString().lower()
-
-
 def test_limit_is_deterministic_on_ties(spark):
     df = spark.createDataFrame([(f"SKU-{n:03}", 0.7, 50.0) for n in range(60)], "sku_id string, spoilage_risk_score double, dwell_hours double")
     for c in inventory.AT_RISK_COLUMNS:

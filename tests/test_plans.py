@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from depotlens.plans.catalog import QUERIES
 from depotlens.functions.timing import time_slice
 from depotlens.plans.adapters import Inputs
 from depotlens.sources import tables
@@ -14,10 +14,14 @@ PYTHON = {"vector_topk", "filtered_vector_topk", "lexical_topk", "hybrid_topk",
 # These read back what a stream or a writer stored; their work is not in the returned plan.
 STORED = {
     "readings_stream", "breach_counts_tumbling", "readings_sliding", "breach_sessions", "dedupe_alerts", "dispatch_cooldown",
-    "late_data_audit", "exactly_once_actions", "stream_with_spec", "ack_timeout", "feed_stream",
+    "late_data_audit", "exactly_once_actions", "stream_with_spec", "ack_timeout", "feed_stream", "inventory_stream",
 }
 
 
+def queries():
+    return QUERIES
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -34,7 +38,7 @@ def test_top_k(spark, small, name):
     assert "TakeOrderedAndProject" in plan(queries()[name](spark, small))
 
 
-@pytest.mark.parametrize("name", ["status_digest", "top_discrepancies", "vector_topk"])
+@pytest.mark.parametrize("name", ["status_digest", "top_discrepancies"])
 def test_group_limit_before_shuffle(spark, small, name):
     text = plan(queries()[name](spark, small))
     assert text.count("WindowGroupLimit") >= 2
@@ -131,3 +135,20 @@ def test_hot_lot_is_split(spark, how):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_no_frame_shrinks(spark, small):
+    """A frame that ends in unbounded following is summed anew for every row."""
+    assert "unboundedfollowing" not in plan(queries()["unresolved_after"](spark, small)).lower()
+
+
+@pytest.mark.parametrize("name", ["recent_documents", "vendor_sla"])
+def test_dates_reach_the_scan_that_picks_orders(spark, small, name):
+    text = plan(queries()[name](spark, small))
+    assert "LeftSemi" in text
+    assert any("l_shipdate" in line and "GreaterThanOrEqual" in line for line in text.splitlines() if "PushedFilters" in line)
+
+
+def test_ranked_rows_are_evaluated_once(spark, small):
+    text = plan(queries()["rank_inventory"](spark, small))
+    assert "lineitem" not in text and "part.parquet" not in text

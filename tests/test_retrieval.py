@@ -125,7 +125,7 @@ def test_long_passages_are_scored_in_groups(texts):
 
 
 def test_term_blocks_keep_every_query():
-    rows = [(n, [f"t{n}-{m}" for m in range(3000)]) for n in range(7)] + [(9, [f"x{m}" for m in range(20_000)])]
+    rows = [(n, [(f"t{n}-{m}", 1.0) for m in range(3000)]) for n in range(7)] + [(9, [(f"x{m}", 1.0) for m in range(20_000)])]
     blocks = list(retrieval._term_blocks(iter(rows), 512))
     assert [r[0] for block in blocks for r in block] == [0, 1, 2, 3, 4, 5, 6, 9]
     assert all(len(block) == 1 or sum(len(r[1]) for r in block) <= retrieval.BLOCK_TERMS for block in blocks)
