@@ -43,14 +43,22 @@ MOST_IDS = 1 << 24
 _ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]")
 
 
+# Marks at the end of a word that are always cut off from a letter or digit before them (an apostrophe is not).
+_MARKS = ".,!*$%&#|?:;"
+
+
 class _Words(dict):
-    """Ids of words as bytes, encoded when first seen."""
+    """Ids of words as bytes, encoded when first seen; a word and the marks behind it are encoded apart."""
 
-    def __init__(self, encode, prefix: str, limit: int):
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+    def __init__(self, encode, prefix: str, limit: int, marks: "_Words | None" = None):
+        self.encode, self.prefix, self.limit, self.marks = encode, prefix, limit, self if marks is None else marks
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.encode(self.prefix + word, add_special_tokens=False).ids).tobytes() if self.prefix + word else b""
+        bare = word.rstrip(_MARKS)
+        if len(bare) < len(word) and bare and bare[-1].isalnum():
+            ids = self[bare] + self.marks[word[len(bare):]]
+        else:
+            ids = array("I", self.encode(self.prefix + word, add_special_tokens=False).ids).tobytes() if self.prefix + word else b""
         if len(self) < self.limit:
             self[word] = ids
         return ids
@@ -71,7 +79,7 @@ class TextEncoder:
         self.by_word = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
         self.first = _Words(self.tokenizer.encode, "", CACHED_WORDS // 10)
-        self.next = _Words(self.tokenizer.encode, " ", CACHED_WORDS)
+        self.next = _Words(self.tokenizer.encode, " ", CACHED_WORDS, self.first)
 
     def __call__(self, text: str) -> bytes:
         """Ids as native unsigned 32-bit integers."""
