@@ -6,9 +6,9 @@ similarity is 0.8 or more, and classes are connected components of links.
 
 Equal texts are one node, whose key is the MD5 of the text. A signature of 128 darts is cut into 32 bands of 4; a pair at the
 threshold shares no band with a probability below 1e-7. Within a bucket pairs are never all made: first every node is
-verified against the least node of its buckets. Then, as long as a bucket holds nodes of several classes, up to
-``LEADERS`` of those outside its largest class are verified against the bucket's nodes of other classes, until every node
-outside the largest class had its turn. So every pair that shares a band is either in one class or was compared.
+verified against the least node of its buckets. Then, as long as a bucket holds nodes of several classes, those outside its
+largest class are verified against the bucket's nodes of other classes, in rounds of about ``PAIRS`` pairs a bucket, until
+every node outside the largest class had its turn. So every pair that shares a band is either in one class or was compared.
 
 Defined cases: a text that is null or has no word is in no bucket and forms a class of its own row; rows with equal text are
 one class; the class id is the least document id (nulls only if there is no other); an empty table gives an empty result;
@@ -17,13 +17,14 @@ columns of other names play no part.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.operators.ordered import top_k_per
 from depotlens.sources.scratch import materialise
 
 from .arrow import mix, raw, slices
@@ -33,7 +34,7 @@ from .dart_minhash import signatures
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-LEADERS = 16
+PAIRS = 1 << 16
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 500_000
 
@@ -150,28 +151,34 @@ def text_classes(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, l
     texts = materialise(texts.join(members, "key", "left_semi"), "texts")
     compared = materialise(buckets.where("key <> head").groupBy(F.col("key").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "compared")
     labels = materialise(components(_verified(compared, texts, size, least)), "labels")
-    turned = None
-    while True:
-        labelled = materialise(buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
+    mixed, turned = buckets.select("band", "key", "n"), None
+    for number in count():
+        # Classes only grow, so only buckets that were mixed before can be mixed now.
+        labelled = materialise(mixed.select("band", "key", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
             "band", "key", "n", F.coalesce("label", "key").alias("label")), "labelled")
         classes = labelled.groupBy("band", "label").agg(F.count("*").alias("_n")).groupBy("band").agg(
-            F.max_by("label", F.struct("_n", "label")).alias("largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+            F.max_by("label", F.struct("_n", "label")).alias("largest"), F.sum("_n").alias("members"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
         mixed = materialise(labelled.join(materialise(classes, "classes"), "band"), "mixed")
         waiting = mixed.where("label <> largest")
         if turned is not None:
             waiting = waiting.join(turned, ["band", "key"], "left_anti")
-        turn = top_k_per(waiting, ["band"], [F.col("key")], LEADERS, "_turn").select(
-            "band", F.col("key").alias("l"), F.col("label").alias("l_label"), F.col("n").alias("l_n"))
-        turn = materialise(turn, "turn")
-        if turn.isEmpty():
+        waiting = materialise(waiting, "waiting")
+        if waiting.isEmpty():
             return labels
+        # A hash picks whose turn it is: all if they make few pairs, else a part of them.
+        open_ = materialise(waiting.groupBy("band").agg(F.count("*").alias("_open")), "open")
+        share = F.lit(float(PAIRS)) / (F.col("members") * F.col("_open"))
+        drawn = F.pmod(F.xxhash64("key", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        turn = materialise(waiting.join(open_, "band").where((drawn < share) | (F.col("_open") == 1)).select(
+            "band", F.col("key").alias("l"), F.col("label").alias("l_label"), F.col("n").alias("l_n")), "turn")
         # The similarity of two multisets is at most the ratio of their sizes.
         pairs = turn.join(mixed, "band").where("label <> l_label").where(F.least("n", "l_n") >= least * F.greatest("n", "l_n"))
         pairs = pairs.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct()
         pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         links = _verified(pairs, texts, size, least)
         compared = compared.unionByName(pairs)
-        turned = turn.select("band", F.col("l").alias("key")).unionByName(turned) if turned is not None else turn.select("band", F.col("l").alias("key"))
+        done = turn.select("band", F.col("l").alias("key"))
+        turned = done if turned is None else turned.unionByName(done)
         if not links.isEmpty():
             labels = _merged(labels, links)
 
