@@ -55,14 +55,16 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The gram of every symbol (``ORDER`` context bytes and the symbol), and where each text starts."""
     sizes = np.array([len(t) + 1 for t in texts])
     pad, end = np.full(ORDER, MARK, np.uint16), np.full(1, MARK, np.uint16)
-    symbols = np.concatenate([x for t in texts for x in (pad, np.frombuffer(t, np.uint8), end)]).astype(np.uint64)
-    gram = np.zeros(len(symbols), np.uint64)
-    for back in range(ORDER, -1, -1):
-        gram[ORDER:] |= symbols[ORDER - back:len(symbols) - back] << np.uint64(BITS * back)
+    symbols = np.concatenate([x for t in texts for x in (pad, np.frombuffer(t, np.uint8), end)]) if texts else pad
+    n = len(symbols) - ORDER
+    gram = symbols[:n].astype(np.uint64)
+    for k in range(1, ORDER + 1):  # in place: a chunk's grams are the largest array of a task
+        gram <<= np.uint64(BITS)
+        gram |= symbols[k:n + k]
     own = np.ones(len(symbols), bool)
     starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
-    own[(starts[:, None] + np.arange(ORDER)).reshape(-1)] = False
-    return gram[own], np.cumsum(sizes) - sizes
+    own[(starts[:, None] + np.arange(ORDER)).reshape(-1).astype(np.int64)] = False
+    return gram[own[ORDER:]], np.cumsum(sizes) - sizes
 
 
 def _sorted_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
