@@ -42,6 +42,7 @@ from .loser_tree import merge
 
 LENGTH = 400
 GRAM = 16
+BLOCK_BYTES = 1 << 20
 SAMPLES = 256  # sampled suffixes per part
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +111,20 @@ def _hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix((total[at + size] - total[at]) * back[at])
 
 
+def anchor_hashes(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a chunk and a hash of the bytes at each, made for about ``BLOCK_BYTES`` of texts at a time to save memory."""
+    ends, found, hashes, first = np.cumsum(sizes), [], [], 0
+    while first < len(sizes):
+        start = int(ends[first] - sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, start + BLOCK_BYTES, "right")))
+        block = data[start:int(ends[last - 1])]
+        at = anchors(block, sizes[first:last], length)
+        found.append(at + start)
+        hashes.append(_hashes(block, at, _shared(length)))
+        first = last
+    return (np.concatenate(found), np.concatenate(hashes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def _buffer(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
     whole = unpack(row["texts"])
     return np.frombuffer(whole, np.uint8), np.array(row["sizes"], np.int64), whole
@@ -131,8 +146,8 @@ def _prefixes(chunks: DataFrame, parts: int, length: int, every: int) -> DataFra
         for batch in batches:
             for row in batch.to_pylist():
                 data, sizes, whole = _buffer(row)
-                at = anchors(data, sizes, length)
-                own, first, n = np.unique(_hashes(data, at, shared), return_index=True, return_counts=True)
+                at, hashes = anchor_hashes(data, sizes, length)
+                own, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 owner = (own % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(owner, kind="stable")
                 out = []
@@ -227,8 +242,8 @@ def _runs(chunks: DataFrame, answers: DataFrame, parts: int, length: int, splitt
         flags = {r["part"]: r["data"] for r in right.to_pylist()}
         for row in left.to_pylist():
             data, sizes, whole = _buffer(row)
-            at = anchors(data, sizes, length)
-            own, which = np.unique(_hashes(data, at, shared), return_inverse=True)
+            at, hashes = anchor_hashes(data, sizes, length)
+            own, which = np.unique(hashes, return_inverse=True)
             owner = (own % np.uint64(parts)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             again = np.zeros(len(own), bool)
@@ -343,12 +358,12 @@ def substring_dedup(docs: DataFrame, make, schema: T.StructType, id_col: str = "
         tables = []
         for row in left.to_pylist():
             data, sizes, whole = _buffer(row)
-            edge = np.zeros(len(data) + 1, np.int64)
+            edge = np.zeros(len(data) + 1, np.int32)
             for r in right.to_pylist():
                 starts, ends = unpack(r["data"], "i8").reshape(2, -1)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, ends, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
             removed, at = [], 0
             for n in sizes.tolist():
                 step = np.flatnonzero(np.diff(np.r_[0, gone[at:at + n].astype(np.int8), 0]))
