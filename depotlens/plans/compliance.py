@@ -10,14 +10,14 @@ from .registry import query
 
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END"
 
-_RECENT = f"""
+RECENT_SQL = f"""
   SELECT event_id, event_type, zone, observed_value, threshold_value, unit, severity, status, regulation_ref, "timestamp"
   FROM compliance, (SELECT max(ts) AS now FROM events)
   WHERE "timestamp" >= now - INTERVAL 24 HOUR AND "timestamp" <= now
   ORDER BY {_RANK}, "timestamp" DESC, event_id LIMIT 20"""
 
 
-@query("recent_compliance", f"SELECT * REPLACE (round(observed_value, 6) AS observed_value) FROM ({_RECENT})")
+@query("recent_compliance", f"SELECT * REPLACE (round(observed_value, 6) AS observed_value) FROM ({RECENT_SQL})")
 def recent_compliance(i):
     return compliance.recent_compliance(i.events, i.now)
 
@@ -106,7 +106,7 @@ def unresolved_after(i):
     return compliance.unresolved_after(i.events).select("event_id", "asset_id", "timestamp", "status")
 
 
-@query("grounding_compliance", f"SELECT 'safety' AS agent, event_id, severity FROM ({_RECENT})")
+@query("grounding_compliance", f"SELECT 'safety' AS agent, event_id, severity FROM ({RECENT_SQL})")
 def grounding_compliance(i):
     rows = compliance.recent_compliance(i.events, i.now)
     packed = feed.grounding_context(rows, "safety", [levels.severity_rank("severity").asc(), F.desc("timestamp"), F.asc("event_id")])

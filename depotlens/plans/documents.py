@@ -12,14 +12,14 @@ from .adapters import DOCUMENTS_AS_OF, lot_code
 from .registry import query
 from .sql_adapters import lot
 
-_RECENT = """
+RECENT_SQL = """
   SELECT bol_id, vendor, shipment_date, invoiced_qty, received_qty, qty_delta, lot_number, po_lot_number, temp_log_present, status, flags
   FROM docs WHERE shipment_date >= DATE '1998-06-30' - 7 AND shipment_date <= DATE '1998-06-30'
   ORDER BY CASE status WHEN 'FLAGGED' THEN 1 WHEN 'DISPUTED' THEN 2 WHEN 'QUARANTINED' THEN 3 WHEN 'PENDING' THEN 4 ELSE 5 END,
            shipment_date DESC, bol_id LIMIT 25"""
 
 
-@query("recent_documents", f"SELECT * FROM ({_RECENT})")
+@query("recent_documents", f"SELECT * FROM ({RECENT_SQL})")
 def recent_documents(i):
     return documents.recent_documents(i.documents_shipped("1998-06-23", DOCUMENTS_AS_OF), DOCUMENTS_AS_OF)
 
@@ -145,7 +145,7 @@ def top_discrepancies(i):
     return documents.top_discrepancies(i.documents)
 
 
-@query("grounding_documents", f"SELECT 'document' AS agent, bol_id, status FROM ({_RECENT})")
+@query("grounding_documents", f"SELECT 'document' AS agent, bol_id, status FROM ({RECENT_SQL})")
 def grounding_documents(i):
     rows = documents.recent_documents(i.documents_shipped("1998-06-23", DOCUMENTS_AS_OF), DOCUMENTS_AS_OF)
     packed = feed.grounding_context(rows, "document", [document_rank("status").asc(), F.desc("shipment_date"), F.asc("bol_id")])

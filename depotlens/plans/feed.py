@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import actions, feed
 from .actions import Loops
-from .adapters import INVENTORY_AS_OF
+from .adapters import DOCUMENTS_AS_OF, INVENTORY_AS_OF
+from .compliance import RECENT_SQL as RECENT_COMPLIANCE
+from .documents import RECENT_SQL as RECENT_DOCUMENTS
 from .registry import query
 
 TIE = ["reading_id"]
@@ -90,6 +94,28 @@ def kpi_summary(i):
     return feed.kpi_summary(i.readings, i.inventory, i.events, i.documents, TIE)
 
 
+@query("telemetry_snapshot", f"""
+SELECT 'equipment' AS view, sensor_id || ' ' || metric AS item, status AS state FROM (
+  SELECT * FROM readings, (SELECT max(ts) AS now FROM events) WHERE "timestamp" >= now - INTERVAL 2 HOUR AND "timestamp" <= now
+  ORDER BY anomaly_score DESC NULLS LAST, "timestamp" DESC, sensor_id, metric LIMIT 50)
+UNION ALL
+SELECT 'inventory', sku_id, CAST(markdown_recommended AS VARCHAR) FROM (
+  SELECT * FROM inventory WHERE spoilage_risk_score > 0.3e0 OR dwell_hours > 48 ORDER BY spoilage_risk_score DESC NULLS LAST, sku_id LIMIT 30)
+UNION ALL SELECT 'compliance', event_id, status FROM ({RECENT_COMPLIANCE})
+UNION ALL SELECT 'documents', bol_id, status FROM ({RECENT_DOCUMENTS})""")
+def telemetry_snapshot(i):
+    """The recent views of all four tables as one list; documents are as of their own time."""
+    views = feed.telemetry_snapshot({"equipment": i.readings, "inventory": i.inventory, "compliance": i.events}, "all", i.now)
+    documents = i.documents_shipped("1998-06-23", DOCUMENTS_AS_OF)
+    views |= feed.telemetry_snapshot({"documents": documents}, "documents", DOCUMENTS_AS_OF)
+    keys = {
+        "equipment": (F.concat_ws(" ", "sensor_id", "metric"), "status"), "inventory": (F.col("sku_id"), "markdown_recommended"),
+        "compliance": (F.col("event_id"), "status"), "documents": (F.col("bol_id"), "status")}
+    rows = [df.select(F.lit(name).alias("view"), keys[name][0].alias("item"), F.col(keys[name][1]).cast("string").alias("state"))
+            for name, df in views.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("kpi_delta", """
 WITH latest AS (
   SELECT *, CAST("timestamp" AS DATE) AS day FROM readings WHERE asset_type = 'refrigeration'
