@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 PAIRS = 1 << 16
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
