@@ -20,6 +20,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on and would keep it
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
