@@ -6,9 +6,10 @@ similarity is 0.8 or more, and classes are connected components of links.
 
 Equal texts are one node, whose key is the MD5 of the text. A signature of 128 darts is cut into 32 bands of 4; a pair at the
 threshold shares no band with a probability below 1e-7. Within a bucket pairs are never all made: first every node is
-verified against the least node of its buckets. Then, as long as a bucket holds nodes of several classes, those outside its
-largest class are verified against the bucket's nodes of other classes, in rounds of about ``PAIRS`` pairs a bucket, until
-every node outside the largest class had its turn. So every pair that shares a band is either in one class or was compared.
+verified against the least node of its buckets. Then buckets that hold nodes of several classes draw another head, by hash, and
+nodes of other classes are verified against it, as long as that links any. What is left, few nodes if groups are groups, is
+settled exactly: nodes outside a bucket's largest class are verified against its nodes of other classes, in rounds of about
+``PAIRS`` pairs a bucket, until each had its turn. So every pair that shares a band is either in one class or was compared.
 
 Defined cases: a text that is null or has no word is in no bucket and forms a class of its own row; rows with equal text are
 one class; the class id is the least document id (nulls only if there is no other); an empty table gives an empty result;
@@ -138,6 +139,15 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(labels.join(newer, "label", "left").select("node", F.coalesce("_new", "label").alias("label")), "labels")
 
 
+def _compared(mixed: DataFrame, chosen: DataFrame, compared: DataFrame, texts: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links between ``chosen`` nodes and nodes of other classes in their buckets, and all pairs compared so far."""
+    # The similarity of two multisets is at most the ratio of their sizes.
+    pairs = mixed.join(chosen, "band").where("label <> l_label").where(F.least("n", "l_n") >= least * F.greatest("n", "l_n"))
+    pairs = pairs.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct()
+    pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    return _verified(pairs, texts, size, least), compared.unionByName(pairs)
+
+
 def text_classes(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(node, label) of every text that is similar to another one: their keys; the label is the least key of the class."""
     nodes = docs.where(_has_words(text_col)).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -151,7 +161,7 @@ def text_classes(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, l
     texts = materialise(texts.join(members, "key", "left_semi"), "texts")
     compared = materialise(buckets.where("key <> head").groupBy(F.col("key").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "compared")
     labels = materialise(components(_verified(compared, texts, size, least)), "labels")
-    mixed, turned = buckets.select("band", "key", "n"), None
+    mixed, turned, drawing = buckets.select("band", "key", "n"), None, True
     for number in count():
         # Classes only grow, so only buckets that were mixed before can be mixed now.
         labelled = materialise(mixed.select("band", "key", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
@@ -165,18 +175,21 @@ def text_classes(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, l
         waiting = materialise(waiting, "waiting")
         if waiting.isEmpty():
             return labels
+        if drawing:
+            heads = mixed.groupBy("band").agg(F.min_by(F.struct("key", "label", "n"), F.xxhash64("key", F.lit(number))).alias("h"))
+            heads = materialise(heads.select("band", F.col("h.key").alias("l"), F.col("h.label").alias("l_label"), F.col("h.n").alias("l_n")), "heads")
+            links, compared = _compared(mixed, heads, compared, texts, size, least)
+            drawing = not links.isEmpty()
+            if drawing:
+                labels = _merged(labels, links)
+            continue
         # A hash picks whose turn it is: all if they make few pairs, else a part of them.
         open_ = materialise(waiting.groupBy("band").agg(F.count("*").alias("_open")), "open")
         share = F.lit(float(PAIRS)) / (F.col("members") * F.col("_open"))
         drawn = F.pmod(F.xxhash64("key", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         turn = materialise(waiting.join(open_, "band").where((drawn < share) | (F.col("_open") == 1)).select(
             "band", F.col("key").alias("l"), F.col("label").alias("l_label"), F.col("n").alias("l_n")), "turn")
-        # The similarity of two multisets is at most the ratio of their sizes.
-        pairs = turn.join(mixed, "band").where("label <> l_label").where(F.least("n", "l_n") >= least * F.greatest("n", "l_n"))
-        pairs = pairs.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct()
-        pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        links = _verified(pairs, texts, size, least)
-        compared = compared.unionByName(pairs)
+        links, compared = _compared(mixed, turn, compared, texts, size, least)
         done = turn.select("band", F.col("l").alias("key"))
         turned = done if turned is None else turned.unionByName(done)
         if not links.isEmpty():
