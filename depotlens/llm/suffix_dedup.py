@@ -14,10 +14,16 @@ at least ``SHARED`` bytes to the right with another one.
 3. Merge. A part merges its runs with a loser tree that compares only bytes behind known prefixes, which also yields the
    common prefix of neighbours. For every offset of a string before its anchor, suffixes are grouped by what they share to
    the right (from the prefixes) and to the left; a string is repeated if its group has two members.
-4. Each chunk gets the removed range around each anchor and cuts its texts.
+4. Hot prefixes. Suffixes whose first ``SHARED`` bytes occur more than ``HOT`` times, as those of a short passage that many
+texts go on from in their own way, would all meet in one part, so they are not merged. Each chunk sends the hashes of the
+strings of ``LENGTH`` bytes that have such an anchor to hash parts, once each, and is told which occur elsewhere. The first
+and the last of those at every anchor give its range: all strings with their hashes are counted by their bytes, in an
+aggregate that combines, and joined back on a key that Spark can split. One that is alone after all (its hash is another
+string's, too) is left out, and first and last ones are chosen again.
+5. Each chunk gets the removed ranges around its anchors and cuts its texts.
 
-All of this is exact: hashes only choose anchors and drop suffixes that are alone. A chunk sends one packed row per part, so
-a text that many rows share costs one entry per chunk, not one per row.
+All of this is exact: hashes only choose anchors and drop what is alone. A chunk sends one packed row per part to the merge, which
+gets at most ``HOT`` entries of a prefix; a string at a hot prefix costs one entry per chunk, not one per row.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes lose nothing; a repeated row counts as another occurrence;
 ids may be null or repeat; matches never cross rows; an empty table gives an empty result; other columns are not read.
@@ -44,6 +50,7 @@ LENGTH = 400
 GRAM = 16
 BLOCK_BYTES = 1 << 20
 SAMPLES = 256  # sampled suffixes per part
+HOT = 1024  # occurrences of a prefix that a part merges
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
@@ -65,11 +72,16 @@ def _shared(length: int) -> int:
 
 def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
     """Positions of the anchors of all strings of ``length`` bytes inside each text, ascending."""
+    return anchored(data, sizes, length)[0]
+
+
+def anchored(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors, and for each the first start and the number of the strings that have it; their starts follow one another."""
     n, window, gram = len(data), _window(length), _gram(length)
     ends = np.cumsum(sizes)
     inside = np.maximum(sizes - length + 1, 0)  # strings that start in each text
     if not inside.sum():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     # Hash of the bytes at each position, by doubling.
     value, have, out, done = _SYMBOL[data], 1, None, 0
     while True:
@@ -93,11 +105,12 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
         low[: n - (window - have)] = np.minimum(low[: n - (window - have)], low[window - have:])
     starts = np.repeat(ends - sizes, inside) + np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
     at = (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.r_[True, at[1:] != at[:-1]]]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], starts[first], np.diff(np.r_[first, len(at)])
 
 
 def _hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes at each position."""
+    """A hash of the ``size`` bytes at each position; positions ascend."""
     if not len(at):
         return np.zeros(0, np.uint64)
     power = np.full(len(data) + 1, _FACTOR, np.uint64)
@@ -111,18 +124,30 @@ def _hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix((total[at + size] - total[at]) * back[at])
 
 
-def anchor_hashes(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of a chunk and a hash of the bytes at each, made for about ``BLOCK_BYTES`` of texts at a time to save memory."""
-    ends, found, hashes, first = np.cumsum(sizes), [], [], 0
+def _text_blocks(sizes: np.ndarray):
+    """(first text, last text, start, end) of about ``BLOCK_BYTES`` of texts at a time, to save memory."""
+    ends, first = np.cumsum(sizes), 0
     while first < len(sizes):
         start = int(ends[first] - sizes[first])
         last = max(first + 1, int(np.searchsorted(ends, start + BLOCK_BYTES, "right")))
-        block = data[start:int(ends[last - 1])]
-        at = anchors(block, sizes[first:last], length)
-        found.append(at + start)
-        hashes.append(_hashes(block, at, _shared(length)))
+        yield first, last, start, int(ends[last - 1])
         first = last
-    return (np.concatenate(found), np.concatenate(hashes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def anchor_hashes(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a chunk and a hash of the bytes at each."""
+    at, _, _, hashes = _anchored_hashes(data, sizes, length)
+    return at, hashes
+
+
+def _anchored_hashes(data: np.ndarray, sizes: np.ndarray, length: int) -> list[np.ndarray]:
+    """The anchors of a chunk, the first start and number of strings of each, and a hash of the bytes at each."""
+    found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]]
+    for first, last, start, end in _text_blocks(sizes):
+        block = data[start:end]
+        at, begin, count = anchored(block, sizes[first:last], length)
+        found.append([at + start, begin + start, count, _hashes(block, at, _shared(length))])
+    return [np.concatenate(x) for x in zip(*found)]
 
 
 def _buffer(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -138,8 +163,29 @@ def _rows(out: list[tuple]) -> list[pa.Array]:
 _NAMES = ["part", "chunk", "kind", "data"]
 
 
+def _owners(own: np.ndarray, parts: int) -> np.ndarray:
+    return (own % np.uint64(parts)).astype(np.int64)
+
+
+def _counted(chunk: int, own: np.ndarray, n: np.ndarray, parts: int) -> list[tuple]:
+    """Rows that send different hashes, ascending, and their counts to their parts."""
+    owner = _owners(own, parts)
+    order = np.argsort(owner, kind="stable")
+    return [(p, chunk, "h", pack(np.concatenate([own[k], n[k].astype(np.uint64)]))) for p, k in grouped(owner[order], order)]
+
+
+def _answered(own: np.ndarray, flags: dict[int, bytes], parts: int) -> np.ndarray:
+    """What the parts answered to each of the hashes that ``_counted`` sent."""
+    owner = _owners(own, parts)
+    order = np.argsort(owner, kind="stable")
+    found = np.zeros(len(own), np.uint8)
+    for p, k in grouped(owner[order], order):
+        found[k] = unpack(flags[p], "u1")
+    return found
+
+
 def _prefixes(chunks: DataFrame, parts: int, length: int, every: int) -> DataFrame:
-    """Each chunk's different hashes with their counts (1 or 2), per part, and sampled strings."""
+    """Each chunk's different hashes with their counts, per part, and sampled strings."""
     shared = _shared(length)
 
     def send(batches):
@@ -148,11 +194,8 @@ def _prefixes(chunks: DataFrame, parts: int, length: int, every: int) -> DataFra
                 data, sizes, whole = _buffer(row)
                 at, hashes = anchor_hashes(data, sizes, length)
                 own, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                owner = (own % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(owner, kind="stable")
-                out = []
-                for p, k in grouped(owner[order], order):
-                    out.append((p, row["chunk"], "h", pack(np.concatenate([own[k], np.minimum(n[k], 2).astype(np.uint64)]))))
+                owner = _owners(own, parts)
+                out = _counted(row["chunk"], own, n, parts)
                 for k in np.flatnonzero(own // np.uint64(parts) % np.uint64(every) == 0).tolist():
                     place = int(at[first[k]])
                     out.append((int(owner[k]), row["chunk"], "s", int(own[k]).to_bytes(8, "little") + whole[place:place + shared]))
@@ -161,22 +204,28 @@ def _prefixes(chunks: DataFrame, parts: int, length: int, every: int) -> DataFra
     return chunks.select("chunk", "sizes", "texts").mapInArrow(send, _ROWS)
 
 
-def _repeated(sent: DataFrame, parts: int) -> DataFrame:
-    """Which of its hashes (ascending, per part) occur elsewhere, for each chunk; sampled strings that do, with weights."""
+def _repeated(sent: DataFrame, parts: int, hot: int | None = None) -> DataFrame:
+    """Which of its hashes (ascending, per part) occur elsewhere (1) or more than ``hot`` times (2), for each chunk; sampled
+    strings of the former, with weights; a row of kind "t" from each part with one of the latter."""
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         lists = [np.split(unpack(r["data"], "u8"), 2) for r in rows if r["kind"] == "h"]
         every, where = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
         total = np.bincount(where, np.concatenate([x[1] for x in lists]).astype(np.int64), len(every))
         entries = np.bincount(where, minlength=len(every))
+        state = (total > 1).astype(np.uint8)
+        if hot is not None:
+            state[total > max(1, hot)] = 2
         out, at = [], 0
         for r, (own, _) in zip((r for r in rows if r["kind"] == "h"), lists):
-            out.append((r["part"], r["chunk"], "d", pack((total[where[at:at + len(own)]] > 1).astype(np.uint8))))
+            out.append((r["part"], r["chunk"], "d", pack(state[where[at:at + len(own)]])))
             at += len(own)
+        if (state == 2).any():
+            out.append((rows[0]["part"], -1, "t", b""))
         samples = {r["data"] for r in rows if r["kind"] == "s"}
         for s in sorted(samples):
             k = int(np.searchsorted(every, np.uint64(int.from_bytes(s[:8], "little"))))
-            if total[k] > 1:
+            if state[k] == 1:
                 out.append((int(entries[k]), -1, "s", s[8:]))
         return pa.Table.from_arrays(_rows(out), names=_NAMES)
 
@@ -233,7 +282,7 @@ class _Run:
 
 
 def _runs(chunks: DataFrame, answers: DataFrame, parts: int, length: int, splitters: list[bytes]) -> DataFrame:
-    """Each chunk's sorted, front-coded run of suffixes that may repeat, cut at the splitters."""
+    """Each chunk's sorted, front-coded run of suffixes that may repeat, but for hot ones, cut at the splitters."""
     window, shared = _window(length), _shared(length)
     cuts = chunks.sparkSession.sparkContext.broadcast(splitters)
 
@@ -244,12 +293,7 @@ def _runs(chunks: DataFrame, answers: DataFrame, parts: int, length: int, splitt
             data, sizes, whole = _buffer(row)
             at, hashes = anchor_hashes(data, sizes, length)
             own, which = np.unique(hashes, return_inverse=True)
-            owner = (own % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            again = np.zeros(len(own), bool)
-            for p, k in grouped(owner[order], order):
-                again[k] = unpack(flags[p], "u1").astype(bool)
-            at = at[again[which]]
+            at = at[_answered(own, flags, parts)[which] == 1]
             ends = np.cumsum(sizes)
             text = np.searchsorted(ends, at, "right")
             found: dict[tuple[bytes, bytes], list[int]] = {}
@@ -338,8 +382,123 @@ def _ranges(runs: DataFrame, parts: int, length: int) -> DataFrame:
     return runs.repartition(parts, "part").groupBy("part").applyInArrow(sort, _ROWS)
 
 
+def _hot_strings(chunks: DataFrame, answers: DataFrame, parts: int, length: int) -> DataFrame:
+    """Each chunk's strings at hot prefixes: the first start and number of those at each anchor, where the first one lies in
+    the bytes that follow, and the bytes that they cover."""
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        flags = {r["part"]: r["data"] for r in right.to_pylist()}
+        for row in left.to_pylist():
+            data, sizes, _ = _buffer(row)
+            _, first, count, hashes = _anchored_hashes(data, sizes, length)
+            own, which = np.unique(hashes, return_inverse=True)
+            hot = _answered(own, flags, parts)[which] == 2
+            first, count = first[hot], count[hot]
+            if len(first):
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + count - 1 + length, -1)
+                covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+                head = np.concatenate([[len(first)], first, count, np.cumsum(covered)[first] - 1]).astype(np.int64)
+                out.append((0, row["chunk"], "c", pack(head.tobytes() + data[covered].tobytes())))
+        return pa.Table.from_arrays(_rows(out), names=_NAMES)
+
+    own = answers.where("kind = 'd'")
+    return chunks.select("chunk", "sizes", "texts").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(send, _ROWS)
+
+
+def _read_strings(packed: bytes, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Of each string: its start, its anchor's number, its place in the bytes and its hash; and the bytes."""
+    plain = unpack(packed)
+    n = int(np.frombuffer(plain, np.int64, 1)[0])
+    first, count, at = np.frombuffer(plain, np.int64, 3 * n, 8).reshape(3, n)
+    data = plain[8 + 24 * n:]
+    anchor = np.repeat(np.arange(n), count)
+    step = np.arange(len(anchor)) - np.repeat(np.cumsum(count) - count, count)
+    place, buffer, hashes, k = at[anchor] + step, np.frombuffer(data, np.uint8), [], 0
+    while k < len(place):
+        begin = int(place[k])
+        last = int(np.searchsorted(place, begin + BLOCK_BYTES, "right"))
+        hashes.append(_hashes(buffer[begin:int(place[last - 1]) + length], place[k:last] - begin, length))
+        k = last
+    return first[anchor] + step, anchor, place, np.concatenate(hashes) >> np.uint64(64 - bits), data
+
+
+def _wanted(sent: DataFrame, parts: int) -> DataFrame:
+    """Which of its hashes (kind "h") any chunk has chosen (kind "w"), for each chunk."""
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        chosen = [unpack(r["data"], "u8") for r in rows if r["kind"] == "w"]
+        chosen, out = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64), []
+        for r in rows:
+            if r["kind"] == "h":
+                own = np.split(unpack(r["data"], "u8"), 2)[0]
+                out.append((r["part"], r["chunk"], "d", pack(np.isin(own, chosen).astype(np.uint8))))
+        return pa.Table.from_arrays(_rows(out), names=_NAMES)
+
+    return sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, _ROWS)
+
+
+def _hot_ranges(strings: DataFrame, parts: int, length: int, bits: int = 64) -> DataFrame:
+    """Per chunk: ranges of repeated strings at hot prefixes."""
+    def count(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, n = np.unique(_read_strings(row["data"], length, bits)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays(_rows(_counted(row["chunk"], own, n, parts)), names=_NAMES)
+
+    def choose(alone):
+        def send(left: pa.Table, right: pa.Table) -> pa.Table:
+            out, flags = [], {r["part"]: r["data"] for r in right.to_pylist()}
+            for row in left.to_pylist():
+                start, anchor, _, hashes, _ = _read_strings(row["data"], length, bits)
+                own, which = np.unique(hashes, return_inverse=True)
+                again = np.flatnonzero((_answered(own, flags, parts)[which] > 0) & ~np.isin(start, alone.value.get(row["chunk"], [])))
+                edge = anchor[again][1:] != anchor[again][:-1]
+                ends = np.r_[again[np.r_[True, edge]], again[np.r_[edge, True]]] if len(again) else again
+                chosen = np.unique(hashes[ends])
+                owner = _owners(chosen, parts)
+                order = np.argsort(owner, kind="stable")
+                out.extend((p, row["chunk"], "w", pack(chosen[k])) for p, k in grouped(owner[order], order))
+            return pa.Table.from_arrays(_rows(out), names=_NAMES)
+        return send
+
+    def fetch(alone):
+        def send(left: pa.Table, right: pa.Table) -> pa.Table:
+            chunks, found, flags = [], [], {r["part"]: r["data"] for r in right.to_pylist()}
+            for row in left.to_pylist():
+                start, _, place, hashes, data = _read_strings(row["data"], length, bits)
+                own, which = np.unique(hashes, return_inverse=True)
+                keep = (_answered(own, flags, parts)[which] > 0) & ~np.isin(start, alone.value.get(row["chunk"], []))
+                starts: dict[bytes, list[int]] = {}
+                for s, p in zip(start[keep].tolist(), place[keep].tolist()):
+                    starts.setdefault(data[p:p + length], []).append(s)
+                found.extend(starts.items())
+                chunks.extend([row["chunk"]] * len(starts))
+            ranges = [np.array([x, x]) + [[0], [length]] for _, x in found]
+            return pa.Table.from_arrays([pa.array(chunks, pa.int64()), pa.array([x for x, _ in found], pa.binary()),
+                                         pa.array([len(x) for _, x in found], pa.int64()), pa.array(map(pack, ranges), pa.binary())], names=names)
+        return send
+
+    spark, names, alone = strings.sparkSession, ["chunk", "string", "n", "data"], {}
+    sent = materialise(strings.mapInArrow(count, _ROWS), "string-hashes")
+    answers = materialise(_repeated(sent, parts).where("kind = 'd'"), "string-answers")
+    while True:
+        known = spark.sparkContext.broadcast({c: np.concatenate(x) for c, x in alone.items()})
+        chosen = strings.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(choose(known), _ROWS)
+        wanted = _wanted(sent.unionByName(chosen), parts)
+        fetched = strings.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(fetch(known), "chunk long, string binary, n long, data binary")
+        fetched = materialise(fetched, "repeated-strings")
+        total = fetched.groupBy("string").agg(F.sum("n").alias("total"))
+        lone = fetched.join(total.where("total < 2"), "string").select("chunk", "data").collect()  # as many as hashes that are two strings'
+        if not lone:
+            return fetched.select(F.lit(0).cast("long").alias("part"), "chunk", F.lit("x").alias("kind"), "data")
+        for r in lone:
+            alone.setdefault(r["chunk"], []).append(unpack(r["data"], "i8")[:1])
+
+
 def substring_dedup(docs: DataFrame, make, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                    chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """``make(texts, removed)`` for every chunk: a list of columns after ``doc_id``, as in ``schema``.
 
     ``texts`` are the bytes of each text and ``removed`` its maximal removed ranges, (starts, ends).
@@ -350,9 +509,12 @@ def substring_dedup(docs: DataFrame, make, schema: T.StructType, id_col: str = "
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = max(1, total * 2 // _window(length) // (SAMPLES * parts))
-    answers = materialise(_repeated(_prefixes(chunks, parts, length, every), parts), "repeated-prefixes")
+    answers = materialise(_repeated(_prefixes(chunks, parts, length, every), parts, hot), "repeated-prefixes")
     runs = _runs(chunks, answers, parts, length, _splitters(answers, parts))
     ranges = materialise(_ranges(runs, parts, length), "repeated-ranges")
+    if not answers.where("kind = 't'").isEmpty():
+        strings = materialise(_hot_strings(chunks, answers, parts, length), "hot-strings")
+        ranges = ranges.unionByName(_hot_ranges(strings, parts, length))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []

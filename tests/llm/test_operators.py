@@ -66,6 +66,43 @@ def test_repeated_strings_of_nothing(none):
     assert suffix_dedup.repeat_digests(none).count() == 0
 
 
+def boilerplate_pairs(size):
+    """Texts around one passage, most of which go on in their own way; some come in twos."""
+    passage = "".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(10))[:size]
+    return [(k, prose(100 + k // 2 if k > 50 else 300 + k, 40) + passage + prose(500 + k // 2 if k > 50 else 700 + k, 60)) for k in range(60)]
+
+
+@pytest.mark.parametrize("size", [250, 390, 450, 590])
+def test_a_part_does_not_get_an_entry_of_every_text_with_a_passage(spark, monkeypatch, size):
+    docs, sent = rows_of(spark, boilerplate_pairs(size)), Counter()
+    merge = suffix_dedup._ranges
+
+    def watched(runs, parts, length):
+        for r in runs.collect():
+            for _, text, (_, _, places) in suffix_dedup._Run(r.chunk, bytes(r.data)):
+                sent[text[:201]] += len(places)
+        return merge(runs, parts, length)
+
+    monkeypatch.setattr(suffix_dedup, "_ranges", watched)
+    got = suffix_dedup.repeat_digests(docs, chunk_bytes=3000, hot=20)
+    assert sorted(map(tuple, got.collect()), key=str) == removed_of(pairs_of(docs), 400)
+    assert max(sent.values()) <= 20
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeated_strings_at_hot_prefixes(odd, hot):
+    got = suffix_dedup.repeat_digests(odd, length=50, chunk_bytes=2000, hot=hot)
+    assert sorted(map(tuple, got.collect()), key=str) == removed_of(ODD, 50)
+
+
+def test_strings_of_one_hash_are_told_apart(spark, monkeypatch):
+    exact = suffix_dedup._hot_ranges
+    monkeypatch.setattr(suffix_dedup, "_hot_ranges", lambda strings, parts, length: exact(strings, parts, length, bits=10))
+    docs = rows_of(spark, boilerplate_pairs(450)[45:])
+    got = suffix_dedup.repeat_digests(docs, chunk_bytes=3000, hot=2)
+    assert sorted(map(tuple, got.collect()), key=str) == removed_of(pairs_of(docs), 400)
+
+
 # 2
 
 
