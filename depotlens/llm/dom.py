@@ -31,6 +31,7 @@ class Block(NamedTuple):
     tags: tuple[str, ...]  # from the root to the block
     names: tuple[str, ...]  # words of their class, id and role attributes
     linked: int  # characters inside links
+    above: tuple[tuple[int, str, tuple[str, ...]], ...] = ()  # number on the page, tag and names of every open element
 
 
 def blocks(html: str) -> list[Block]:
@@ -39,7 +40,7 @@ def blocks(html: str) -> list[Block]:
     Character references are decoded and white space is unified. Scripts, styles, comments and markup have no text.
     """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
     state = {"linked": 0, "link": 0}
 
@@ -49,7 +50,8 @@ def blocks(html: str) -> list[Block]:
         linked, state["linked"] = state["linked"], 0
         if text:
             inside = [x for x in stack if x[0] not in INLINE]
-            found.append(Block(text, tuple(t for t, _ in inside), tuple(n for _, names in stack for n in names), linked))
+            found.append(Block(text, tuple(t for t, _, _ in inside), tuple(n for _, names, _ in stack for n in names), linked,
+                               tuple((k, t, names) for t, names, k in stack)))
 
     def add(raw: str) -> None:
         if raw:
@@ -59,7 +61,7 @@ def blocks(html: str) -> list[Block]:
                 state["linked"] += len(text)
 
     def leave(at: int) -> None:
-        state["link"] -= sum(t == "a" for t, _ in stack[at:])
+        state["link"] -= sum(t == "a" for t, _, _ in stack[at:])
         del stack[at:]
 
     at = 0
@@ -89,7 +91,7 @@ def blocks(html: str) -> list[Block]:
         if tag in _VOID or m["attributes"].endswith("/"):
             continue
         given = [a or b or c for _, a, b, c in _NAMES.findall(m["attributes"])] if m["attributes"] else []
-        stack.append((tag, tuple(p for g in given for p in _PART.findall(g.lower()))))
+        stack.append((tag, tuple(p for g in given for p in _PART.findall(g.lower())), m.start()))
         state["link"] += tag == "a"
     add(html[at:])
     flush()

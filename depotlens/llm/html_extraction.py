@@ -4,6 +4,9 @@ A block is described by the elements above it, the words of their class, id and
 of links, digits, capitals, punctuation, place in the page. Labels form a chain of main text and other; weights of features
 and of label pairs are learned by maximum likelihood (forward-backward, Adam) and pages are decoded by Viterbi.
 
+Furniture names, and forms, tell nothing on an element that holds the page or its article, such as a body with class
+``has-sidebar``, so they are taken off there (``unwrapped``), for learning and for decoding.
+
 Labelled pages come from the table: on at most ``FIT_PAGES`` pages (those of the least hash) that mark up one article, what
 is inside it is main text unless an element around it is of a kind that is not (``OTHER_TAGS``, ``OTHER_NAMES``). So that
 text and names count as well, each is learned from four times: as it is, with furniture of other pages set into and around
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import raw, slices
-from .dom import Block, blocks
+from .dom import INLINE, Block, blocks
 
 FIT_PAGES = 300
 EPOCHS, BATCH, RATE, DECAY = 25, 16, 0.1, 1e-4
@@ -51,6 +54,40 @@ def is_other(tags, names) -> bool:
     return bool(OTHER_TAGS & set(tags)) or bool(OTHER_NAMES & set(names))
 
 
+def unwrapped(page: list[Block]) -> list[Block]:
+    """The page without furniture names and forms on its wrappers, and without any names on html and body.
+
+    Sizes are characters outside links. Wrappers are html, body and, if an article or main element has a quarter of the page or more,
+    the largest one, all around it and what has nine tenths of it; else what has half of the page or more.
+    """
+    size: dict[int, int] = {}
+    for b in page:
+        for k, _, _ in b.above:
+            size[k] = size.get(k, 0) + max(0, len(b.text) - b.linked)
+    total = sum(max(0, len(b.text) - b.linked) for b in page)
+    largest, path, inside = -1, frozenset(), set()
+    for b in page:
+        for n, (k, tag, _) in enumerate(b.above):
+            if tag in ("article", "main") and 4 * size[k] >= total > 0 and (largest < 0 or size[k] > size[largest]):
+                largest, path = k, frozenset(x[0] for x in b.above[:n + 1])
+    if largest >= 0:
+        inside = {x[0] for b in page if any(k == largest for k, _, _ in b.above) for x in b.above if x[0] > largest}
+    plain: dict[int, bool] = {}
+
+    def wraps(k: int, tag: str) -> bool:
+        if k not in plain:
+            plain[k] = tag in ("html", "body") or (k in path or k in inside and 10 * size[k] >= 9 * size[largest] if largest >= 0 else 2 * size[k] >= total > 0)
+        return plain[k]
+
+    out = []
+    for b in page:
+        if any((tag == "form" or names and (tag in ("html", "body") or OTHER_NAMES & set(names))) and wraps(k, tag) for k, tag, names in b.above):
+            tags = tuple(t for k, t, _ in b.above if t not in INLINE and not (t == "form" and wraps(k, t)))
+            b = b._replace(tags=tags, names=tuple(n for k, t, names in b.above if t not in ("html", "body") for n in names if n not in OTHER_NAMES or not wraps(k, t)))
+        out.append(b)
+    return out
+
+
 def describe(page: list[Block]) -> list[list[str]]:
     """Features of each block of a page."""
     out, n = [], len(page)
@@ -198,7 +235,7 @@ def fit_pages(pages: DataFrame, html_col: str = "html", rows: int = FIT_PAGES) -
     marked = pages.select(F.col(html_col).alias("h")).where("h ilike '%<article%'")
     keys = marked.select(F.xxhash64("h").alias("k")).distinct().orderBy("k").limit(rows)  # a fixed bound for its broadcast
     found = marked.withColumn("k", F.xxhash64("h")).join(F.broadcast(keys), "k").groupBy("k").agg(F.first("h").alias("h")).orderBy("k").collect()
-    parsed = [blocks(x) for x in [*(r.h for r in found), _BUILT_IN]]
+    parsed = [unwrapped(blocks(x)) for x in [*(r.h for r in found), _BUILT_IN]]
     chain = Chain()
     chain.fit(*_learned([p for p in parsed if p]))
     return chain.ready()
@@ -212,7 +249,7 @@ def extract(pages: DataFrame, model: tuple[dict[str, float], list[list[float]]],
         for batch in slices(batches, "_html", SLICE_BYTES):
             texts = []
             for html in raw(batch.column("_html")):
-                page = blocks(html.decode("utf-8", "replace"))
+                page = unwrapped(blocks(html.decode("utf-8", "replace")))
                 texts.append("\n".join(b.text for b, y in zip(page, viterbi(shared.value, describe(page))) if y))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=[*keep, "text", "n_chars"])

@@ -405,6 +405,30 @@ def test_furniture_inside_and_around_an_article(spark, small):
         assert got.text == text
 
 
+WRAPPED = [
+    ("<body>", "<body class='single has-sidebar'>"), ("<body>", "<body id='page-with-menu'><div class='page with-menu'>"),
+    ("<body>", "<body><div id='share-root'>"), ("<body>", "<body><form action='/x'>"), ('class="post"', 'class="post has-comments"'),
+    ('<article class="post">', '<article class="post"><div class="entry with-tags">')]
+
+
+@pytest.mark.parametrize("fit", ["small", "wrapped"])
+def test_names_and_forms_around_the_whole_page(spark, small, fit):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    if fit == "wrapped":
+        pages = pages.withColumn("html", F.regexp_replace("html", "<body>", "<body class='has-sidebar'><form>"))
+    model = html_extraction.fit_pages(pages)
+    text = "Heading & more\nFirst paragraph of the text, with words.\nSecond paragraph, spread over lines.\nAn item of the text."
+    more = "".join(f"<p>Paragraph {k} goes on for some more words, and then it ends.</p>" for k in range(9))
+    page = FURNITURE.replace("<aside class=\"related\">", more + "<aside class=\"related\">")
+    text = text.replace("words.\nSecond", "words.\n" + "".join(f"Paragraph {k} goes on for some more words, and then it ends.\n" for k in range(9)) + "Second")
+    for old, new in WRAPPED:
+        for html in (page, page.replace("<article", "<main").replace("</article>", "</main>")):
+            old_, new_ = (x if "<article" in html else x.replace("<article", "<main") for x in (old, new))
+            assert old_ in html
+            got = html_extraction.extract(spark.createDataFrame([(html.replace(old_, new_),)], "html string"), model).first()
+            assert got.text == text, new_
+
+
 def test_odd_pages(spark, small):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>"), (3, "u", "<article><p>open <b>text"), (3, "u", "<article><p>open <b>text"),
             (4, "u", "</div></p><article>" + "<p>long words here</p>" * 3000)]
