@@ -6,9 +6,10 @@ import re
 from html import unescape
 from typing import NamedTuple
 
-# A comment, a raw-text element with what it holds, any other markup declaration, or a tag. Quoted values may hold ">".
+# A comment, a self-closed drawing, a raw-text element with what it holds, any other markup declaration, or a tag. Quoted values may hold ">".
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*/>"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>\"'<]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>",

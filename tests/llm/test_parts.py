@@ -188,6 +188,11 @@ def test_blocks_of_a_page():
     assert dom.blocks("") == [] and [b.text for b in dom.blocks("plain < text")] == ["plain < text"]
 
 
+def test_self_closed_drawings_hold_no_text():
+    assert [b.text for b in dom.blocks('<p>One</p><svg class="i"/><p>Two <svg a="/>" /> three</p>')] == ["One", "Two three"]
+    assert [b.text for b in dom.blocks("<p>One</p><svg><path d='m'/><text>no</text></svg><p>Two</p><svg/><p>Three</p>")] == ["One", "Two", "Three"]
+
+
 def test_viterbi_and_learning():
     page = [["a"], ["b"], ["a"], ["b"]]
     chain = html_extraction.Chain()
