@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, mixing, near_dedup, ppm, quality, sentence_dedup, suffix_dedup, token_files, topk
+from . import (
+    decontamination, html_extraction, mixing, near_dedup, piece_table, ppm, quality, sentence_dedup, suffix_dedup, token_files, topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -138,8 +140,8 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_threshold_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
@@ -160,3 +162,9 @@ def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that also start elsewhere."""
     return suffix_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's SentencePiece ids, and the checksum of the text decoded from them."""
+    return piece_table.piece_digests(_table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
