@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, html_extraction, mixing, near_dedup, piece_table, ppm, quality, sentence_dedup, suffix_dedup, token_files, topk)
+    decontamination, html_extraction, mixing, near_dedup, piece_table, ppm, quality, sentence_dedup, suffix_dedup, token_files, topk,
+    trie_pairs)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +171,18 @@ def op1_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and checksum of every document's SentencePiece ids, and the checksum of the text decoded from them."""
     return piece_table.piece_digests(_table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+
+
+def _misspelt(doc_id, runs: Counter) -> Counter:
+    """The runs of a document, of which one in 31, by checksum, has lost a letter."""
+    start, out = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), Counter()
+    for run, n in runs.items():
+        h = zlib.crc32(run.encode(), start)
+        out[run if h % 31 else run[:h % len(run)] + run[h % len(run) + 1:]] += n
+    return out
+
+
+@_query
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word's near words, the form that it follows and the last form of the chain."""
+    return trie_pairs.spelling_variants(trie_pairs.word_counts(_table(spark, sf_dir, "documents"), _misspelt))
