@@ -5,8 +5,8 @@ marked word: the ids of a text are the ids of its marked words, one after the ot
 bytes fall back to byte pieces, line breaks are such places too. So texts are cut into chunks, each distinct chunk is segmented
 once by the library, and its ids are joined back by position:
 
-1. Each slice of about ``SLICE_BYTES`` of texts becomes one stored row: the chunks of its texts as numbers, most frequent first,
-   and its distinct chunks. Texts do not travel further.
+1. Each slice of about ``SLICE_BYTES`` of texts becomes one stored row: the chunks of its texts as numbers, most frequent ones first,
+   and its distinct chunks, in alphabetical order among those about as frequent. Texts do not travel further.
 2. A slice sends its distinct chunks to parts by hash. A part, sized by ``PART_BYTES`` from the whole amount, holds the distinct
    chunks of its range of hashes over the whole table, segments each once, and answers every slice.
 3. Slices meet their answers, put ids in place of numbers, and decode the ids with the model's pieces. Bytes that are not
@@ -27,6 +27,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from depotlens.sources.scratch import materialise
 
 from .arrow import mix, raw, slices
-from .chunks import pack, unpack
+from .chunks import unpack
 
 SLICE_BYTES = 32 << 20
 PART_BYTES = 8 << 20
@@ -63,6 +65,7 @@ class Model:
         self.guard = "a\n" if self.at_breaks else "a"
         self.guarded = len(self.processor.encode(self.guard))
         size = self.processor.get_piece_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.odd = np.array([self.processor.is_control(k) or self.processor.is_unknown(k) for k in range(size)])
         self.pieces = pa.array([self._bytes(k) for k in range(size)], pa.binary())
         self.numbers = pa.array([b"%d," % k for k in range(size)], pa.binary())
@@ -130,6 +133,10 @@ def _joined(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [whole[a:b].to_pybytes() for a, b in zip(at, at[1:])]
 
 
+def pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+
+
 _models: dict[bytes, Model] = {}
 
 
@@ -173,6 +180,13 @@ def _unplaned(data: bytes) -> np.ndarray:
     return out
 
 
+def _numbering(words: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Words in the order in which they are numbered: small numbers for frequent ones, and neighbours that begin alike."""
+    place = np.empty(len(words), np.int64)
+    place[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+    return np.lexsort((place, -np.floor(np.log2(counts))))
+
+
 def _stored_slices(docs: DataFrame, shared, id_col: str, text_col: str, slice_bytes: int) -> DataFrame:
     """(slice, doc_ids, n_words, numbers, sizes, words, n_bytes): texts as numbers of their slice's distinct chunks."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,7 +197,7 @@ def _stored_slices(docs: DataFrame, shared, id_col: str, text_col: str, slice_by
             whole, starts, n_words = model.cut(raw(batch.column("text")))
             coded = _words(np.diff(np.r_[starts, len(whole)]), whole).dictionary_encode()
             numbers = coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
+            order = _numbering(coded.dictionary, np.bincount(numbers, minlength=len(coded.dictionary)))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             sizes, words = _layout(coded.dictionary.take(pa.array(order)))
@@ -227,7 +241,7 @@ def _asked(stored: DataFrame, parts: int) -> DataFrame:
                     own, data = _layout(asked.take(pa.array(at)))
                     yield pa.RecordBatch.from_arrays([
                         pa.array([int(part[at[0]])], pa.int64()), pa.array([number], pa.int64()),
-                        *(pa.array([x], pa.binary()) for x in (pack(np.diff(at, prepend=0).astype(np.int32)), pack(own.astype(np.int32)), pack(data))),
+                        *(pa.array([x], pa.binary()) for x in (pack(_planes(np.diff(at, prepend=0))), pack(own.astype(np.int32)), pack(data))),
                     ], names=["part", "slice", "at", "sizes", "words"])
 
     return stored.select("slice", "sizes", "words").mapInArrow(deal, "part long, slice long, at binary, sizes binary, words binary")
@@ -250,7 +264,7 @@ def _answered(asked: DataFrame, shared) -> DataFrame:
         starts, entry = np.cumsum(counts) - counts, coded.indices.to_numpy(zero_copy_only=False)
         out = []
         for own, r in zip(np.split(entry, np.cumsum([len(x) for x in sizes])[:-1]), rows):
-            out.append((r["slice"], r["at"], pack(_planes(counts[own])), pack(_planes(ids[_runs(starts[own], counts[own])].astype(np.int64)))))
+            out.append((r["slice"], r["at"], pack(_planes(counts[own])), pack(ids[_runs(starts[own], counts[own])].astype(model.kind))))
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["slice", "at", "counts", "ids"])
 
     return asked.groupBy("part").applyInArrow(answer, "slice long, at binary, counts binary, ids binary")
@@ -269,11 +283,11 @@ def _encoded(docs: DataFrame, model_file: str, columns: str, make, id_col: str =
 
     def place(own: pa.Table, answers: pa.Table) -> pa.Table:
         model, out = _model(shared.value), []
-        ats, counts, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ats, counts, ids = [], [np.zeros(0, np.int64)], [np.zeros(0, model.kind)]
         for row in answers.to_pylist():
-            ats.append(np.cumsum(unpack(row["at"], "<i4")))
+            ats.append(np.cumsum(_unplaned(unpack(row["at"]))))
             counts.append(_unplaned(unpack(row["counts"])))
-            ids.append(_unplaned(unpack(row["ids"])))
+            ids.append(unpack(row["ids"], model.kind))
         n, ids = np.concatenate(counts), np.concatenate(ids).astype(np.uint32)
         counts, starts = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         if ats:
