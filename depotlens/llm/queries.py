@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, html_extraction, mixing, near_dedup, piece_table, ppm, quality, sentence_dedup, suffix_dedup, token_files, topk,
-    trie_pairs)
+    automaton_search, decontamination, html_extraction, mixing, near_dedup, piece_table, ppm, quality, sentence_dedup, suffix_dedup, token_files,
+    topk, trie_pairs)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,33 @@ def _misspelt(doc_id, runs: Counter) -> Counter:
 def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word's near words, the form that it follows and the last form of the chain."""
     return trie_pairs.spelling_variants(trie_pairs.word_counts(_table(spark, sf_dir, "documents"), _misspelt))
+
+
+@_query
+def op13_automaton_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for every benchmark item."""
+    return automaton_search.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_automaton_scan"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0
+), size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS gain FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size
+), scored AS (
+  SELECT i, item_id, r, sum(times * gain * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // size.terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN d USING (r), size GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM scored JOIN d USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
