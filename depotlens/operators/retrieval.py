@@ -1,25 +1,21 @@
-"""Passage chunking and vector, lexical, hybrid and inverted-list retrieval.
+"""Passage chunking, exact vector top-k, lexical and hybrid top-k, and packed context.
 
-Scoring is a map over the corpus: each task multiplies its Arrow batches with a block of queries and
-keeps k rows per query, so neither pairs nor corpus rows are shuffled. Only k rows per query and task
-reach the final ranking. Query blocks have a fixed size, which bounds what is shipped to tasks; more
-queries mean more passes. Scores are rounded to 6 places before ranking and ties fall to the lower id.
+Vector scoring is a product of packed rows: queries are packed into stored rows of at most ``BLOCK_QUERIES``, the corpus into rows of
+``BLOCK_VECTORS``, and every pair of rows of one dimension is one matrix product, all in one job. So queries stay off the driver, pairs are never rows, and
+only k rows per query and packed row reach the final ranking. Lexical scoring goes through ``lexical_index``, approximate vector
+search through ``vector_index``. Scores are rounded to 6 places before ranking and ties fall to the lower id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import tokens
-from ..sources.scratch import materialise, new_path
-from . import ordered
+from ..sources.scratch import materialise
+from . import lexical_index, ordered
 
 BLOCK_QUERIES = 512
-BLOCK_TERMS = 8192
+BLOCK_VECTORS = 8192
 RRF_OFFSET = 60
 
 
@@ -47,106 +43,34 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 100, i
     )
 
 
-def _ranked(parts: Iterator[DataFrame], k: int, score: str, empty: DataFrame) -> DataFrame:
-    """Final k per query over the tasks' candidates, block by block.
+def _packed(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
+    """(dimension, ids, vectors): vectors of one dimension, at most ``size`` a row, as 64-bit numbers.
 
-    Each query belongs to one block, so blocks are ranked apart. Each is written as it comes, whatever
-    their number, and the driver holds one block of queries at a time.
+    Rows whose vector is null, empty, zero, incomplete or not finite have no cosine with anything and are left out.
     """
-    def rank(candidates: DataFrame) -> DataFrame:
-        top = ordered.top_k_per(candidates, ["query_id"], [F.desc(score), F.asc("item_id")], k, "rank")
-        return top.withColumn("rank", F.col("rank").cast("long"))
-
-    path = new_path(empty.sparkSession, "ranked")
-    schema = rank(empty).schema
-    empty.sparkSession.createDataFrame([], schema).write.parquet(path)
-    for part in parts:
-        rank(part).write.mode("append").parquet(path)
-    return empty.sparkSession.read.schema(schema).parquet(path)
-
-
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    block = []
-    for row in rows:
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _result_schema(queries: DataFrame, corpus: DataFrame, query_id: str, item_id: str, score: str) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", queries.schema[query_id].dataType),
-        T.StructField("item_id", corpus.schema[item_id].dataType),
-        T.StructField(score, T.DoubleType()),
-    ])
-
-
-def _query_vectors(queries: DataFrame, query_id: str, vector: str) -> Iterator:
-    rows = queries.where(F.size(vector) > 0).select(query_id, F.col(vector).cast("array<double>"))
-    return rows.toLocalIterator()
-
+    kind = rows.schema[id_col].dataType.simpleString()
 
-def _vector_scorer(ids: list, vectors: list, k: int, probes: list | None = None):
-    """Batch function: cosine of every row with every query of the block, k best per query and task.
-
-    With ``probes`` (lists searched per query) rows carry a list number and meet only queries that
-    probe it.
-    """
-    def score(batches):
+    def pack(batches):
         import numpy as np
         import pyarrow as pa
-
-        q = np.asarray(vectors, dtype=np.float64)
-        norms = np.sqrt((q * q).sum(axis=1))
-        usable = np.nonzero(norms > 0)[0]
-        q[usable] /= norms[usable, None]
-        searching = {}
-        if probes is not None:
-            for query in usable:
-                for number in probes[query]:
-                    searching.setdefault(number, []).append(query)
-        best = [[] for _ in ids]
-        worst = np.full(len(ids), -np.inf)  # score a row must reach to enter a query's best k
-
-        def keep(sims, items, asked):
-            """Merge rows x queries into the best k by (score desc, id asc)."""
-            sims = np.round(sims, 6)
-            row, column = np.nonzero(sims >= worst[asked])
-            for c in np.unique(column):
-                found, query = row[column == c], asked[c]
-                values = sims[found, c]
-                if len(found) > k:
-                    cut = np.partition(values, len(found) - k)[len(found) - k]
-                    found, values = found[values >= cut], values[values >= cut]
-                best[query] = sorted(best[query] + list(zip((-values).tolist(), [items[i] for i in found])))[:k]
-                if len(best[query]) == k:
-                    worst[query] = -best[query][-1][0]
+        import pyarrow.compute as pc
 
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            length = np.sqrt((m * m).sum(axis=1))
-            real = np.nonzero((length > 0) & np.isfinite(length))[0]
-            m = m[real] / length[real, None]
-            items = batch.column(0).take(pa.array(real)).to_pylist()
-            if probes is None:
-                keep(m @ q[usable].T, items, usable)
-                continue
-            lists = batch.column(2).to_numpy(zero_copy_only=False)[real]
-            for number in np.unique(lists):
-                wanted = np.asarray(searching.get(int(number), []), dtype=np.int64)
-                if len(wanted):
-                    inside = np.nonzero(lists == number)[0]
-                    keep(m[inside] @ q[wanted].T, [items[i] for i in inside], wanted)
-        rows = [(ids[n], item, -negative) for n, found in enumerate(best) for negative, item in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(column)) for column in zip(*rows)],
-                                             names=["query_id", "item_id", "similarity"])
-    return score
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dimension in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == dimension)
+                for low in range(0, len(own), size):
+                    part = batch.take(pa.array(own[low:low + size]))
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    length = (x * x).sum(axis=1)
+                    real = np.flatnonzero((length > 0) & np.isfinite(length))
+                    if len(real):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([dimension], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(real)], pa.int32()), part.column(0).take(pa.array(real))),
+                            pa.array([(x[real] / np.sqrt(length[real])[:, None]).tobytes()], pa.binary())], names=["dimension", "ids", "vectors"])
+
+    usable = rows.where(F.size(vector) > 0).select(F.col(id_col), F.col(vector).cast("array<double>"))
+    return usable.mapInArrow(pack, f"dimension int, ids array<{kind}>, vectors binary")
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", item_id: str = "vec_id",
@@ -155,20 +79,33 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str
 
     Rows whose vector is null, zero, incomplete or of another size have no cosine with the query and drop out.
     """
-    schema = _result_schema(queries, corpus, query_id, item_id, "similarity")
-
-    def parts():
-        for dimension, rows in _by_dimension(queries, query_id, vector, block):
-            usable = corpus.where(F.size(vector) == dimension).select(item_id, vector)
-            yield usable.mapInArrow(_vector_scorer([r[0] for r in rows], [list(r[1]) for r in rows], k), schema)
-
-    return _ranked(parts(), k, "similarity", queries.sparkSession.createDataFrame([], schema))
+    asked = materialise(_packed(queries, query_id, vector, block), "query-blocks")
+    asked = asked.select("dimension", F.col("ids").alias("queries"), F.col("vectors").alias("asked"))
+    # Few packed rows on either side, each pair one product. Stored blocks have a known size: small ones are broadcast by themselves, and
+    # of many ones, AQE splits the rows of a dimension.
+    met = _packed(corpus, item_id, vector, BLOCK_VECTORS).join(asked, "dimension")
+    kinds = queries.schema[query_id].dataType.simpleString(), corpus.schema[item_id].dataType.simpleString()
 
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def _by_dimension(queries: DataFrame, query_id: str, vector: str, block: int):
-    for rows in _blocks(_query_vectors(queries, query_id, vector), block):
-        for dimension in sorted({len(r[1]) for r in rows}):
-            yield dimension, [r for r in rows if len(r[1]) == dimension]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                items, asked = batch.column("ids")[row].values, batch.column("queries")[row].values
+                x, q = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(len(ids), -1) for c, ids in (("vectors", items), ("asked", asked)))
+                similar = np.round(q @ x.T, 6)
+                if len(items) > k:  # every item as good as the k-th best, so that ties are settled by id
+                    cut = np.partition(similar, len(items) - k, axis=1)[:, len(items) - k]
+                    query, item = np.nonzero(similar >= cut[:, None])
+                else:
+                    query, item = np.divmod(np.arange(similar.size), len(items))
+                yield pa.RecordBatch.from_arrays([
+                    asked.take(pa.array(query)), items.take(pa.array(item)), pa.array(similar[query, item])], names=["query_id", "item_id", "similarity"])
+
+    found = met.select("ids", "vectors", "queries", "asked").mapInArrow(score, f"query_id {kinds[0]}, item_id {kinds[1]}, similarity double")
+    top = ordered.top_k_per(found, ["query_id"], [F.desc("similarity"), F.asc("item_id")], k, "rank")
+    return materialise(top.withColumn("rank", F.col("rank").cast("long")), "vector-hits")
 
 
 def filtered_vector_topk(queries: DataFrame, corpus: DataFrame, predicate, k: int = 5, **names) -> DataFrame:
@@ -176,123 +113,15 @@ def filtered_vector_topk(queries: DataFrame, corpus: DataFrame, predicate, k: in
     return vector_topk(queries, corpus.where(predicate), k, **names)
 
 
-def _lexical_scorer(ids: list, vocabulary: list, weights: list, average: float, k: int, k1: float, b: float,
-                    cells: int = 4_000_000):
-    """Batch function: BM25 of every passage with every query of the block, k best per query and task."""
-    def score(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        terms = pa.array(vocabulary)
-        matrix = np.zeros((len(vocabulary), len(ids)))
-        for query, pairs in enumerate(weights):
-            for term, idf in pairs:
-                matrix[term, query] = idf
-        best = [[] for _ in ids]
-        worst = np.zeros(len(ids))  # score a passage must reach to enter a query's best k
-        rows_at_once = 512
-
-        def spans(group):
-            edges = np.nonzero(np.diff(group))[0] + 1
-            return zip([0, *edges], [*edges, len(group)])
-
-        def keep(scores, items):
-            """Merge passages x queries into the best k by (score desc, id asc)."""
-            hit, query_of = np.nonzero((scores > 0) & (scores >= worst))
-            for query in np.unique(query_of):
-                found = hit[query_of == query]
-                values = scores[found, query]
-                if len(found) > k:
-                    cut = np.partition(values, len(found) - k)[len(found) - k]
-                    found, values = found[values >= cut], values[values >= cut]
-                best[query] = sorted(best[query] + list(zip((-values).tolist(), [items[i] for i in found])))[:k]
-                if len(best[query]) == k:
-                    worst[query] = -best[query][-1][0]
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(start, rows_at_once)
-                words = part.column(1)
-                lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-                code = pc.index_in(words.flatten(), value_set=terms)
-                known = pc.is_valid(code).to_numpy(zero_copy_only=False)
-                cell = np.repeat(np.arange(part.num_rows), lengths)[known] * len(vocabulary)
-                cell += pc.drop_null(code).to_numpy(zero_copy_only=False)
-                cell, tf = np.unique(cell, return_counts=True)
-                if not len(cell):
-                    continue
-                row, term = cell // len(vocabulary), cell % len(vocabulary)
-                norm = k1 * (1.0 - b + b * lengths[row] / average)
-                share = tf * (k1 + 1.0) / (tf + norm)
-                first = np.nonzero(np.diff(row, prepend=-1))[0]
-                items = part.column(0).take(pa.array(row[first])).to_pylist()
-                # Passages are scored in groups whose term x query products fit a fixed memory.
-                group = (first + np.diff(first, append=len(row)) - 1) // max(1, cells // len(ids))
-                for begin, end in spans(group):
-                    low, high = first[begin], first[end] if end < len(first) else len(row)
-                    products = share[low:high, None] * matrix[term[low:high]]
-                    keep(np.round(np.add.reduceat(products, first[begin:end] - low, axis=0), 6), items[begin:end])
-        rows = [(ids[n], item, -negative) for n, found in enumerate(best) for negative, item in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(column)) for column in zip(*rows)],
-                                             names=["query_id", "item_id", "score"])
-    return score
-
-
-_EVERY = ""  # pseudo term that stands for every passage in the statistics
-
-
 def lexical_topk(queries: DataFrame, passages: DataFrame, k: int = 5, query_id: str = "query_id",
                  query_text: str = "text", item_id: str = "chunk_id", passage_text: str = "chunk",
-                 k1: float = 1.2, b: float = 0.75, block: int = BLOCK_QUERIES) -> DataFrame:
+                 k1: float = 1.2, b: float = 0.75, block: int = lexical_index.BLOCK_QUERIES) -> DataFrame:
     """BM25 top-k over passages: ``(query_id, item_id, score, rank)``.
 
-    Passages are read and cut into words once, and the words are stored. One aggregate over them counts
-    passages, words and the document frequency of all query terms; a join gives every query its terms'
-    weights. Blocks of weighted queries are then scored over the stored words. A query counts each of its
-    terms once.
+    The passages' index is made for this one search, without folders by term; a stored index answers later ones.
     """
-    spark = passages.sparkSession
-    schema = _result_schema(queries, passages, query_id, item_id, "score")
-    words = passages.select(F.col(item_id), tokens(passage_text).alias("_words")).where(F.size("_words") > 0)
-    words = materialise(words, "passage-words")
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
-    wanted = asked.select("term").union(spark.createDataFrame([(_EVERY,)], "term string")).distinct()
-    seen = words.select(
-        F.explode(F.array_append(F.array_distinct("_words"), _EVERY)).alias("term"), F.size("_words").alias("_len"))
-    counted = seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("_len").alias("words"))
-    counted = materialise(counted, "term-counts")
-    every = counted.where(F.col("term") == _EVERY)
-    n = every.select("df").scalar()
-    idf = F.log(1e0 + (n - F.col("df") + 0.5e0) / (F.col("df") + 0.5e0))
-    weighted = asked.join(counted.select("term", idf.alias("idf")), "term").groupBy(query_id).agg(
-        F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("_t"))
-    average = every.select(F.col("words") / F.col("df")).first()
-
-    def parts():
-        for rows in _term_blocks(weighted.toLocalIterator(), block):
-            vocabulary = sorted({term for row in rows for term, _ in row[1]})
-            place = {term: at for at, term in enumerate(vocabulary)}
-            weights = [[(place[term], value) for term, value in row[1]] for row in rows]
-            yield words.mapInArrow(_lexical_scorer([row[0] for row in rows], vocabulary, weights, average[0], k, k1, b), schema)
-
-    return _ranked(parts(), k, "score", spark.createDataFrame([], schema))
-
-
-def _term_blocks(rows: Iterator, size: int) -> Iterator[list]:
-    """Blocks bounded in queries and in distinct terms; a longer query forms a block of its own."""
-    block, seen = [], set()
-    for row in rows:
-        terms = {term for term, _ in row[1]}
-        new = seen | terms
-        if block and (len(block) == size or len(new) > BLOCK_TERMS):
-            yield block
-            block, new = [], terms
-        block.append(row)
-        seen = new
-    if block:
-        yield block
+    index = materialise(lexical_index.index_rows(passages, 1, item_id, passage_text), "lexical-index")
+    return lexical_index.search_index(queries, index, k, None, query_id, query_text, k1, b, block)
 
 
 def hybrid_topk(queries: DataFrame, dense: DataFrame, lexical: DataFrame, k: int = 5, query_id: str = "query_id") -> DataFrame:
@@ -321,50 +150,3 @@ def retrieved_context(hits: DataFrame, passages: DataFrame, item_id: str = "chun
     entry = F.struct("rank", "item_id", "text")
     packed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     return packed.select("query_id", F.size("_all").cast("long").alias("n_chunks"), F.to_json("_all").alias("context"))
-
-
-def build_lists(corpus: DataFrame, n_lists: int = 16, vector: str = "embedding", seed: int = 7, iterations: int = 5):
-    """Coarse lists for approximate search: the corpus with ``list_id`` and the list centres.
-
-    Store the result partitioned by ``list_id`` (``write_lists``) so a search reads only probed lists.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    length = F.sqrt(F.aggregate(vector, F.lit(0e0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    unit = F.transform(vector, lambda x: x.cast("double") / F.col("_length"))
-    usable = corpus.where(F.size(vector) > 0).withColumn("_length", length).where("_length > 0")
-    points = usable.withColumn("_point", array_to_vector(unit)).drop("_length")
-    model = KMeans(k=n_lists, seed=seed, maxIter=iterations, featuresCol="_point", predictionCol="list_id").fit(points)
-    centres = [c.tolist() for c in model.clusterCenters()]
-    return model.transform(points).drop("_point"), centres
-
-
-def write_lists(lists: DataFrame, path: str) -> None:
-    lists.hint("rebalance", F.col("list_id")).write.mode("overwrite").partitionBy("list_id").parquet(path)
-
-
-def ivf_topk(queries: DataFrame, lists: DataFrame, centres: list[list[float]], k: int = 5, nprobe: int = 4,
-             query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding",
-             block: int = BLOCK_QUERIES) -> DataFrame:
-    """Approximate top-k within the ``nprobe`` lists whose centres are nearest to the query."""
-    import numpy as np
-
-    schema = _result_schema(queries, lists, query_id, item_id, "similarity")
-    centre = np.asarray(centres)
-
-    def parts():
-        for dimension, rows in _by_dimension(queries, query_id, vector, block):
-            if dimension != centre.shape[1]:
-                continue
-            q = np.asarray([list(r[1]) for r in rows])
-            length = np.sqrt((q * q).sum(axis=1, keepdims=True))
-            unit = q / np.where(length > 0, length, 1.0)
-            distance = ((unit[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2)
-            probes = [[int(x) for x in np.argsort(line, kind="stable")[:nprobe]] for line in distance]
-            wanted = sorted({x for line in probes for x in line})
-            scorer = _vector_scorer([r[0] for r in rows], q.tolist(), k, probes)
-            searched = lists.where(F.col("list_id").isin(wanted) & (F.size(vector) == dimension))
-            yield searched.select(item_id, vector, "list_id").mapInArrow(scorer, schema)
-
-    return _ranked(parts(), k, "similarity", queries.sparkSession.createDataFrame([], schema))

@@ -9,7 +9,8 @@ from depotlens.sources import tables
 from depotlens.sources.scratch import new_path
 
 # Scoring by matrix product is the only work done in Python.
-PYTHON = {"vector_topk", "filtered_vector_topk", "lexical_topk", "hybrid_topk", "retrieved_context", "ivf_topk"}
+PYTHON = {"vector_topk", "filtered_vector_topk", "lexical_topk", "hybrid_topk", "retrieved_context", "ivf_topk",
+          "lexical_index_topk"}
 
 # These read back what a stream or a writer stored; their work is not in the returned plan.
 STORED = {

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from depotlens.operators import retrieval
+from depotlens.operators import lexical_index, retrieval, vector_index
+from depotlens.sources.scratch import materialise, new_path
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def brute(data, query, k):
     return [(int(n), float(sims[n])) for n in sorted(range(len(data)), key=lambda n: (-sims[n], n))[:k]]
 
 
-@pytest.mark.parametrize("block", [1, 3, 512])  # 1 passes the plan limit, so results are written block by block
+@pytest.mark.parametrize("block", [1, 3, 512])
 def test_vector_topk(spark, vectors, block):
     data, corpus = vectors
     asked = [(n, [float(x) for x in data[n * 7 + 50]]) for n in range(11)]
@@ -56,17 +57,66 @@ def test_no_queries_or_no_corpus(spark, vectors):
     assert retrieval.lexical_topk(asked, spark.createDataFrame([], "chunk_id string, chunk string"), 4).count() == 0
 
 
-def test_lists_recall(spark, vectors):
+def pairs(df):
+    return {(r.query_id, r.item_id) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def vector_lists(spark, vectors):
+    path = new_path(spark, "lists")
+    vector_index.build_index(vectors[1].where(F.size("embedding") == 8), path)
+    return path
+
+
+def asked_vectors(spark, data):
+    return spark.createDataFrame([(n, [float(x) for x in data[n]]) for n in range(0, 400, 10)], "query_id long, embedding array<double>")
+
+
+def test_vector_index_finds_nine_tenths_in_a_fifth_of_the_lists(spark, vectors, vector_lists):
     data, corpus = vectors
-    queries = spark.createDataFrame([(n, [float(x) for x in data[n]]) for n in range(0, 400, 10)], "query_id long, embedding array<double>")
-    exact = retrieval.vector_topk(queries, corpus, 5).select("query_id", "item_id").cache()
-    lists, centres = retrieval.build_lists(corpus.where(F.size("embedding") == 8), 6)
-    lists = lists.cache()
-    few = retrieval.ivf_topk(queries, lists, centres, 5, nprobe=3)
-    assert few.join(exact, ["query_id", "item_id"]).count() / exact.count() > 0.7
-    # Probing every list is exact.
-    every = retrieval.ivf_topk(queries, lists, centres, 5, nprobe=6)
-    assert every.join(exact, ["query_id", "item_id"]).count() == exact.count()
+    queries, index = asked_vectors(spark, data), vector_index.VectorIndex(spark, vector_lists)
+    exact = retrieval.vector_topk(queries, corpus, 5)
+    assert len(index.centres) == vector_index.n_lists(400) and 5 * vector_index.default_probes(len(index.centres)) <= len(index.centres)
+    found = vector_index.index_topk(queries, index, 5)
+    assert len(pairs(found) & pairs(exact)) >= 0.9 * exact.count()
+    # Similarities are exact, and ranks follow them.
+    known = {(r.query_id, r.item_id): r.similarity for r in exact.collect()}
+    rows = found.orderBy("query_id", "rank").collect()
+    assert all(known.get((r.query_id, r.item_id), r.similarity) == r.similarity for r in rows)
+    assert all(a.similarity >= b.similarity for a, b in zip(rows, rows[1:]) if a.query_id == b.query_id)
+    # Every list probed and every entry compared is exact.
+    every = vector_index.index_topk(queries, index, 5, nprobe=len(index.centres), pool=400)
+    assert pairs(every) == pairs(exact)
+
+
+def test_only_probed_lists_are_read(spark, vectors, vector_lists):
+    data, _ = vectors
+    index = vector_index.VectorIndex(spark, vector_lists)
+    one = asked_vectors(spark, data).limit(1)
+    asked = vector_index._asked(one, spark.sparkContext.broadcast((index.centres, index.books)), lambda far: np.argsort(far, axis=1)[:, :3], "query_id", "embedding", 8)
+    text = vector_index._looked_up(index, asked, spark.sparkContext.broadcast((index.centres, index.books)), 10)._jdf.queryExecution().executedPlan().toString()
+    lists = re.search(r"PartitionFilters: \[[^\]]*list_id#\d+ (IN|INSET) \(?([\d, ]+)", text)
+    assert lists and len(lists.group(2).split(",")) == 3
+
+
+def test_every_usable_vector_is_indexed_once_at_home(spark, vectors, vector_lists):
+    index = vector_index.VectorIndex(spark, vector_lists)
+    assert index.rows == 400 and index.vectors.count() == 400
+    entries = index.lists.select("list_id", F.explode("items").alias("item")).collect()
+    assert len(entries) == len(set(entries)) == 400 * vector_index.COPIES
+
+
+def test_lists_grow_with_the_rows():
+    sizes = [vector_index.n_lists(n) for n in (1, 10, 100, 10_000, 1_000_000, 1_000_000_000)]
+    assert sizes == [1, 10, 20, 200, 2000, 63246]
+
+
+def test_vector_index_of_odd_rows(spark, vectors, vector_lists):
+    index = vector_index.VectorIndex(spark, vector_lists)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [0.0] * 8), (4, [1.0] * 3), (5, [float("nan")] * 8), (6, [None] + [1.0] * 7)], "query_id long, embedding array<double>")
+    assert vector_index.index_topk(odd, index, 5).count() == 0
+    with pytest.raises(ValueError):
+        vector_index.build_index(vectors[1].limit(0), new_path(spark, "empty"))
 
 
 @pytest.fixture(scope="module")
@@ -109,26 +159,74 @@ def test_lexical_topk(spark, texts, block):
         assert [x[1] for x in got.get(n, [])] == pytest.approx([x[1] for x in want], abs=2e-6)
 
 
-def test_long_passages_are_scored_in_groups(texts):
-    import pyarrow as pa
+@pytest.mark.parametrize("slice_words,first,cells", [(1 << 20, 4, 4_000_000), (300, 1, 50), (40, 2, 7), (1, 3, 1000)])
+def test_lexical_topk_in_any_slices(spark, texts, monkeypatch, slice_words, first, cells):
+    passages, asked = texts
+    monkeypatch.setattr(lexical_index, "FIRST_SLICES", first)
+    monkeypatch.setattr(lexical_index, "CELLS", cells)
+    rows = materialise(lexical_index.index_rows(spark.createDataFrame(passages, "chunk_id string, chunk string").repartition(3), 4, slice_words=slice_words), "rows")
+    got = {}
+    for r in lexical_index.search_index(spark.createDataFrame(asked, "query_id long, text string"), rows, 5, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.item_id, r.score))
+    for n, text in asked:
+        want = bm25(passages, text, 5)
+        assert [x[0] for x in got.get(n, [])] == [x[0] for x in want]
+        assert [x[1] for x in got.get(n, [])] == pytest.approx([x[1] for x in want], abs=2e-6)
+
+
+def test_query_blocks_keep_every_query(spark):
+    rows = [(n, " ".join(f"t{n}x{m}" for m in range(3000))) for n in range(7)] + [(9, " ".join(f"x{m}" for m in range(20_000))), (10, None), (11, " . ")]
+    blocks = list(lexical_index._query_blocks(spark.createDataFrame(rows, "query_id long, text string"), "query_id", "text", 512))
+    assert [q for ids, _ in blocks for q in ids] == [0, 1, 2, 3, 4, 5, 6, 9]
+    assert all(len(ids) == 1 or sum(map(len, terms)) <= lexical_index.BLOCK_TERMS for ids, terms in blocks)
+
+
+@pytest.fixture(scope="module")
+def stored_index(spark, texts):
+    path, rows = new_path(spark, "lexical"), spark.createDataFrame(texts[0], "chunk_id string, chunk string")
+    lexical_index.write_index(rows.where("chunk_id < 'p100'"), path, 16, slice_words=500)
+    lexical_index.write_index(rows.where("chunk_id >= 'p100'"), path, 16, slice_words=500)
+    return path
+
+
+def test_additions_to_a_stored_index(spark, texts, stored_index):
     passages, asked = texts
-    words = [(p, re.findall(r"[^\W_]+", t.lower())) for p, t in passages]
-    words = [(p, w) for p, w in words if w]
-    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in words]), pa.array([w for _, w in words])], names=["id", "w"])
-    vocabulary = sorted({f"w{n}" for n in range(60)})
-    weights = [[(n, 1.0 + n) for n in range(0, 60, step)] for step in (1, 2, 7)]
-    found = []
-    for cells in (1, 50, 1000, 4_000_000):
-        scorer = retrieval._lexical_scorer([1, 2, 3], vocabulary, weights, 40.0, 4, 1.2, 0.75, cells)
-        found.append([b.to_pydict() for b in scorer(iter([batch]))])
-    assert found[0] == found[1] == found[2] == found[3] and len(found[0][0]["item_id"]) == 12
-
-
-def test_term_blocks_keep_every_query():
-    rows = [(n, [(f"t{n}-{m}", 1.0) for m in range(3000)]) for n in range(7)] + [(9, [(f"x{m}", 1.0) for m in range(20_000)])]
-    blocks = list(retrieval._term_blocks(iter(rows), 512))
-    assert [r[0] for block in blocks for r in block] == [0, 1, 2, 3, 4, 5, 6, 9]
-    assert all(len(block) == 1 or sum(len(r[1]) for r in block) <= retrieval.BLOCK_TERMS for block in blocks)
+    index, queries = lexical_index.read_index(spark, stored_index), spark.createDataFrame(asked, "query_id long, text string")
+    whole = retrieval.lexical_topk(queries, spark.createDataFrame(passages, "chunk_id string, chunk string"), 5)
+    assert sorted(lexical_index.search_index(queries, index, 5, 16).collect()) == sorted(whole.collect())
+    held = index.where("bucket = -1").select("slice", F.explode("ids").alias("id"))
+    assert held.count() == 302 and held.groupBy("slice").count().count() == index.select("slice").distinct().count()
+
+
+def test_only_buckets_of_query_terms_are_read(spark, stored_index):
+    index = lexical_index.read_index(spark, stored_index)
+    rows = lexical_index.pieces(index, ["w1", "w2"], 16)
+    wanted = sorted({lexical_index._bucket(t, 16) for t in ("w1", "w2")})
+    assert set(r.bucket for r in index.join(rows.select("slice", "terms"), ["slice", "terms"]).select("bucket").distinct().collect()) <= set(wanted)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(" + ",".join(map(str, wanted)), text)
+
+
+def test_no_row_stands_for_a_word(spark, texts):
+    passages = spark.createDataFrame(texts[0], "chunk_id string, chunk string").coalesce(1)
+    rows = lexical_index.index_rows(passages, 8)
+    assert rows.count() <= 9 and "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_that_cannot_reach_the_top_are_not_scored(spark):
+    """One slice holds all strong passages; after it was scored first, the bounds of the others stay below."""
+    passages = [(f"a{n}", "rare rare rare word") for n in range(6)] + [(f"b{n}", "rare " + "filler " * 400) for n in range(60)] + [(f"c{n}", "word other") for n in range(50)]
+    rows = materialise(lexical_index.index_rows(spark.createDataFrame(passages, "chunk_id string, chunk string").coalesce(1), 2, slice_words=24), "rows")
+    vocabulary = ["rare"]
+    picked = materialise(lexical_index._picked(rows, spark.sparkContext.broadcast(vocabulary), 2), "picked")
+    plan = {"ids": [1], "query": np.array([0]), "starts": np.array([0, 1]), "idf": np.array([1.0]), "average": 200.0, "k1": 1.2, "b": 0.75}
+    bounds = lexical_index._bounds(picked.select("slice", "term", "max_tf", "min_len"), spark.sparkContext.broadcast(plan))
+    first = spark.createDataFrame([(r.slice, r["query"]) for r in bounds.orderBy(F.desc("bound")).limit(1).collect()], "slice long, query int")
+    best = bounds.agg(F.max("bound")).first()[0]
+    open_ = lexical_index.open_slices(bounds, first, spark.createDataFrame([(0, best - 1e-3)], "query int, reached double"))
+    assert bounds.count() > 50 and open_.count() == 0
+    # Without k results so far, or with bounds as good as the k-th best, nothing is left out.
+    assert lexical_index.open_slices(bounds, first, spark.createDataFrame([], "query int, reached double")).count() == bounds.count() - 1
 
 
 @pytest.mark.parametrize("size,overlap", [(500, 100), (10, 0), (10, 9), (7, 4), (1, 0)])
