@@ -134,7 +134,7 @@ def _joined(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def pack(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 _models: dict[bytes, Model] = {}
