@@ -78,3 +78,8 @@ def action_key(prefix: str, *parts) -> Column:
 def tokens(text) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def spaced_tokens(text) -> Column:
+    """The ``tokens`` in one string, a single space behind each (and one space alone if there are none)."""
+    return F.concat(F.trim(F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))

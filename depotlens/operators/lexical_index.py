@@ -1,6 +1,6 @@
 """An inverted index over passages, and BM25 top-k from it.
 
-Passages are cut into words once, task by task, and become slices of about ``SLICE_WORDS`` words. A slice holds the posting lists of its
+Passages are cut into words once, task by task, and become slices of about ``SLICE_BYTES`` of words. A slice holds the posting lists of its
 words, so a frequent word's list is cut into as many pieces as there are slices. The lists of a slice are dealt to buckets by term, one
 row per slice and bucket: sorted terms, the number of postings of each, the largest term frequency and the shortest passage among them
 (which bound what a piece can add to a score), and the postings. Another row holds the slice's passages. No row stands for a word of a
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import spaced_tokens, tokens
 from ..sources.scratch import materialise, new_path
 from . import ordered
 
-SLICE_WORDS = 1 << 20
+SLICE_BYTES = 4 << 20
 BLOCK_QUERIES = 512
 BLOCK_TERMS = 8192
-FIRST_SLICES = 4
+FIRST_SLICES = 16
 BUCKETS = 64
 CELLS = 4_000_000
 _PASSAGES = -1  # the bucket of passage rows
@@ -49,7 +49,7 @@ def _index_schema(kind: T.DataType) -> T.StructType:
         T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", ints)])
 
 
-def index_rows(passages: DataFrame, buckets: int = BUCKETS, item_id: str = "chunk_id", text: str = "chunk", slice_words: int = SLICE_WORDS,
+def index_rows(passages: DataFrame, buckets: int = BUCKETS, item_id: str = "chunk_id", text: str = "chunk", slice_bytes: int = SLICE_BYTES,
                load: int = 0) -> DataFrame:
     """The rows of an index of ``passages``. Passages without a word are left out; ``load`` keeps the slices of later additions apart."""
     schema = _index_schema(passages.schema[item_id].dataType)
@@ -57,6 +57,7 @@ def index_rows(passages: DataFrame, buckets: int = BUCKETS, item_id: str = "chun
     def cut(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, number = to_arrow_schema(schema), load << 48 | TaskContext.get().partitionId() << 24
@@ -73,41 +74,49 @@ def index_rows(passages: DataFrame, buckets: int = BUCKETS, item_id: str = "chun
             return pa.RecordBatch.from_arrays(cells, names=arrow.names)
 
         def sliced(held):
-            words = pa.concat_arrays([w.flatten() for _, w in held])
-            lens = np.concatenate([np.diff(w.offsets.to_numpy()) for _, w in held])
+            # Words follow each other in one buffer, each with the space behind it, so their places are those after a space.
+            whole, ends = b"".join(x for _, x, _ in held), np.concatenate([e for _, _, e in held])
+            after = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32) + 1
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(after), [None, pa.py_buffer(np.r_[0, after].astype(np.int64)), pa.py_buffer(whole)])
+            lens = np.diff(np.searchsorted(after, np.r_[0, np.cumsum(ends)], "right"))
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy().astype(np.int64)
             rows = np.repeat(np.arange(len(lens)), lens)
-            cell, tf = np.unique(codes * len(lens) + rows, return_counts=True)
+            cell = np.sort(codes * len(lens) + rows)
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            cell, tf = cell[first], np.diff(np.r_[first, len(cell)])
             term, row_of = cell // len(lens), cell % len(lens)
             starts = np.searchsorted(term, np.arange(len(coded.dictionary) + 1))
             n, max_tf, min_len = np.diff(starts), np.maximum.reduceat(tf, starts[:-1]), np.minimum.reduceat(lens[row_of], starts[:-1])
-            names = coded.dictionary.to_pylist()
-            place = np.array([_bucket(t, buckets) for t in names])
-            yield row(_PASSAGES, ids=pa.concat_arrays([i for i, _ in held]), lens=lens)
+            names = pc.utf8_rtrim(coded.dictionary.cast(pa.large_string()), " ").cast(pa.string())
+            order = pc.array_sort_indices(names).to_numpy()
+            place = np.array([_bucket(t, buckets) for t in names.to_pylist()]) if buckets > 1 else np.zeros(len(names), np.int64)
+            yield row(_PASSAGES, ids=pa.concat_arrays([i for i, _, _ in held]), lens=lens)
             for bucket in np.unique(place):
-                own = np.array(sorted(np.flatnonzero(place == bucket), key=names.__getitem__))
+                own = order[place[order] == bucket]
                 at = np.arange(n[own].sum()) + np.repeat(starts[own] - np.cumsum(n[own]) + n[own], n[own])
                 data = np.concatenate([row_of[at], tf[at]]).astype("<i4").tobytes()
-                yield row(int(bucket), terms=[names[k] for k in own], n=n[own], max_tf=max_tf[own], min_len=min_len[own], postings=data)
+                yield row(int(bucket), terms=names.take(pa.array(own)), n=n[own], max_tf=max_tf[own], min_len=min_len[own], postings=data)
 
         held, size = [], 0
         for batch in batches:
-            ends = batch.column(1).offsets.to_numpy()
-            low = 0
+            batch = batch.filter(pc.fill_null(pc.greater(pc.binary_length(batch.column(1)), 1), False))
+            sizes = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            ends, low = np.cumsum(sizes), 0
             while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(ends, ends[low] + slice_words - size, "right")) - 1)
-                part = batch.slice(low, high - low)
-                held.append((part.column(0), pa.ListArray.from_arrays(pa.array(ends[low:high + 1] - ends[low]), batch.column(1).values.slice(ends[low], ends[high] - ends[low]))))
-                size += int(ends[high] - ends[low])
-                if size >= slice_words:
+                base = int(ends[low] - sizes[low])
+                high = max(low + 1, int(np.searchsorted(ends, base + slice_bytes - size, "right")))
+                own = batch.slice(low, high - low)
+                held.append((own.column(0), b"".join(own.column(1).cast(pa.binary()).to_pylist()), sizes[low:high]))
+                size += int(ends[high - 1]) - base
+                if size >= slice_bytes or high < batch.num_rows:
                     yield from sliced(held)
                     held, size, number = [], 0, number + 1
                 low = high
         if held:
             yield from sliced(held)
 
-    words = passages.select(F.col(item_id), tokens(text).alias("_words")).where(F.size("_words") > 0)
+    words = passages.select(F.col(item_id), spaced_tokens(text).alias("_words"))
     return words.mapInArrow(cut, schema)
 
 

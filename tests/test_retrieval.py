@@ -159,12 +159,12 @@ def test_lexical_topk(spark, texts, block):
         assert [x[1] for x in got.get(n, [])] == pytest.approx([x[1] for x in want], abs=2e-6)
 
 
-@pytest.mark.parametrize("slice_words,first,cells", [(1 << 20, 4, 4_000_000), (300, 1, 50), (40, 2, 7), (1, 3, 1000)])
-def test_lexical_topk_in_any_slices(spark, texts, monkeypatch, slice_words, first, cells):
+@pytest.mark.parametrize("slice_bytes,first,cells", [(1 << 20, 4, 4_000_000), (1000, 1, 50), (130, 2, 7), (1, 3, 1000)])
+def test_lexical_topk_in_any_slices(spark, texts, monkeypatch, slice_bytes, first, cells):
     passages, asked = texts
     monkeypatch.setattr(lexical_index, "FIRST_SLICES", first)
     monkeypatch.setattr(lexical_index, "CELLS", cells)
-    rows = materialise(lexical_index.index_rows(spark.createDataFrame(passages, "chunk_id string, chunk string").repartition(3), 4, slice_words=slice_words), "rows")
+    rows = materialise(lexical_index.index_rows(spark.createDataFrame(passages, "chunk_id string, chunk string").repartition(3), 4, slice_bytes=slice_bytes), "rows")
     got = {}
     for r in lexical_index.search_index(spark.createDataFrame(asked, "query_id long, text string"), rows, 5, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.item_id, r.score))
@@ -184,8 +184,8 @@ def test_query_blocks_keep_every_query(spark):
 @pytest.fixture(scope="module")
 def stored_index(spark, texts):
     path, rows = new_path(spark, "lexical"), spark.createDataFrame(texts[0], "chunk_id string, chunk string")
-    lexical_index.write_index(rows.where("chunk_id < 'p100'"), path, 16, slice_words=500)
-    lexical_index.write_index(rows.where("chunk_id >= 'p100'"), path, 16, slice_words=500)
+    lexical_index.write_index(rows.where("chunk_id < 'p100'"), path, 16, slice_bytes=1500)
+    lexical_index.write_index(rows.where("chunk_id >= 'p100'"), path, 16, slice_bytes=1500)
     return path
 
 
@@ -216,7 +216,7 @@ def test_no_row_stands_for_a_word(spark, texts):
 def test_slices_that_cannot_reach_the_top_are_not_scored(spark):
     """One slice holds all strong passages; after it was scored first, the bounds of the others stay below."""
     passages = [(f"a{n}", "rare rare rare word") for n in range(6)] + [(f"b{n}", "rare " + "filler " * 400) for n in range(60)] + [(f"c{n}", "word other") for n in range(50)]
-    rows = materialise(lexical_index.index_rows(spark.createDataFrame(passages, "chunk_id string, chunk string").coalesce(1), 2, slice_words=24), "rows")
+    rows = materialise(lexical_index.index_rows(spark.createDataFrame(passages, "chunk_id string, chunk string").coalesce(1), 2, slice_bytes=120), "rows")
     vocabulary = ["rare"]
     picked = materialise(lexical_index._picked(rows, spark.sparkContext.broadcast(vocabulary), 2), "picked")
     plan = {"ids": [1], "query": np.array([0]), "starts": np.array([0, 1]), "idf": np.array([1.0]), "average": 200.0, "k1": 1.2, "b": 0.75}
