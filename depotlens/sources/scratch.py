@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,14 +18,50 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path that no other run uses. It is removed when the application ends in order."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses. It is removed when the application ends in order, or with the ``workspace`` around it."""
+    path = f"{_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place, files = _hadoop_path(spark, path)
+    files.deleteOnExit(place)
     return path
 
 
+def workspace(spark: SparkSession, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """Store what ``work`` returns, and remove everything it stored on the way.
+
+    Tables that it materialises lie in one folder, which goes once the result is written. What is no longer referenced is collected
+    at once, so that the cleaner drops its shuffle files as well.
+    """
+    outer = _folder.get()
+    own = new_path(spark, name)
+    token = _folder.set(own)
+
+    def stored() -> DataFrame:
+        result = work()
+        inside = _folder.set(outer)
+        try:
+            return materialise(result, name)
+        finally:
+            _folder.reset(inside)
+
+    try:
+        return stored()
+    finally:
+        _folder.reset(token)
+        place, files = _hadoop_path(spark, own)
+        files.delete(place, True)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
