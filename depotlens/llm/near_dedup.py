@@ -4,12 +4,19 @@ A document is the multiset of its shingles of five words (lower-cased A-Z, split
 words is one shingle), an element weighing as often as it occurs. Two documents are linked if their weighted Jaccard
 similarity is 0.8 or more, and classes are connected components of links.
 
-Equal texts are one node, whose key is the MD5 of the text. A signature of 128 darts is cut into 32 bands of 4; a pair at the
-threshold shares no band with a probability below 1e-7. Within a bucket pairs are never all made: first every node is
-verified against the least node of its buckets. Then buckets that hold nodes of several classes draw another head, by hash, and
-nodes of other classes are verified against it, as long as that links any. What is left, few nodes if groups are groups, is
-settled exactly: nodes outside a bucket's largest class are verified against its nodes of other classes, in rounds of about
-``PAIRS`` pairs a bucket, until each had its turn. So every pair that shares a band is either in one class or was compared.
+Equal texts are one node, whose key is the MD5 of the text. A signature has 128 darts. Two nodes are candidates if they agree in all
+darts of one of 21 bands of 6, and in ``AGREE`` of the 128 darts: at a similarity of exactly 0.8 that fails with a probability of
+0.0022 (0.0017 by the bands, 0.0005 by the count), at 0.85 with one below 1e-4. Candidates of different classes are verified
+on their texts, in three rounds whatever the data:
+
+1. every node with the least node of each of its buckets,
+2. of each two classes that still meet in a bucket, the two nodes whose signatures agree best,
+3. all candidates that are still in different classes.
+
+So every pair of candidates is in one class or was compared, and most are never made: nodes of one class are not compared again.
+Rounds 2 and 3 look only at buckets with several classes, and there at nodes outside the largest class against the others, in tiles of
+at most about ``TILE`` by ``TILE`` signatures that a task holds one at a time, so a bucket of any size is spread over tasks. A pair that shares
+several bands counts in the first one alone.
 
 Defined cases: a text that is null or has no word is in no bucket and forms a class of its own row; rows with equal text are
 one class; the class id is the least document id (nulls only if there is no other); an empty table gives an empty result;
@@ -18,15 +25,13 @@ columns of other names play no part.
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.sources.scratch import materialise
+from depotlens.sources.scratch import materialise, workspace
 
 from .arrow import mix, raw, slices
 from .components import components
@@ -34,8 +39,10 @@ from .dart_minhash import signatures
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
-PAIRS = 1 << 16
+BANDS, ROWS = 21, 6
+DARTS = 128
+AGREE = 88
+TILE = 512
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 200_000
 
@@ -89,24 +96,46 @@ def _has_words(text_col: str) -> Column:
 
 
 def _signed(nodes: DataFrame, size: int) -> DataFrame:
-    """(key, n_shingles, bands) of each distinct text."""
+    """(key, n, bands, sketch) of each distinct text; the sketch is 16 bits of each dart, then the bands."""
     def sign(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
             rows = dict(zip(batch.column("key").to_pylist(), raw(batch.column("text"))))
             sets = [shingles(word_hashes(t), size) for t in rows.values()]
             owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-            sign_ = signatures(owner, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), len(sets), BANDS * ROWS)
-            darts = sign_.reshape(len(sets), BANDS, ROWS)
-            value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), darts.shape[:2])
+            darts = signatures(owner, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), len(sets), DARTS)
+            banded = darts[:, :BANDS * ROWS].reshape(len(sets), BANDS, ROWS)
+            value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), banded.shape[:2])
             for k in range(ROWS):
-                value = mix((value + np.uint64(1)) * _FACTOR ^ darts[:, :, k])
-            flat = pa.array(value.reshape(-1).view(np.int64))
+                value = mix((value + np.uint64(1)) * _FACTOR ^ banded[:, :, k])
+            short = (mix(darts) >> np.uint64(48)).astype("<u2")
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(rows), pa.binary()), pa.array([int(s[1].sum()) for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, flat)], names=["key", "n", "bands"])
+                pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(value.reshape(-1).view(np.int64))),
+                pa.array([d.tobytes() + v.tobytes() for d, v in zip(short, value)], pa.binary())], names=["key", "n", "bands", "sketch"])
+
+    signed = nodes.mapInArrow(sign, "key binary, n long, bands array<long>, sketch binary")
+    # Equal texts of several slices have equal rows.
+    return signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+
 
-    signed = nodes.mapInArrow(sign, "key binary, n long, bands array<long>")
-    return signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+def _sketches(column) -> tuple[np.ndarray, np.ndarray]:
+    """Short darts and bands of sketches, a row each."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return data[:, :2 * DARTS].copy().view("<u2"), data[:, 2 * DARTS:].copy().view("<i8")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in ``AGREE`` darts."""
+    def likely(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_sketches(batch.column(c))[0] for c in ("a_sketch", "b_sketch"))
+                keep = pa.array(np.flatnonzero((a == b).sum(axis=1) >= AGREE))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+
+    of = lambda end: sketches.select(F.col("key").alias(end), F.col("sketch").alias(f"{end}_sketch"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_sketch", "b_sketch")
+    return materialise(both.mapInArrow(likely, "a binary, b binary"), "pairs")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -139,61 +168,124 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(labels.join(newer, "label", "left").select("node", F.coalesce("_new", "label").alias("label")), "labels")
 
 
-def _compared(mixed: DataFrame, chosen: DataFrame, compared: DataFrame, texts: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Links between ``chosen`` nodes and nodes of other classes in their buckets, and all pairs compared so far."""
-    # The similarity of two multisets is at most the ratio of their sizes.
-    pairs = mixed.join(chosen, "band").where("label <> l_label").where(F.least("n", "l_n") >= least * F.greatest("n", "l_n"))
-    pairs = pairs.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct()
-    pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-    return _verified(pairs, texts, size, least), compared.unionByName(pairs)
+def _runs(batches, columns):
+    """Batches cut so that rows of equal ``columns``, which follow each other, stay together."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        if held and (keys[0] != held[1]).any():
+            yield pa.Table.from_batches(held[0]).combine_chunks().to_batches()[0]
+            held = []
+        if len(edges):
+            whole = batch.slice(0, int(edges[-1]))
+            yield pa.Table.from_batches([*held[0], whole] if held else [whole]).combine_chunks().to_batches()[0]
+            held = [[batch.slice(int(edges[-1]))], keys[-1]]
+        else:
+            held = [[*held[0], batch] if held else [batch], keys[-1]]
+    if held:
+        yield pa.Table.from_batches(held[0]).combine_chunks().to_batches()[0]
+
+
+def _tiles(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(band, i, j, waiting, key, n, label, sketch): the nodes of tile (i, j) of each bucket with several classes.
+
+    Tile (i, j) compares part j of the waiting nodes, those outside the bucket's largest class, with part i of all nodes.
+    """
+    part = lambda of: F.pmod(F.xxhash64("key"), F.ceil(F.col(of) / TILE)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.ceil(F.col(of) / TILE).cast("int") - 1))
+    rows = mixed.join(sketches, "key").withColumn("waiting", F.col("label") != F.col("largest"))
+    columns = ["band", "i", "j", "waiting", "key", "n", "label", "sketch"]
+    nodes = rows.withColumn("i", part("members")).withColumn("j", every("open")).withColumn("waiting", F.lit(False))
+    waiting = rows.where("waiting").withColumn("j", part("open")).withColumn("i", every("members"))
+    return nodes.select(columns).unionByName(waiting.select(columns)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _candidates(tiles: DataFrame, least: float, best: bool) -> DataFrame:
+    """(a_label, b_label, a, b, agree): candidates of different classes, or only the best of each two classes and task slice."""
+    def find(batches):
+        for batch in _runs(batches, ["band", "i", "j"]):
+            band, i, j = (batch.column(c).to_numpy() for c in ("band", "i", "j"))
+            waits, n = batch.column("waiting").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+            keys, labels = (np.array(batch.column(c).to_pylist(), object) for c in ("key", "label"))
+            darts, bands = _sketches(batch.column("sketch"))
+            found = []
+            edges = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for run in np.split(np.arange(len(band)), edges):
+                left, right = run[waits[run]], run[~waits[run]]
+                if not len(left) or not len(right):
+                    continue
+                codes = np.unique(np.r_[labels[left], labels[right]], return_inverse=True)[1]
+                ok = codes[:len(left), None] != codes[None, len(left):]
+                ok &= np.minimum(n[left][:, None], n[right]) >= least * np.maximum(n[left][:, None], n[right])
+                x, y = np.nonzero(ok)
+                x, y = left[x], right[y]
+                for some in np.split(np.arange(len(x)), range(1 << 16, len(x), 1 << 16)):
+                    agree = (darts[x[some]] == darts[y[some]]).sum(axis=1)
+                    some, agree = some[agree >= AGREE], agree[agree >= AGREE]
+                    first = (bands[x[some]] == bands[y[some]]).argmax(axis=1)
+                    real = bands[x[some], first] == band[x[some]]
+                    found.append(np.stack([x[some][real], y[some][real], agree[real]], axis=1))
+            pairs = {}
+            for p, q, agree in np.concatenate(found).tolist() if found else []:
+                a, b = sorted((p, q), key=keys.__getitem__)
+                ends = tuple(sorted((labels[a], labels[b])))
+                row = (agree, keys[a], keys[b])
+                if best:
+                    pairs[ends] = max(pairs.get(ends, row), row)
+                else:
+                    pairs[row[1:]] = (ends, row)
+            rows = [(ends, row) for ends, row in pairs.items()] if best else list(pairs.values())
+            yield pa.RecordBatch.from_arrays([
+                *(pa.array([ends[k] for ends, _ in rows], pa.binary()) for k in (0, 1)), *(pa.array([row[k] for _, row in rows], pa.binary()) for k in (1, 2)),
+                pa.array([row[0] for _, row in rows], pa.int64())], names=["a_label", "b_label", "a", "b", "agree"])
+
+    return tiles.mapInArrow(find, "a_label binary, b_label binary, a binary, b binary, agree long")
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, key, n, label, largest, members, open) of the buckets that hold several classes."""
+    labelled = buckets.select("band", "key", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
+        "band", "key", "n", F.coalesce("label", "key").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    classes = labelled.groupBy("band", "label").agg(F.count("*").alias("_n")).groupBy("band").agg(
+        F.max_by("label", F.struct("_n", "label")).alias("largest"), F.sum("_n").alias("members"), (F.sum("_n") - F.max("_n")).alias("open"))
+    # Stored, so that both sides of the join are exchanged and a hot bucket can be split.
+    return materialise(labelled.join(materialise(classes.where("open > 0"), "classes"), "band"), "mixed")
 
 
 def text_classes(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(node, label) of every text that is similar to another one: their keys; the label is the least key of the class."""
+    return workspace(docs.sparkSession, "text-classes", lambda: _text_classes(docs, text_col, size, least))
+
+
+def _text_classes(docs: DataFrame, text_col: str, size: int, least: float) -> DataFrame:
     nodes = docs.where(_has_words(text_col)).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = materialise(_signed(nodes, size), "signatures")
-    buckets = signed.select("key", "n", F.explode("bands").alias("band"))
-    # Stored, so that both sides of the join are exchanged and a hot bucket can be split.
-    heads = buckets.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    buckets = materialise(buckets.join(materialise(heads, "heads"), "band"), "buckets")
-    members = buckets.select("key").distinct()
-    texts = nodes.groupBy("key").agg(F.first("text").alias("text"))
-    texts = materialise(texts.join(members, "key", "left_semi"), "texts")
-    compared = materialise(buckets.where("key <> head").groupBy(F.col("key").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "compared")
-    labels = materialise(components(_verified(compared, texts, size, least)), "labels")
-    mixed, turned, drawing = buckets.select("band", "key", "n"), None, True
-    for number in count():
+    shared = signed.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1").select("band")
+    buckets = materialise(signed.select("key", "n", F.explode("bands").alias("band")).join(materialise(shared, "shared"), "band"), "buckets")
+    members = materialise(buckets.select("key").distinct(), "members")
+    texts = nodes.join(members, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "texts")
+    sketches = materialise(signed.select("key", "sketch").join(members, "key", "left_semi"), "sketches")
+    # Similarity of two multisets is at most the ratio of their sizes.
+    heads = materialise(buckets.groupBy("band").agg(F.min(F.struct("key", "n")).alias("h")).select("band", F.col("h.key").alias("a"), F.col("h.n").alias("a_n")), "heads")
+    pairs = buckets.join(heads, "band").where("key <> a").where(F.least("n", "a_n") >= least * F.greatest("n", "a_n"))
+    pairs = _likely(materialise(pairs.select("a", F.col("key").alias("b")).distinct(), "headed"), sketches)
+    labels, compared = materialise(components(_verified(pairs, texts, size, least)), "labels"), pairs
+    for best in (True, False):
         # Classes only grow, so only buckets that were mixed before can be mixed now.
-        labelled = materialise(mixed.select("band", "key", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-            "band", "key", "n", F.coalesce("label", "key").alias("label")), "labelled")
-        classes = labelled.groupBy("band", "label").agg(F.count("*").alias("_n")).groupBy("band").agg(
-            F.max_by("label", F.struct("_n", "label")).alias("largest"), F.sum("_n").alias("members"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        mixed = materialise(labelled.join(materialise(classes, "classes"), "band"), "mixed")
-        waiting = mixed.where("label <> largest")
-        if turned is not None:
-            waiting = waiting.join(turned, ["band", "key"], "left_anti")
-        waiting = materialise(waiting, "waiting")
-        if waiting.isEmpty():
-            return labels
-        if drawing:
-            heads = mixed.groupBy("band").agg(F.min_by(F.struct("key", "label", "n"), F.xxhash64("key", F.lit(number))).alias("h"))
-            heads = materialise(heads.select("band", F.col("h.key").alias("l"), F.col("h.label").alias("l_label"), F.col("h.n").alias("l_n")), "heads")
-            links, compared = _compared(mixed, heads, compared, texts, size, least)
-            drawing = not links.isEmpty()
-            if drawing:
-                labels = _merged(labels, links)
-            continue
-        # A hash picks whose turn it is: all if they make few pairs, else a part of them.
-        open_ = materialise(waiting.groupBy("band").agg(F.count("*").alias("_open")), "open")
-        share = F.lit(float(PAIRS)) / (F.col("members") * F.col("_open"))
-        drawn = F.pmod(F.xxhash64("key", F.lit(number)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        turn = materialise(waiting.join(open_, "band").where((drawn < share) | (F.col("_open") == 1)).select(
-            "band", F.col("key").alias("l"), F.col("label").alias("l_label"), F.col("n").alias("l_n")), "turn")
-        links, compared = _compared(mixed, turn, compared, texts, size, least)
-        done = turn.select("band", F.col("l").alias("key"))
-        turned = done if turned is None else turned.unionByName(done)
+        buckets = _mixed(buckets, labels)
+        pairs = _candidates(_tiles(buckets, sketches), least, best)
+        if best:
+            pairs = pairs.groupBy("a_label", "b_label").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = materialise(pairs.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        links, compared = _verified(pairs, texts, size, least), compared.unionByName(pairs)
         if not links.isEmpty():
             labels = _merged(labels, links)
+    return labels
 
 
 def _labelled(docs: DataFrame, columns: list[Column], text_col: str, **options) -> DataFrame:
