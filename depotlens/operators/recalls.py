@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_lots, normalise_lot
+from ..sources.scratch import materialise
 from . import ordered
 
 MAX_RECALL_PAGE = 25
@@ -54,6 +55,40 @@ def unaffected_documents(recalls: DataFrame, documents: DataFrame, status: str =
     return shipped.join(_matched_lots(recalls, status), "_lot", "left_anti").drop("_lot")
 
 
+GRAM = 3
+
+
+def _grams(text: str, sizes) -> Column:
+    """The distinct runs of ``sizes`` characters of a text."""
+    def of(size):
+        last = F.char_length(text) - size + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(F.col(text), k, F.lit(size)))).otherwise(F.array())
+
+    return F.array_distinct(F.concat(*map(of, sizes)))
+
+
+def phrase_hits(phrases: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Rows of ``phrases`` (vendor, phrase, …) with the ``product`` names of the vendor that contain the phrase, both lower-cased.
+
+    A product that contains a phrase holds each of its runs of ``GRAM`` characters. Each phrase is joined on the run that fewest of
+    its vendor's products hold, and the hits are tested; so products of a vendor meet only phrases that share a rare run with them.
+    Phrases shorter than ``GRAM`` are joined on the whole.
+    """
+    rows = catalogue.select("vendor", F.col("product"), F.lower("product").alias("_low"))
+    places = materialise(rows.select("vendor", "product", "_low", F.explode(_grams("_low", range(1, GRAM + 1))).alias("_gram")), "grams")
+    counts = places.groupBy("vendor", "_gram").agg(F.count("*").alias("_held"))
+    numbered = materialise(phrases.withColumn("_id", F.monotonically_increasing_id()), "phrases")
+    # A run is as long as the phrase where that is shorter, so the runs of that size alone are asked for.
+    own = F.when(F.char_length("phrase") >= GRAM, _grams("phrase", [GRAM])).otherwise(F.array("phrase"))
+    asked = numbered.select("_id", "vendor", F.explode(own).alias("_gram"))
+    # A run that no product holds has no row here, and its phrase no hit: the number of runs found tells.
+    found = asked.join(counts, ["vendor", "_gram"])
+    rarest = found.groupBy("_id").agg(F.min(F.struct("_held", "_gram")).alias("_r"), F.count("*").alias("_found"))
+    keyed = numbered.withColumn("_runs", F.size(own)).join(rarest, "_id").where("_found = _runs")
+    keyed = keyed.withColumn("_gram", F.col("_r._gram")).drop("_r", "_found", "_runs", "_id")
+    return keyed.join(places, ["vendor", "_gram"]).where(F.contains("_low", "phrase")).drop("_gram", "_low")
+
+
 def recall_candidates(recalls: DataFrame, documents: DataFrame, status: str = "ongoing") -> DataFrame:
     """Documents of a recalled vendor and product whose lot is not on the recall: a review list.
 
@@ -62,19 +97,16 @@ def recall_candidates(recalls: DataFrame, documents: DataFrame, status: str = "o
     """
     phrases = (
         recalls.where((F.lower("status") == status.lower()) & (F.length(F.trim("product")) > 0))
-        .select("recall_number", F.col("vendor").alias("_vendor"), F.lower(F.trim("product")).alias("_phrase"),
+        .select(F.col("recall_number").alias("candidate_recall"), "vendor", F.lower(F.trim("product")).alias("phrase"),
                 F.coalesce(extract_lots("lot_numbers"), F.array().cast("array<string>")).alias("_lots"))
     )
-    catalogue = documents.select(F.col("vendor").alias("_vendor"), F.col("product_name").alias("_product")).distinct()
-    hits = (
-        catalogue.join(phrases, "_vendor")
-        .where(F.contains(F.lower("_product"), F.col("_phrase")))
-        .withColumnRenamed("recall_number", "candidate_recall")
-    )
+    catalogue = documents.select("vendor", F.col("product_name").alias("product")).distinct()
+    hits = phrase_hits(phrases, catalogue).select(
+        F.col("vendor").alias("_vendor"), F.col("product").alias("_product"), "candidate_recall", "_lots")
     return (
         documents.join(hits, (documents["vendor"] == hits["_vendor"]) & (documents["product_name"] == hits["_product"]))
         .where(~F.coalesce(F.array_contains("_lots", normalise_lot("lot_number")), F.lit(False)))
-        .drop("_vendor", "_product", "_phrase", "_lots")
+        .drop("_vendor", "_product", "_lots")
     )
 
 
@@ -99,6 +131,23 @@ def apply_quarantine(recalls: DataFrame, documents: DataFrame, status: str = "on
     )
 
 
+def write_quarantine(recalls: DataFrame, path: str, status: str = "ongoing") -> list:
+    """Write the new version of a document log that is stored by ``day``: only days that hold a hit are replaced, whose list is returned.
+
+    Rows that were quarantined before keep their recall and flags, so a second run writes the same days again with the same rows.
+    """
+    spark = recalls.sparkSession
+    stored = spark.read.parquet(path)
+    days = [r.day for r in affected_documents(recalls, stored, status).select("day").distinct().collect()]  # a row per day
+    known = [d for d in days if d is not None]
+    if days:
+        open_ = F.col("day").isin(known) | F.col("day").isNull() if None in days else F.col("day").isin(known)
+        # Stored first: a folder cannot be replaced by what is still being read from it.
+        newer = materialise(apply_quarantine(recalls, stored.where(open_), status).select(stored.columns), "quarantined")
+        newer.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return sorted(known) + [None] * (None in days)
+
+
 def alert_with_recalled_stock(recalls: DataFrame, documents: DataFrame, inventory: DataFrame,
                               status: str = "ongoing") -> DataFrame:
     """Stock still on hand of each (vendor, product) that has a recalled shipment."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_lots
 from ..operators import feed, recalls
-from ..sources import recall_feed
+from ..sources import recall_feed, tables
 from ..sources.scratch import new_path
 from .registry import query
 
@@ -85,6 +85,20 @@ def apply_quarantine(i):
     return recalls.apply_quarantine(i.recalls, i.documents).select("bol_id", "status", "flags", "recall_match", "recall_number")
 
 
+@query("write_quarantine", f"""
+SELECT bol_id, CASE WHEN lot IS NOT NULL THEN 'QUARANTINED' ELSE status END AS status,
+       CASE WHEN lot IS NULL THEN flags WHEN flags = '' THEN 'recall_match' ELSE 'recall_match,' || flags END AS flags,
+       lot IS NOT NULL AS recall_match, recall_number
+FROM docs LEFT JOIN (SELECT lot, min(recall_number) AS recall_number FROM recall_lots GROUP BY lot) ON lot_number = lot""")
+def write_quarantine(i):
+    """The stored log after its days with hits were replaced, twice, and read back."""
+    path = new_path(i.spark, "document-log")
+    tables.write_partitioned(i.documents, path, "received_date")
+    for _ in range(2):
+        recalls.write_quarantine(i.recalls, path)
+    return tables.read_partitioned(i.spark, path).select("bol_id", "status", "flags", "recall_match", "recall_number")
+
+
 @query("alert_with_recalled_stock", """
 SELECT vendor, product_name, skus, units_at_risk, recalled_documents
 FROM (SELECT vendor, product_name, count(*) AS skus, sum(qty_on_hand)::BIGINT AS units_at_risk FROM inventory GROUP BY ALL)

@@ -28,7 +28,7 @@ def _drain(i, stream, name):
 def _replay(i, build, name):
     """The stored events replayed in time order through a query that keeps state."""
     slices = sinks.time_slices(i.spark, f"{i.folder}/events.parquet", i.bytes_per_slice)
-    return sinks.replay_in_order(i.raw_events, "ts", build, new_path(i.spark, name), slices)
+    return sinks.replay_in_order(i.raw_events, "ts", build, new_path(i.spark, name), slices, bytes_per_slice=i.bytes_per_slice)
 
 
 @query("readings_stream", 'SELECT sensor_id, metric, value, status, "timestamp" FROM readings')
@@ -193,6 +193,19 @@ def ack_timeout(i):
     return _replay(i, build, "ack")
 
 
+@query("escalations", """
+SELECT event_id, asset_id, "timestamp", 'ESCALATED' AS status FROM compliance b, (
+  SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL 10 MINUTE AS watermark FROM compliance
+  WHERE status = 'RESOLVED' OR event_type = 'temperature_breach')
+WHERE event_type = 'temperature_breach' AND status <> 'RESOLVED' AND b."timestamp" + INTERVAL 1 HOUR < watermark AND NOT EXISTS (
+  SELECT 1 FROM compliance r WHERE r.asset_id = b.asset_id AND r.status = 'RESOLVED'
+  AND r."timestamp" >= b."timestamp" AND r."timestamp" <= b."timestamp" + INTERVAL 1 HOUR)""")
+def escalations(i):
+    """Unresolved breaches as their hour passes."""
+    found = _replay(i, lambda events: alerts.escalations(compliance_of(events())), "escalations")
+    return found.select("event_id", "asset_id", "timestamp", "status")
+
+
 @query("feed_stream", """
 SELECT event_ts, seq, agent, level, msg FROM feed WHERE agent IN ('equipment', 'safety')""")
 def feed_stream(i):

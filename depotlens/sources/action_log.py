@@ -1,22 +1,50 @@
-"""Append-only action log and notification outbox."""
+"""Append-only action log and notification outbox.
+
+The log is a table partitioned by the UTC day of its entries, keyed by (action_id, seq). An append adds only entries that the log does
+not hold: it reads the ids of the days that it writes, so a job that runs again adds nothing and its cost does not grow with the
+log's age. Appends to one log follow each other; two at the same time may both miss what the other is writing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .. import schemas
 from ..operators.actions import log_entries
+from .scratch import exists, materialise
 
 
 def append_actions(actions: DataFrame, path: str) -> None:
-    """Append log entries. Actions of loops 2 and 3 add a record and a summary, loop 1 a summary."""
-    log_entries(actions).write.mode("append").parquet(path)
+    """Append log entries. Actions of loops 2 and 3 add a record and a summary, loop 1 a summary.
+
+    Entries are told apart by their deterministic ids: the same actions appended again, or twice in one frame, stay one.
+    """
+    spark = actions.sparkSession
+    entries = log_entries(actions).withColumn("day", F.to_date("timestamp")).dropDuplicates(["action_id", "seq"])
+    entries = materialise(entries, "log-entries")
+    if exists(spark, path):
+        days = [r.day for r in entries.select("day").distinct().collect()]  # a row per day
+        known = known_entries(spark, path, days).select(*(F.col(c).alias(f"_{c}") for c in ("day", "action_id", "seq")))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("day", "action_id", "seq")]
+        entries = entries.join(known, same[0] & same[1] & same[2], "left_anti")
+    entries.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def known_entries(spark: SparkSession, path: str, days: list) -> DataFrame:
+    """The entries of some days; other days' folders are not read."""
+    wanted = F.col("day").isin([d for d in days if d is not None])
+    return _stored(spark, path).where(wanted | F.col("day").isNull() if None in days else wanted)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(StructType([*schemas.ACTION_LOG.fields, StructField("day", schemas.DAY)])).parquet(path)
 
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
     """All entries; ``log_order`` sorts them at the edge."""
-    return spark.read.schema(schemas.ACTION_LOG).parquet(path)
+    return _stored(spark, path).drop("day")
 
 
 def log_order() -> list:

@@ -26,6 +26,11 @@ def _hadoop_path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _hadoop_path(spark, path)
+    return files.exists(place)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that no other run uses. It is removed when the application ends in order, or with the ``workspace`` around it."""
     path = f"{_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -69,6 +69,61 @@ def dispatch_cooldown(alerts: DataFrame, row_id: str, hours: float = 8, key: str
     return kept.select(F.col("key").alias(key), F.col("row_id").alias(row_id), F.timestamp_micros("at").alias(ts))
 
 
+def escalations(events: DataFrame, hours: float = 1, breach_type: str = "temperature_breach", watermark: str = WATERMARK) -> DataFrame:
+    """Breaches that no resolved event of the same asset follows within the SLA, as soon as it has passed: ``(asset_id, event_id, timestamp, status)``.
+
+    A resolved event is one with status RESOLVED; it counts at ``resolved_at``, else at its own time. A breach waits in state until the
+    watermark is past its deadline; a timer of the asset fires there, whether events come or not. The state holds the open breaches of
+    ``hours`` and the delay, and of resolutions the first and last of each minute, which decide as all of them would. Equal to
+    ``unresolved_after`` on breaches whose deadline has passed, whatever the order of rows and files.
+    """
+    span, minute = int(hours * 3_600_000_000), 60_000_000
+
+    def overdue(group, chunks, state):
+        import numpy as np
+        import pandas as pd
+
+        breach_at, breach_id, done = state.get if state.exists else ([], [], [])
+        breaches, ended = list(zip(breach_at, breach_id)), [np.array(done, np.int64)]
+        for chunk in chunks:
+            resolved = chunk["resolved"].to_numpy(bool)
+            ended.append(chunk["at"].to_numpy()[resolved])
+            breaches += list(zip(chunk["at"][~resolved].tolist(), chunk["event_id"][~resolved].tolist()))
+        ended = np.sort(np.concatenate(ended))
+        reached = state.getCurrentWatermarkMs() * 1000
+        late, waiting = [], []
+        for at, event in sorted(breaches, key=lambda b: b[0]):
+            first = int(np.searchsorted(ended, at))
+            answered = first < len(ended) and ended[first] <= at + span
+            if at + span < reached:
+                late += [] if answered else [(group[0], event, at)]
+            elif not answered:
+                waiting.append((at, event))
+        # Breaches still to come lie behind the watermark, those that wait may lie before it.
+        ended = ended[ended >= min([reached, *(at for at, _ in waiting)])]
+        minutes = ended // minute
+        edges = np.flatnonzero(np.diff(minutes)) + 1 if len(ended) else np.zeros(0, np.int64)
+        keep = np.unique(np.r_[0, edges, edges - 1, len(ended) - 1].astype(np.int64)) if len(ended) else edges
+        if not waiting and not len(ended):
+            if state.exists:
+                state.remove()
+        else:
+            state.update(([at for at, _ in waiting], [event for _, event in waiting], ended[keep].tolist()))
+            due = min([at + span for at, _ in waiting] or [int(ended[-1])])
+            state.setTimeoutTimestamp(max(due, reached) // 1000 + 1)
+        yield pd.DataFrame(late, columns=["asset_id", "event_id", "at"]).astype({"at": "int64"})
+
+    resolved = F.col("status") == "RESOLVED"
+    rows = events.withColumn("_seen", F.when(resolved, F.coalesce("resolved_at", "timestamp")).otherwise(F.col("timestamp")))
+    rows = rows.where(resolved | (F.col("event_type") == breach_type)).withWatermark("_seen", watermark)
+    slim = rows.select("asset_id", "event_id", resolved.alias("resolved"), F.unix_micros("_seen").alias("at"), "_seen")  # the timer needs the watermarked column
+    asset, event = (slim.schema[c].dataType.simpleString() for c in ("asset_id", "event_id"))
+    found = slim.groupBy("asset_id").applyInPandasWithState(
+        overdue, f"asset_id {asset}, event_id {event}, at bigint", f"breach_at array<bigint>, breach_id array<{event}>, ended array<bigint>",
+        "append", "EventTimeTimeout")
+    return found.select("asset_id", "event_id", F.timestamp_micros("at").alias("timestamp"), F.lit("ESCALATED").alias("status"))
+
+
 def stream_with_spec(readings: DataFrame, spec: DataFrame) -> DataFrame:
     """Stream-static join that attaches baseline and threshold, then keeps breaches."""
     return equipment.threshold_breach(equipment.readings_with_spec(readings, spec))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import exists
 from .sources import BYTES_PER_BATCH
 
 
@@ -43,23 +44,34 @@ def time_slices(spark: SparkSession, path: str, bytes_per_slice: int = BYTES_PER
     return max(1, math.ceil(files.getContentSummary(place).getLength() / bytes_per_slice))
 
 
+def cut_by_time(rows: DataFrame, ts: str, path: str, slices: int, bytes_per_slice: int = BYTES_PER_BATCH, bytes_per_file: int = 128 << 20) -> list[str]:
+    """Write rows to one folder per slice of their time, in one pass, and return the folders in time order.
+
+    Slices are runs of range partitions, several to a slice, so a slice is written by many tasks. Rows of one time, and those without
+    one, which come first, lie in one slice.
+    """
+    spark = rows.sparkSession
+    files = max(1, math.ceil(bytes_per_slice / bytes_per_file)) if slices > 1 else 1
+    if slices > 1:
+        rows = rows.repartitionByRange(slices * files, F.col(ts).asc_nulls_first())
+    cut = rows.withColumn("_slice", F.floor(F.spark_partition_id() / files).cast("int") if slices > 1 else F.lit(0))
+    cut.write.partitionBy("_slice").parquet(path)
+    return [folder for folder in (f"{path}/_slice={k}" for k in range(slices)) if exists(spark, folder)]
+
+
 def replay_in_order(rows: DataFrame, ts: str, build: Callable[[Callable[[], DataFrame]], DataFrame], root: str,
-                    slices: int = 1, drain: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+                    slices: int = 1, drain: Callable[[DataFrame, str], DataFrame] | None = None,
+                    bytes_per_slice: int = BYTES_PER_BATCH) -> DataFrame:
     """Replay stored rows through a streaming query in time order, whatever their files or their order in them.
 
-    The rows land in ``slices`` steps of equal size, each one time range and one micro-batch, so no row
+    The rows are cut by time once and land in ``slices`` steps of about equal size, each one time range and one micro-batch, so no row
     comes behind the watermark and neither files nor batch bounds change the result. ``build`` makes the
     query from a function that opens the landed stream; rows without a time come first.
     """
     spark, landing = rows.sparkSession, f"{root}/landing"
-    micros = F.unix_micros(ts)
-    shares = [k / slices for k in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(micros, F.array(*map(F.lit, shares)), 100 * slices)).first()[0] or [] if shares else []
-    edges = [None, *sorted(set(cuts)), None]
     run = drain or (lambda stream, base: drain_to_table(stream, f"{base}/table", f"{base}/checkpoint"))
-    for low, high in zip(edges, edges[1:]):
-        part = rows.where(F.coalesce(micros >= low, F.lit(False))) if low is not None else rows
-        part = part.where(F.coalesce(micros < high, F.lit(low is None))) if high is not None else part
+    for folder in cut_by_time(rows, ts, f"{root}/cut", slices, bytes_per_slice) or [None]:
+        part = rows.limit(0) if folder is None else spark.read.schema(rows.schema).parquet(folder)
         part.write.mode("append").parquet(landing)
         # No rate limit: what has landed since the last run is one micro-batch.
         result = run(build(lambda: spark.readStream.schema(rows.schema).parquet(landing)), root)

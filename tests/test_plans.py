@@ -15,7 +15,7 @@ PYTHON = {"vector_topk", "filtered_vector_topk", "lexical_topk", "hybrid_topk",
 # These read back what a stream or a writer stored; their work is not in the returned plan.
 STORED = {
     "readings_stream", "breach_counts_tumbling", "readings_sliding", "breach_sessions", "dedupe_alerts", "dispatch_cooldown",
-    "late_data_audit", "exactly_once_actions", "stream_with_spec", "ack_timeout", "feed_stream", "inventory_stream",
+    "late_data_audit", "exactly_once_actions", "stream_with_spec", "ack_timeout", "feed_stream", "inventory_stream", "escalations", "write_quarantine",
 }
 
 
