@@ -10,7 +10,8 @@ darts of one of 21 bands of 6, and in ``AGREE`` of the 128 darts: at a similarit
 on their texts, in three rounds whatever the data:
 
 1. every node with the least node of each of its buckets,
-2. of each two classes that still meet in a bucket, the two nodes whose signatures agree best,
+2. every node outside the largest class of a bucket with the ``NEAREST`` nodes of other classes there whose signatures agree best: what was
+   copied from one text finds it,
 3. all candidates that are still in different classes.
 
 So every pair of candidates is in one class or was compared, and most are never made: nodes of one class are not compared again.
@@ -31,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.operators.ordered import top_k_per
 from depotlens.sources.scratch import materialise, workspace
 
 from .arrow import mix, raw, slices
@@ -43,6 +45,8 @@ BANDS, ROWS = 21, 6
 DARTS = 128
 AGREE = 88
 TILE = 512
+NEAREST = 3
+BROADCAST_KEYS = 1 << 19
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 200_000
 
@@ -203,46 +207,45 @@ def _tiles(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     return nodes.select(columns).unionByName(waiting.select(columns)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def _candidates(tiles: DataFrame, least: float, best: bool) -> DataFrame:
-    """(a_label, b_label, a, b, agree): candidates of different classes, or only the best of each two classes and task slice."""
+def _candidates(tiles: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """(node, agree, a, b): candidates of different classes, or of each waiting node only the ``NEAREST`` of each tile; ``node`` is the waiting one."""
     def find(batches):
         for batch in _runs(batches, ["band", "i", "j"]):
             band, i, j = (batch.column(c).to_numpy() for c in ("band", "i", "j"))
             waits, n = batch.column("waiting").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
-            keys, labels = (np.array(batch.column(c).to_pylist(), object) for c in ("key", "label"))
+            keys, codes = (np.array(batch.column(c).to_pylist(), object) for c in ("key", "label"))
+            codes, order = np.unique(codes, return_inverse=True)[1], np.unique(keys, return_inverse=True)[1]
             darts, bands = _sketches(batch.column("sketch"))
-            found = []
             edges = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for run in np.split(np.arange(len(band)), edges):
                 left, right = run[waits[run]], run[~waits[run]]
                 if not len(left) or not len(right):
                     continue
-                codes = np.unique(np.r_[labels[left], labels[right]], return_inverse=True)[1]
-                ok = codes[:len(left), None] != codes[None, len(left):]
+                ok = codes[left][:, None] != codes[right]
                 ok &= np.minimum(n[left][:, None], n[right]) >= least * np.maximum(n[left][:, None], n[right])
                 x, y = np.nonzero(ok)
                 x, y = left[x], right[y]
+                found = []
                 for some in np.split(np.arange(len(x)), range(1 << 16, len(x), 1 << 16)):
                     agree = (darts[x[some]] == darts[y[some]]).sum(axis=1)
                     some, agree = some[agree >= AGREE], agree[agree >= AGREE]
+                    # A pair that shares several bands counts in the first.
                     first = (bands[x[some]] == bands[y[some]]).argmax(axis=1)
                     real = bands[x[some], first] == band[x[some]]
-                    found.append(np.stack([x[some][real], y[some][real], agree[real]], axis=1))
-            pairs = {}
-            for p, q, agree in np.concatenate(found).tolist() if found else []:
-                a, b = sorted((p, q), key=keys.__getitem__)
-                ends = tuple(sorted((labels[a], labels[b])))
-                row = (agree, keys[a], keys[b])
-                if best:
-                    pairs[ends] = max(pairs.get(ends, row), row)
-                else:
-                    pairs[row[1:]] = (ends, row)
-            rows = [(ends, row) for ends, row in pairs.items()] if best else list(pairs.values())
-            yield pa.RecordBatch.from_arrays([
-                *(pa.array([ends[k] for ends, _ in rows], pa.binary()) for k in (0, 1)), *(pa.array([row[k] for _, row in rows], pa.binary()) for k in (1, 2)),
-                pa.array([row[0] for _, row in rows], pa.int64())], names=["a_label", "b_label", "a", "b", "agree"])
-
-    return tiles.mapInArrow(find, "a_label binary, b_label binary, a binary, b binary, agree long")
+                    found.append(np.stack([x[some][real], agree[real], y[some][real]]))
+                x, agree, y = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+                if nearest:
+                    best = np.lexsort((order[y], -agree, x))
+                    x, agree, y = x[best], agree[best], y[best]
+                    starts = np.searchsorted(x, x)
+                    keep = np.arange(len(x)) - starts < NEAREST
+                    x, agree, y = x[keep], agree[keep], y[keep]
+                flip = order[x] > order[y]
+                node, a, b = keys[x], keys[np.where(flip, y, x)], keys[np.where(flip, x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(agree, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                                 names=["node", "agree", "a", "b"])
+
+    return tiles.mapInArrow(find, "node binary, agree long, a binary, b binary")
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,7 +270,9 @@ def _text_classes(docs: DataFrame, text_col: str, size: int, least: float) -> Da
     shared = signed.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1").select("band")
     buckets = materialise(signed.select("key", "n", F.explode("bands").alias("band")).join(materialise(shared, "shared"), "band"), "buckets")
     members = materialise(buckets.select("key").distinct(), "members")
-    texts = nodes.join(members, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # Keys of 16 bytes: few enough are broadcast, so that texts need not be exchanged to find those that matter.
+    few = F.broadcast(members) if members.count() <= BROADCAST_KEYS else members
+    texts = nodes.join(few, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = materialise(texts, "texts")
     sketches = materialise(signed.select("key", "sketch").join(members, "key", "left_semi"), "sketches")
     # Similarity of two multisets is at most the ratio of their sizes.
@@ -275,12 +280,12 @@ def _text_classes(docs: DataFrame, text_col: str, size: int, least: float) -> Da
     pairs = buckets.join(heads, "band").where("key <> a").where(F.least("n", "a_n") >= least * F.greatest("n", "a_n"))
     pairs = _likely(materialise(pairs.select("a", F.col("key").alias("b")).distinct(), "headed"), sketches)
     labels, compared = materialise(components(_verified(pairs, texts, size, least)), "labels"), pairs
-    for best in (True, False):
+    for nearest in (True, False):
         # Classes only grow, so only buckets that were mixed before can be mixed now.
         buckets = _mixed(buckets, labels)
-        pairs = _candidates(_tiles(buckets, sketches), least, best)
-        if best:
-            pairs = pairs.groupBy("a_label", "b_label").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = _candidates(_tiles(buckets, sketches), least, nearest)
+        if nearest:
+            pairs = top_k_per(pairs, ["node"], [F.desc("agree"), F.asc("a"), F.asc("b")], NEAREST)
         pairs = materialise(pairs.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
         links, compared = _verified(pairs, texts, size, least), compared.unionByName(pairs)
         if not links.isEmpty():
