@@ -36,39 +36,21 @@ from .huffman import Code, decode
 
 BLOCK_IDS = 1 << 16
 SLICE_BYTES = 8 << 20
-CACHED_WORDS = 500_000
 MOST_IDS = 1 << 24
+BATCH_WORDS = 1 << 16
 
-# White space that the fast path does not cut at, or runs of it: such texts go to the tokenizer whole.
-_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]")
-
-
-# Marks at the end of a word that are always cut off from a letter or digit before them (an apostrophe is not).
-_MARKS = ".,!*$%&#|?:;"
-
-
-class _Words(dict):
-    """Ids of words as bytes, encoded when first seen; a word and the marks behind it are encoded apart."""
-
-    def __init__(self, encode, prefix: str, limit: int, marks: "_Words | None" = None):
-        self.encode, self.prefix, self.limit, self.marks = encode, prefix, limit, self if marks is None else marks
-
-    def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(_MARKS)
-        if len(bare) < len(word) and bare and bare[-1].isalnum():
-            ids = self[bare] + self.marks[word[len(bare):]]
-        else:
-            ids = array("I", self.encode(self.prefix + word, add_special_tokens=False).ids).tobytes() if self.prefix + word else b""
-        if len(self) < self.limit:
-            self[word] = ids
-        return ids
+# White space that texts are not cut at, or runs of it: such texts go to the tokenizer whole.
+_ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
+# Marks that are always cut off from an ASCII letter or digit before them (an apostrophe is not).
+_MARK = np.isin(np.arange(256), np.frombuffer(b".,!*$%&#|?:;", np.uint8))
+_LETTER = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
 
 
 class TextEncoder:
-    """A tokenizer that remembers words.
+    """A tokenizer that encodes each distinct word of a slice of texts once.
 
-    A byte-level pre-tokenizer always cuts between a character and a following single space or line break, so such texts
-    are the sum of their words' ids. Everything else is encoded whole.
+    A byte-level pre-tokenizer always cuts before a single space, around a line break and between a letter or digit and a closing mark,
+    so texts without other white space are the sum of the words between such places. Everything else is encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -78,25 +60,51 @@ class TextEncoder:
         pre = kind.get("pre_tokenizer") or {}
         self.by_word = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
-        self.first = _Words(self.tokenizer.encode, "", CACHED_WORDS // 10)
-        self.next = _Words(self.tokenizer.encode, " ", CACHED_WORDS, self.first)
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as native unsigned 32-bit integers."""
-        if not self.by_word or _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:])))
-        return self.first["\n"].join(lines)
+    def _whole(self, text: str) -> bool:
+        return not self.by_word or bool(_ODD_SPACE.search(text)) or any(s in text for s in self.special)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        flat, counts = array("I"), []
+        for low in range(0, len(words), BATCH_WORDS):
+            for found in self.tokenizer.encode_batch_fast(words[low:low + BATCH_WORDS], add_special_tokens=False):
+                ids = found.ids
+                flat.extend(ids)
+                counts.append(len(ids))
+        return np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32), np.array(counts, np.int64)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        data = [t.encode() for t in texts]
+        sizes = np.array([len(d) for d in data], np.int64)
+        whole, first = b"".join(data), np.cumsum(sizes) - sizes
+        if not whole:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        x = np.frombuffer(whole, np.uint8)
+        cut = x == 32
+        cut[1:] |= (x[1:] == 10) != (x[:-1] == 10)
+        cut[1:] |= _MARK[x[1:]] & _LETTER[x[:-1]]
+        for text, low, n in zip(texts, first.tolist(), sizes.tolist()):
+            if self._whole(text):
+                cut[low:low + n] = False
+        cut[first[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, len(x)].astype(np.int64)), pa.py_buffer(whole)).dictionary_encode()
+        ids, counts = self._words(words.dictionary.to_pylist())
+        code = words.indices.to_numpy(zero_copy_only=False)
+        n = counts[code]
+        ends = np.cumsum(n)
+        flat = ids[np.arange(int(ends[-1])) + np.repeat((np.cumsum(counts) - counts)[code] - (ends - n), n)]
+        edges = np.r_[0, ends][np.searchsorted(starts, np.r_[first, len(x)])]
+        return [flat[a:b] for a, b in zip(edges, edges[1:])]
 
 
 _encoders: dict[str, TextEncoder] = {}
 
 
 def _encoder(definition: str) -> TextEncoder:
-    """One per worker process, so that its words last over tasks."""
+    """One per worker process."""
     if definition not in _encoders:
         _encoders.clear()
         _encoders[definition] = TextEncoder(definition)
@@ -112,8 +120,8 @@ def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "
         encoder, press = _encoder(shared.value), zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, ties = [], []
-            for text in raw(batch.column("text")):
-                own = np.frombuffer(encoder(text.decode("utf-8", "replace")) + array("I", [end_id]).tobytes(), np.uint32)
+            for own in encoder([t.decode("utf-8", "replace") for t in raw(batch.column("text"))]):
+                own = np.append(own, np.uint32(end_id))
                 own = own.astype("<u2").tobytes() + b"\2" if own.max() < 1 << 16 else own.astype("<u4").tobytes() + b"\4"
                 ids.append(press.compress(own))
                 ties.append(xxhash.xxh3_64_intdigest(own) - (1 << 63))
