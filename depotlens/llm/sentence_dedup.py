@@ -1,12 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences: after ``. ! ?`` (or their wide forms) and white space, and after line breaks. A span is a run
-of consecutive sentences: the shortest one from a sentence on, or back from it, with ``LEAST_WORDS`` words in two sentences
-or more, or with ``LONG_WORDS`` words. So a passage of a long sentence, or of some sentences, that stands in two places has
+Texts are cut into sentences: after ``. ! ?`` and white space, after their wide forms with or without it, and after line breaks. A span is a
+run of consecutive sentences: every run of ``SENTENCES``, whatever their length, and the shortest run from a sentence on, or back from it,
+with ``LEAST_WORDS`` words in two sentences or more, or with ``LONG_WORDS`` words, so that a passage of few long sentences counts as well.
+Characters of scripts that do not part words count as a word each. So a passage that stands in two places has
 spans that cover all of it. Spans are compared by their sentences, with white space unified.
 
-Every span is hashed (64 bits, with its number of words). Hashes that occur once are dropped by counts alone; of the others
-the first occurrence, by document id, text and place, is kept, and all sentences that any other occurrence covers are removed.
+Every span has a hash of 128 bits, at which 10^12 spans meet by chance with a probability below 1e-14. Hashes that occur once are dropped by
+counts alone; of the others the first occurrence, by document id, text and place, is kept, and all sentences that any other occurrence covers
+are removed.
 
 A hot span is counted and its first place found by combining aggregates, and joined back to its occurrences on a key that
 Spark can split; no group is gathered. Spans to remove meet a document's text by the document's key.
@@ -31,10 +33,12 @@ from depotlens.sources.scratch import materialise
 
 from .arrow import slices
 
+SENTENCES = 3
 LEAST_WORDS = 20
 LONG_WORDS = 50
 SLICE_BYTES = 4 << 20
-_CUT = re.compile(r"(?:(?<=[.!?。！？])\s+|[^\S\n]*\n\s*)")
+_CUT = re.compile(r"(?:(?<=[.!?])\s+|(?<=[。！？])(?![.!?。！？」』”’）)])\s*|[^\S\n]*\n\s*)")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")  # kana and Han: words are not parted by white space
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -44,12 +48,18 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
+def _wide_hash(data: bytes) -> tuple[int, int]:
+    value = xxhash.xxh3_128_intdigest(data)
+    return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
+
+
 def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """Sentences of a text, and its spans as (hash, words, first sentence, end)."""
+    """Sentences of a text, and its spans as (two halves of the hash, first sentence, end)."""
     places = sentences(text)
     words = [text[a:b].split() for a, b in places]
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64)
-    total = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(w)) for w in words), "V16")
+    wide = _WIDE.search(text) is not None
+    total = np.r_[0, np.cumsum([max(len(w), len(_WIDE.findall(text, a, b)) if wide else 0) for w, (a, b) in zip(words, places)])].astype(np.int64)
     n = len(places)
     index = np.arange(n)
     # From a sentence on: the nearest end that reaches either length.
@@ -59,7 +69,8 @@ def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, i
     some = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, index - 1)
     starts = np.maximum(some, np.minimum(np.searchsorted(total, total[1:] - LONG_WORDS, "right") - 1, index))
     runs = {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(s), i + 1) for i, s in enumerate(starts) if s >= 0}
-    return places, [(xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) - (1 << 63), int(total[b] - total[a]), a, b) for a, b in sorted(runs)]
+    runs |= {(i, i + SENTENCES) for i in range(n - SENTENCES + 1)}
+    return places, [(*_wide_hash(hashes[a:b].tobytes()), a, b) for a, b in sorted(runs)]
 
 
 def _spans_of(docs: DataFrame, kind: str) -> DataFrame:
@@ -71,20 +82,20 @@ def _spans_of(docs: DataFrame, kind: str) -> DataFrame:
                 key = xxhash.xxh3_64_intdigest(text or "") - (1 << 63)
                 for c, values in zip(cols, ([x[0] for x in own], [x[1] for x in own], [name] * len(own), [key] * len(own), [x[2] for x in own], [x[3] for x in own])):
                     c.extend(values)
-            types = [pa.int64(), pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["h", "words", "doc_id", "tkey", "first", "end"])
+            types = [pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["h", "g", "doc_id", "tkey", "first", "end"])
 
-    return docs.mapInArrow(cut, f"h long, words int, doc_id {kind}, tkey long, first int, end int")
+    return docs.mapInArrow(cut, f"h long, g long, doc_id {kind}, tkey long, first int, end int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, first, end): spans of (doc_id, text) rows that are not the first occurrence of their sentences."""
     found = materialise(_spans_of(docs, docs.schema["doc_id"].dataType.simpleString()), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "first")
-    many = materialise(found.groupBy("h", "words").agg(F.count("*").alias("n")).where("n > 1").select("h", "words"), "span-hashes")
-    again = materialise(found.join(many, ["h", "words"]), "repeated-spans")
-    first = materialise(again.groupBy("h", "words").agg(F.min(place).alias("kept")), "first-spans")
-    return again.join(first, ["h", "words"]).where(place != F.col("kept")).select("doc_id", "tkey", "first", "end")
+    many = materialise(found.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "span-hashes")
+    again = materialise(found.join(many, ["h", "g"]), "repeated-spans")
+    first = materialise(again.groupBy("h", "g").agg(F.min(place).alias("kept")), "first-spans")
+    return again.join(first, ["h", "g"]).where(place != F.col("kept")).select("doc_id", "tkey", "first", "end")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
