@@ -29,6 +29,7 @@ from .arrow import raw, slices
 from .dom import INLINE, Block, blocks
 
 FIT_PAGES = 300
+FIT_BYTES = 64 << 20
 EPOCHS, BATCH, RATE, DECAY = 25, 16, 0.1, 1e-4
 SLICE_BYTES = 4 << 20
 
@@ -39,6 +40,10 @@ OTHER_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus "
     "sidebar side related recommended more share sharing social follow menu nav navbar navigation breadcrumb breadcrumbs "
     "pagination pager toolbar footer header masthead copyright legal widget tags toc".split())
+# Of these names, those of what others than the page's author write or the site puts before readers.
+FOREIGN = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification "
+    "alert popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus".split())
 # Words that furniture commonly holds, for learned pages.
 _FURNITURE = [
     ("aside", "sidebar"), ("aside", ""), ("div", "sidebar"), ("div", "ad"), ("div", "advert"), ("section", "comments"),
@@ -57,37 +62,65 @@ def is_other(tags, names) -> bool:
 def unwrapped(page: list[Block]) -> list[Block]:
     """The page without furniture names and forms on its wrappers, and without any names on html and body.
 
-    Sizes are characters outside links. Wrappers are html, body and, if an article or main element has a quarter of the page or more,
-    the largest one, all around it and what has nine tenths of it; else what has half of the page or more.
+    Wrappers are html, body and all around the article: the article or main element with the most text outside links, of those that no
+    ``FOREIGN`` element holds, if there are such. An element inside it, or on a page without one, is a wrapper if it holds the heading of
+    the page (h1) and half of the text that is not in furniture, or nine tenths of that and half of the paragraphs. But an element that is
+    named like what others write (``FOREIGN``: comments, notices, adverts) is one only if it holds the article, or, where no
+    article is marked up, the h1 and paragraphs: how long it is plays no part.
     """
-    size: dict[int, int] = {}
-    for b in page:
-        for k, _, _ in b.above:
-            size[k] = size.get(k, 0) + max(0, len(b.text) - b.linked)
-    total = sum(max(0, len(b.text) - b.linked) for b in page)
-    largest, path, inside = -1, frozenset(), set()
-    for b in page:
-        for n, (k, tag, _) in enumerate(b.above):
-            if tag in ("article", "main") and 4 * size[k] >= total > 0 and (largest < 0 or size[k] > size[largest]):
-                largest, path = k, frozenset(x[0] for x in b.above[:n + 1])
-    if largest >= 0:
-        inside = {x[0] for b in page if any(k == largest for k, _, _ in b.above) for x in b.above if x[0] > largest}
-    plain: dict[int, bool] = {}
-
-    def wraps(k: int, tag: str) -> bool:
-        if k not in plain:
-            plain[k] = tag in ("html", "body") or (k in path or k in inside and 10 * size[k] >= 9 * size[largest] if largest >= 0 else 2 * size[k] >= total > 0)
-        return plain[k]
+    article = _article(page)
+    path = frozenset(k for k, _, _ in article)
+    inside = [b for b in page if not article or any(k == article[-1][0] for k, _, _ in b.above)]
+    size, paragraphs, titled, total, n_paragraphs = {}, {}, set(), 0, 0
+    for b in inside:
+        own, is_p = max(0, len(b.text) - b.linked), int("p" in b.tags)
+        for k, tag, names in reversed(b.above):
+            size[k], paragraphs[k] = size.get(k, 0) + own, paragraphs.get(k, 0) + is_p
+            if "h1" in b.tags:
+                titled.add(k)
+            if tag not in ("html", "body", "form") and is_other((tag,), names):
+                break  # what furniture holds does not count for what holds the furniture
+        if not _foreign(b.above[len(article):]):
+            total, n_paragraphs = total + own, n_paragraphs + is_p
+
+    def wraps(k: int, tag: str, names: tuple[str, ...]) -> bool:
+        if tag in ("html", "body") or k in path:
+            return True
+        if FOREIGN & set(names):
+            return not article and k in titled and paragraphs[k] > 0
+        if not total or k not in size:
+            return False
+        return (k in titled and 2 * size[k] >= total) or (10 * size[k] >= 9 * total and 2 * paragraphs[k] >= n_paragraphs > 0)
 
     out = []
     for b in page:
-        if any((tag == "form" or names and (tag in ("html", "body") or OTHER_NAMES & set(names))) and wraps(k, tag) for k, tag, names in b.above):
-            tags = tuple(t for k, t, _ in b.above if t not in INLINE and not (t == "form" and wraps(k, t)))
-            b = b._replace(tags=tags, names=tuple(n for k, t, names in b.above if t not in ("html", "body") for n in names if n not in OTHER_NAMES or not wraps(k, t)))
+        if any((tag == "form" or names and (tag in ("html", "body") or OTHER_NAMES & set(names))) and wraps(k, tag, names) for k, tag, names in b.above):
+            tags = tuple(t for k, t, names in b.above if t not in INLINE and not (t == "form" and wraps(k, t, names)))
+            b = b._replace(tags=tags, names=tuple(n for k, t, names in b.above if t not in ("html", "body") for n in names if n not in OTHER_NAMES or not wraps(k, t, names)))
         out.append(b)
     return out
 
 
+def _foreign(above: tuple) -> bool:
+    """Whether an element other than html, body and a form around everything is of a kind, or named like, what is not the author's."""
+    return any(tag not in ("html", "body", "form") and (tag in OTHER_TAGS or FOREIGN & set(names)) for _, tag, names in above)
+
+
+def _article(page: list[Block]) -> tuple:
+    """The elements from the root to the article, or nothing: (number, tag, names) of each."""
+    size, found = {}, {}
+    for b in page:
+        for n, (k, tag, names) in enumerate(b.above):
+            if tag in ("article", "main"):
+                size[k] = size.get(k, 0) + max(0, len(b.text) - b.linked)
+                found.setdefault(k, b.above[:n + 1])
+    total = sum(max(0, len(b.text) - b.linked) for b in page if not _foreign(b.above))
+    own = [k for k in found if not _foreign(found[k])]
+    # Teasers are articles as well: one that has little of the page is not its article.
+    large = [k for k in own if 4 * size[k] >= total > 0] or [k for k in found if 4 * size[k] >= total]
+    return found[max(large, key=size.__getitem__)] if large else ()
+
+
 def describe(page: list[Block]) -> list[list[str]]:
     """Features of each block of a page."""
     out, n = [], len(page)
@@ -230,10 +263,17 @@ def _learned(pages: list[list[Block]]) -> tuple[list, list]:
     return features, labels
 
 
-def fit_pages(pages: DataFrame, html_col: str = "html", rows: int = FIT_PAGES) -> tuple[dict[str, float], list[list[float]]]:
-    """The model of at most ``rows`` pages that mark up one article."""
+def fit_pages(pages: DataFrame, html_col: str = "html", rows: int = FIT_PAGES, most_bytes: int = FIT_BYTES) -> tuple[dict[str, float], list[list[float]]]:
+    """The model of pages that mark up one article: in the order of a hash, until there are ``rows`` or they have ``most_bytes``."""
     marked = pages.select(F.col(html_col).alias("h")).where("h ilike '%<article%'")
-    keys = marked.select(F.xxhash64("h").alias("k")).distinct().orderBy("k").limit(rows)  # a fixed bound for its broadcast
+    sizes = marked.groupBy(F.xxhash64("h").alias("k")).agg(F.max(F.octet_length("h")).alias("n")).orderBy("k").limit(rows).collect()
+    keys, held = [], 0
+    for r in sizes:
+        held += r.n
+        if keys and held > most_bytes:
+            break
+        keys.append((r.k,))
+    keys = pages.sparkSession.createDataFrame(keys, "k long")  # at most ``rows``
     found = marked.withColumn("k", F.xxhash64("h")).join(F.broadcast(keys), "k").groupBy("k").agg(F.first("h").alias("h")).orderBy("k").collect()
     parsed = [unwrapped(blocks(x)) for x in [*(r.h for r in found), _BUILT_IN]]
     chain = Chain()
