@@ -25,6 +25,7 @@ from .arrow import raw, slices, unused
 PASSAGE = 768
 BUCKETS = 2048
 HIDDEN, GATE = 32, 16
+FIT_BYTES = 256 << 20
 FIT_ROWS = 4000
 EPOCHS, STEPS, BATCH, RATE, DECAY = 24, 400, 64, 3e-3, 1e-4  # as many epochs as make STEPS steps, EPOCHS at least
 THRESHOLD = 0.3
@@ -139,13 +140,21 @@ def fold(id_col: str, folds: int = 5) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-                held_out: int = 0, rows: int = FIT_ROWS) -> GatedAttention | None:
-    """The model of at most ``rows`` labelled documents outside the held-out fold."""
+                held_out: int = 0, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> GatedAttention | None:
+    """The model of labelled documents outside the held-out fold: in the order of a hash, until there are ``rows`` or they have ``most_bytes``."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != held_out))
     chosen = chosen.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)  # so that its broadcast has a fixed bound
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).join(F.broadcast(chosen), "_id")
-    found = found.orderBy(F.xxhash64("_id"), "_id", "_y", "_t").limit(rows).select("_t", "_y").collect()
+    order = [F.xxhash64("_id").alias("_h"), "_id", "_y", F.md5("_t").alias("_m")]
+    sizes = found.select(*order, F.coalesce(F.octet_length("_t"), F.lit(0)).alias("_n")).orderBy("_h", "_id", "_y", "_m").limit(rows).collect()
+    taken, held = 0, 0
+    for r in sizes:
+        held += r._n
+        if taken and held > most_bytes:
+            break
+        taken += 1
+    found = found.orderBy(F.xxhash64("_id"), "_id", "_y", F.md5("_t")).limit(taken).select("_t", "_y").collect() if taken else []
     return fit([bytes(r._t or b"") for r in found], [r._y for r in found])
 
 

@@ -207,8 +207,10 @@ def test_odd_texts_are_encoded_as_by_the_tokenizer(spark):
     encode = Tokenizer.from_file(tokenizer_file()).encode
     with open(tokenizer_file(), encoding="utf-8") as f:
         fast = token_files.TextEncoder(f.read())
-    for _, text in SPACES + [(0, t) for _, t, _ in odd_pairs() if t]:
-        assert np.frombuffer(fast(text), np.uint32).tolist() == encode(text, add_special_tokens=False).ids, text
+    texts = [text for _, text in SPACES] + [t or "" for _, t, _ in odd_pairs()] + ["a.b,c 3.14! x1.é é.x 'tis a's,b", "U.S.A. $5.00 (50%) #1 &co;"]
+    for some in (texts, texts[::-1], [""], ["", "a"]):
+        for text, ids in zip(some, fast(some)):
+            assert ids.tolist() == encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files_on_odd_rows(spark, odd, none):
@@ -380,6 +382,41 @@ def article(html):
     return "\n".join(b for b in blocks if b)
 
 
+COMMENTS = "".join(f"<div class='comment'><p>Reader {k} says that this was a long day, and that nothing of it will be forgotten soon.</p></div>" for k in range(20))
+STORY = "".join(f"<p>Paragraph {k} of the story tells, in some more words, what happened on that day and why it matters.</p>" for k in range(4))
+HEAD = "<h1>What happened</h1>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<article>{HEAD}{STORY}<section class='comments'>{COMMENTS}</section></article>",
+    f"<article>{HEAD}{STORY}<section class='comments'>{COMMENTS[:COMMENTS.index('</div>') + 6]}</section></article>",
+    f"<article>{HEAD}{STORY}</article><div id='comments'>{COMMENTS}</div>",
+    f"<div class='content'>{HEAD}{STORY}</div><div class='comments'>{COMMENTS}</div>",
+    f"<article>{HEAD}{STORY}<div class='cookie notice'><p>{'We keep cookies, as the law allows us to do. ' * 40}</p></div></article>",
+    f"<div class='page with-menu'><article>{HEAD}{STORY}</article><div class='comments'>{COMMENTS}</div></div>",
+    f"<form id='all'><div class='share-root'><article>{HEAD}{STORY}<ol class='commentlist'>{COMMENTS}</ol></article></div></form>",
+])
+@pytest.mark.parametrize("classes", ["", " class='single has-sidebar comments-open'"])
+def test_long_furniture_is_left_out_and_named_wrappers_are_kept(spark, small_model, body, classes):
+    html = f"<html><body{classes}><nav><a href='/'>Home</a> <a href='/b'>More</a></nav>{body}<footer>All rights reserved 2024</footer></body></html>"
+    got = html_extraction.extract(spark.createDataFrame([(html,)], "html string"), small_model).first()
+    expected = [" ".join(re.sub("<[^>]*>", "", x).split()) for x in (HEAD + STORY).replace("</", "\n</").split("\n")]
+    assert got.text == "\n".join(x for x in expected if x)
+
+
+@pytest.fixture(scope="module")
+def small_model(spark):
+    return html_extraction.fit_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_fit_samples_are_bounded_in_bytes(spark, small, documents):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    assert html_extraction.fit_pages(pages, rows=1) == html_extraction.fit_pages(pages, most_bytes=1) != html_extraction.fit_pages(pages, rows=5)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    few, one, all_ = (quality.fit_quality(documents, labels, most_bytes=n) for n in (30_000, 1, 1 << 30))
+    assert few.score([b"some text"]) != all_.score([b"some text"]) and one is not None
+
+
 def test_pages_of_the_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r for r in html_extraction.main_texts(pages).collect()}
@@ -478,16 +515,55 @@ def test_spans_are_cut_until_none_is_left(spark):
 # 10
 
 
+def plain_sentences(text):
+    """Sentences cut character by character: after marks before white space, after wide marks that no mark follows, after line breaks."""
+    out, start, k = [], 0, 0
+    while k < len(text):
+        white = lambda j: j < len(text) and text[j].isspace()  # noqa: E731, B023
+        end = None
+        if text[k] in ".!?" and white(k + 1):
+            end = k + 1
+        elif text[k] in "。！？" and not (k + 1 < len(text) and text[k + 1] in ".!?。！？」』”’）)"):
+            end = k + 1
+        elif white(k) and "\n" in text[k:next((j for j in range(k, len(text)) if not white(j)), len(text))]:
+            end = k
+        if end is None:
+            k += 1
+            continue
+        while white(end):
+            end += 1
+        if end > start:
+            out.append((start, end))
+        start = k = max(end, k + 1)
+    return out + ([(start, len(text))] if start < len(text) else [])
+
+
+def n_words(text):
+    return max(len(text.split()), sum("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" for c in text))
+
+
+def plain_spans(text):
+    """The sentences of every run of three, and of the shortest runs from and to each sentence with 20 words in two or more, or with 50 words."""
+    parts = [text[a:b] for a, b in plain_sentences(text)]
+    count = [n_words(p) for p in parts]
+    full = lambda a, b: sum(count[a:b]) >= 50 or (b - a >= 2 and sum(count[a:b]) >= 20)
+    runs = {(a, a + 3) for a in range(len(parts) - 2)}
+    for k in range(len(parts)):
+        runs |= {(k, b) for b in range(k + 1, len(parts) + 1) if full(k, b) and not any(full(k, c) for c in range(k + 1, b))}
+        runs |= {(a, k + 1) for a in range(k + 1) if full(a, k + 1) and not any(full(c, k + 1) for c in range(a + 1, k + 1))}
+    return {(a, b): tuple(" ".join(p.split()) for p in parts[a:b]) for a, b in runs}
+
+
 def sentence_removal(pairs):
-    seen, order = {}, sorted({(d is None, d or 0, sentence_key(t), t) for d, t in pairs if t}, key=lambda x: x[:3])
+    known = {text: plain_spans(text) for _, text in pairs if text}
     first = {}
-    for none_, d, key, text in order:
-        for h, w, a, b in sentence_dedup.spans(text)[1]:
-            first.setdefault((h, w), (none_, d, key, a))
+    for key in sorted({(d is None, d or 0, sentence_key(t), t) for d, t in pairs if t}, key=lambda x: x[:3]):
+        for (a, _), said in sorted(known[key[3]].items()):
+            first.setdefault(said, (*key[:3], a))
     out = []
     for d, text in pairs:
-        places, runs = sentence_dedup.spans(text) if text else ([], [])
-        gone = {k for h, w, a, b in runs if first[h, w] != (d is None, d or 0, sentence_key(text), a) for k in range(a, b)}
+        places = plain_sentences(text or "")
+        gone = {k for (a, b), said in known.get(text, {}).items() if first[said] != (d is None, d or 0, sentence_key(text), a) for k in range(a, b)}
         kept = "".join(text[s:e] for k, (s, e) in enumerate(places) if k not in gone) if text else ""
         out.append((d, len(places), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
@@ -498,6 +574,20 @@ def sentence_key(text):
     return xxhash.xxh3_64_intdigest(text or "") - (1 << 63)
 
 
+SHORT = "It is. So it goes. Not here. "
+HAN = ["今日は天気がいい。散歩に行きましょう！本当に？はい。", "他很高兴地走了。我们没有去。明天再说。"]
+
+
+def test_short_and_wide_sentences(spark):
+    pairs = [(1, "First text here. " + SHORT + "Its own end."), (2, "Another start! " + SHORT + "And more words.\nLine two"), (3, SHORT.strip()),
+             (4, "最初の文です。" + HAN[0] + "終わり。"), (5, "別の文から始まる。" + HAN[0] + "最後。"), (6, HAN[1] + "独自。"), (7, "開頭。" + HAN[1]),
+             (8, "界" * 60 + "。短い。"), (9, "前。" + "界" * 60 + "。別。"), (10, "One. Two"), (11, "One. Two"), (12, "「彼は来た。」と言った。そうだ。"), (13, "\n\n a.\n\nb? c!d e!\t f\n")]
+    rows = {r.doc_id: r for r in sentence_dedup.sentence_dedup(rows_of(spark, pairs)).collect()}
+    assert sorted(((r.doc_id, r.n_sentences, r.n_removed, r.kept_sha256) for r in rows.values()), key=str) == sentence_removal(pairs)
+    assert rows[2].n_removed >= 3 and rows[3].n_removed == 3 and rows[5].n_removed >= 4 and rows[7].n_removed == 3 and rows[9].n_removed >= 1
+    assert rows[11].n_removed == 0
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_sentence_spans(request, which):
     docs = request.getfixturevalue(which)

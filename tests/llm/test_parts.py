@@ -244,6 +244,6 @@ def test_spans_cover_long_passages():
     for before, after in (("Start here. ", " End."), ("Other words come first. And more.\n", "\nTail. Of it.")):
         text = before + passage + after
         places, runs = sentence_dedup.spans(text)
-        found.append({(h, w) for h, w, _, _ in runs})
+        found.append({(h, g) for h, g, _, _ in runs})
     shared = found[0] & found[1]
     assert shared and components.components
