@@ -226,35 +226,33 @@ def _text(column: str, decimals: int | None = None) -> Column:
     return F.coalesce(shown, F.lit("n/a"))
 
 
+def _fields(*columns: str, **decimals: int) -> Column:
+    """``name: value`` of columns, parted by commas; ``decimals`` names numbers and their places."""
+    shown = [(c, _text(c)) for c in columns] + [(c, _text(c, n)) for c, n in decimals.items()]
+    return F.concat_ws(", ", *[F.concat(F.lit(name.replace("_", " ") + ": "), value) for name, value in shown])
+
+
 def loop_trace(actions: DataFrame) -> DataFrame:
-    """Four rows per action: trigger, reasoning, action and result with a label and a detail."""
-    c, t = F.concat, F.lit
+    """Four rows per action: trigger, reasoning, action and result with a label and a detail made of the action's columns."""
     # The step labels.
     steps = {
         "equipment_dispatch": [
-            ("Sensor Anomaly Detected", c(_text("asset"), t(" — "), _text("metric"), t(": "), _text("value", 2), t(" vs "),
-                                          _text("baseline", 2), t(" baseline ("), _text("pct_from_baseline", 1), t("%)"))),
+            ("Sensor Anomaly Detected", _fields("asset", "metric", value=2, baseline=2, pct_from_baseline=1)),
             ("Equipment Agent Reasoning", reasoning_excerpt("agent_response")),
-            ("Maintenance Dispatch Sent", c(t("Alert queued: "), _text("recommendation"))),
-            ("Loop Closed", t("Technician notified. Cold chain compliance window: 1 hour. Asset status: MAINTENANCE PENDING.")),
+            ("Maintenance Dispatch Sent", _fields("recommendation")),
+            ("Loop Closed", _fields("status", "zone")),
         ],
         "wms_quarantine": [
-            ("FDA Recall Match Detected", c(_text("recall_class"), t(" recall on lot #"), _text("lot_number"),
-                                            t(" matched "), _text("bol_id"), t("."))),
+            ("FDA Recall Match Detected", _fields("recall_class", "lot_number", "bol_id")),
             ("Safety Agent Reasoning", reasoning_excerpt("agent_response")),
-            ("WMS Quarantine Record Written", c(_text("units_quarantined"), t(" units of "), _text("product"), t(" — Lot #"),
-                                                _text("lot_number"), t(" — status set to QUARANTINED"))),
-            ("Loop Closed", c(_text("units_quarantined"), t(" units isolated at "), _text("location"),
-                              t(". Vendor notification: pending."))),
+            ("WMS Quarantine Record Written", _fields("product", "lot_number", "units_quarantined")),
+            ("Loop Closed", _fields("status", "location")),
         ],
         "pos_markdown": [
-            ("Spoilage Risk Threshold Exceeded", c(_text("product_name"), t(" — risk score "), _text("spoilage_risk_score", 3), t(", "),
-                                                   _text("days_to_expiry"), t(" days to expiry, "), _text("units_affected"), t(" units"))),
+            ("Spoilage Risk Threshold Exceeded", _fields("product_name", "days_to_expiry", "units_affected", spoilage_risk_score=3)),
             ("Forecasting Agent Reasoning", reasoning_excerpt("agent_response")),
-            ("POS Price Update Applied", c(_text("product_name"), t(" — $"), _text("original_price", 2), t(" → $"),
-                                           _text("new_price", 2), t(" ("), _text("markdown_pct", 0), t("% off)"))),
-            ("Loop Closed", c(t("Revenue recovered: "), scoring.money("revenue_recovered"), t(" of "),
-                              scoring.money("revenue_at_risk"), t(" at risk. Markdown expires in 8 hours."))),
+            ("POS Price Update Applied", _fields("product_name", original_price=2, new_price=2, markdown_pct=0)),
+            ("Loop Closed", _fields("status", revenue_recovered=2, revenue_at_risk=2)),
         ],
     }
     names = ["trigger", "reasoning", "action", "result"]

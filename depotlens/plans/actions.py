@@ -197,23 +197,23 @@ def route_rejects(i):
 SELECT loop, step_no, step, label, detail FROM (
   SELECT loop, 1::BIGINT AS step_no, 'trigger' AS step, CASE loop WHEN 'equipment_dispatch' THEN 'Sensor Anomaly Detected'
          WHEN 'wms_quarantine' THEN 'FDA Recall Match Detected' ELSE 'Spoilage Risk Threshold Exceeded' END AS label,
-         CASE loop WHEN 'equipment_dispatch' THEN 'R-12 — Compressor cycle time: 340.00 vs 290.00 baseline (17.2%)'
-         WHEN 'wms_quarantine' THEN 'Class II recall on lot #RLT-2024-0891 matched BOL-74808.'
-         ELSE 'Atlantic Salmon Fillets 2lb — risk score 0.870, 2 days to expiry, 340 units' END AS detail FROM fired
+         CASE loop WHEN 'equipment_dispatch' THEN 'asset: R-12, metric: Compressor cycle time, value: 340.00, baseline: 290.00, pct from baseline: 17.2'
+         WHEN 'wms_quarantine' THEN 'recall class: Class II, lot number: RLT-2024-0891, bol id: BOL-74808'
+         ELSE 'product name: Atlantic Salmon Fillets 2lb, days to expiry: 2, units affected: 340, spoilage risk score: 0.870' END AS detail FROM fired
   UNION ALL
   SELECT loop, 2, 'reasoning', CASE loop WHEN 'equipment_dispatch' THEN 'Equipment Agent Reasoning'
          WHEN 'wms_quarantine' THEN 'Safety Agent Reasoning' ELSE 'Forecasting Agent Reasoning' END, substr(text, 1, 180) || '…' FROM fired
   UNION ALL
   SELECT loop, 3, 'action', CASE loop WHEN 'equipment_dispatch' THEN 'Maintenance Dispatch Sent'
          WHEN 'wms_quarantine' THEN 'WMS Quarantine Record Written' ELSE 'POS Price Update Applied' END,
-         CASE loop WHEN 'equipment_dispatch' THEN 'Alert queued: Dispatch maintenance technician immediately. Inspect compressor valve and capacitor.'
-         WHEN 'wms_quarantine' THEN '340 units of Romaine Lettuce (bagged) — Lot #RLT-2024-0891 — status set to QUARANTINED'
-         ELSE 'Atlantic Salmon Fillets 2lb — $12.99 → $9.09 (30% off)' END FROM fired
+         CASE loop WHEN 'equipment_dispatch' THEN 'recommendation: Dispatch maintenance technician immediately. Inspect compressor valve and capacitor.'
+         WHEN 'wms_quarantine' THEN 'product: Romaine Lettuce (bagged), lot number: RLT-2024-0891, units quarantined: 340'
+         ELSE 'product name: Atlantic Salmon Fillets 2lb, original price: 12.99, new price: 9.09, markdown pct: 30' END FROM fired
   UNION ALL
   SELECT loop, 4, 'result', 'Loop Closed',
-         CASE loop WHEN 'equipment_dispatch' THEN 'Technician notified. Cold chain compliance window: 1 hour. Asset status: MAINTENANCE PENDING.'
-         WHEN 'wms_quarantine' THEN '340 units isolated at Receiving Dock — Bay 3. Vendor notification: pending.'
-         ELSE 'Revenue recovered: $3,090.60 of $4,416.60 at risk. Markdown expires in 8 hours.' END FROM fired)""")
+         CASE loop WHEN 'equipment_dispatch' THEN 'status: DISPATCHED, zone: Dairy Zone'
+         WHEN 'wms_quarantine' THEN 'status: QUARANTINED, location: Receiving Dock — Bay 3'
+         ELSE 'status: MARKDOWN APPLIED, revenue recovered: 3090.60, revenue at risk: 4416.60' END FROM fired)""")
 def loop_trace(i):
     """Traces of the actions that conversations fire."""
     requests = actions.actions_from_conversations(i.turns, CONVERSATION_TRIGGERS, CONVERSATION_PRICE_WORDS)
