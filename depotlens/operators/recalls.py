@@ -131,21 +131,21 @@ def apply_quarantine(recalls: DataFrame, documents: DataFrame, status: str = "on
     )
 
 
-def write_quarantine(recalls: DataFrame, path: str, status: str = "ongoing") -> list:
-    """Write the new version of a document log that is stored by ``day``: only days that hold a hit are replaced, whose list is returned.
+def write_quarantine(recalls: DataFrame, path: str, status: str = "ongoing", part: str = "day") -> list:
+    """Write the new version of a document log that is stored in folders by ``part``: only folders that hold a hit are replaced, whose list is returned.
 
-    Rows that were quarantined before keep their recall and flags, so a second run writes the same days again with the same rows.
+    Rows that were quarantined before keep their recall and flags, so a second run writes the same folders again with the same rows.
     """
     spark = recalls.sparkSession
     stored = spark.read.parquet(path)
-    days = [r.day for r in affected_documents(recalls, stored, status).select("day").distinct().collect()]  # a row per day
-    known = [d for d in days if d is not None]
-    if days:
-        open_ = F.col("day").isin(known) | F.col("day").isNull() if None in days else F.col("day").isin(known)
+    parts = [r[0] for r in affected_documents(recalls, stored, status).select(part).distinct().collect()]  # a row per folder
+    known = [p for p in parts if p is not None]
+    if parts:
+        hit = F.col(part).isin(known) | F.col(part).isNull() if None in parts else F.col(part).isin(known)
         # Stored first: a folder cannot be replaced by what is still being read from it.
-        newer = materialise(apply_quarantine(recalls, stored.where(open_), status).select(stored.columns), "quarantined")
-        newer.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    return sorted(known) + [None] * (None in days)
+        newer = materialise(apply_quarantine(recalls, stored.where(hit), status).select(stored.columns), "quarantined")
+        newer.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    return sorted(known) + [None] * (None in parts)
 
 
 def alert_with_recalled_stock(recalls: DataFrame, documents: DataFrame, inventory: DataFrame,

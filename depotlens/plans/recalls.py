@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_lots
 from ..operators import feed, recalls
-from ..sources import recall_feed, tables
+from ..sources import recall_feed
 from ..sources.scratch import new_path
 from .registry import query
 
@@ -91,12 +91,12 @@ SELECT bol_id, CASE WHEN lot IS NOT NULL THEN 'QUARANTINED' ELSE status END AS s
        lot IS NOT NULL AS recall_match, recall_number
 FROM docs LEFT JOIN (SELECT lot, min(recall_number) AS recall_number FROM recall_lots GROUP BY lot) ON lot_number = lot""")
 def write_quarantine(i):
-    """The stored log after its days with hits were replaced, twice, and read back."""
+    """The stored log, in folders by month, after those with hits were replaced, and read back."""
     path = new_path(i.spark, "document-log")
-    tables.write_partitioned(i.documents, path, "received_date")
-    for _ in range(2):
-        recalls.write_quarantine(i.recalls, path)
-    return tables.read_partitioned(i.spark, path).select("bol_id", "status", "flags", "recall_match", "recall_number")
+    monthly = i.documents.withColumn("month", F.trunc("received_date", "month"))
+    monthly.hint("rebalance", F.col("month")).write.partitionBy("month").parquet(path)
+    recalls.write_quarantine(i.recalls, path, part="month")
+    return i.spark.read.parquet(path).select("bol_id", "status", "flags", "recall_match", "recall_number")
 
 
 @query("alert_with_recalled_stock", """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depotlens.operators import compliance, recalls
 from depotlens.plans.actions import Loops
 from depotlens.plans.adapters import EVENTS, Inputs, compliance_of, readings_of
-from depotlens.sources import action_log, tables
+from depotlens.sources import action_log
 from depotlens.sources.scratch import exists, materialise, new_path, shared_dir, workspace
 from depotlens.streaming import alerts, sinks, sources, windows
 
@@ -61,26 +61,26 @@ def test_an_append_reads_the_days_it_writes(spark, small):
 @pytest.fixture(scope="module")
 def log(spark, small):
     path, i = new_path(spark, "documents"), Inputs(spark, small)
-    # Recalls of few documents, so that days without a hit remain.
+    # Recalls of few documents, so that months without a hit remain.
     named = recalls.recall_match(i.recalls, i.documents).orderBy("bol_id").limit(3).select(F.col("matched_recall").alias("recall_number")).distinct()
     few = materialise(i.recalls.join(named, "recall_number", "left_semi"), "few")
-    tables.write_partitioned(i.documents, path, "received_date")
+    i.documents.withColumn("month", F.trunc("received_date", "month")).repartition("month").write.partitionBy("month").parquet(path)
     return path, few
 
 
-def files_by_day(spark, path):
+def files_by_part(spark, path):
     out = {}
     for f in spark.read.parquet(path).inputFiles():
-        out.setdefault(f.split("day=")[1].split("/")[0], set()).add(f)
+        out.setdefault(f.split("month=")[1].split("/")[0], set()).add(f)
     return out
 
 
-def test_only_days_with_hits_are_replaced(spark, log):
+def test_only_folders_with_hits_are_replaced(spark, log):
     path, few = log
     before = spark.read.parquet(path)
-    expected, old = rows(recalls.apply_quarantine(few, before).select(before.columns)), files_by_day(spark, path)
-    days = recalls.write_quarantine(few, path)
-    new = files_by_day(spark, path)
+    expected, old = rows(recalls.apply_quarantine(few, before).select(before.columns)), files_by_part(spark, path)
+    days = recalls.write_quarantine(few, path, part="month")
+    new = files_by_part(spark, path)
     touched = {str(d) if d else "__HIVE_DEFAULT_PARTITION__" for d in days}
     assert rows(spark.read.parquet(path).select(before.columns)) == expected
     assert 0 < len(touched) < len(old) and set(new) == set(old)
@@ -89,8 +89,8 @@ def test_only_days_with_hits_are_replaced(spark, log):
 
 def test_without_hits_nothing_is_written(spark, log):
     path, few = log
-    old = files_by_day(spark, path)
-    assert recalls.write_quarantine(few.withColumn("lot_numbers", F.lit("none")), path) == [] and files_by_day(spark, path) == old
+    old = files_by_part(spark, path)
+    assert recalls.write_quarantine(few.withColumn("lot_numbers", F.lit("none")), path, part="month") == [] and files_by_part(spark, path) == old
 
 
 # phrase search
