@@ -6,7 +6,7 @@ similarity is 0.8 or more, and classes are connected components of links.
 
 Equal texts are one node, whose key is the MD5 of the text. A signature has 128 darts. Two nodes are candidates if they agree in all
 darts of one of 21 bands of 6, and in ``AGREE`` of the 128 darts: at a similarity of exactly 0.8 that fails with a probability of
-0.0022 (0.0017 by the bands, 0.0005 by the count), at 0.85 with one below 1e-4. Candidates of different classes are verified
+0.0026 (0.0017 by the bands, 0.0009 by the count), at 0.85 with one below 1e-4. Candidates of different classes are verified
 on their texts, in three rounds whatever the data:
 
 1. every node with the least node of each of its buckets,

@@ -254,3 +254,45 @@ def test_ties_fall_to_the_smaller_document(spark):
 def test_no_ranking_of_nothing(spark, odd, none):
     assert automaton_search.ranked_documents(none, items_of(spark, ITEMS)).count() == 0
     assert automaton_search.ranked_documents(odd, items_of(spark, [])).count() == 0
+
+
+# 2
+
+def test_pairs_at_the_threshold_become_candidates():
+    """4,000 pairs of sets at a similarity of exactly 0.8: the share that no band or too few darts find."""
+    import numpy as np
+    from depotlens.llm import near_dedup
+    from depotlens.llm.dart_minhash import signatures
+    rng, missed, pairs = np.random.default_rng(11), 0, 4000
+    for _ in range(pairs // 500):
+        shared, own = rng.integers(0, 1 << 63, (500, 80), dtype=np.uint64), rng.integers(0, 1 << 63, (2, 500, 10), dtype=np.uint64)
+        sets = np.concatenate([np.concatenate([shared, x], axis=1) for x in own])
+        darts = signatures(np.repeat(np.arange(1000), 90), sets.reshape(-1), np.ones(sets.size), 1000, near_dedup.DARTS)
+        same = darts[:500] == darts[500:]
+        band = same[:, :near_dedup.BANDS * near_dedup.ROWS].reshape(500, near_dedup.BANDS, near_dedup.ROWS).all(axis=2).any(axis=1)
+        missed += int((~band | (same.sum(axis=1) < near_dedup.AGREE)).sum())
+    assert missed / pairs < 0.006
+
+
+def copies_of(seed, n, copies, edits):
+    """A text and copies of it, each with other words in some places."""
+    import random
+    words, out = prose(seed, n).split(), []
+    for k in range(copies):
+        r = random.Random(1000 * seed + k)
+        own = list(words)
+        for at in r.sample(range(n), edits):
+            own[at] = f"other{seed}x{k}x{at}"
+        out.append(" ".join(own))
+    return [" ".join(words), *out]
+
+
+@pytest.mark.parametrize("tile", [512, 4])
+def test_copies_of_one_text_meet_through_it(spark, monkeypatch, tile):
+    """Copies are similar to their origin and, mostly, not to each other; tiles of any size give the same classes."""
+    from depotlens.llm import near_dedup
+    from .test_operators import classes_of
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    pairs = list(enumerate(copies_of(1, 300, 40, 6) + copies_of(2, 200, 25, 5) + copies_of(3, 150, 10, 20)))
+    got = near_dedup.near_duplicates(rows_of(spark, pairs))
+    assert sorted(map(tuple, got.collect()), key=str) == classes_of(pairs)
