@@ -9,7 +9,7 @@ darts of one of 21 bands of 6, and in ``AGREE`` of the 128 darts: at a similarit
 0.0026 (0.0017 by the bands, 0.0009 by the count), at 0.85 with one below 1e-4. Candidates of different classes are verified
 on their texts, in three rounds whatever the data:
 
-1. every node with the least node of each of its buckets,
+1. every node with one node, of the least ones of its buckets that which is the least in most of them,
 2. every node outside the largest class of a bucket with the ``NEAREST`` nodes of other classes there whose signatures agree best: what was
    copied from one text finds it,
 3. all candidates that are still in different classes.
@@ -278,7 +278,8 @@ def _text_classes(docs: DataFrame, text_col: str, size: int, least: float) -> Da
     # Similarity of two multisets is at most the ratio of their sizes.
     heads = materialise(buckets.groupBy("band").agg(F.min(F.struct("key", "n")).alias("h")).select("band", F.col("h.key").alias("a"), F.col("h.n").alias("a_n")), "heads")
     pairs = buckets.join(heads, "band").where("key <> a").where(F.least("n", "a_n") >= least * F.greatest("n", "a_n"))
-    pairs = _likely(materialise(pairs.select("a", F.col("key").alias("b")).distinct(), "headed"), sketches)
+    pairs = pairs.groupBy("key", "a").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "a")).alias("h"))
+    pairs = _likely(materialise(pairs.select("h.a", F.col("key").alias("b")), "headed"), sketches)
     labels, compared = materialise(components(_verified(pairs, texts, size, least)), "labels"), pairs
     for nearest in (True, False):
         # Classes only grow, so only buckets that were mixed before can be mixed now.
