@@ -37,7 +37,8 @@ from .huffman import Code, decode
 BLOCK_IDS = 1 << 16
 SLICE_BYTES = 8 << 20
 MOST_IDS = 1 << 24
-BATCH_WORDS = 1 << 16
+BATCH_WORDS = 1 << 13
+CACHED_WORDS = 600_000
 
 # White space that texts are not cut at, or runs of it: such texts go to the tokenizer whole.
 _ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
@@ -47,7 +48,7 @@ _LETTER = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRST
 
 
 class TextEncoder:
-    """A tokenizer that encodes each distinct word of a slice of texts once.
+    """A tokenizer that encodes each distinct word of a slice of texts once, and remembers words.
 
     A byte-level pre-tokenizer always cuts before a single space, around a line break and between a letter or digit and a closing mark,
     so texts without other white space are the sum of the words between such places. Everything else is encoded whole.
@@ -60,19 +61,22 @@ class TextEncoder:
         pre = kind.get("pre_tokenizer") or {}
         self.by_word = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bool:
         return not self.by_word or bool(_ODD_SPACE.search(text)) or any(s in text for s in self.special)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after the other, and how many each has."""
-        flat, counts = array("I"), []
-        for low in range(0, len(words), BATCH_WORDS):
-            for found in self.tokenizer.encode_batch_fast(words[low:low + BATCH_WORDS], add_special_tokens=False):
-                ids = found.ids
-                flat.extend(ids)
-                counts.append(len(ids))
-        return np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32), np.array(counts, np.int64)
+        """Ids of all words, one after the other, and how many each has; words met before are remembered, up to ``CACHED_WORDS``."""
+        found = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for low in range(0, len(new), BATCH_WORDS):
+            some = new[low:low + BATCH_WORDS]
+            for k, made in zip(some, self.tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False)):
+                found[k] = array("I", made.ids).tobytes()
+                if len(self.known) < CACHED_WORDS and len(words[k]) <= 64:
+                    self.known[words[k]] = found[k]
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
