@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences: after ``. ! ?`` and white space, after their wide forms with or without it, and after line breaks. A span is a
-run of consecutive sentences: every run of ``SENTENCES``, whatever their length, and the shortest run from a sentence on, or back from it,
-with ``LEAST_WORDS`` words in two sentences or more, or with ``LONG_WORDS`` words, so that a passage of few long sentences counts as well.
+run of consecutive sentences: every run of ``SENTENCES``, whatever their length, and every shorter run, the shortest from a sentence on or back
+from it, with ``LONG_WORDS`` words, so that a passage of few long sentences counts as well.
 Characters of scripts that do not part words count as a word each. So a passage that stands in two places has
 spans that cover all of it. Spans are compared by their sentences, with white space unified.
 
@@ -34,7 +34,6 @@ from depotlens.sources.scratch import materialise
 from .arrow import slices
 
 SENTENCES = 3
-LEAST_WORDS = 20
 LONG_WORDS = 50
 SLICE_BYTES = 4 << 20
 _CUT = re.compile(r"(?:(?<=[.!?])\s+|(?<=[。！？])(?![.!?。！？」』”’）)])\s*|[^\S\n]*\n\s*)")
@@ -62,14 +61,11 @@ def spans(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, i
     total = np.r_[0, np.cumsum([max(len(w), len(_WIDE.findall(text, a, b)) if wide else 0) for w, (a, b) in zip(words, places)])].astype(np.int64)
     n = len(places)
     index = np.arange(n)
-    # From a sentence on: the nearest end that reaches either length.
-    some = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), index + 2)
-    ends = np.minimum(some, np.maximum(np.searchsorted(total, total[:-1] + LONG_WORDS), index + 1))
-    # Back from a sentence: the nearest start.
-    some = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, index - 1)
-    starts = np.maximum(some, np.minimum(np.searchsorted(total, total[1:] - LONG_WORDS, "right") - 1, index))
+    # From a sentence on, the nearest end; back from a sentence, the nearest start.
+    ends = np.maximum(np.searchsorted(total, total[:-1] + LONG_WORDS), index + 1)
+    starts = np.minimum(np.searchsorted(total, total[1:] - LONG_WORDS, "right") - 1, index)
     runs = {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(s), i + 1) for i, s in enumerate(starts) if s >= 0}
-    runs |= {(i, i + SENTENCES) for i in range(n - SENTENCES + 1)}
+    runs = {(a, b) for a, b in runs if b - a < SENTENCES} | {(i, i + SENTENCES) for i in range(n - SENTENCES + 1)}
     return places, [(*_wide_hash(hashes[a:b].tobytes()), a, b) for a, b in sorted(runs)]
 
 

@@ -543,14 +543,15 @@ def n_words(text):
 
 
 def plain_spans(text):
-    """The sentences of every run of three, and of the shortest runs from and to each sentence with 20 words in two or more, or with 50 words."""
+    """The sentences of every run of three, and of the shortest runs from and to each sentence with 50 words, if they are shorter."""
     parts = [text[a:b] for a, b in plain_sentences(text)]
     count = [n_words(p) for p in parts]
-    full = lambda a, b: sum(count[a:b]) >= 50 or (b - a >= 2 and sum(count[a:b]) >= 20)
-    runs = {(a, a + 3) for a in range(len(parts) - 2)}
+    full = lambda a, b: sum(count[a:b]) >= 50
+    runs = set()
     for k in range(len(parts)):
         runs |= {(k, b) for b in range(k + 1, len(parts) + 1) if full(k, b) and not any(full(k, c) for c in range(k + 1, b))}
         runs |= {(a, k + 1) for a in range(k + 1) if full(a, k + 1) and not any(full(c, k + 1) for c in range(a + 1, k + 1))}
+    runs = {(a, b) for a, b in runs if b - a < 3} | {(a, a + 3) for a in range(len(parts) - 2)}
     return {(a, b): tuple(" ".join(p.split()) for p in parts[a:b]) for a, b in runs}
 
 
