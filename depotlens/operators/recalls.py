@@ -73,6 +73,9 @@ def phrase_hits(phrases: DataFrame, catalogue: DataFrame) -> DataFrame:
     A product that contains a phrase holds each of its runs of ``GRAM`` characters. Each phrase is joined on the run that fewest of
     its vendor's products hold, and the hits are tested; so products of a vendor meet only phrases that share a rare run with them.
     Phrases shorter than ``GRAM`` are joined on the whole.
+
+    The stored tables repeat themselves, so their files are a small part of the rows they hold, and Spark would broadcast them by the
+    size of the files. The joins are merges therefore.
     """
     rows = catalogue.select("vendor", F.col("product"), F.lower("product").alias("_low"))
     places = materialise(rows.select("vendor", "product", "_low", F.explode(_grams("_low", range(1, GRAM + 1))).alias("_gram")), "grams")
@@ -82,11 +85,11 @@ def phrase_hits(phrases: DataFrame, catalogue: DataFrame) -> DataFrame:
     own = F.when(F.char_length("phrase") >= GRAM, _grams("phrase", [GRAM])).otherwise(F.array("phrase"))
     asked = numbered.select("_id", "vendor", F.explode(own).alias("_gram"))
     # A run that no product holds has no row here, and its phrase no hit: the number of runs found tells.
-    found = asked.join(counts, ["vendor", "_gram"])
+    found = asked.join(counts.hint("merge"), ["vendor", "_gram"])
     rarest = found.groupBy("_id").agg(F.min(F.struct("_held", "_gram")).alias("_r"), F.count("*").alias("_found"))
-    keyed = numbered.withColumn("_runs", F.size(own)).join(rarest, "_id").where("_found = _runs")
+    keyed = numbered.withColumn("_runs", F.size(own)).join(rarest.hint("merge"), "_id").where("_found = _runs")
     keyed = keyed.withColumn("_gram", F.col("_r._gram")).drop("_r", "_found", "_runs", "_id")
-    return keyed.join(places, ["vendor", "_gram"]).where(F.contains("_low", "phrase")).drop("_gram", "_low")
+    return keyed.join(places.hint("merge"), ["vendor", "_gram"]).where(F.contains("_low", "phrase")).drop("_gram", "_low")
 
 
 def recall_candidates(recalls: DataFrame, documents: DataFrame, status: str = "ongoing") -> DataFrame:

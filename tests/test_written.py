@@ -129,6 +129,16 @@ def test_a_vendor_with_many_products_and_recalls_makes_no_pairs(spark):
     assert sorted((x.phrase, x["product"]) for x in found) == sorted((f, p) for f in asked for p in products if f in p) and len(found) >= 200
 
 
+def test_stored_runs_are_not_broadcast(spark):
+    """A few kilobytes of file hold all runs of all products, so the size of the file says little."""
+    products = [(f"v{v}", f"{a} {b}") for v in range(50) for a in ("large", "small", "hot") for b in ("ring", "bolt", "gear")]
+    hits = recalls.phrase_hits(spark.createDataFrame([(f"v{v}", "ring") for v in range(50)], "vendor string, phrase string"),
+                               spark.createDataFrame(products, "vendor string, product string"))
+    assert hits.count() == 150
+    hits.collect()
+    assert "Join" in plan(hits) and "Broadcast" not in plan(hits)
+
+
 # replay
 
 @pytest.fixture
