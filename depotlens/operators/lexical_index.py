@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import spaced_tokens, tokens
-from ..sources.scratch import materialise, new_path
+from ..sources.scratch import LARGE_ROWS, materialise, new_path
 from . import ordered
 
 SLICE_BYTES = 4 << 20
@@ -127,8 +127,10 @@ def write_index(passages: DataFrame, path: str, buckets: int = BUCKETS, **option
     if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         known = spark.read.parquet(path).where(F.col("bucket") == _PASSAGES).agg(F.max(F.shiftright("slice", 48))).first()[0]
         load = 0 if known is None else known + 1
-    rows = materialise(index_rows(passages, buckets, load=load, **options), "index-rows")
-    rows.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(path)
+    # As many rows to a row group as a slice has buckets: a group holds some slices' worth of bytes at most.
+    groups = {"parquet.block.row.count.limit": str(buckets)}
+    rows = materialise(index_rows(passages, buckets, load=load, **options), "index-rows", **groups)
+    rows.hint("rebalance", F.col("bucket")).write.options(**groups).mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -288,7 +290,7 @@ def search_index(queries: DataFrame, index: DataFrame, k: int = 5, buckets: int
         if not n:
             break
         vocabulary = sorted({t for own in terms for t in own})
-        picked = materialise(_picked(index, spark.sparkContext.broadcast(vocabulary), buckets), "picked")
+        picked = materialise(_picked(index, spark.sparkContext.broadcast(vocabulary), buckets), "picked", **LARGE_ROWS)
         df = np.zeros(len(vocabulary))
         for term, count in picked.select(F.inline(F.arrays_zip("term", "n"))).groupBy("term").agg(F.sum("n")).collect():  # a row per term of the block
             df[term] = count

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise
+from ..sources.scratch import LARGE_ROWS, materialise
 from . import lexical_index, ordered
 
 BLOCK_QUERIES = 512
@@ -120,7 +120,7 @@ def lexical_topk(queries: DataFrame, passages: DataFrame, k: int = 5, query_id:
 
     The passages' index is made for this one search, without folders by term; a stored index answers later ones.
     """
-    index = materialise(lexical_index.index_rows(passages, 1, item_id, passage_text), "lexical-index")
+    index = materialise(lexical_index.index_rows(passages, 1, item_id, passage_text), "lexical-index", **LARGE_ROWS)
     return lexical_index.search_index(queries, index, k, None, query_id, query_text, k1, b, block)
 
 

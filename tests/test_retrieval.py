@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,44 @@ def test_no_row_stands_for_a_word(spark, texts):
     assert rows.count() <= 9 and "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def _group_rows(df) -> list[int]:
+    """Rows of each Parquet row group of a stored table."""
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in df.inputFiles()]
+    return [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+
+
+def _stored(monkeypatch, module) -> dict:
+    """What a module materialises, by name."""
+    seen, real = {}, module.materialise
+
+    def watched(df, name, *args, **options):
+        seen[name] = real(df, name, *args, **options)
+        return seen[name]
+
+    monkeypatch.setattr(module, "materialise", watched)
+    return seen
+
+
+def test_no_two_slices_share_a_row_group(spark, texts, monkeypatch):
+    """A slice is megabytes in one row, and the reader holds a row group's rows at once."""
+    passages, asked = texts
+    monkeypatch.setattr(lexical_index, "SLICE_BYTES", 500)
+    monkeypatch.setattr(lexical_index.index_rows, "__defaults__", tuple(500 if d == 4 << 20 else d for d in lexical_index.index_rows.__defaults__))
+    indexes, picks = _stored(monkeypatch, retrieval), _stored(monkeypatch, lexical_index)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    retrieval.lexical_topk(queries, spark.createDataFrame(passages, "chunk_id string, chunk string").coalesce(1), 5).collect()
+    for stored in (indexes["lexical-index"], picks["picked"]):
+        groups = _group_rows(stored)
+        assert len(groups) > 2 and set(groups) == {1}
+
+
+def test_row_groups_of_a_written_index_hold_few_rows(spark, texts):
+    path = new_path(spark, "grouped-index")
+    lexical_index.write_index(spark.createDataFrame(texts[0], "chunk_id string, chunk string").coalesce(1), path, buckets=4, slice_bytes=500)
+    groups = _group_rows(lexical_index.read_index(spark, path))
+    assert sum(groups) > 8 and max(groups) <= 4
+
+
 def test_slices_that_cannot_reach_the_top_are_not_scored(spark):
     """One slice holds all strong passages; after it was scored first, the bounds of the others stay below."""
     passages = [(f"a{n}", "rare rare rare word") for n in range(6)] + [(f"b{n}", "rare " + "filler " * 400) for n in range(60)] + [(f"c{n}", "word other") for n in range(50)]
