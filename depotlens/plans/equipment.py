@@ -178,7 +178,7 @@ SELECT sensor_id, metric, value, baseline, threshold, status, "timestamp" FROM r
 def read_table(i):
     """Readings landed as JSON lines and read back under the declared schema."""
     path = new_path(i.spark, "landed")
-    tables.write_landing(i.readings.drop("reading_id"), path)
+    tables.write_landing(i.readings.drop("reading_id"), path, packed=True)
     return tables.read_table(i.spark, path, "equipment_readings", multi_line=False).select(
         "sensor_id", "metric", "value", "baseline", "threshold", "status", "timestamp")
 
@@ -191,7 +191,7 @@ def telemetry_bundle(i):
     path = new_path(i.spark, "bundle")
     for table, df in (("equipment_readings", i.readings), ("inventory_snapshot", i.inventory),
                       ("compliance_events", i.events), ("document_log", i.documents)):
-        tables.write_landing(df, f"{path}/{table}")
+        tables.write_landing(df, f"{path}/{table}", packed=True)
     bundle = tables.telemetry_bundle(i.spark, path, "all", suffix="", multi_line=False)
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in bundle.items()]
     out = counts[0]

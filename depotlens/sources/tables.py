@@ -47,9 +47,20 @@ def telemetry_bundle(spark: SparkSession, folder: str, kind: str = "all", suffix
     }
 
 
-def write_landing(df: DataFrame, path: str) -> None:
-    """JSON lines with microsecond times, as ``read_table`` and the file stream read them."""
-    df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").mode("append").json(path)
+# Packed files cannot be split by their readers: some 50 MB each of the widest table, before packing less than a reader's split.
+PACKED_ROWS = 100_000
+
+
+def write_landing(df: DataFrame, path: str, packed: bool = False) -> None:
+    """JSON lines with microsecond times, as ``read_table`` and the file stream read them.
+
+    ``packed`` files are gzipped, a tenth of the size or less, and hold at most ``PACKED_ROWS`` rows. A stream's rate limit counts bytes of
+    files, so what a stream reads is landed as it is.
+    """
+    writer = df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").mode("append")
+    if packed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", PACKED_ROWS)
+    writer.json(path)
 
 
 def write_partitioned(df: DataFrame, path: str, ts_col: str) -> None:

@@ -57,6 +57,32 @@ def test_bundle_kinds(spark, tmp_path):
         "equipment": 1, "inventory": 0, "compliance": 0, "documents": 0}
 
 
+def test_packed_files_hold_the_same_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PACKED_ROWS", 40)
+    rows = spark.range(100).select(F.concat(F.lit("S"), "id").alias("sensor_id"), F.lit("temperature").alias("metric"), F.col("id").cast("double").alias("value"),
+                                   F.timestamp_seconds(F.col("id") + 0.25).alias("timestamp")).coalesce(1)
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    tables.write_landing(rows, plain)
+    tables.write_landing(rows, packed, packed=True)
+    files = [f for f in (tmp_path / "packed").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) * 4 < sum(f.stat().st_size for f in (tmp_path / "plain").iterdir() if f.name.startswith("part-"))
+    a, b = (tables.read_table(spark, p, "equipment_readings", multi_line=False) for p in (plain, packed))
+    assert a.count() == b.count() == 100 and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_the_bundle_is_landed_packed(spark, small):
+    from depotlens.plans.catalog import QUERIES
+    landed = []
+    land = tables.write_landing
+    try:
+        tables.write_landing = lambda df, path, **options: (landed.append(path), land(df, path, **options))
+        assert QUERIES["telemetry_bundle"](spark, small).count() == 4
+    finally:
+        tables.write_landing = land
+    assert len(landed) == 4 and all(f.endswith(".json.gz") for p in landed for f in spark.read.text(p).inputFiles())
+
+
 def test_snapshot_and_views(spark, small):
     i = Inputs(spark, small)
     all_tables = {"equipment": i.readings, "inventory": i.inventory, "compliance": i.events, "documents": i.documents}
