@@ -145,8 +145,8 @@ def write_quarantine(recalls: DataFrame, path: str, status: str = "ongoing", par
     known = [p for p in parts if p is not None]
     if parts:
         hit = F.col(part).isin(known) | F.col(part).isNull() if None in parts else F.col(part).isin(known)
-        # Stored first: a folder cannot be replaced by what is still being read from it.
-        newer = materialise(apply_quarantine(recalls, stored.where(hit), status).select(stored.columns), "quarantined")
+        # Dynamic overwrite writes beside the folders and puts the new ones in their place once all is read.
+        newer = apply_quarantine(recalls, stored.where(hit), status).select(stored.columns)
         newer.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     return sorted(known) + [None] * (None in parts)
 

@@ -120,7 +120,15 @@ class Inputs:
         orders = shipped.where(day.isNotNull()).select("l_orderkey", "l_suppkey")
         return self._documents(self.table("lineitem").join(orders, ["l_orderkey", "l_suppkey"], "left_semi"))
 
+    @cached_property
+    def document_rows(self) -> DataFrame:
+        """What ``documents`` are made of, before ``document_columns``: narrow rows to move."""
+        return self._document_rows(self.table("lineitem"))
+
     def _documents(self, lineitem: DataFrame) -> DataFrame:
+        return document_columns(self._document_rows(lineitem))
+
+    def _document_rows(self, lineitem: DataFrame) -> DataFrame:
         lines = lineitem.join(
             self.table("part").select("p_partkey", "p_type", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
         returned = F.col("l_returnflag") == "R"
@@ -130,20 +138,12 @@ class Inputs:
             F.sum("l_quantity").cast("long").alias("invoiced_qty"),
             F.coalesce(F.sum(F.when(~returned, F.col("l_quantity"))), F.lit(0e0)).cast("long").alias("received_qty"),
             (F.lit(0e0) - F.round(F.coalesce(F.sum(F.when(returned, F.col("l_extendedprice"))), F.lit(0e0)), 2)).alias("qty_delta_value"),
-            lot_code(F.min("l_partkey")).alias("lot_number"), lot_code(F.max("l_partkey")).alias("po_lot_number"),
+            F.min("l_partkey").alias("first_part"), F.max("l_partkey").alias("last_part"),
             F.bool_and(F.col("l_linestatus") == "F").alias("temp_log_present"),
             F.bool_or(F.col("p_type").isin("ECONOMY", "PROMO")).alias("cold_chain_req"),
         )
         named = docs.join(self.table("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        full = named.select(
-            F.concat_ws("-", F.lit("BOL"), "l_orderkey", "l_suppkey").alias("bol_id"), F.col("l_orderkey").alias("po_id"),
-            F.lit("BOL").alias("doc_type"), F.col("s_name").alias("vendor"), "shipment_date", "received_date",
-            "product_category", "product_name", "invoiced_qty", "received_qty", doc_rules.qty_delta().alias("qty_delta"),
-            "qty_delta_value", "lot_number", "po_lot_number", doc_rules.has_lot_mismatch().alias("lot_mismatch"),
-            "temp_log_present", "cold_chain_req", F.lit(False).alias("recall_match"),
-            F.lit(None).cast("string").alias("recall_number"), F.lit(None).cast("timestamp").alias("updated_at"),
-        )
-        return full.withColumn("flags", doc_rules.document_flags()).withColumn("status", doc_rules.document_status())
+        return named.drop("s_suppkey")
 
     @cached_property
     def recalls(self) -> DataFrame:
@@ -168,6 +168,20 @@ class Inputs:
         return self.table("conversations").withColumn("agent", pick(AGENTS, F.col("conv_id") % 4))
 
 
+def document_columns(rows: DataFrame, *more: str) -> DataFrame:
+    """Documents from ``document_rows``, with further columns of theirs."""
+    named = rows.withColumns({"lot_number": lot_code(F.col("first_part")), "po_lot_number": lot_code(F.col("last_part"))})
+    full = named.select(
+        F.concat_ws("-", F.lit("BOL"), "l_orderkey", "l_suppkey").alias("bol_id"), F.col("l_orderkey").alias("po_id"),
+        F.lit("BOL").alias("doc_type"), F.col("s_name").alias("vendor"), "shipment_date", "received_date",
+        "product_category", "product_name", "invoiced_qty", "received_qty", doc_rules.qty_delta().alias("qty_delta"),
+        "qty_delta_value", "lot_number", "po_lot_number", doc_rules.has_lot_mismatch().alias("lot_mismatch"),
+        "temp_log_present", "cold_chain_req", F.lit(False).alias("recall_match"),
+        F.lit(None).cast("string").alias("recall_number"), F.lit(None).cast("timestamp").alias("updated_at"), *more,
+    )
+    return full.withColumn("flags", doc_rules.document_flags()).withColumn("status", doc_rules.document_status())
+
+
 def readings_of(events: DataFrame) -> DataFrame:
     """Equipment readings from (batch or streamed) events; ``view`` values are guarded from below."""
     base = events.select(

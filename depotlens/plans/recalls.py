@@ -8,6 +8,7 @@ from ..functions.text import extract_lots
 from ..operators import feed, recalls
 from ..sources import recall_feed
 from ..sources.scratch import new_path
+from .adapters import document_columns
 from .registry import query
 
 
@@ -93,8 +94,9 @@ FROM docs LEFT JOIN (SELECT lot, min(recall_number) AS recall_number FROM recall
 def write_quarantine(i):
     """The stored log, in folders by month, after those with hits were replaced, and read back."""
     path = new_path(i.spark, "document-log")
-    monthly = i.documents.withColumn("month", F.trunc("received_date", "month"))
-    monthly.hint("rebalance", F.col("month")).write.partitionBy("month").parquet(path)
+    # The narrow rows move to their month; the wide ones are made of them there.
+    monthly = i.document_rows.withColumn("month", F.trunc("received_date", "month")).hint("rebalance", F.col("month"))
+    document_columns(monthly, "month").write.partitionBy("month").parquet(path)
     recalls.write_quarantine(i.recalls, path, part="month")
     return i.spark.read.parquet(path).select("bol_id", "status", "flags", "recall_match", "recall_number")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depotlens.operators import compliance, recalls
 from depotlens.plans.actions import Loops
-from depotlens.plans.adapters import EVENTS, Inputs, compliance_of, readings_of
+from depotlens.plans.adapters import EVENTS, Inputs, compliance_of, document_columns, readings_of
 from depotlens.sources import action_log
 from depotlens.sources.scratch import exists, materialise, new_path, shared_dir, workspace
 from depotlens.streaming import alerts, sinks, sources, windows
@@ -87,6 +87,25 @@ def test_only_folders_with_hits_are_replaced(spark, log):
     assert all((new[d] == old[d]) == (d not in touched) for d in old)
 
 
+def test_folders_are_written_once(spark, small, tmp_path, monkeypatch):
+    """Beside the new folders no copy of their rows is stored, and the rows are those of the SQL's terms."""
+    i, path, stored = Inputs(spark, small), str(tmp_path / "log"), []
+    i.documents.withColumn("month", F.trunc("received_date", "month")).repartition("month").write.partitionBy("month").parquet(path)
+    before = spark.read.parquet(path)
+    expected = rows(recalls.apply_quarantine(i.recalls, before).select(before.columns))
+    monkeypatch.setattr(recalls, "materialise", lambda df, name, **options: (stored.append(name), materialise(df, name, **options))[1])
+    recalls.write_quarantine(i.recalls, path, part="month")
+    assert rows(spark.read.parquet(path).select(before.columns)) == expected and stored == []
+    recalls.write_quarantine(i.recalls, path, part="month")
+    assert rows(spark.read.parquet(path).select(before.columns)) == expected
+
+
+def test_document_rows_are_narrower_and_make_the_same_documents(spark, small):
+    i = Inputs(spark, small)
+    assert document_columns(i.document_rows).columns == i.documents.columns and len(i.document_rows.columns) < len(i.documents.columns)
+    assert rows(document_columns(i.document_rows)) == rows(i.documents)
+
+
 def test_without_hits_nothing_is_written(spark, log):
     path, few = log
     old = files_by_part(spark, path)
