@@ -213,6 +213,35 @@ def test_odd_texts_are_encoded_as_by_the_tokenizer(spark):
             assert ids.tolist() == encode(text, add_special_tokens=False).ids, text
 
 
+class Counted:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together():
+    from tokenizers import Tokenizer
+    encode = Tokenizer.from_file(tokenizer_file()).encode
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        fast = token_files.TextEncoder(f.read())
+    fast.tokenizer = counted = Counted(fast.tokenizer)
+    texts = [" ".join(f"wö{k}rd{k * k}" for k in range(low, low + 500)) for low in range(0, 3000, 500)]
+    for text, ids in zip(texts, fast(texts)):
+        assert ids.tolist() == encode(text, add_special_tokens=False).ids
+    assert counted.texts < 100  # of 3,000 words
+    # A vocabulary that does not name all bytes: words are encoded one by one.
+    fast.known.clear()
+    fast.widths[:] = 0
+    for text, ids in zip(texts, fast(texts)):
+        assert ids.tolist() == encode(text, add_special_tokens=False).ids
+    assert counted.texts > 3000
+
+
 def test_token_files_on_odd_rows(spark, odd, none):
     folder = token_files.write_documents(odd, tokenizer_file(), 2)
     rows = token_files.read_tokens(spark, folder).orderBy("start").collect()
