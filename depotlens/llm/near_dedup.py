@@ -12,12 +12,13 @@ on their texts, in three rounds whatever the data:
 1. every node with one node, of the least ones of its buckets that which is the least in most of them,
 2. every node outside the largest class of a bucket with the ``NEAREST`` nodes of other classes there whose signatures agree best: what was
    copied from one text finds it,
-3. all candidates that are still in different classes.
+3. all candidates that are still in different classes, compared where they are found: in their tile.
 
 So every pair of candidates is in one class or was compared, and most are never made: nodes of one class are not compared again.
 Rounds 2 and 3 look only at buckets with several classes, and there at nodes outside the largest class against the others, in tiles of
 at most about ``TILE`` by ``TILE`` signatures that a task holds one at a time, so a bucket of any size is spread over tasks. A pair that shares
-several bands counts in the first one alone.
+several bands counts in the first one alone. In round 3 the shingles of the nodes that have a candidate go to its tiles, and a tile returns
+only links that connect classes, so that no join has a row per pair.
 
 Defined cases: a text that is null or has no word is in no bucket and forms a class of its own row; rows with equal text are
 one class; the class id is the least document id (nulls only if there is no other); an empty table gives an empty result;
@@ -207,47 +208,125 @@ def _tiles(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     return nodes.select(columns).unionByName(waiting.select(columns)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def _candidates(tiles: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """(node, agree, a, b): candidates of different classes, or of each waiting node only the ``NEAREST`` of each tile; ``node`` is the waiting one."""
+def _pairs_of_tiles(batches, least: float):
+    """(batch, x, agree, y) of each tile: rows of candidates of different classes, ``x`` the waiting ones, and in how many darts they agree."""
+    for batch in _runs(batches, ["band", "i", "j"]):
+        band, i, j = (batch.column(c).to_numpy() for c in ("band", "i", "j"))
+        waits, n = batch.column("waiting").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+        codes = np.unique(np.array(batch.column("label").to_pylist(), object), return_inverse=True)[1]
+        darts, bands = _sketches(batch.column("sketch"))
+        edges = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for run in np.split(np.arange(len(band)), edges):
+            left, right = run[waits[run]], run[~waits[run]]
+            if not len(left) or not len(right):
+                continue
+            ok = codes[left][:, None] != codes[right]
+            ok &= np.minimum(n[left][:, None], n[right]) >= least * np.maximum(n[left][:, None], n[right])
+            x, y = np.nonzero(ok)
+            x, y = left[x], right[y]
+            found = []
+            for some in np.split(np.arange(len(x)), range(1 << 16, len(x), 1 << 16)):
+                agree = (darts[x[some]] == darts[y[some]]).sum(axis=1)
+                some, agree = some[agree >= AGREE], agree[agree >= AGREE]
+                # A pair that shares several bands counts in the first.
+                first = (bands[x[some]] == bands[y[some]]).argmax(axis=1)
+                real = bands[x[some], first] == band[x[some]]
+                found.append(np.stack([x[some][real], agree[real], y[some][real]]))
+            x, agree, y = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            if len(x):
+                yield batch, x, agree, y
+
+
+def _nearest(tiles: DataFrame, least: float) -> DataFrame:
+    """(node, agree, a, b): the ``NEAREST`` candidates of other classes that each waiting node has in each tile; ``node`` is the waiting one."""
     def find(batches):
-        for batch in _runs(batches, ["band", "i", "j"]):
-            band, i, j = (batch.column(c).to_numpy() for c in ("band", "i", "j"))
-            waits, n = batch.column("waiting").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
-            keys, codes = (np.array(batch.column(c).to_pylist(), object) for c in ("key", "label"))
-            codes, order = np.unique(codes, return_inverse=True)[1], np.unique(keys, return_inverse=True)[1]
-            darts, bands = _sketches(batch.column("sketch"))
-            edges = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for run in np.split(np.arange(len(band)), edges):
-                left, right = run[waits[run]], run[~waits[run]]
-                if not len(left) or not len(right):
-                    continue
-                ok = codes[left][:, None] != codes[right]
-                ok &= np.minimum(n[left][:, None], n[right]) >= least * np.maximum(n[left][:, None], n[right])
-                x, y = np.nonzero(ok)
-                x, y = left[x], right[y]
-                found = []
-                for some in np.split(np.arange(len(x)), range(1 << 16, len(x), 1 << 16)):
-                    agree = (darts[x[some]] == darts[y[some]]).sum(axis=1)
-                    some, agree = some[agree >= AGREE], agree[agree >= AGREE]
-                    # A pair that shares several bands counts in the first.
-                    first = (bands[x[some]] == bands[y[some]]).argmax(axis=1)
-                    real = bands[x[some], first] == band[x[some]]
-                    found.append(np.stack([x[some][real], agree[real], y[some][real]]))
-                x, agree, y = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-                if nearest:
-                    best = np.lexsort((order[y], -agree, x))
-                    x, agree, y = x[best], agree[best], y[best]
-                    starts = np.searchsorted(x, x)
-                    keep = np.arange(len(x)) - starts < NEAREST
-                    x, agree, y = x[keep], agree[keep], y[keep]
-                flip = order[x] > order[y]
-                node, a, b = keys[x], keys[np.where(flip, y, x)], keys[np.where(flip, x, y)]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(agree, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                                                 names=["node", "agree", "a", "b"])
+        for batch, x, agree, y in _pairs_of_tiles(batches, least):
+            keys = np.array(batch.column("key").to_pylist(), object)
+            order = np.unique(keys, return_inverse=True)[1]
+            best = np.lexsort((order[y], -agree, x))
+            x, agree, y = x[best], agree[best], y[best]
+            keep = np.arange(len(x)) - np.searchsorted(x, x) < NEAREST
+            x, agree, y = x[keep], agree[keep], y[keep]
+            flip = order[x] > order[y]
+            node, a, b = keys[x], keys[np.where(flip, y, x)], keys[np.where(flip, x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(agree, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                             names=["node", "agree", "a", "b"])
 
     return tiles.mapInArrow(find, "node binary, agree long, a binary, b binary")
 
 
+def _elements(texts: DataFrame, size: int) -> DataFrame:
+    """(key, elements): 64-bit hashes of each text's shingles, every occurrence with a hash of its own."""
+    def make(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            rows = []
+            for text in raw(batch.column("text")):
+                value, count = shingles(word_hashes(text), size)
+                again = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                rows.append(mix(np.repeat(value, count) + again.astype(np.uint64) * _FACTOR).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, pa.binary())], names=["key", "elements"])
+
+    return texts.mapInArrow(make, "key binary, elements binary")
+
+
+def _similar(items: list[np.ndarray], x: np.ndarray, y: np.ndarray, codes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the pairs (x, y), those with a similarity of ``least`` or more that connect classes (``codes``) not connected by others before them."""
+    root = {}
+
+    def top(code: int) -> int:
+        while root.get(code, code) != code:
+            code = root[code]
+        return code
+
+    sizes = np.array(list(map(len, items)))
+    distinct, ids = np.unique(np.concatenate(items), return_inverse=True)
+    first, here, links = np.cumsum(sizes) - sizes, np.zeros(len(distinct), bool), []
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    for run in np.split(np.arange(len(x)), np.flatnonzero(x[1:] != x[:-1]) + 1):
+        one = int(x[run[0]])
+        own = ids[first[one]:first[one] + sizes[one]]
+        here[own] = True
+        for some in np.array_split(y[run], -(-len(run) // 64)):
+            some = some[[top(int(c)) != top(int(codes[one])) for c in codes[some]]]
+            if not len(some):
+                continue
+            n = sizes[some]
+            starts = np.cumsum(n) - n
+            shared = np.add.reduceat(here[ids[np.repeat(first[some] - starts, n) + np.arange(int(n.sum()))]].astype(np.int64), starts)
+            for other in some[shared / (n + sizes[one] - shared) >= least].tolist():
+                low, high = sorted((top(int(codes[one])), top(int(codes[other]))))
+                if low != high:
+                    root[high] = low
+                    links.append((one, other))
+        here[own] = False
+    return links
+
+
+def _links_of_tiles(tiles: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b): links between different classes, enough of each tile to connect all that its links connect.
+
+    Candidates are found and compared inside their tile, so that a group of texts just below the similarity adds its nodes, not its pairs, to any join.
+    """
+    def involved(batches):
+        for batch, x, _, y in _pairs_of_tiles(batches, least):
+            yield batch.take(pa.array(np.unique(np.r_[x, y])))
+
+    def link(batches):
+        for batch, x, _, y in _pairs_of_tiles(batches, least):
+            used, at = np.unique(np.r_[x, y], return_inverse=True)
+            rows = batch.take(pa.array(used))
+            items = [np.frombuffer(e, np.uint64) for e in rows.column("elements").to_pylist()]
+            codes, keys = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1], rows.column("key").to_pylist()
+            found = _similar(items, at[:len(x)], at[len(x):], codes, least)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[pair[k]] for pair in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    some = materialise(tiles.mapInArrow(involved, tiles.schema), "involved")
+    elements = materialise(_elements(texts.join(some.select("key").distinct(), "key", "left_semi"), size), "elements")
+    dealt = some.join(elements, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return materialise(dealt.mapInArrow(link, "a binary, b binary"), "links")
+
+
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, key, n, label, largest, members, open) of the buckets that hold several classes."""
     labelled = buckets.select("band", "key", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
@@ -281,16 +360,16 @@ def _text_classes(docs: DataFrame, text_col: str, size: int, least: float) -> Da
     pairs = pairs.groupBy("key", "a").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "a")).alias("h"))
     pairs = _likely(materialise(pairs.select("h.a", F.col("key").alias("b")), "headed"), sketches)
     labels, compared = materialise(components(_verified(pairs, texts, size, least)), "labels"), pairs
-    for nearest in (True, False):
-        # Classes only grow, so only buckets that were mixed before can be mixed now.
-        buckets = _mixed(buckets, labels)
-        pairs = _candidates(_tiles(buckets, sketches), least, nearest)
-        if nearest:
-            pairs = top_k_per(pairs, ["node"], [F.desc("agree"), F.asc("a"), F.asc("b")], NEAREST)
-        pairs = materialise(pairs.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        links, compared = _verified(pairs, texts, size, least), compared.unionByName(pairs)
-        if not links.isEmpty():
-            labels = _merged(labels, links)
+    # Classes only grow, so only buckets that were mixed before can be mixed now.
+    buckets = _mixed(buckets, labels)
+    pairs = top_k_per(_nearest(_tiles(buckets, sketches), least), ["node"], [F.desc("agree"), F.asc("a"), F.asc("b")], NEAREST)
+    pairs = materialise(pairs.select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+    links = _verified(pairs, texts, size, least)
+    if not links.isEmpty():
+        labels = _merged(labels, links)
+    links = _links_of_tiles(_tiles(_mixed(buckets, labels), sketches), texts, size, least)
+    if not links.isEmpty():
+        labels = _merged(labels, links)
     return labels
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from depotlens.llm import components, dart_minhash, dom, fm_index, html_extraction, huffman, loser_tree, ppm, sentence_dedup, suffix_dedup
+from depotlens.llm import components, dart_minhash, dom, fm_index, html_extraction, huffman, loser_tree, near_dedup, ppm, quality, sentence_dedup, suffix_dedup
 from depotlens.llm.arrow import mix
 
 
@@ -247,3 +247,41 @@ def test_spans_cover_long_passages():
         found.append({(h, g) for h, g, _, _ in runs})
     shared = found[0] & found[1]
     assert shared and components.components
+
+
+def test_passages_are_counted_a_few_at_a_time():
+    import tracemalloc
+    r = random.Random(5)
+    pieces = [bytes(r.choice(b"abcde ") for _ in range(r.randint(0, 300))) for _ in range(1500)]
+    rows = quality.features(pieces)
+    for k in (0, 127, 128, 700, 1499):
+        assert (rows[k] == quality.features([pieces[k]])[0]).all()
+    tracemalloc.start()
+    quality.features(pieces)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * rows.nbytes
+
+
+def test_similar_pairs_of_a_tile_connect_what_all_pairs_do():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(r.integers(2, 25))
+        items = [np.unique(r.integers(0, 14, int(r.integers(1, 12)))).astype(np.uint64) for _ in range(n)]
+        codes = r.integers(0, n, n)
+        x, y = np.nonzero(r.random((n, n)) < 0.6)
+        x, y = x[codes[x] != codes[y]], y[codes[x] != codes[y]]
+        if not len(x):
+            continue
+
+        def classes(pairs):
+            root = {int(c): int(c) for c in codes}
+            for a, b in pairs:
+                a, b = root[int(codes[a])], root[int(codes[b])]
+                root = {c: min(a, b) if t in (a, b) else t for c, t in root.items()}
+            return root
+
+        alike = lambda a, b: len(np.intersect1d(items[a], items[b])) / len(np.union1d(items[a], items[b])) >= 0.5
+        want = [(a, b) for a, b in zip(x.tolist(), y.tolist()) if alike(a, b)]
+        got = near_dedup._similar(items, x, y, codes, 0.5)
+        assert classes(got) == classes(want) and all(alike(a, b) for a, b in got) and len(got) < len(set(codes.tolist()))
