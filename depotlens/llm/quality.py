@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .arrow import raw, slices, unused
 
 PASSAGE = 768
+COUNTED = 128  # passages counted at once
 BUCKETS = 2048
 HIDDEN, GATE = 32, 16
 FIT_BYTES = 256 << 20
@@ -48,10 +49,17 @@ def passages(text: bytes) -> list[bytes]:
 
 def features(pieces: list[bytes]) -> np.ndarray:
     """A row per passage: square roots of byte and trigram counts, scaled to length 1."""
+    width = 256 + BUCKETS
+    rows = np.empty((len(pieces), width), np.float32)
+    for low in range(0, len(pieces), COUNTED):  # counts are 64-bit integers: only so many are held at once
+        rows[low:low + COUNTED] = _counted(pieces[low:low + COUNTED], width)
+    return rows
+
+
+def _counted(pieces: list[bytes], width: int) -> np.ndarray:
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(pieces)), sizes)
-    width = 256 + BUCKETS
     counts = np.bincount(owner * width + data, minlength=len(pieces) * width).astype(np.float32)
     if len(data) > 2:
         inside = owner[:-2] == owner[2:]
