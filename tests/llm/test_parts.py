@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -285,3 +286,19 @@ def test_similar_pairs_of_a_tile_connect_what_all_pairs_do():
         want = [(a, b) for a, b in zip(x.tolist(), y.tolist()) if alike(a, b)]
         got = near_dedup._similar(items, x, y, codes, 0.5)
         assert classes(got) == classes(want) and all(alike(a, b) for a, b in got) and len(got) < len(set(codes.tolist()))
+
+
+def test_slices_give_free_memory_back():
+    import subprocess
+    import sys
+    code = """
+import re
+from depotlens.llm import arrow
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+items = [bytes(1000) for _ in range(200_000)]
+full, items = held(), items[-1]
+assert not list(arrow.slices([], "text", 1))
+print(full - held())
+"""
+    freed = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout
+    assert int(freed) > 150  # of some 200 MB, though the last item lies above them
