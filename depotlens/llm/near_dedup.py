@@ -49,26 +49,14 @@ TILE = 512
 NEAREST = 3
 BROADCAST_KEYS = 1 << 19
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS:
-            self[word] = value
-        return value
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     words = text.translate(_LOWER).split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -392,9 +380,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, with one row of each class: the one with the least id (then key); rows without words all stay."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = _labelled(docs, columns, text_col, **options)
-    doc_id = F.col("row").getField(id_col)
-    kept = rows.where("label is not null").groupBy("label").agg(F.min_by("row", F.struct(doc_id.isNull(), doc_id, "key")).alias("row"))
-    return kept.select("row.*").unionByName(rows.where("label is null").select("row.*"))
+    """``docs``, all columns, with one row of each class: the one with the least id (then key); rows without words all stay.
+
+    Which text stays is found from ids and keys alone; whole rows are exchanged once, copies of a text combined before it.
+    """
+    id_of = lambda value: F.struct(value.isNull(), value)
+    keyed = _labelled(docs, [F.col(id_col).alias("doc_id")], text_col, **options).where("label is not null")
+    least = keyed.groupBy("label").agg(F.min(F.struct(id_of(F.col("row.doc_id")), "key")).alias("least"))
+    least = materialise(least.select(F.col("least.key").alias("_kept")), "kept-keys")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(_has_words(text_col), text_key(text_col)).alias("key"))
+    texts = rows.where("key is not null").groupBy("key").agg(F.min_by("row", id_of(F.col("row").getField(id_col))).alias("row"))
+    kept = texts.join(least, texts["key"] == least["_kept"], "left_semi")
+    return kept.select("row.*").unionByName(rows.where("key is null").select("row.*"))

@@ -169,6 +169,22 @@ def test_one_row_of_each_class_stays(odd, none):
     assert near_dedup.one_per_class(none).count() == 0 and near_dedup.near_duplicates(none).count() == 0
 
 
+def test_whole_rows_are_exchanged_once(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[::-1])
+    rows = [(None, one, "a"), (5, one, "b"), (3, near, "c"), (3, near, "c"), (9, other, "d"), (None, other, "e"), (7, " ", "f"), (7, None, "g"), (None, "alone", "h")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = near_dedup.one_per_class(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        plan = kept._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        got = sorted(map(tuple, kept.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([(3, near, "c"), (9, other, "d"), (7, " ", "f"), (7, None, "g"), (None, "alone", "h")], key=str)
+    assert plan.count("Exchange hashpartitioning(") == 2  # rows by their text, keys
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (5, 5), (4, 1), (20, 21), (22, 21), (23, 22), (24, 23)], "a long, b long")
     got = {r.node: r.label for r in components.components(edges).collect()}

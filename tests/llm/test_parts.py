@@ -302,3 +302,33 @@ print(full - held())
 """
     freed = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout
     assert int(freed) > 150  # of some 200 MB, though the last item lies above them
+
+
+def kept_bytes(work) -> int:
+    """Bytes of Python's memory that stay in use after ``work``."""
+    import gc
+    import tracemalloc
+    gc.collect()
+    tracemalloc.start()
+    work()
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    return kept
+
+
+def test_word_hashes_are_not_remembered():
+    near_dedup.word_hashes(b"some words first")
+    assert kept_bytes(lambda: near_dedup.word_hashes(b" ".join(b"once%d" % k for k in range(30_000)))) < 200_000
+
+
+def test_known_words_take_few_bytes():
+    from depotlens.llm import token_files
+    from depotlens.llm.queries import tokenizer_file
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        fast = token_files.TextEncoder(f.read())
+    texts = [" ".join(f"{k}w{k * 7}" for k in range(low, low + 1000)) for low in range(0, 20_000, 1000)]
+    ids = [x.tolist() for x in fast(texts)]
+    fast.known.clear()
+    assert kept_bytes(lambda: fast(texts)) < 20_000 * 60
+    assert [x.tolist() for x in fast(texts[::-1])] == ids[::-1]
