@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_lots, normalise_lot
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, setting
 from . import ordered
 
 MAX_RECALL_PAGE = 25
 
+# Words of 64 bits over all lots of recalls; so many rows are broadcast at most, whatever the number of lots.
+LOT_WORDS = 1 << 18
+
 
 def recall_search(recalls: DataFrame, category: str = "", limit: int = 10, status: str = "ongoing") -> DataFrame:
     """Recalls by status and optional product phrase, newest first."""
@@ -31,12 +34,33 @@ def recall_lots(recalls: DataFrame, status: str = "ongoing") -> DataFrame:
     )
 
 
+def _bits_of(lot: str) -> tuple[Column, Column]:
+    """The word of a lot, and its three bits there."""
+    code = F.xxhash64(lot)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(code, at).bitwiseAND(63).cast("int")) for at in (18, 24, 30)]
+    return code.bitwiseAND(LOT_WORDS - 1), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def marked_lots(documents: DataFrame, lots: DataFrame, lot: str = "_lot") -> DataFrame:
+    """``documents`` with ``_maybe``: false says for certain that no row of ``lots`` has their ``_lot``.
+
+    The lots are too many to be broadcast, their bits (a Bloom filter in words) are not. So a join by lot need not move the documents
+    that it would not find; true only says that a document has to go there.
+    """
+    word, bits = _bits_of(lot)
+    words = lots.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_set"))
+    word, bits = _bits_of("_lot")
+    found = documents.withColumn("_at", word).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    maybe = F.col("_lot").isNotNull() & F.coalesce(F.col("_set").bitwiseAND(bits) == bits, F.lit(False))
+    return found.withColumn("_maybe", maybe).drop("_at", "_word", "_set")
+
+
 def recall_match(recalls: DataFrame, documents: DataFrame, status: str = "ongoing") -> DataFrame:
     """Documents whose lot is named by an ongoing recall, one row per (document, recall)."""
     lots = recall_lots(recalls, status).select(
         F.col("lot").alias("_lot"), F.col("recall_number").alias("matched_recall"), "classification")
-    shipped = documents.withColumn("_lot", normalise_lot("lot_number"))
-    return shipped.join(lots, "_lot").drop("_lot")
+    shipped = marked_lots(documents.withColumn("_lot", normalise_lot("lot_number")), lots)
+    return shipped.where("_maybe").drop("_maybe").join(lots, "_lot").drop("_lot")
 
 
 def _matched_lots(recalls: DataFrame, status: str) -> DataFrame:
@@ -46,8 +70,9 @@ def _matched_lots(recalls: DataFrame, status: str) -> DataFrame:
 
 
 def affected_documents(recalls: DataFrame, documents: DataFrame, status: str = "ongoing") -> DataFrame:
-    shipped = documents.withColumn("_lot", normalise_lot("lot_number"))
-    return shipped.join(_matched_lots(recalls, status), "_lot", "left_semi").drop("_lot")
+    lots = _matched_lots(recalls, status)
+    shipped = marked_lots(documents.withColumn("_lot", normalise_lot("lot_number")), lots).where("_maybe").drop("_maybe")
+    return shipped.join(lots, "_lot", "left_semi").drop("_lot")
 
 
 def unaffected_documents(recalls: DataFrame, documents: DataFrame, status: str = "ongoing") -> DataFrame:
@@ -120,24 +145,30 @@ def apply_quarantine(recalls: DataFrame, documents: DataFrame, status: str = "on
     """
     lots = recall_lots(recalls, status).groupBy("lot").agg(F.min("recall_number").alias("_recall"))
     lots = ordered.rekeyed(lots, "lot", "_lot")
+    return _quarantined(documents.withColumn("_lot", normalise_lot("lot_number")).join(lots, "_lot", "left")).drop("_lot", "_recall")
+
+
+def _quarantined(documents: DataFrame) -> DataFrame:
+    """Documents after the recall in ``_recall``, if any, was applied to them."""
     hit = F.col("_recall").isNotNull()
     flags = F.coalesce(F.col("flags"), F.array().cast("array<string>"))
-    return (
-        documents.withColumn("_lot", normalise_lot("lot_number")).join(lots, "_lot", "left")
-        .withColumns({
-            "status": F.when(hit, "QUARANTINED").otherwise(F.col("status")),
-            "flags": F.when(hit, F.array_union(F.array(F.lit("recall_match")), flags)).otherwise(flags),
-            "recall_match": hit | F.coalesce(F.col("recall_match"), F.lit(False)),
-            "recall_number": F.coalesce("_recall", "recall_number"),
-        })
-        .drop("_lot", "_recall")
-    )
+    return documents.withColumns({
+        "status": F.when(hit, "QUARANTINED").otherwise(F.col("status")),
+        "flags": F.when(hit, F.array_union(F.array(F.lit("recall_match")), flags)).otherwise(flags),
+        "recall_match": hit | F.coalesce(F.col("recall_match"), F.lit(False)),
+        "recall_number": F.coalesce("_recall", "recall_number"),
+    })
+
+
+# Folders that a task writes at a time without sorting its rows. A split of a stored log holds 32 files at most, by the reader's default sizes.
+OPEN_FOLDERS = "32"
 
 
 def write_quarantine(recalls: DataFrame, path: str, status: str = "ongoing", part: str = "day") -> list:
     """Write the new version of a document log that is stored in folders by ``part``: only folders that hold a hit are replaced, whose list is returned.
 
     Rows that were quarantined before keep their recall and flags, so a second run writes the same folders again with the same rows.
+    Rows whose lot no recall names are written where they are read, a file for a file; only the others move, to their lot and to their folder.
     """
     spark = recalls.sparkSession
     stored = spark.read.parquet(path)
@@ -146,8 +177,12 @@ def write_quarantine(recalls: DataFrame, path: str, status: str = "ongoing", par
     if parts:
         hit = F.col(part).isin(known) | F.col(part).isNull() if None in parts else F.col(part).isin(known)
         # Dynamic overwrite writes beside the folders and puts the new ones in their place once all is read.
-        newer = apply_quarantine(recalls, stored.where(hit), status).select(stored.columns)
-        newer.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        rows = marked_lots(stored.where(hit).withColumn("_lot", normalise_lot("lot_number")), _matched_lots(recalls, status))
+        moved = apply_quarantine(recalls, rows.where("_maybe"), status).select(stored.columns).hint("rebalance", F.col(part))
+        kept = _quarantined(rows.where("not _maybe").withColumn("_recall", F.lit(None).cast("string"))).select(stored.columns)
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FOLDERS):
+            newer = moved.unionByName(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            newer.partitionBy(part).parquet(path)
     return sorted(known) + [None] * (None in parts)
 
 

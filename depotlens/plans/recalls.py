@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_lots
 from ..operators import feed, recalls
 from ..sources import recall_feed
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, release
 from .adapters import document_columns
 from .registry import query
 
@@ -97,6 +97,7 @@ def write_quarantine(i):
     # The narrow rows move to their month; the wide ones are made of them there.
     monthly = i.document_rows.withColumn("month", F.trunc("received_date", "month")).hint("rebalance", F.col("month"))
     document_columns(monthly, "month").write.partitionBy("month").parquet(path)
+    release(i.spark)
     recalls.write_quarantine(i.recalls, path, part="month")
     return i.spark.read.parquet(path).select("bol_id", "status", "flags", "recall_match", "recall_number")
 

@@ -100,6 +100,32 @@ def test_folders_are_written_once(spark, small, tmp_path, monkeypatch):
     assert rows(spark.read.parquet(path).select(before.columns)) == expected
 
 
+def test_rows_without_a_recalled_lot_stay_where_they_are(spark, small, tmp_path, monkeypatch):
+    """Only rows whose lot may be named go to the join and to their folder again; the rest is written from the scan, without a sort."""
+    i, path, moved = Inputs(spark, small), str(tmp_path / "log"), []
+    i.documents.withColumn("month", F.trunc("received_date", "month")).repartition("month").write.partitionBy("month").parquet(path)
+    before = spark.read.parquet(path)
+    hits, all_rows = recalls.affected_documents(i.recalls, before).count(), before.count()
+    apply = recalls.apply_quarantine
+    expected = rows(apply(i.recalls, before).select(before.columns))
+    monkeypatch.setattr(recalls, "apply_quarantine", lambda r, d, s: (moved.append(d.count()), apply(r, d, s))[1])
+    recalls.write_quarantine(i.recalls, path, part="month")
+    assert rows(spark.read.parquet(path).select(before.columns)) == expected
+    assert len(moved) == 1 and 0 < hits <= moved[0] <= hits + all_rows // 50 < all_rows // 2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_marks_miss_no_lot(spark):
+    lots = spark.range(20_000).select(F.concat(F.lit("LOT-"), F.col("id") * 2).alias("lot"))
+    shipped = spark.range(40_000).select(F.when(F.col("id") > 0, F.concat(F.lit("LOT-"), "id")).alias("_lot"), "id")
+    shipped = shipped.unionByName(shipped.where("id < 9"))
+    odd, even, none = (recalls.marked_lots(shipped, lots.union(spark.sql("select cast(null as string)")), "lot").where(w)
+                       for w in ("id % 2 = 1", "id % 2 = 0 and id > 0", "id = 0"))
+    assert even.count() == even.where("_maybe").count() == 20_003 and odd.count() == 20_004
+    assert odd.where("_maybe").count() < 400 and [r._maybe for r in none.collect()] == [False, False]
+    assert recalls.marked_lots(shipped, lots.limit(0), "lot").where("_maybe").count() == 0
+
+
 def test_document_rows_are_narrower_and_make_the_same_documents(spark, small):
     i = Inputs(spark, small)
     assert document_columns(i.document_rows).columns == i.documents.columns and len(i.document_rows.columns) < len(i.documents.columns)
