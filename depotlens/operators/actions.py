@@ -288,18 +288,14 @@ def action_events(actions: DataFrame) -> DataFrame:
 
 
 def log_entries(actions: DataFrame) -> DataFrame:
-    """Action-log entries: a record and a summary for quarantine and markdown, a summary for dispatch."""
+    """Action-log entries: a record and a summary for quarantine and markdown, a summary for dispatch. Actions are evaluated once."""
     record_type = F.when(F.col("loop") == "wms_quarantine", "quarantine").when(F.col("loop") == "pos_markdown", "markdown")
-    columns = [f.name for f in schemas.ACTION_LOG.fields]
-    records = (
-        actions.where(F.col("loop") != "equipment_dispatch")
-        .withColumn("type", record_type).withColumn("seq", F.lit(0).cast("long")).select(*columns)
-    )
-    summary = actions.select(*[
-        (F.lit(1).cast("long") if f.name == "seq" else F.col(f.name) if f.name in ("action_id", "loop", "timestamp", "status")
-         else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schemas.ACTION_LOG.fields])
-    return records.unionByName(summary)
+    record, summary = (F.lit(n).cast("long") for n in (0, 1))
+    places = F.when(F.col("loop") != "equipment_dispatch", F.array(record, summary)).otherwise(F.array(summary))
+    rows = actions.withColumn("type", record_type).withColumn("seq", F.explode(places))
+    both = ("action_id", "loop", "timestamp", "status", "seq")
+    return rows.select(*[
+        F.col(f.name) if f.name in both else F.when(F.col("seq") == 0, F.col(f.name)).alias(f.name) for f in schemas.ACTION_LOG.fields])
 
 
 def dispatch_outbox(dispatches: DataFrame, kind: str = "equipment_critical") -> DataFrame:

@@ -137,25 +137,29 @@ def next_within(df: DataFrame, keys: list[str], ts: str, is_target: Column, hori
     )
 
 
-def prefix_sums(df: DataFrame, order: list[Column], weights: dict[str, Column], scratch: str) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[Column], weights: dict[str, Column | int], scratch: str) -> DataFrame:
     """Exclusive running sums of ``weights`` (by new column name) over the whole table in ``order``.
 
     The order must be total. Range partitions are written once, so partition numbers stay fixed
     between the pass that sums each partition and the pass that numbers its rows. The offset table
-    has one row per partition, which bounds its broadcast.
+    has one row per partition, which bounds its broadcast. A number as weight is that of every row:
+    such sums follow from a row's place in its sorted partition, and need no second exchange of the rows.
     """
-    ranged = (
-        df.withColumns({f"_w_{name}": weight for name, weight in weights.items()})
-        .repartitionByRange(*order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    ranged = materialise(ranged, scratch)
+    equal = {name: weight for name, weight in weights.items() if isinstance(weight, int)}
+    given = {name: weight for name, weight in weights.items() if name not in equal}
+    ranged = df.withColumns({f"_w_{name}": weight for name, weight in given.items()}).repartitionByRange(*order)
+    if equal:
+        # The low 33 bits of the id are the row's place.
+        ranged = ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = materialise(ranged.withColumn("_part", F.spark_partition_id()), scratch, compression="zstd")
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_part").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in weights]).select(
+    totals = {name: F.sum(f"_w_{name}") for name in given} | {name: F.count("*") * weight for name, weight in equal.items()}
+    offsets = ranged.groupBy("_part").agg(*[total.alias(f"_t_{n}") for n, total in totals.items()]).select(
         "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in weights])
     inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    sums = {n: F.col("_place") * weights[n] if n in equal else F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) for n in weights}
     return (
-        ranged.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in weights])
+        ranged.select("*", *[own.alias(f"_i_{n}") for n, own in sums.items()])
         .join(F.broadcast(offsets), "_part")
         .select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(n) for n in weights])
     )

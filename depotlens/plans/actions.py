@@ -12,7 +12,7 @@ from ..functions.text import action_key, reasoning_excerpt, trigger_match
 from ..functions.timing import parse_iso_utc
 from ..operators import actions, equipment
 from ..operators.inventory import high_risk_inventory
-from ..operators.ordered import prefix_sums
+from ..operators.ordered import over_previous, prefix_sums
 from ..sources import action_log
 from ..sources.scratch import new_path
 from .adapters import (
@@ -257,11 +257,11 @@ def read_actions(i):
     for frame in (loops.dispatches, loops.quarantines, loops.markdowns):
         action_log.append_actions(frame, path)
     entries = action_log.read_actions(i.spark, path).select("timestamp", "action_id", "seq", "loop", "type")
-    numbered = prefix_sums(entries, action_log.log_order(), {"_before": F.lit(1).cast("long")}, "log-order")
-    before = numbered.select((F.col("_before") + 1).alias("n"), F.struct("timestamp", "action_id", "seq").alias("last"))
-    placed = numbered.join(before, F.col("_before") == F.col("n"), "left").drop("n")
-    in_order = F.col("last").isNull() | (F.col("last") < F.struct("timestamp", "action_id", "seq"))
-    return placed.select((F.col("_before") + 1).alias("n"), "loop", "type", "timestamp", in_order.alias("in_order"))
+    numbered = prefix_sums(entries, action_log.log_order(), {"_before": 1}, "log-order")
+    key = F.struct("timestamp", "action_id", "seq")
+    placed = over_previous(numbered.select("*", (F.col("_before") + 1).alias("n")).drop("_before"), [], "n", 1, {"last": F.max(key)})
+    in_order = F.col("last").isNull() | (F.col("last") < key)
+    return placed.select("n", "loop", "type", "timestamp", in_order.alias("in_order"))
 
 
 @query("dispatch_outbox", """

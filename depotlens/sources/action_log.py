@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .. import schemas
-from ..operators.actions import log_entries
-from .scratch import exists, materialise
+from ..operators.actions import ACTION_COLUMNS, log_entries
+from .scratch import exists, materialise, own_folder
 
 
 def append_actions(actions: DataFrame, path: str) -> None:
@@ -21,15 +21,34 @@ def append_actions(actions: DataFrame, path: str) -> None:
 
     Entries are told apart by their deterministic ids: the same actions appended again, or twice in one frame, stay one.
     """
-    spark = actions.sparkSession
-    entries = log_entries(actions).withColumn("day", F.to_date("timestamp")).dropDuplicates(["action_id", "seq"])
-    entries = materialise(entries, "log-entries")
+    with own_folder(actions.sparkSession, "append"):
+        _append(actions, path)
+
+
+def _append(actions: DataFrame, path: str) -> None:
+    """The actions are stored once, and entries made of them where they are read: wide rows move only for an id that repeats or a day among several."""
+    spark, day = actions.sparkSession, F.to_date("timestamp").alias("day")
+    stored = materialise(actions.select(*ACTION_COLUMNS), "actions", compression="zstd")
+    days = [r.day for r in stored.select(day).distinct().collect()]  # a row per day
+    entries = _entries_once(stored).select("*", day)
     if exists(spark, path):
-        days = [r.day for r in entries.select("day").distinct().collect()]  # a row per day
         known = known_entries(spark, path, days).select(*(F.col(c).alias(f"_{c}") for c in ("day", "action_id", "seq")))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("day", "action_id", "seq")]
         entries = entries.join(known, same[0] & same[1] & same[2], "left_anti")
-    entries.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
+    # A day that is known beforehand needs no sort in the writer.
+    placed = entries.withColumn("day", F.lit(days[0]).cast("date")) if len(days) == 1 else entries.hint("rebalance", F.col("day"))
+    placed.write.mode("append").partitionBy("day").parquet(path)
+
+
+def _entries_once(actions: DataFrame) -> DataFrame:
+    """The entries of stored actions, one per (action_id, seq). Ids are counted by a hash of theirs; only actions whose hash repeats are compared."""
+    code = F.xxhash64("action_id")
+    counted = actions.groupBy(code.alias("_code")).agg(F.count("*").alias("_n"))
+    repeated = materialise(counted.where("_n > 1").select("_code"), "repeated")
+    if repeated.isEmpty():
+        return log_entries(actions)
+    alone, again = (actions.join(repeated, code == F.col("_code"), how) for how in ("left_anti", "left_semi"))
+    return log_entries(alone).unionByName(log_entries(again).dropDuplicates(["action_id", "seq"]))
 
 
 def known_entries(spark: SparkSession, path: str, days: list) -> DataFrame:

@@ -83,6 +83,18 @@ def test_prefix_sums(rows):
     assert got.join(want, "id").where("n = wn and s = ws").count() == rows.count()
 
 
+def test_prefix_sums_of_equal_weights_exchange_rows_once(rows):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = ordered.prefix_sums(rows.repartition(5), [F.desc("value"), F.asc("id")], {"n": 1, "m": 3, "s": F.col("id")}, "test")
+    w = W.orderBy(F.desc("value"), "id").rowsBetween(W.unboundedPreceding, -1)
+    want = rows.select("id", F.count("*").over(w).alias("wn"), F.coalesce(F.sum("id").over(w), F.lit(0)).alias("ws"))
+    assert got.join(want, "id").where("n = wn and m = 3 * wn and s = ws").count() == rows.count()
+    placed = ordered.prefix_sums(rows, [F.col("value"), F.col("id")], {"n": 1}, "test")
+    assert plan(placed).count("Window [") == 1 and placed.schema["n"].dataType.simpleString() == "bigint"
+    assert sorted(r.n for r in placed.collect()) == list(range(rows.count()))
+    assert ordered.prefix_sums(rows.limit(0), [F.col("id")], {"n": 1}, "test").collect() == []
+
+
 def test_rank_with_ties_and_nulls(spark):
     data = [(f"s{n:03}", [0.5, 0.5, 0.25, None, 1.0][n % 5]) for n in range(50)]
     df = spark.createDataFrame(data, "sku_id string, spoilage_risk_score double")

@@ -1,13 +1,15 @@
 """Logs that retries do not double, versions that replace days, phrase search, and replays that read once."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from depotlens.operators import compliance, recalls
+from depotlens import schemas
+from depotlens.operators import actions, compliance, recalls
 from depotlens.plans.actions import Loops
 from depotlens.plans.adapters import EVENTS, Inputs, compliance_of, document_columns, readings_of
 from depotlens.sources import action_log
@@ -56,6 +58,49 @@ def test_an_append_reads_the_days_it_writes(spark, small):
     assert "PartitionFilters: [isnotnull(day" in text and "2024-01-02" in text
 
 
+def some_actions(spark, data):
+    """Actions of (action_id, loop, timestamp, sku_id); all else is null."""
+    given = spark.createDataFrame(data, "action_id string, loop string, timestamp timestamp, sku_id string")
+    return given.select(*[F.col(c) if c in given.columns else F.lit(None).cast(schemas.ACTION_LOG[c].dataType).alias(c) for c in actions.ACTION_COLUMNS])
+
+
+def test_entries_of_repeated_and_null_ids(spark):
+    """One entry for each id and place, whatever repeats: rows that are the same, ids with several loops, and ids, loops and times that are null."""
+    day = lambda n: dt.datetime(2024, 1, n, 5)
+    data = [(f"a{n}", "pos_markdown", day(1 + n % 3), f"s{n}") for n in range(40)]
+    data += data[:7] + [("b", "pos_markdown", day(1), "x"), ("b", "equipment_dispatch", day(1), None), ("c", None, day(2), "y"), ("d", "wms_quarantine", None, "z"),
+                        (None, "pos_markdown", day(2), "n"), (None, "equipment_dispatch", day(2), None), (None, "pos_markdown", day(2), "n")]
+    path, frame = new_path(spark, "log"), some_actions(spark, data)
+    for _ in range(2):
+        action_log.append_actions(frame, path)
+        got = action_log.read_actions(spark, path).select("action_id", "seq", "type", "sku_id").collect()
+        assert len(got) == len({(r.action_id, r.seq) for r in got}) == 2 * 40 + 2 + 1 + 2 + 2
+        assert {(r.action_id, r.seq) for r in got} == {(a, n) for a, loop, *_ in data for n in (0, 1) if n or loop not in (None, "equipment_dispatch")}
+        assert all((r.type, r.sku_id is not None) == ({"d": "quarantine"}.get(r.action_id, "markdown"), True) if r.seq == 0 else (r.type, r.sku_id) == (None, None) for r in got)
+    assert files_by_day(spark, path) == {"2024-01-01", "2024-01-02", "2024-01-03", "__HIVE_DEFAULT_PARTITION__"}
+
+
+def files_by_day(spark, path):
+    return {f.split("day=")[1].split("/")[0] for f in spark.read.parquet(path).inputFiles()}
+
+
+@pytest.mark.parametrize("at", [dt.datetime(2024, 1, 1, 5), None])
+def test_actions_of_one_day_are_written_where_they_are_read(spark, monkeypatch, at):
+    """No exchange moves whole entries, and actions are evaluated once for both their entries."""
+    path, plans, parquet = new_path(spark, "log"), {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to, *a, **k: (plans.update({to: plan(self._df)}), parquet(self, to, *a, **k))[1])
+    action_log.append_actions(some_actions(spark, [(f"a{n}", "pos_markdown", at, f"s{n}") for n in range(30)]), path)
+    assert plans[path].count("FileScan") == 1 and "Exchange" not in plans[path] and "Sort" not in plans[path]
+    assert action_log.read_actions(spark, path).count() == 60 and len(files_by_day(spark, path)) == 1
+
+
+def test_an_append_leaves_no_copy(spark, tmp_path):
+    held = lambda: {str(f) for f in pathlib.Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet")}
+    before = held()
+    action_log.append_actions(some_actions(spark, [("a", "pos_markdown", dt.datetime(2024, 1, 1), "s")]), str(tmp_path / "log"))
+    assert held() == before and list((tmp_path / "log").rglob("*.parquet"))
+
+
 # document log
 
 @pytest.fixture(scope="module")
